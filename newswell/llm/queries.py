@@ -12,6 +12,7 @@ from newswell.llm.shared import ship
 #: Query name to module and SQL constant (or None).
 _QUERIES = {
     "op1_quality_rules": ("quality", "OP1_SQL"),
+    "op3_ngram_jaccard_join": ("jaccard", "OP3_SQL"),
     "op6_source_mixing": ("mixing", None),
     "op7_jump_sharding": ("jumphash", None),
     "op10_decontamination": ("decontam", None),
