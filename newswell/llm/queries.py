@@ -13,8 +13,10 @@ from newswell.llm.shared import ship
 _QUERIES = {
     "op1_quality_rules": ("quality", "OP1_SQL"),
     "op3_ngram_jaccard_join": ("jaccard", "OP3_SQL"),
+    "op5_token_bitpacking": ("bitpack", None),
     "op6_source_mixing": ("mixing", None),
     "op7_jump_sharding": ("jumphash", None),
+    "op9_warc_zstd": ("warc", None),
     "op10_decontamination": ("decontam", None),
 }
 
