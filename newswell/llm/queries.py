@@ -13,6 +13,7 @@ from newswell.llm.shared import ship
 _QUERIES = {
     "op1_quality_rules": ("quality", "OP1_SQL"),
     "op3_ngram_jaccard_join": ("jaccard", "OP3_SQL"),
+    "op4_license_scan": ("licenses", None),
     "op5_token_bitpacking": ("bitpack", None),
     "op6_source_mixing": ("mixing", None),
     "op7_jump_sharding": ("jumphash", None),
