@@ -17,6 +17,7 @@ _QUERIES = {
     "op5_token_bitpacking": ("bitpack", None),
     "op6_source_mixing": ("mixing", None),
     "op7_jump_sharding": ("jumphash", None),
+    "op8_suffix_array_dedup": ("suffix", None),
     "op9_warc_zstd": ("warc", None),
     "op10_decontamination": ("decontam", None),
 }
