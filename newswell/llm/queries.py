@@ -12,6 +12,7 @@ from newswell.llm.shared import ship
 #: Query name to module and SQL constant (or None).
 _QUERIES = {
     "op1_quality_rules": ("quality", "OP1_SQL"),
+    "op2_masked_lm_score": ("masked_lm", None),
     "op3_ngram_jaccard_join": ("jaccard", "OP3_SQL"),
     "op4_license_scan": ("licenses", None),
     "op5_token_bitpacking": ("bitpack", None),
