@@ -1,7 +1,7 @@
 """Exact removal of repeated byte strings by suffix order and longest previous factors.
 
 A window is a string of ``length`` bytes within a document. Windows are compared
-within *blocks*: the least 16-byte gram hash in a window (its anchor) is the same
+within *blocks*: the least 32-byte gram hash in a window (its anchor) is the same
 wherever the window stands, so equal windows lie in blocks that share an anchor.
 
 1. Each document is cut into blocks, runs of windows with one anchor. Blocks that
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from newswell.llm.shared import Step, _powers, clean_names, mix, small_side, steps, stored
 
 LENGTH = 200
-GRAM = 16
+GRAM = 32
 #: Different blocks of one anchor above which windows are counted by hash instead of sorted in one task.
 HOT_BLOCKS = 20_000
 #: Bytes of blocks that one suffix sort takes, at least, before it starts.
@@ -39,9 +39,12 @@ SORT_BYTES = 2 << 20
 
 
 def cut_blocks(step: Step, length: int) -> tuple[np.ndarray, ...]:
-    """For each block: document, anchor hash, block hash, first window's offset in the document, number of windows."""
+    """The different blocks of each document: document, anchor hash, block hash, number of windows, bounds of its starts; then all starts.
+
+    Equal blocks of one document, as in text that repeats itself, are one entry with several starts.
+    """
     size = len(step.data)
-    nothing = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+    nothing = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64)) + (np.zeros(1, np.int64), np.zeros(0, np.int64))
     if size < length:
         return nothing
     total = step.prefix(step.data)
@@ -67,7 +70,10 @@ def cut_blocks(step: Step, length: int) -> tuple[np.ndarray, ...]:
     start, last = at[first], at[np.append(first[1:], len(at)) - 1]
     whole = mix((total[last + length] - total[start]) * inverse[start])
     doc = np.searchsorted(step.offsets, start, "right") - 1
-    return doc, grams[anchor[start]], whole, start - step.offsets[doc], last - start + 1
+    order = np.lexsort((start, whole, doc))
+    doc, whole, start, last = doc[order], whole[order], start[order], last[order]
+    lead = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1])]))
+    return doc[lead], grams[anchor[start[lead]]], whole[lead], (last - start + 1)[lead], np.append(lead, len(start)), start - step.offsets[doc]
 
 
 def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -118,7 +124,7 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-MARKS = pa.schema([("row", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+MARKS = pa.schema([("row", pa.int64()), ("starts", pa.list_(pa.int32())), ("size", pa.int32())])
 
 
 def _sort_blocks(length: int, keep: str):
@@ -142,8 +148,8 @@ def _sort_blocks(length: int, keep: str):
         a, b = _spans(np.insert(flags, np.cumsum(n)[:-1], False)) if len(n) > 1 else _spans(flags)
         owner = np.searchsorted(np.cumsum(n + 1), a, "right")
         base = np.concatenate([[0], np.cumsum(n + 1)[:-1]])
-        out = [rows[owner], start[owner] + a - base[owner], start[owner] + b - base[owner] + length - 1]
-        return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int32)), pa.array(out[2].astype(np.int32))], schema=MARKS)
+        first = (start[owner] + a - base[owner]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(rows[owner]), pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32)), pa.array(first)), pa.array((b - a + length - 1).astype(np.int32))], schema=MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -173,29 +179,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first") -
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, step in steps(batch.column(1)):
-                doc, anchor, block, start, n = cut_blocks(step, length)
+                doc, anchor, block, n, bounds, starts = cut_blocks(step, length)
                 own = pa.array(doc + at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), batch.column(0).take(own), batch.column(2).take(own), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["anchor", "block", "doc_id", "row", "start", "n"],
-                )
+                starts = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(starts.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), batch.column(0).take(own), batch.column(2).take(own), starts, pa.array(n.astype(np.int32))], names=["anchor", "block", "doc_id", "row", "starts", "n"])
 
-    cut = docs.mapInArrow(blocks, "anchor long, block long, doc_id long, row long, start int, n int")
+    cut = docs.mapInArrow(blocks, "anchor long, block long, doc_id long, row long, starts array<int>, n int")
     by_anchor, by_block = Window.partitionBy("anchor"), Window.partitionBy("anchor", "block")
-    in_order = by_block.orderBy(F.col("doc_id").asc_nulls_first(), "row", "start")
-    seen = cut.select("*", F.min("block").over(by_anchor).alias("least"), F.max("block").over(by_anchor).alias("most"), F.count("*").over(by_block).alias("copies"), F.row_number().over(in_order).alias("nth"))
-    seen = stored(seen.where("copies > 1 OR least <> most").select("anchor", "doc_id", "row", "start", "n", (F.col("copies") > 1).alias("again"), (F.col("least") != F.col("most")).alias("mixed"), "nth"), "suffix-blocks")
-    removed = F.col("again") & (F.col("nth") > 1 if keep == "first" else F.lit(True))
-    marks = seen.where(removed).select("row", F.col("start").alias("first"), (F.col("start") + F.col("n") + length - 1).cast("int").alias("last"))
+    in_order = by_block.orderBy(F.col("doc_id").asc_nulls_first(), "row")
+    seen = cut.select("*", F.min("block").over(by_anchor).alias("least"), F.max("block").over(by_anchor).alias("most"), F.sum(F.size("starts")).over(by_block).alias("copies"), F.row_number().over(in_order).alias("nth"))
+    seen = stored(seen.where("copies > 1 OR least <> most").select("anchor", "doc_id", "row", "starts", "n", (F.col("copies") > 1).alias("again"), (F.col("least") != F.col("most")).alias("mixed"), "nth"), "suffix-blocks")
+    size = (F.col("n") + length - 1).cast("int").alias("size")
+    if keep == "first":
+        marks = seen.where("nth > 1 OR size(starts) > 1").select("row", F.when(F.col("nth") > 1, F.col("starts")).otherwise(F.slice("starts", F.lit(2), F.size("starts"))).alias("starts"), size)
+    else:
+        marks = seen.where("again").select("row", "starts", size)
 
     # The first of each different block, with its bytes. A block with copies elsewhere can still repeat a window of an earlier one.
-    firsts = seen.where("mixed AND nth = 1").select("anchor", "row", "start", "n")
+    firsts = seen.where("mixed AND nth = 1").select("anchor", "row", F.get("starts", F.lit(0)).alias("start"), "n")
     hot = stored(firsts.groupBy("anchor").agg(F.count("*").alias("blocks")).where(F.col("blocks") > HOT_BLOCKS).select("anchor"), "suffix-hot")
     firsts = firsts.join(small_side(hot.withColumn("hot", F.lit(True)), 16), "anchor", "left")
     wanted = stored(firsts.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted")), "suffix-wanted")
-    per_row = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
-    side = F.broadcast(wanted) if per_row * 32 <= 32 << 20 else wanted
-    fetched = docs.join(side, "row").select("row", "doc_id", "text", "wanted")
+    fetched = docs.join(wanted, "row").select("row", "doc_id", "text", "wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +216,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first") -
     fetched = fetched.mapInArrow(fetch, "anchor long, doc_id long, row long, start int, n int, hot boolean, data binary")
     # Rows of equal id and text are one row here; both copies are marked by their equal blocks.
     usual = fetched.where("NOT hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
-    marks = marks.unionByName(usual.mapInArrow(_sort_blocks(length, keep), "row long, first int, last int"))
+    marks = marks.unionByName(usual.mapInArrow(_sort_blocks(length, keep), "row long, starts array<int>, size int"))
     if hot.limit(1).count():
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,14 +231,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first") -
             windows = windows.withColumn("nth", F.row_number().over(Window.partitionBy("window").orderBy(F.col("doc_id").asc_nulls_first(), "row", "start"))).where("nth > 1")
         else:
             windows = windows.withColumn("copies", F.count("*").over(Window.partitionBy("window"))).where("copies > 1")
-        marks = marks.unionByName(windows.select("row", F.col("start").alias("first"), (F.col("start") + length).cast("int").alias("last")))
+        marks = marks.unionByName(windows.select("row", F.array("start").alias("starts"), F.lit(length).alias("size")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for ranges in batch.column(1).to_pylist():
                 own: list[list[int]] = []
-                for a, b in sorted((x["first"], x["last"]) for x in ranges):
+                for a, b in sorted((a, a + x["size"]) for x in ranges for a in x["starts"]):
                     if own and a <= own[-1][1]:
                         own[-1][1] = max(own[-1][1], b)
                     else:
@@ -241,7 +246,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first") -
                 out.append([x for r in own for x in r])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["row", "spans"])
 
-    grouped = marks.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    grouped = marks.groupBy("row").agg(F.collect_list(F.struct("starts", "size")).alias("ranges"))
     return stored(grouped.mapInArrow(merge, "row long, spans array<int>"), "suffix-spans")
 
 
