@@ -24,7 +24,7 @@ def entity_mentions(docs: DataFrame, catalog: list[tuple[str, tuple[str, ...]]],
 
 def entity_rollup(mentions: DataFrame, top: int = 30) -> DataFrame:
     """Mentions of each entity: how many, mean score, first and last day, and its newest ``top`` articles."""
-    newest = mentions.withColumn("r", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("day"), "ord"))).where(F.col("r") <= top)
+    newest = mentions.withColumn("r", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("day"), "ord"))).where(F.col("r") <= top).withColumn("r", F.col("r").cast("bigint"))
     newest = newest.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "ord"))), lambda x: x["ord"]).alias("newest"))
     totals = mentions.groupBy("entity_id").agg(F.count("*").alias("total_mentions"), F.bround(F.avg("score"), 1).alias("avg_score"), F.min("day").alias("first_seen"), F.max("day").alias("last_seen"))
     return totals.join(newest, "entity_id")
@@ -81,7 +81,7 @@ def neighbours(edges: DataFrame, top: int = 40) -> DataFrame:
     both = edges.select(F.col("source").alias("entity"), F.col("target").alias("other"), "type", "weight", "evidence", "ord").unionByName(edges.select(F.col("target").alias("entity"), F.col("source").alias("other"), "type", "weight", "evidence", "ord"))
     by_type = both.groupBy("entity", "other", "type").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.min("ord").alias("o"), F.min_by("evidence", "ord").alias("evidence"))
     pair = by_type.groupBy("entity", "other").agg(F.sum("n").alias("n_edges"), F.sum("w").alias("weight"), F.array_sort(F.collect_list(F.struct("type", "n"))).alias("kinds"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("o", "evidence"))), lambda x: x["evidence"]), 1, 2).alias("evidences"))
-    return pair.withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("weight"), "other"))).where(F.col("rank") <= top)
+    return pair.withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc(F.round("weight", 6)), "other"))).where(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def core_subgraph(edges: DataFrame, nodes: DataFrame, k: int = 28, types=None, papers: bool = True) -> DataFrame:

@@ -18,7 +18,7 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def top_n_per(df: DataFrame, keys: list[str], n: int, *order: Column, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group with their rank; Spark keeps ``n`` a group before the shuffle."""
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def merge_articles(prev: DataFrame, new: DataFrame, run_ts: Column, keep_days: int = 30) -> DataFrame:
@@ -108,7 +108,7 @@ def rank_cards(cards: DataFrame, high, medium, most: int | None = None) -> DataF
     work = cards.withColumns({"__high": hit_count(text, high), "__medium": hit_count(text, medium)})
     tier = F.when(F.col("__high") >= 2, 0).when(F.col("__high") == 1, 1).when(F.col("__medium") >= 1, 2).otherwise(3)
     hits = F.when(F.col("__high") >= 1, F.col("__high")).otherwise(F.col("__medium"))
-    work = work.withColumn("tier", tier).withColumn("rank", F.row_number().over(Window.partitionBy("period", "key").orderBy("tier", F.desc(hits), "ord")))
+    work = work.withColumn("tier", tier).withColumn("rank", F.row_number().over(Window.partitionBy("period", "key").orderBy("tier", F.desc(hits), "ord")).cast("bigint"))
     own = F.regexp_extract("tag", r"(?i)^\s*TREND\s+\d+\s*[·•]\s*(.+)$", 1)
     out = work.withColumn("tag", F.when(own != "", F.format_string("TREND %02d · %s", "rank", own)).otherwise(F.col("tag"))).drop("__high", "__medium")
     return out.where(F.col("rank") <= most) if most else out
@@ -116,9 +116,9 @@ def rank_cards(cards: DataFrame, high, medium, most: int | None = None) -> DataF
 
 def recent_keys(df: DataFrame, n: int, key: str = "key") -> DataFrame:
     """The latest ``n`` keys of each period."""
-    return df.select("period", key).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("period").orderBy(F.desc(key)))).where(F.col("rank") <= n)
+    return df.select("period", key).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("period").orderBy(F.desc(key)))).where(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def admit(requests: DataFrame, limit: int = 5, who: str = "ip", ts: str = "ts") -> DataFrame:
     """The first ``limit`` requests of each sender and UTC day. A group is one sender's day."""
-    return requests.withColumn("rank", F.row_number().over(Window.partitionBy(who, F.to_date(ts)).orderBy(ts))).where(F.col("rank") <= limit)
+    return requests.withColumn("rank", F.row_number().over(Window.partitionBy(who, F.to_date(ts)).orderBy(ts))).where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("bigint"))

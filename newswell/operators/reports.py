@@ -88,7 +88,7 @@ def fallback_citations(cards: DataFrame, ranked: DataFrame, generic=(), least: i
     text = F.lower(F.concat_ws(" ", "tag", "card_title", "body"))
     j = cards.where("size(sources) = 0").withColumnRenamed("title", "card_title").withColumn("text", text).join(listed, list(keys))
     hits = j.where(F.size(F.filter("words", lambda w: F.contains(F.col("text"), w))) >= least)
-    return hits.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "ord").orderBy("rank"))).where(F.col("place") <= most).select(*keys, "ord", "place", "url")
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "ord").orderBy("rank"))).where(F.col("place") <= most).withColumn("place", F.col("place").cast("bigint")).select(*keys, "ord", "place", "url")
 
 
 @dataclass(frozen=True)

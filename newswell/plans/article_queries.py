@@ -1,3 +1,447 @@
-from newswell.plans.base import Registry
+"""Queries of gates, classification, merging, ranking, ordering and clustering."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from newswell.functions import dates, text
+from newswell.functions.lexicon import CATEGORIES, DEMO
+from newswell.operators import classify, cluster, history
+from newswell.plans.base import ARTICLES, Registry, articles, run_ts, table
+
 _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
+
+#: Best articles of a day, week and month.
+TOP = {"daily": 30, "weekly": 50, "monthly": 80}
+
+
+def _listed(terms) -> str:
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in terms) + "]"
+
+
+def _hits(x: str, name: str) -> str:
+    return f"len(list_filter({_listed(DEMO[name])}, lambda k: contains({x}, k)))"
+
+
+def _any(x: str, name: str) -> str:
+    return f"({_hits(x, name)} > 0)"
+
+
+def _starts(name: str) -> str:
+    return f"regexp_matches(title, '(?i)^\\s*(?:{text.quoted(DEMO[name])})')"
+
+
+_LOW = "lower(concat_ws(' ', title, summary))"
+_VERDICT = f"""CASE WHEN {_starts('pr_block')} THEN 'block' WHEN {_starts('pr_cap')} THEN 'cap 25'
+ WHEN {_starts('pr_opinion')} THEN CASE WHEN {_hits(_LOW, 'ai')} >= 3 THEN 'pass' ELSE 'cap 28' END
+ WHEN {_starts('pr_series')} THEN CASE WHEN {_hits(_LOW, 'ai')} >= 3 THEN 'pass' ELSE 'block' END
+ WHEN {_hits('lower(title)', 'pr_verbs')} >= 2 THEN CASE WHEN {_hits(_LOW, 'ai')} >= 3 THEN 'cap 45' ELSE 'cap 30' END ELSE 'pass' END"""
+
+
+def _sum(x: str, name: str) -> str:
+    return f"list_sum(list_transform({_listed(DEMO[name])}, lambda k: (length({x}) - length(replace({x}, k, ''))) // length(k)))"
+
+
+_RELEVANT = f"""CASE WHEN {_any('x', 'boilerplate')} THEN false WHEN v = 'block' THEN false
+ WHEN ({_any('lower(title)', 'political')} AND NOT {_any('x', 'guard')}) OR {_any('x', 'blacklist')} THEN false WHEN source_type NOT IN ('naver', 'google_news') THEN true
+ WHEN {_any('x', 'strong')} THEN true ELSE ({_hits('x', 'ai')} >= 1 AND {_any('x', 'legal')}) OR {_hits('x', 'ai')} >= 2 OR {_sum('x', 'ai')} >= 2 END"""
+_GATED = ARTICLES + f", v AS (SELECT *, {_LOW} AS x, {_VERDICT} AS v FROM articles), g AS (SELECT *, {_RELEVANT} AS relevant FROM v)"
+
+
+@query("p01_relevance_gate", _GATED + " SELECT ord, relevant FROM g")
+def p01(spark, d):
+    return articles(spark, d).select("ord", classify.is_relevant(F.col("title"), F.col("summary"), F.col("source_type"), DEMO).alias("relevant"))
+
+
+@query("p02_pr_verdict", _GATED + " SELECT ord, v AS verdict FROM g")
+def p02(spark, d):
+    v = classify.pr_verdict(F.col("title"), F.col("summary"), DEMO)
+    return articles(spark, d).select("ord", F.concat_ws(" ", v["verdict"], v["cap"].cast("string")).alias("verdict"))
+
+
+@query("p03_score_cut", ARTICLES + "SELECT ord, score FROM articles WHERE score >= 20")
+def p03(spark, d):
+    return articles(spark, d).where("score >= 20").select("ord", "score")
+
+
+@query("p04_fetch_days", ARTICLES + "SELECT ord FROM articles WHERE date_unknown OR (published_at + INTERVAL 9 HOUR)::DATE >= DATE '2024-01-30'")
+def p04(spark, d):
+    run = F.to_date(run_ts())
+    return articles(spark, d).where(F.col("date_unknown") | (dates.seoul_date(F.col("published_at")) >= F.date_sub(run, 1))).select("ord")
+
+
+@query("p05_retention", ARTICLES + "SELECT ord FROM articles WHERE published_at >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY")
+def p05(spark, d):
+    return articles(spark, d).where(F.col("published_at") >= run_ts() - F.expr("interval 20 days")).select("ord")
+
+
+@query("p06_revalidate", _GATED + " SELECT ord, array_to_string(list_filter(categories, lambda c: c <> 'market'), ',') AS categories FROM g WHERE relevant AND score >= 20")
+def p06(spark, d):
+    a = articles(spark, d).where("score >= 20")
+    return a.where(classify.is_relevant(F.col("title"), F.col("summary"), F.col("source_type"), DEMO)).select("ord", F.array_join(F.array_remove("categories", "market"), ",").alias("categories"))
+
+
+@query("p07_suspicious_date", ARTICLES + "SELECT ord, date_unknown OR abs(epoch(published_at) - epoch(first_seen)) < 120 AS suspicious FROM articles")
+def p07(spark, d):
+    return articles(spark, d).select("ord", classify.suspicious_date(F.col("date_unknown"), F.col("published_at"), F.col("first_seen")).alias("suspicious"))
+
+
+_AGENDA = f"({_any(_LOW, 'super')} OR {_any(_LOW, 'core_law')} OR list_has_any(categories, ['legaltech', 'policy', 'gov_policy']))"
+
+
+def _agenda():
+    return classify.agenda(F.col("title"), F.col("summary"), F.col("categories"), DEMO)
+
+
+@query("p08_needs_annotation", ARTICLES + f"""SELECT ord, CASE lang WHEN 'en' THEN true WHEN 'fr' THEN ((score >= 70 OR {_AGENDA}) AND ord % 2 = 0) OR len(entities) = 0 OR (ord % 5 = 0 AND source_type NOT IN ('arxiv', 'openalex')) ELSE false END AS needed FROM articles""")
+def p08(spark, d):
+    a = articles(spark, d).withColumns({"l": F.when(F.col("lang") == "fr", "ko").otherwise(F.col("lang")), "ins": F.when(F.col("ord") % 2 == 1, "x"), "prim": F.when(F.col("ord") % 5 != 0, "policy")})
+    return a.select("ord", classify.needs_annotation(F.col("l"), F.col("source_type"), F.col("score"), _agenda(), F.lit(None).cast("string"), F.col("ins"), F.col("entities"), F.col("prim")).alias("needed"))
+
+
+@query("p09_agenda", ARTICLES + f"SELECT ord, {_AGENDA} AS agenda FROM articles")
+def p09(spark, d):
+    return articles(spark, d).select("ord", _agenda().alias("agenda"))
+
+
+@query("p10_annotation_route", ARTICLES + f"SELECT ord, CASE WHEN source_type IN ('arxiv', 'openalex') THEN 'paper' WHEN lang = 'en' THEN 'en-full' WHEN score >= 70 OR {_AGENDA} THEN 'ko-insight' ELSE 'ko-ner-only' END AS route FROM articles")
+def p10(spark, d):
+    return articles(spark, d).select("ord", classify.annotation_route(F.col("lang"), F.col("source_type"), F.col("score"), _agenda()).alias("route"))
+
+
+@query("p11_period_filter", ARTICLES + "SELECT ord, substring(date_raw, 1, 10) BETWEEN '2024-01-22' AND '2024-01-28' AS weekly, starts_with(date_raw, '2024-01') AS monthly FROM articles WHERE NOT date_unknown")
+def p11(spark, d):
+    day = F.substring("date_raw", 1, 10)
+    return articles(spark, d).where("NOT date_unknown").select("ord", day.between("2024-01-22", "2024-01-28").alias("weekly"), F.startswith("date_raw", F.lit("2024-01")).alias("monthly"))
+
+
+@query("p12_paper_filter", ARTICLES + "SELECT ord FROM articles WHERE source_type IN ('arxiv', 'openalex') AND NOT date_unknown AND substring(date_raw, 1, 10) >= '2024-01-24'")
+def p12(spark, d):
+    return articles(spark, d).where(F.col("source_type").isin("arxiv", "openalex") & ~F.col("date_unknown") & (F.substring("date_raw", 1, 10) >= "2024-01-24")).select("ord")
+
+
+_PERIODS = "SELECT 'daily' AS period, strftime(o_orderdate, '%Y-%m-%d') AS key, o_orderkey FROM orders UNION ALL SELECT 'weekly', strftime(o_orderdate, '%G-W%V'), o_orderkey FROM orders UNION ALL SELECT 'monthly', strftime(o_orderdate, '%Y-%m'), o_orderkey FROM orders"
+
+
+def _periods(spark, d):
+    t = F.col("o_orderdate")
+    keys = F.array(*(F.struct(F.lit(p).alias("period"), k.alias("key")) for p, k in (("daily", dates.day_key(t)), ("weekly", dates.week_key(t)), ("monthly", dates.month_key(t)))))
+    return table(spark, d, "orders").select("o_orderkey", F.inline(keys))
+
+
+@query("p13_prune_history", f"SELECT period, count(*) AS n FROM ({_PERIODS}) WHERE CASE period WHEN 'daily' THEN key >= '1998-05-02' WHEN 'weekly' THEN key >= strftime(DATE '1998-07-01' - 182, '%G-W%V') ELSE key >= '1997-07' END GROUP BY period")
+def p13(spark, d):
+    return history.prune_history(_periods(spark, d), F.lit("1998-07-01").cast("date")).groupBy("period").agg(F.count("*").alias("n"))
+
+
+@query("p14_source_retention", ARTICLES + "SELECT source, count(*) AS n FROM articles WHERE published_at::DATE >= DATE '2024-01-15' OR source NOT IN (SELECT source FROM articles WHERE ord % 50 = 0) GROUP BY source")
+def p14(spark, d):
+    a = articles(spark, d)
+    run = a.where("ord % 50 = 0").select("source").distinct().withColumn("in_run", F.lit(True))
+    return a.join(run, "source", "left").where((F.to_date("published_at") >= "2024-01-15") | F.col("in_run").isNull()).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("p18_today_added", ARTICLES + "SELECT ord FROM articles WHERE coalesce(first_seen, published_at) >= TIMESTAMP '2024-01-30'")
+def p18(spark, d):
+    return articles(spark, d).where(F.coalesce("first_seen", "published_at") >= F.date_trunc("day", run_ts() - F.expr("interval 1 day"))).select("ord")
+
+
+@query("p19_refresh_window", ARTICLES + "SELECT ord, CASE WHEN published_at < TIMESTAMP '2024-01-28' THEN array_to_string(entities, ',') END AS entities FROM articles")
+def p19(spark, d):
+    recent = F.col("published_at") >= run_ts() - F.expr("interval 3 days")
+    return articles(spark, d).select("ord", F.when(~recent, F.array_join("entities", ",")).alias("entities"))
+
+
+@query("p20_card_shape", "SELECT conv_id, turn FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
+def p20(spark, d):
+    return table(spark, d, "conversations").where("role IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select("conv_id", "turn")
+
+
+@query("p22_is_arxiv", ARTICLES + "SELECT ord, source_type = 'arxiv' OR contains(url, 'arxiv.org') AS arxiv FROM articles")
+def p22(spark, d):
+    return articles(spark, d).select("ord", ((F.col("source_type") == "arxiv") | F.contains("url", F.lit("arxiv.org"))).alias("arxiv"))
+
+
+_RANK = "CASE c " + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(CATEGORIES)) + " ELSE 99 END"
+
+
+def _ordered(inner: str) -> str:
+    """SQL of ord and its categories by priority, from rows of ord, c."""
+    return f"SELECT ord, array_to_string(list(c ORDER BY {_RANK}, c)[1:3], ',') AS categories FROM (SELECT DISTINCT ord, c FROM ({inner})) GROUP BY ord"
+
+
+def _word(name: str) -> str:
+    return f"regexp_matches(' ' || x || ' ', '[^\\p{{L}}\\p{{N}}\\p{{M}}_](?:{text.quoted(DEMO[name])})[^\\p{{L}}\\p{{N}}\\p{{M}}_]')"
+
+
+_CATS = " UNION ALL ".join(
+    [f"SELECT ord, '{c}' AS c FROM y WHERE {_word('cat_' + c)}" for c in CATEGORIES if DEMO["cat_" + c] and c != "papers"]
+    + ["SELECT ord, c FROM (SELECT ord, paper, unnest(categories) AS c FROM y) WHERE c <> 'papers' OR paper"]
+    + [f"SELECT ord, 'legaltech' FROM y WHERE ({_any('x', 'ai')} AND {_any('x', 'legal')}) OR {_any('x', 'super')}", f"SELECT ord, 'policy' FROM y WHERE {_any('x', 'core_law')}"]
+)
+
+
+@query("c01_categorise", ARTICLES + f", y AS (SELECT *, source_type = 'arxiv' OR {_word('cat_papers')} AS paper FROM (SELECT *, {_LOW} AS x FROM articles)), o AS ({_ordered(_CATS)}) SELECT ord, coalesce(o.categories, '') AS categories FROM articles LEFT JOIN o USING (ord)")
+def c01(spark, d):
+    return articles(spark, d).select("ord", F.array_join(classify.categorise(F.col("title"), F.col("summary"), F.col("categories"), F.col("source_type"), DEMO), ",").alias("categories"))
+
+
+def _score_sql() -> str:
+    x = "trim(regexp_replace(lower(translate(title || ' ' || summary, '''\"', '  ')), '\\s+', ' ', 'g'))"
+    h = "trim(regexp_replace(lower(translate(title, '''\"', '  ')), '\\s+', ' ', 'g'))"
+    s = lambda n: f"CASE WHEN {_hits('x', n)} = 0 THEN 0.0 ELSE round(1 - pow(0.78, {_hits('x', n)}), 3) END::DOUBLE"
+    has = lambda *c: f"list_has_any(categories, {_listed(c)})"
+    core = has("papers", "legaltech", "models", "coding", "infra")
+    neg = lambda minus: f"CASE WHEN neg < 1 THEN s WHEN {has('legaltech', 'papers', 'funding')} THEN CASE WHEN total < 0.5 THEN least(s, 38) WHEN total < 1 THEN least(s, 50) ELSE least(s, 65) END ELSE CASE WHEN total < 0.5 THEN least(s, 18) WHEN total < 1 THEN least(s, 28) ELSE least(s - {minus}, 45) END END"
+    bonus = " + ".join(f"CASE WHEN list_contains(categories, '{c}') THEN {v} ELSE 0 END" for c, v in classify.CATEGORY_BONUS.items())
+    law = f"least(18, CASE WHEN basic THEN 12 ELSE 0 END + CASE WHEN cond AND (m >= 1 OR {has('legaltech', 'policy', 'gov_policy', 'governance', 'models', 'coding', 'infra', 'ai-industry')}) THEN 12 ELSE 0 END)"
+    weight = lambda n: " + ".join(f"CASE WHEN contains(x, '{k}') THEN {v} ELSE 0 END" for k, v in DEMO.weight(n).items())
+    by_source = "CASE " + " ".join(f"WHEN contains(source, '{k}') THEN {v}" for k, v in DEMO.weight("bookmark_sources").items()) + " ELSE 0 END"
+    floor = "greatest(CASE WHEN law > 0 THEN 78 ELSE 0 END, CASE WHEN sup THEN 70 ELSE 0 END, CASE WHEN protect THEN 35 ELSE 0 END)"
+    steps = [
+        "30.0 + d * 28 * mult + r * 28 * mult + k * 18 * mult + l * 12 * mult",
+        "CASE WHEN k >= 0.5 AND d + r + l < 0.4 THEN least(s, 55) ELSE s END",
+        neg(25),
+        "CASE WHEN m <= 2 AND total < 0.3 THEN least(s, 22) ELSE s END",
+        "CASE WHEN total < 0.1 THEN least(s, 25) ELSE s END",
+        "CASE WHEN m >= 3 AND total < 0.4 THEN least(s, 33) ELSE s END",
+        f"s + least(16, {bonus})",
+        "s + CASE WHEN length(summary) >= 80 THEN least(6.0, log2(length(summary) / 40) * 1.2) ELSE -3.0 END + CASE WHEN length(title) BETWEEN 20 AND 80 THEN 1 WHEN length(title) > 120 THEN -1 ELSE 0 END + CASE WHEN hours < 24 THEN 10 WHEN hours < 72 THEN 5 WHEN hours < 168 THEN 2 ELSE 0 END",
+        f"CASE WHEN {_any('h', 'promo')} AND total < 0.5 THEN least(s, 25) ELSE s END",
+        neg(0),
+        "CASE WHEN cap IS NOT NULL THEN least(s, cap) ELSE s END",
+        "s + CASE WHEN persona_score BETWEEN 0 AND 10 AND cap IS NULL THEN 8 * persona_score ELSE 0 END",
+        "CASE WHEN law > 0 THEN greatest(s + law, 78) ELSE s END",
+        "CASE WHEN sup THEN greatest(s + 18, 70) ELSE s END",
+        "CASE WHEN protect THEN greatest(s, 35) ELSE s END",
+        f"s + CASE WHEN cap IS NULL THEN least(12, {weight('bookmark_entities')} + {weight('bookmark_keywords')} + {by_source}) ELSE 0 END",
+        f"CASE WHEN persona_score BETWEEN 0 AND 10 AND cap IS NULL THEN least(s, greatest(30 + 10 * persona_score, {floor})) ELSE s END",
+    ]
+    out = ARTICLES + f""", s0 AS (SELECT *, {x} AS x, {h} AS h, {_VERDICT} AS v, (epoch(TIMESTAMP '2024-01-31') - epoch(published_at)) / 3600 AS hours FROM articles),
+s1 AS (SELECT *, {_sum('x', 'ai')} AS m, {s('decision')} AS d, {s('regulatory')} AS r, {s('market')} AS k, {s('score_legal')} AS l, {_hits('x', 'negative')} AS neg, {core} AS core, {_any('x', 'super')} AS sup, {_any('x', 'conditional_law')} AS cond, {_any('x', 'basic_law')} AS basic, CASE WHEN starts_with(v, 'cap') THEN substring(v, 5)::INT END AS cap FROM s0),
+s2 AS (SELECT *, d + r + k + l AS total, {law} AS law, core OR (cond AND m >= 1) AS protect, CASE WHEN core THEN greatest(0.85, CASE WHEN m >= 3 THEN 1.0 WHEN m >= 1 THEN 0.7 ELSE 0.5 END) WHEN m >= 3 THEN 1.0 WHEN m >= 1 THEN 0.7 ELSE 0.5 END::DOUBLE AS mult FROM s1),
+t0 AS (SELECT *, ({steps[0]})::DOUBLE AS s FROM s2)"""
+    for k, step in enumerate(steps[1:], 1):
+        out += f",\nt{k} AS (SELECT * REPLACE (({step})::DOUBLE AS s) FROM t{k - 1})"
+    return out + f", scored AS (SELECT * REPLACE ((CASE WHEN v = 'block' OR (m = 0 AND NOT core AND NOT sup) THEN 0 ELSE greatest(0, least(120, round_even(s, 0))) END)::INT AS score) FROM t{len(steps) - 1})\n"
+
+
+@query("c02_importance_score", _score_sql() + "SELECT ord, score FROM scored")
+def c02(spark, d):
+    return classify.score(articles(spark, d), DEMO, run_ts()).select("ord", "score")
+
+
+@query("c03_merge_primary", ARTICLES + ", e AS (SELECT ord, unnest(list_concat(categories, ['policy', 'ai-industry', 'other'][ord % 3 + 1:ord % 3 + 1])) AS c FROM articles), o AS (" + _ordered("SELECT ord, c FROM e WHERE NOT (c = 'ai-industry' AND ord % 3 = 0)") + ") SELECT ord, CASE WHEN ord % 3 = 2 THEN array_to_string(a.categories, ',') ELSE coalesce(o.categories, '') END AS categories FROM articles a LEFT JOIN o USING (ord)")
+def c03(spark, d):
+    primary = F.element_at(F.array(*map(F.lit, ("policy", "ai-industry", "other"))), (F.col("ord") % 3 + 1).cast("int"))
+    return articles(spark, d).select("ord", F.array_join(classify.merge_primary(F.col("categories"), primary), ",").alias("categories"))
+
+
+@query("c06_period_readiness", f"WITH k AS ({_PERIODS}), c AS (SELECT DISTINCT period, key FROM k WHERE o_orderkey % 97 = 0), n AS (SELECT period, key, count(*) AS n_items, count_if(o_orderkey % 97 <> 0)::BIGINT AS n_uncited FROM k GROUP BY ALL) SELECT period, key, n_items, n_uncited, CASE WHEN c.key IS NULL AND n_items >= CASE period WHEN 'daily' THEN 3 WHEN 'weekly' THEN 20 ELSE 30 END THEN 'build' WHEN c.key IS NOT NULL AND period = 'daily' AND n_uncited >= 5 THEN 'extend' ELSE 'keep' END AS action FROM n LEFT JOIN c USING (period, key)")
+def c06(spark, d):
+    from newswell.operators.reports import band_of_periods
+
+    k = _periods(spark, d).withColumnRenamed("o_orderkey", "url")
+    cards = k.where("url % 97 = 0").groupBy("period", "key").agg(F.collect_list("url").alias("urls"))
+    return band_of_periods(k, cards, {"daily": 3, "weekly": 20, "monthly": 30})
+
+
+@query("c07_request_rows", ARTICLES + ", r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, ord) AS rank FROM articles) SELECT source, string_agg('[' || rank || '] ' || title || ' / ' || lang, chr(10) ORDER BY rank) AS request FROM r WHERE rank <= 10 GROUP BY source")
+def c07(spark, d):
+    top = history.top_n_per(articles(spark, d), ["source"], 10, F.desc("score"), F.col("ord"))
+    line = F.format_string("[%d] %s / %s", "rank", "title", "lang")
+    return top.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("request"))
+
+
+@query("c08_score_band", ARTICLES + "SELECT CASE WHEN score < 35 THEN '0-34' WHEN score < 50 THEN '35-49' WHEN score < 70 THEN '50-69' WHEN score < 90 THEN '70-89' ELSE '90+' END AS band, count(*) AS n FROM articles GROUP BY ALL")
+def c08(spark, d):
+    return articles(spark, d).groupBy(classify.band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("a04_bucket_strengths", ARTICLES + ", x AS (SELECT ord, trim(regexp_replace(lower(translate(title || ' ' || summary, '''\"', '  ')), '\\s+', ' ', 'g')) AS x, lower(title) AS h FROM articles) SELECT ord, " + ", ".join(f"round(1 - pow(0.78, {_hits('x', n)}), 3)::DOUBLE AS {n}" for n in ("law", "global", "policy")) + f", CASE WHEN {_any('h', 'promo')} THEN 1.0 ELSE 0.0 END::DOUBLE AS promo FROM x")
+def a04(spark, d):
+    return articles(spark, d).select("ord", classify.bucket_strengths(F.col("title"), F.col("summary"), DEMO).alias("s")).select("ord", "s.*")
+
+
+# ------------------------------------------------------------ merging and ranking
+
+
+@query("w01_first_per_url", ARTICLES + "SELECT url, arg_min(ord, (ord % 2, ord)) AS ord FROM articles GROUP BY url")
+def w01(spark, d):
+    return history.first_per_key(articles(spark, d), ["url"], F.col("ord") % 2, F.col("ord")).select("url", "ord")
+
+
+@query("w02_cap_per_source", ARTICLES + "SELECT ord, source FROM articles QUALIFY row_number() OVER (PARTITION BY source ORDER BY ord) <= 20")
+def w02(spark, d):
+    return history.top_n_per(articles(spark, d), ["source"], 20, F.col("ord")).select("ord", "source")
+
+
+_TOPS = " UNION ALL ".join(f"SELECT '{p}' AS period, {k} AS key, row_number() OVER (PARTITION BY {k} ORDER BY score DESC, ord) AS rank, ord, title, score FROM scored QUALIFY rank <= {TOP[p]}" for p, k in (("daily", "strftime(published_at, '%Y-%m-%d')"), ("weekly", "strftime(published_at, '%G-W%V')"), ("monthly", "strftime(published_at, '%Y-%m')")))
+
+
+def flagship(spark, d):
+    """Scored articles, the best of each day, week and month."""
+    t = F.col("published_at")
+    scored = classify.score(articles(spark, d), DEMO, run_ts())
+    keys = F.array(*(F.struct(F.lit(p).alias("period"), k.alias("key"), F.lit(TOP[p]).alias("most")) for p, k in (("daily", dates.day_key(t)), ("weekly", dates.week_key(t)), ("monthly", dates.month_key(t)))))
+    fanned = scored.select("ord", "title", "score", F.inline(keys))
+    return history.top_n_per(fanned, ["period", "key"], max(TOP.values()), F.desc("score"), F.col("ord")).where("rank <= most").select("period", "key", "rank", "ord", "title", "score")
+
+
+query("w03_top_per_period", _score_sql() + _TOPS)(flagship)
+
+
+@query("w06_rank_cards", f"""WITH c AS (SELECT conv_id AS key, turn AS ord, 'TREND ' || turn || ' · ' || role AS tag, text AS body, lower('trend ' || turn || ' · ' || role || ' ' || text) AS x FROM conversations),
+h AS (SELECT *, {_hits('x', 'high')} AS hi, {_hits('x', 'medium')} AS me FROM c), t AS (SELECT *, CASE WHEN hi >= 2 THEN 0 WHEN hi = 1 THEN 1 WHEN me >= 1 THEN 2 ELSE 3 END AS tier FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tier, CASE WHEN hi >= 1 THEN hi ELSE me END DESC, ord) AS rank FROM t)
+SELECT key, ord, tier::INT AS tier, rank, 'TREND ' || lpad(rank::VARCHAR, 2, '0') || substring(tag, 7 + length(ord::VARCHAR)) AS tag FROM r WHERE rank <= 20""")
+def w06(spark, d):
+    c = table(spark, d, "conversations").select(F.lit("daily").alias("period"), F.col("conv_id").alias("key"), F.col("turn").alias("ord"), F.format_string("TREND %d · %s", "turn", "role").alias("tag"), F.lit(None).cast("string").alias("title"), F.col("text").alias("body"))
+    return history.rank_cards(c, DEMO["high"], DEMO["medium"], 20).select("key", "ord", "tier", "rank", "tag")
+
+
+@query("w08_emergency_cards", ARTICLES + "SELECT source, rank, ord FROM (SELECT source, ord, row_number() OVER (PARTITION BY source ORDER BY score DESC, ord) AS rank, count(*) OVER (PARTITION BY source) AS n FROM articles WHERE llm_enriched) WHERE rank <= 5 AND n >= 3")
+def w08(spark, d):
+    a = articles(spark, d).where("llm_enriched")
+    enough = a.groupBy("source").agg(F.count("*").alias("n")).where("n >= 3").select("source")
+    return history.top_n_per(a.join(enough, "source", "left_semi"), ["source"], 5, F.desc("score"), F.col("ord")).select("source", "rank", "ord")
+
+
+@query("w09_annotation_budget", ARTICLES + "SELECT ord FROM articles WHERE NOT llm_enriched ORDER BY score DESC, date_raw DESC, ord LIMIT 300")
+def w09(spark, d):
+    return articles(spark, d).where("NOT llm_enriched").orderBy(F.desc("score"), F.desc("date_raw"), "ord").limit(300).select("ord")
+
+
+@query("w10_recent_keys", f"SELECT period, key, rank FROM (SELECT period, key, row_number() OVER (PARTITION BY period ORDER BY key DESC) AS rank FROM (SELECT DISTINCT period, key FROM ({_PERIODS}))) WHERE rank <= 4")
+def w10(spark, d):
+    return history.recent_keys(_periods(spark, d), 4)
+
+
+@query("w12_daily_quota", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) <= 5")
+def w12(spark, d):
+    e = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
+    return e.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("event_id")
+
+
+@query("w13_keep_last", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 50")
+def w13(spark, d):
+    return history.top_n_per(table(spark, d, "events"), ["user_id"], 50, F.desc("ts"), F.col("event_id")).select("user_id", "event_id")
+
+
+_SPLIT = ARTICLES + ", new AS (SELECT * FROM articles WHERE ord % 3 = 0), prev AS (SELECT * REPLACE (published_at - INTERVAL 5 DAY AS published_at, first_seen - INTERVAL 5 DAY AS first_seen) FROM articles WHERE ord % 2 = 0)"
+
+
+def _split(spark, d):
+    a = articles(spark, d)
+    back = F.expr("interval 5 days")
+    return a.where("ord % 2 = 0").withColumns({"published_at": F.col("published_at") - back, "first_seen": F.col("first_seen") - back}), a.where("ord % 3 = 0")
+
+
+@query("j01_merge_articles", _SPLIT + """, n AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord) = 1), p AS (SELECT * FROM prev QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord) = 1),
+j AS (SELECT coalesce(n.url, p.url) AS url, n.url IS NOT NULL AS arrived, p.url IS NOT NULL AS stored, CASE WHEN n.url IS NOT NULL AND p.url IS NOT NULL AND n.date_unknown AND NOT p.date_unknown THEN p.published_at WHEN n.url IS NOT NULL THEN n.published_at ELSE p.published_at END AS published_at,
+CASE WHEN n.url IS NOT NULL AND p.url IS NOT NULL AND n.date_unknown AND NOT p.date_unknown THEN false WHEN n.url IS NOT NULL THEN n.date_unknown ELSE p.date_unknown OR abs(epoch(p.published_at) - epoch(p.first_seen)) < 120 END AS date_unknown,
+coalesce(p.first_seen, n.first_seen) AS first_seen, coalesce(n.ord, p.ord) AS ord FROM n FULL JOIN p ON n.url = p.url)
+SELECT url, ord, strftime(published_at, '%Y-%m-%d %H:%M') AS published_at, date_unknown, strftime(first_seen, '%Y-%m-%d %H:%M') AS first_seen, arrived AND NOT stored AS is_new FROM j WHERE published_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY""")
+def j01(spark, d):
+    prev, new = (history.first_per_key(x, ["url"], F.col("ord")) for x in _split(spark, d))
+    show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
+    return history.merge_articles(prev, new, run_ts()).select("url", "ord", show("published_at"), "date_unknown", show("first_seen"), "is_new")
+
+
+@query("j02_restore_annotations", _SPLIT + ", c AS (SELECT url, arg_min(entities, ord) AS e FROM prev WHERE llm_enriched GROUP BY url) SELECT new.ord, array_to_string(CASE WHEN new.ord % 2 = 1 THEN new.entities ELSE c.e END, ',') AS entities FROM new LEFT JOIN c USING (url)")
+def j02(spark, d):
+    prev, new = _split(spark, d)
+    cache = history.first_per_key(prev.where("llm_enriched"), ["url"], F.col("ord")).withColumn("ner_only", F.lit(False))
+    bare = new.withColumn("entities", F.when(F.col("ord") % 2 == 1, F.col("entities")))
+    return history.restore_annotations(bare, cache, ("entities",)).select("ord", F.array_join("entities", ",").alias("entities"))
+
+
+@query("j04_new_url_counts", _SPLIT + " SELECT source, count(*) AS n_new FROM new WHERE url NOT IN (SELECT url FROM prev) GROUP BY source")
+def j04(spark, d):
+    prev, new = _split(spark, d)
+    return history.new_url_counts(new, prev)
+
+
+@query("j09_force_include", ARTICLES + f", top AS (SELECT * FROM articles ORDER BY score DESC, ord LIMIT 50), more AS (SELECT * FROM articles WHERE {_any(_LOW, 'super')} AND url NOT IN (SELECT url FROM top) ORDER BY score DESC, ord LIMIT 10) SELECT ord FROM top UNION ALL SELECT ord FROM more")
+def j09(spark, d):
+    a = articles(spark, d)
+    order = (F.desc("score"), F.col("ord"))
+    wanted = text.any_term(F.lower(F.concat_ws(" ", "title", "summary")), DEMO["super"])
+    return history.force_include(a, a.orderBy(*order).limit(50), wanted, 10, *order).select("ord")
+
+
+@query("u01_union_sources", ARTICLES + "SELECT source_type, count(*) AS n, count(persona_score) AS n_rated FROM articles GROUP BY ALL")
+def u01(spark, d):
+    a = articles(spark, d)
+    parts = [a.where(F.col("source_type") == t) for t in ("rss", "arxiv", "openalex", "blog")]
+    rest = a.where(F.col("source_type") == "google_news")
+    return history.union_sources(*parts, rest).groupBy("source_type").agg(F.count("*").alias("n"), F.count("persona_score").alias("n_rated"))
+
+
+@query("u02_merge_bookmarks", "WITH a AS (SELECT doc_id AS key, doc_id % 13 AS saved_at FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS key, doc_id % 11 AS saved_at FROM documents WHERE doc_id % 3 = 0) SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL OR b.saved_at > a.saved_at THEN b.saved_at ELSE a.saved_at END AS saved_at, CASE WHEN a.key IS NULL OR b.saved_at > a.saved_at THEN 'b' ELSE 'a' END AS side FROM a FULL JOIN b ON a.key = b.key")
+def u02(spark, d):
+    i = table(spark, d, "documents").select(F.col("doc_id").alias("key"))
+    return history.merge_bookmarks(i.where("key % 2 = 0").withColumn("saved_at", F.col("key") % 13), i.where("key % 3 = 0").withColumn("saved_at", F.col("key") % 11))
+
+
+@query("u03_apply_toggles", "SELECT user_id AS key, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS saved_at FROM events GROUP BY user_id HAVING count(*) % 2 = 1")
+def u03(spark, d):
+    return history.apply_toggles(table(spark, d, "events").select(F.col("user_id").alias("key"), "ts")).select("key", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss").alias("saved_at"))
+
+
+@query("o01_snapshot_order", ARTICLES + "SELECT ord, row_number() OVER (ORDER BY score DESC, date_raw DESC, ord) AS place FROM articles QUALIFY place <= 100")
+def o01(spark, d):
+    top = articles(spark, d).orderBy(F.desc("score"), F.desc("date_raw"), "ord").limit(100)
+    return top.select("ord", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("date_raw"), "ord")).cast("bigint").alias("place"))
+
+
+@query("o06_order_categories", ARTICLES + ", e AS (SELECT ord, unnest(list_concat(categories, ['market', 'other', 'papers'])) AS c FROM articles) " + _ordered("SELECT ord, c FROM e"))
+def o06(spark, d):
+    more = F.concat("categories", F.array(*map(F.lit, ("market", "other", "papers"))))
+    return articles(spark, d).select("ord", F.array_join(classify.order_categories(more), ",").alias("categories"))
+
+
+# ------------------------------------------------------------ clusters
+
+_PAIRS = ARTICLES + """, t AS (SELECT ord, source, score, url, categories, substring(date_raw, 1, 10) AS day, published_at, list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^\\p{L}\\p{N}\\p{M}_]+', ' ', 'g'), ' '), lambda w: length(w) > 1)) AS tok, lower(title) AS low,
+CASE WHEN length(trim(regexp_extract(title, '^([^,:\\[\\]()·…]*)', 1))) >= 3 THEN lower(trim(regexp_extract(title, '^([^,:\\[\\]()·…]*)', 1))) ELSE '' END AS head, lower(concat_ws(' ', title, summary)) AS wide FROM articles WHERE published_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY),
+p AS (SELECT a.ord AS a, b.ord AS b, CASE WHEN len(a.tok) > 0 AND len(b.tok) > 0 THEN len(list_intersect(a.tok, b.tok)) / len(list_distinct(list_concat(a.tok, b.tok))) ELSE 0 END AS j, a.source = b.source AND a.day = b.day AND len(list_intersect(a.tok, b.tok)) >= 3 AS own,
+(a.head <> '' AND a.head = b.head) OR len(list_filter(""" + _listed(DEMO["nouns"]) + """, lambda k: contains(a.low, k) AND contains(b.low, k))) > 0 OR (a.day = b.day AND len(list_filter(""" + _listed(DEMO["nouns"]) + """, lambda k: contains(a.wide, k) AND contains(b.wide, k))) > 0) AS anchor
+FROM t a JOIN t b ON a.ord < b.ord WHERE abs(epoch(a.published_at) - epoch(b.published_at)) <= 7 * 86400), d AS MATERIALIZED (SELECT a, b FROM p WHERE j >= 0.5 OR (anchor AND j >= 0.25) OR own)
+"""
+
+
+def _dup(spark, d):
+    return cluster.duplicate_pairs(articles(spark, d), run_ts(), DEMO["nouns"], sequence=False)
+
+
+@query("j10_duplicate_pairs", _PAIRS + "SELECT a, b FROM d")
+def j10(spark, d):
+    return _dup(spark, d)
+
+
+@query("j10s_duplicate_pairs_by_sequence")
+def j10s(spark, d):
+    return cluster.duplicate_pairs(articles(spark, d), run_ts(), DEMO["nouns"], sequence=True)
+
+
+_LABELS = _PAIRS.replace("WITH articles", "WITH RECURSIVE articles", 1) + ", e AS MATERIALIZED (SELECT a, b FROM d UNION ALL SELECT b, a FROM d), r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached), labels AS (SELECT ord AS node, coalesce(least(ord, m), ord) AS label FROM articles LEFT JOIN (SELECT node, min(reached) AS m FROM r GROUP BY node) ON node = ord)\n"
+
+
+def _labels(spark, d):
+    return cluster.connected_components(_dup(spark, d), articles(spark, d).select("ord"))
+
+
+@query("a01_connected_components", _LABELS + "SELECT node, label FROM labels")
+def a01(spark, d):
+    return _labels(spark, d)
+
+
+@query("a02_collapse_clusters", _LABELS + """, m AS (SELECT a.*, label, row_number() OVER (PARTITION BY label ORDER BY score DESC, ord) AS r FROM articles a JOIN labels ON ord = node),
+u AS (SELECT label, array_to_string(list_sort(list_distinct(list(c))), ',') AS categories FROM (SELECT label, unnest(categories) AS c FROM m) GROUP BY label)
+SELECT (arg_min(ord, r)) AS ord, any_value(u.categories) AS categories, (count(*) - 1)::INT AS related_count, coalesce(string_agg(CASE WHEN r > 1 THEN url END, ' ' ORDER BY r), '') AS related FROM m JOIN u USING (label) GROUP BY label""")
+def a02(spark, d):
+    return cluster.collapse_clusters(articles(spark, d).drop("related_count"), _labels(spark, d)).select("ord", F.array_join("categories", ",").alias("categories"), "related_count", F.array_join(F.transform("related", lambda x: x["url"]), " ").alias("related"))

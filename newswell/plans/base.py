@@ -62,7 +62,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_distinct(F.array(_pick(KINDS, i % 7), _pick(KINDS, i % 3))).alias("categories"),
         (F.col("n_chars") % 121).cast("int").alias("score"),
         F.when(i % 7 != 0, (i % 11).cast("int")).alias("persona_score"),
-        F.array_distinct(F.filter(F.split(F.lower("title"), " "), lambda w: F.length(w) >= 6)).alias("entities"),
+        F.array_sort(F.array_distinct(F.filter(F.split(F.lower("title"), " "), lambda w: F.length(w) >= 6))).alias("entities"),
         (i % 3 == 0).alias("llm_enriched"),
         (i % 4).cast("int").alias("related_count"),
     )
@@ -74,7 +74,7 @@ SELECT doc_id AS ord, 'https://' || source || '.example/' || (doc_id % 9973) AS
   ['rss', 'google_news', 'arxiv', 'openalex', 'blog'][doc_id % 5 + 1] AS source_type, published_at, strftime(published_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS date_raw, doc_id % 17 = 0 AS date_unknown,
   published_at + to_minutes(doc_id % 7) AS first_seen,
   CASE WHEN k1 = k2 THEN [k1] ELSE [k1, k2] END AS categories, (n_chars % 121)::INT AS score, CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 11)::INT END AS persona_score,
-  list_filter(string_split(lower(title), ' '), lambda w: length(w) >= 6) AS entities, doc_id % 3 = 0 AS llm_enriched, (doc_id % 4)::INT AS related_count
+  list_sort(list_distinct(list_filter(string_split(lower(title), ' '), lambda w: length(w) >= 6))) AS entities, doc_id % 3 = 0 AS llm_enriched, (doc_id % 4)::INT AS related_count
 FROM (SELECT *, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10))[1] AS title, TIMESTAMP '2024-01-01' + to_days((doc_id % 30)::INT) + to_hours((doc_id % 24)::INT) AS published_at,
   ['legaltech', 'policy', 'ai-industry', 'papers', 'models', 'funding', 'market'][doc_id % 7 + 1] AS k1, ['legaltech', 'policy', 'ai-industry', 'papers', 'models', 'funding', 'market'][doc_id % 3 + 1] AS k2 FROM documents))
 """

@@ -1,3 +1,239 @@
-from newswell.plans.base import Registry
+"""Queries of facets, statistics, trends, bookmarks, the feed, sinks, payload readers and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newswell.functions import dates
+from newswell.functions.text import any_term
+from newswell.operators import history, reports
+from newswell.plans.base import ARTICLES, Registry, articles, run_ts, table
+from newswell.sources import payloads, tables
+from newswell.streaming import streams
+
 _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
+
+
+@query("a14_source_daily", "SELECT event_type AS source, strftime(ts, '%Y-%m-%d') AS day, count(*) AS fetched, count_if(event_id % 3 = 0)::BIGINT AS new FROM events GROUP BY ALL")
+def a14(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("source"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit(1).alias("fetched"), (F.col("event_id") % 3 == 0).alias("is_new"))
+    return reports.source_daily(e)
+
+
+@query("a15_facet_counts", ARTICLES + "SELECT c AS value, count(*) AS n FROM (SELECT unnest(categories) AS c FROM articles WHERE lang = 'en') GROUP BY c")
+def a15(spark, d):
+    return reports.facet_counts(articles(spark, d).where("lang = 'en'"))
+
+
+_AGE = "(epoch(TIMESTAMP '2024-01-31') - epoch(published_at)) / 86400"
+
+
+@query("a16_period_stats", ARTICLES + f"SELECT days, count(*) AS n_items, count_if(llm_enriched)::BIGINT AS n_enriched, count_if(related_count > 0)::BIGINT AS n_related, count(DISTINCT source) AS n_sources FROM articles, (SELECT unnest([1, 7, 30, 60])::INT AS days) WHERE {_AGE} <= days GROUP BY days")
+def a16(spark, d):
+    return reports.period_stats(articles(spark, d), run_ts())
+
+
+@query("a17_source_report", ARTICLES + """, h AS (SELECT 'src' || (user_id % 20) AS source, ts::DATE AS day, count(*) AS fetched FROM events GROUP BY ALL), k AS (SELECT source, arg_min(source_type, ord) AS source_type, count(DISTINCT CASE WHEN published_at::DATE >= DATE '2024-01-24' THEN url END) AS n_items FROM articles GROUP BY source)
+SELECT h.source, sum(CASE WHEN day >= DATE '2024-01-24' THEN fetched ELSE 0 END)::BIGINT AS fetched, strftime(coalesce(max(CASE WHEN day >= DATE '2024-01-24' THEN day END), max(day)), '%Y-%m-%d') AS last_active, any_value(coalesce(n_items, 0)) AS n_items, any_value(source_type) AS source_type FROM h LEFT JOIN k USING (source) GROUP BY h.source""")
+def a17(spark, d):
+    h = table(spark, d, "events").groupBy(F.concat(F.lit("src"), F.col("user_id") % 20).alias("source"), F.to_date("ts").alias("day")).agg(F.count("*").alias("fetched"))
+    out = reports.source_report(h.select("source").distinct(), h, articles(spark, d), F.lit("2024-01-24").cast("date"))
+    return out.select("source", "fetched", F.date_format("last_active", "yyyy-MM-dd").alias("last_active"), "n_items", "source_type")
+
+
+def _trend(dim: str, frm: str, k: int) -> str:
+    return f", t AS ({frm}), w AS (SELECT {dim}, day, count(*) AS n FROM t WHERE day BETWEEN DATE '2024-01-23' AND DATE '2024-01-29' GROUP BY ALL), top AS (SELECT {dim}, sum(n) AS total FROM w GROUP BY ALL ORDER BY total DESC, {dim} LIMIT {k}), g AS (SELECT {dim}, (DATE '2024-01-23' + i::INT)::DATE AS day FROM top, range(7) r(i)) SELECT g.{dim}, strftime(g.day, '%Y-%m-%d') AS day, coalesce(n, 0)::BIGINT AS n FROM g LEFT JOIN w ON w.{dim} = g.{dim} AND w.day = g.day"
+
+
+def _shown(df):
+    return df.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("a18_category_trend", ARTICLES + _trend("category", "SELECT unnest(categories) AS category, (published_at + INTERVAL 9 HOUR)::DATE AS day FROM articles WHERE NOT date_unknown", 10))
+def a18(spark, d):
+    a = articles(spark, d).where("NOT date_unknown").select(F.explode("categories").alias("category"), dates.seoul_date(F.col("published_at")).alias("day"))
+    return _shown(reports.trend_matrix(a, "category", F.lit("2024-01-29").cast("date")))
+
+
+@query("a19_source_trend", "WITH x AS (SELECT 1)" + _trend("source", "SELECT 'u' || user_id AS source, ts::DATE AS day FROM events", 8))
+def a19(spark, d):
+    e = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("source"), F.to_date("ts").alias("day"))
+    return _shown(reports.trend_matrix(e, "source", F.lit("2024-01-29").cast("date"), k=8))
+
+
+_MARKED = ARTICLES + ", m AS (SELECT a.* FROM articles a JOIN labels ON doc_id = ord)"
+
+
+def _marked(spark, d):
+    return articles(spark, d).join(table(spark, d, "labels").select(F.col("doc_id").alias("ord"), "quality"), "ord")
+
+
+@query("a20_bookmark_quartiles", _MARKED + ", s AS (SELECT list(score ORDER BY score) AS s, count(*) AS n FROM m) SELECT s[n // 4 + 1] AS q1, s[n // 2 + 1] AS q2, s[3 * n // 4 + 1] AS q3, s[1] AS least, s[n] AS most, round(list_sum(s) / n, 6)::DOUBLE AS mean, round(len(list_filter(s, lambda x: x < 35)) / n, 6)::DOUBLE AS below_35 FROM s")
+def a20(spark, d):
+    q = reports.quartiles(_marked(spark, d), "score")
+    return q.withColumn("mean", F.round("mean", 6)).withColumn("below_35", F.round("below_35", 6))
+
+
+@query("a21_bookmark_categories", _MARKED + "SELECT c AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM m), 6)::DOUBLE AS share FROM (SELECT unnest(categories) AS c FROM m) GROUP BY c")
+def a21(spark, d):
+    m = _marked(spark, d)
+    total = m.agg(F.count("*").alias("total"))
+    return reports.facet_counts(m).crossJoin(F.broadcast(total)).select("value", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+@query("a22_build_stats", ARTICLES + "SELECT count(*) AS total, count_if(llm_enriched)::BIGINT AS enriched, count_if(related_count > 0)::BIGINT AS with_related FROM articles")
+def a22(spark, d):
+    return articles(spark, d).agg(F.count("*").alias("total"), F.count_if("llm_enriched").alias("enriched"), F.count_if(F.col("related_count") > 0).alias("with_related"))
+
+
+@query("a27_persona_histogram", ARTICLES + "SELECT persona_score, count(*) AS n, round(avg(list_has_any(categories, ['legaltech', 'policy'])::INT), 6)::DOUBLE AS agenda FROM articles GROUP BY persona_score")
+def a27(spark, d):
+    hit = F.arrays_overlap("categories", F.array(F.lit("legaltech"), F.lit("policy")))
+    return articles(spark, d).groupBy("persona_score").agg(F.count("*").alias("n"), F.round(F.avg(hit.cast("int")), 6).alias("agenda"))
+
+
+@query("j03_bookmark_match", ARTICLES + "SELECT ord IS NOT NULL AS matched, count(*) AS n FROM (SELECT doc_id * 2 AS k FROM labels) LEFT JOIN articles ON ord = k GROUP BY ALL")
+def j03(spark, d):
+    marks = table(spark, d, "labels").select((F.col("doc_id") * 2).alias("ord"))
+    a = articles(spark, d).select("ord")
+    return marks.join(a, "ord", "left_semi").agg(F.lit(True).alias("matched"), F.count("*").alias("n")).unionByName(marks.join(a, "ord", "left_anti").agg(F.lit(False).alias("matched"), F.count("*").alias("n"))).where("n > 0")
+
+
+@query("j15_saved_items", ARTICLES + "SELECT ord, quality AS saved_at FROM articles JOIN labels ON doc_id = ord")
+def j15(spark, d):
+    return _marked(spark, d).select("ord", F.col("quality").alias("saved_at"))
+
+
+@query("j16_source_status", ARTICLES + "SELECT source, count(*) AS n, arg_min(source_type, ord) AS source_type, max(score) AS best FROM articles GROUP BY source")
+def j16(spark, d):
+    return articles(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.min_by("source_type", "ord").alias("source_type"), F.max("score").alias("best"))
+
+
+@query("j19_expand_selection", ARTICLES + "SELECT url, min(ord) AS ord FROM (SELECT url, ord FROM articles WHERE ord % 40 = 0 UNION ALL SELECT url, ord FROM articles WHERE source IN (SELECT source FROM articles WHERE ord = 3) AND ord % 3 = 0) WHERE url <> '' GROUP BY url")
+def j19(spark, d):
+    a = articles(spark, d)
+    card = a.where("ord = 3").select("source")
+    cited = a.where("ord % 3 = 0").join(card, "source", "left_semi")
+    return a.where("ord % 40 = 0").select("url", "ord").unionByName(cited.select("url", "ord")).where("url <> ''").groupBy("url").agg(F.min("ord").alias("ord"))
+
+
+_SEARCH = "len(list_filter(['leaux', 'inger'], lambda k: contains(lower(concat_ws(' ', title, summary, source, array_to_string(categories, ' '))), k))) > 0"
+
+
+@query("p15_feed_filters", ARTICLES + "SELECT ord FROM articles WHERE lang = 'en' AND (published_at + INTERVAL 9 HOUR)::DATE = DATE '2024-01-12' ORDER BY coalesce(persona_score, -1) DESC, score DESC, published_at DESC, ord LIMIT 60")
+def p15(spark, d):
+    return reports.feed_query(articles(spark, d), reports.FeedSpec(lang="en", day="2024-01-12"), run_ts()).select("ord")
+
+
+@query("p16_category_filter", ARTICLES + "SELECT ord FROM articles WHERE list_has_any(categories, ['policy', 'funding']) AND published_at >= TIMESTAMP '2024-01-24' ORDER BY score DESC, date_raw DESC, ord LIMIT 120")
+def p16(spark, d):
+    return reports.feed_query(articles(spark, d), reports.FeedSpec(within_days=7, categories=("policy", "funding"), order="snapshot", page=2), run_ts()).select("ord")
+
+
+@query("p17_search", ARTICLES + f"SELECT ord FROM articles WHERE {_SEARCH} ORDER BY published_at DESC, ord LIMIT 60")
+def p17(spark, d):
+    terms = reports.expand_search(("inger",), {"leaux": ("inger",)})
+    return reports.feed_query(articles(spark, d), reports.FeedSpec(search=terms, order="latest"), run_ts()).select("ord")
+
+
+@query("o02_importance_order", ARTICLES + "SELECT ord FROM articles ORDER BY coalesce(persona_score, -1) DESC, score DESC, published_at DESC, ord LIMIT 180")
+def o02(spark, d):
+    return reports.feed_query(articles(spark, d), reports.FeedSpec(page=3), run_ts()).select("ord")
+
+
+@query("o03_latest_order", ARTICLES + "SELECT ord FROM articles ORDER BY published_at DESC, ord LIMIT 60")
+def o03(spark, d):
+    return reports.feed_query(articles(spark, d), reports.FeedSpec(order="latest"), run_ts()).select("ord")
+
+
+@query("o04_second_page", ARTICLES + "SELECT ord FROM articles ORDER BY published_at DESC, ord LIMIT 60 OFFSET 60")
+def o04(spark, d):
+    return articles(spark, d).orderBy(*reports.ORDERS["latest"]()).offset(60).limit(60).select("ord")
+
+
+@query("o05_saved_order", _MARKED.replace("a.*", "a.*, quality") + "SELECT ord FROM m ORDER BY coalesce(quality, 1) DESC, ord LIMIT 60")
+def o05(spark, d):
+    return _marked(spark, d).orderBy(F.desc(F.coalesce("quality", F.lit(1))), "ord").limit(60).select("ord")
+
+
+@query("s06_open_graph", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def s06(spark, d):
+    return payloads.open_graph(table(spark, d, "pages")).select("page_id", payloads.raw_title(F.col("html")).alias("title"))
+
+
+@query("s12_bookmark_rows", "SELECT 'i' || doc_id AS key, quality::BIGINT AS saved_at FROM labels")
+def s12(spark, d):
+    line = F.concat(F.lit('{"items":{"i'), "doc_id", F.lit('":{"savedAt":'), "quality", F.lit("}}}"))
+    return payloads.bookmarks(table(spark, d, "labels").select(line.alias("value"))).select("key", "saved_at")
+
+
+@query("s13_snapshot_roundtrip", ARTICLES + "SELECT ord, url, score FROM articles")
+def s13(spark, d):
+    return tables.write_snapshot(articles(spark, d), "news").select("ord", "url", "score")
+
+
+@query("s14_upsert_history", "WITH n AS (SELECT event_type AS source, strftime(ts, '%Y-%m-%d') AS key, count(*) AS n FROM events GROUP BY ALL) SELECT source, key, CASE WHEN key = '2024-01-10' THEN n * 2 ELSE n END AS n FROM n")
+def s14(spark, d):
+    n = table(spark, d, "events").groupBy(F.col("event_type").alias("source"), F.date_format("ts", "yyyy-MM-dd").alias("key")).agg(F.count("*").alias("n"))
+    return history.upsert_history(n, n.where("key = '2024-01-10'").withColumn("n", F.col("n") * 2), ["source", "key"])
+
+
+@query("s15_digest", ARTICLES + "SELECT strftime(published_at, '%Y-%m-%d') AS day, string_agg(ord::VARCHAR, ',' ORDER BY rank) AS top FROM (SELECT *, row_number() OVER (PARTITION BY published_at::DATE ORDER BY score DESC, ord) AS rank FROM articles) WHERE rank <= 10 GROUP BY ALL")
+def s15(spark, d):
+    a = articles(spark, d).withColumn("day", dates.day_key(F.col("published_at")))
+    top = history.top_n_per(a, ["day"], 10, F.desc("score"), F.col("ord"))
+    return top.groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ord"))), lambda x: x["ord"].cast("string")), ",").alias("top"))
+
+
+@query("f25_lenient_json", "SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS has_k, true AS parsed FROM events")
+def f25(spark, d):
+    e = table(spark, d, "events")
+    wrapped = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here "), "props", F.lit(" it is"))).otherwise(F.col("props"))
+    out = payloads.lenient_object(wrapped)
+    return e.select("event_id", F.get_json_object(out, "$.k").isNotNull().alias("has_k"), out.isNotNull().alias("parsed"))
+
+
+@query("u06_history_formats", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END::INT AS n_cards, CASE WHEN doc_id % 2 = 0 THEN lang END AS summary FROM documents")
+def u06(spark, d):
+    card = '{"tag":"a","title":"b","body":"c","action":"d"}'
+    i = F.col("doc_id")
+    raw = F.when(i % 2 == 0, F.concat(F.lit('{"summary":"'), "lang", F.lit(f'","cards":[{card},{card}]}}'))).otherwise(F.lit(f"[{card}]"))
+    h = payloads.history_entry(raw)
+    return table(spark, d, "documents").select("doc_id", h.alias("h")).select("doc_id", F.size("h.cards").alias("n_cards"), "h.summary")
+
+
+# ------------------------------------------------------------ streams over the stored tables
+
+
+@query("t02_stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, ts::DATE AS day FROM events) GROUP BY ALL")
+def t02(spark, d):
+    e = streams.read_stream(spark, f"{d}/events.parquet")
+    e = e.withColumn("key", F.concat_ws("|", "user_id", "event_type", F.to_date("ts")))
+    return streams.run_to_table(streams.stream_dedup(e, "ts", ["key"], "400 days"), "append").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("t04_stream_source_daily", "SELECT event_type AS source, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, count(*) AS fetched FROM events GROUP BY ALL")
+def t04(spark, d):
+    e = streams.read_stream(spark, f"{d}/events.parquet").withColumn("source", F.col("event_type"))
+    out = streams.run_to_table(streams.stream_source_daily(e, "ts", "source"), "complete")
+    return out.select("source", "day", "fetched")
+
+
+@query("t05_stream_trend", "SELECT event_type AS source, strftime(s, '%Y-%m-%d') AS start, count(*) AS n FROM (SELECT event_type, unnest(list_transform(range(7), lambda i: ts::DATE - i::INT)) AS s FROM events) GROUP BY ALL")
+def t05(spark, d):
+    e = streams.read_stream(spark, f"{d}/events.parquet").withColumn("source", F.col("event_type"))
+    out = streams.run_to_table(streams.stream_trend(e, "ts", "source"), "complete")
+    return out.select("source", F.date_format("start", "yyyy-MM-dd").alias("start"), "n")
+
+
+@query("t07_stream_quota", "SELECT user_id AS ip, strftime(ts, '%Y-%m-%d') AS day, least(count(*), 5) AS admitted FROM events GROUP BY ALL")
+def t07(spark, d):
+    e = streams.read_stream(spark, f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("ip"), "ts")
+    out = streams.run_to_table(streams.stream_quota(e, 5), "append")
+    return out.groupBy(F.col("ip").cast("bigint").alias("ip"), "day").agg(F.sum("admitted").cast("bigint").alias("admitted"))
+
+
+@query("t03_stream_merge", ARTICLES + "SELECT url, max(ord) AS ord FROM articles GROUP BY url")
+def t03(spark, d):
+    return streams.stream_merge_last(spark, f"{d}/documents.parquet", lambda docs: docs.select(F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id") % 9973).alias("url"), F.col("doc_id").alias("ord")), ["url"], "ord")
