@@ -21,6 +21,7 @@ No candidate, group or bucket is capped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 from newswell.llm.graph import components
 from newswell.llm.shared import BROADCAST_BYTES, SPACE, clean_names, mix, small_side, steps, stored, to_int64, windows
 
-#: Sets that are compared in one tile.
-TILE_ROWS = 512
-#: Segments beyond those the bound needs, so that agreement in empty segments alone need not count.
-SPARE = 4
+#: Sets that are compared in one tile, and elements in them.
+TILE_ROWS, TILE_ELEMENTS = 4096, 2 << 20
+#: Spare segments for each 100 that the bound needs. Each set leaves out so many of its weakest segments.
+SPARE_PERCENT = 60
 
 
 class Bands:
@@ -50,10 +51,15 @@ class Bands:
     def of(self, n):
         return np.searchsorted(self.lows, n, "right") - 1
 
-    def segments(self, band: int) -> int:
-        """For pairs within a band, and of it with the next: differing elements at most, and one more, and the spare ones."""
+    def segments(self, band: int) -> tuple[int, int]:
+        """Segments for pairs within a band, and of it with the next, and how many of them are spare.
+
+        Differing elements at most, and one more, are needed; the spare ones let each set leave out its weakest.
+        """
         most = int(self.lows[band + 1] - 1 + self.lows[band + 2] - 1)
-        return most * (100 - self.percent) // (100 + self.percent) + 1 + SPARE
+        need = most * (100 - self.percent) // (100 + self.percent) + 1
+        spare = need * SPARE_PERCENT // 100
+        return need + spare, spare
 
 
 def shingle_sets(step, n: int) -> Iterator[np.ndarray]:
@@ -78,22 +84,21 @@ def set_hash(grams: np.ndarray) -> np.uint64:
 def segment_keys(grams: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     """A key for each segment of the hash range, for the groups of the own band and of the band below.
 
-    Equal keys mean equal elements. Keys of empty segments are left out where at
-    most ``SPARE`` are empty: a pair that agrees in SPARE + 1 segments or more then
-    agrees in one that is not empty, or both sides give their empty ones.
+    Equal keys mean equal elements. A partner agrees in one segment more than are spare.
+    Each side leaves out as many as are spare, those of the fewest elements and among
+    them those of the least hash; the strongest segment in which both agree has all the
+    others below it on either side, so neither leaves it out.
     """
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams))])
     out = []
     for group in (band, band - 1):
         if group < 0:
             continue
-        m = bands.segments(group)
-        bounds = (np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m)).astype(np.uint64)
+        m, spare = bands.segments(group)
+        bounds = (np.arange(1, m, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // m)).astype(np.uint64)
         cut = np.concatenate([[0], np.searchsorted(grams, bounds), [len(grams)]])
-        full = np.diff(cut) > 0
-        rows = np.flatnonzero(full) if m - full.sum() <= SPARE else np.arange(m)
-        sums = total[cut[rows + 1]] - total[cut[rows]]
-        out.append(mix(sums ^ mix(rows.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(group + 1))))
+        sums = mix((total[cut[1:]] - total[cut[:-1]]) ^ mix(np.arange(m, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(group + 1)))
+        out.append(sums[np.lexsort((sums, np.diff(cut)))[spare:]])
     return np.concatenate(out)
 
 
@@ -213,19 +218,19 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     hub = F.min("node").over(Window.partitionBy("key"))
     pairs = keyed.withColumn("hub", hub).where("node <> hub").select("node", "hub").distinct()
     families = stored(components(pairs, "node", "hub").withColumnRenamed("component", "family"), "jaccard-families")
-    sizes = families.groupBy("family").agg(F.count("*").alias("members"))
+    sizes = families.join(nodes, "node").groupBy("family").agg(F.count("*").alias("members"), F.sum("size").alias("elements"))
     lows = F.array(*(F.lit(int(x)) for x in bands.lows if x <= 1 << 40))
     members = families.join(sizes, "family").join(nodes, "node")
     members = members.withColumn("band", F.size(F.filter(lows, lambda x: x <= F.col("size"))) - 1)
 
     # Tiles: a small family is one; a large one is dealt by band and hash, with a pivot in each.
-    own = Window.partitionBy("family", "band")
-    big = members.where(F.col("members") > TILE_ROWS)
-    dealt = big.groupBy("family", "band").agg(F.count("*").alias("in_band"), F.min("node").alias("pivot"))
-    big = big.join(dealt, ["family", "band"]).withColumn("salts", F.ceil(F.col("in_band") / (TILE_ROWS // 2)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.col("salts")).cast("int"))
+    fits = (F.col("members") <= TILE_ROWS) & (F.col("elements") <= TILE_ELEMENTS)
+    big = members.where(~fits)
+    dealt = big.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / (TILE_ROWS // 2)), F.ceil(F.sum("size") / (TILE_ELEMENTS // 2))).cast("int").alias("salts"), F.min("node").alias("pivot"))
+    big = big.join(dealt, ["family", "band"]).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.col("salts")).cast("int"))
     big = stored(big, "jaccard-big")
     tile_of = lambda *c: F.xxhash64(*c)
-    small = members.where(F.col("members") <= TILE_ROWS).select("doc_id", "node", F.array(tile_of("family")).alias("tiles"), F.col("node").alias("known"))
+    small = members.where(fits).select("doc_id", "node", F.array(tile_of("family")).alias("tiles"), F.col("node").alias("known"))
     plain = tile_of("family", "band", "salt")
     below = big.groupBy("family", F.col("band").alias("below")).agg(F.max("salts").alias("salts_below"))
     pivots = big.withColumn("below", F.col("band") - 1).join(below, ["family", "below"], "left")

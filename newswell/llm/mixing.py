@@ -3,8 +3,10 @@
 A source's target over its size gives whole copies, which every document gets
 for certain, and a remaining share. For that share documents are ranked by
 random odds divided by inclusion odds (Rosen, 1997), and the head of the order
-whose words come nearest the rest of the target is taken once more; then at
-most one document is added or left out if that comes nearer still.
+whose words fit the rest of the target is taken once more. A long document may
+stand at the cut: what is then missing is filled in the same way, twice at most,
+from the documents that are short enough, in the same order; at last one document
+is added, or changed for another, if that comes nearer still.
 
 The order is never sorted as a whole: two rounds of sums over 1,024 bins of the
 ranking statistic find the bin in which the cut lies, and only that bin's
@@ -23,6 +25,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 SEED = 20240131
 BINS = 1024
+#: Times that the order is cut: first for the whole rest of a target, then for what is missing.
+CUTS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,7 +73,41 @@ def mixing_plan(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: f
     targets = targets.withColumn("copies", F.floor(ratio).cast("int")).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
     targets = targets.withColumn("p", F.coalesce(F.try_divide(F.col("rest"), F.col("source_size")), F.lit(0.0)))
     ranked = rank_documents(sizes, targets.select("source", "p"), seed).where((F.col("p") > 0) & (F.col("size") > 0))
-    cut = targets.where("p > 0").select("source", F.lit(0.0).alias("low"), F.lit(0).cast("bigint").alias("words"), "rest")
+    plan = targets.where("p > 0").select("source", F.col("rest").alias("gap"))
+    for k in range(CUTS):
+        left = _lookup(ranked, plan, "source").where(F.col("size") <= F.col("gap"))
+        left = left.where(~_taken(k)).select("source", "doc_id", "size", "v") if k else left.select("source", "doc_id", "size", "v")
+        cut = _cut(left, plan.select("source", F.col("gap").alias("rest")))
+        cut = cut.select(F.col("source").alias("__s"), F.col("v").alias(f"cut_v{k}"), F.col("doc_id").alias(f"cut_id{k}"), "upto")
+        plan = plan.join(cut, F.col("source").eqNullSafe(F.col("__s"))).withColumn(f"limit{k}", F.col("gap"))
+        plan = stored(plan.withColumn("gap", F.col("gap") - F.col("upto")).drop("__s", "upto"), "mix-cut")
+    change = _best_change(_lookup(ranked, plan, "source").select("source", "size", "v", "doc_id", "gap", _taken().alias("in")), plan)
+    plan = plan.join(change, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "gap").withColumnRenamed("source", "__s")
+    return stored(targets.join(plan, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s"), "mix-plan")
+
+
+def _best_change(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """The document to add, and the one to leave out for it, if any, that bring a source nearest its target.
+
+    One document stands for all of its size, so a group has as many rows as there are sizes.
+    """
+    sizes = docs.groupBy("source", "in", "size").agg(F.min(F.struct("v", "doc_id")).alias("d"), F.first("gap").alias("gap"))
+    none = plan.select("source", F.lit(True).alias("in"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("struct<v:double,doc_id:bigint>").alias("d"), "gap")
+    both = sizes.unionByName(none).withColumn("at", F.col("size") + F.when(F.col("in"), F.col("gap")).otherwise(0.0))
+    other = F.when(~F.col("in"), F.struct("size", "d"))
+    order = Window.partitionBy("source").orderBy("at", "in")
+    near = both.withColumns({"low": F.last(other, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "high": F.first(other, True).over(order.rowsBetween(0, Window.unboundedFollowing))}).where("`in`")
+    near = near.select("source", "gap", "at", F.col("d").alias("out"), F.explode(F.array("low", "high")).alias("add")).where("add IS NOT NULL").withColumn("off", F.abs(F.col("add.size") - F.col("at"))).where("off < gap")
+    best = near.groupBy("source").agg(F.min(F.struct("off", "add", "out")).alias("x"))
+    return best.select(F.col("source").alias("__s"), F.col("x.add.d.v").alias("add_v"), F.col("x.add.d.doc_id").alias("add_id"), F.col("x.out.v").alias("out_v"), F.col("x.out.doc_id").alias("out_id"))
+
+
+def _cut(ranked: DataFrame, need: DataFrame) -> DataFrame:
+    """``source, v, doc_id, upto``: the last document of the head whose words fit ``rest``, and those words.
+
+    No ``doc_id`` where none of the documents in the last bin fits; the head then ends before that bin.
+    """
+    cut = need.select("source", F.lit(0.0).alias("low"), F.lit(0).cast("bigint").alias("words"), "rest")
     width = 1.0
     for _ in range(2):  # sums over bins of the bin that holds the cut so far
         width /= BINS
@@ -77,25 +115,27 @@ def mixing_plan(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: f
         sums = inside.groupBy("source", "low", "words", "rest", F.floor((F.col("v") - F.col("low")) / width).alias("bin")).agg(F.sum("size").alias("own"))
         upto = F.col("words") + F.sum("own").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
         sums = sums.withColumn("upto", upto)
-        last = sums.groupBy("source").agg(F.min(F.when(F.col("upto") >= F.col("rest"), F.struct("bin", "low", "upto", "own", "rest"))).alias("x"), F.max(F.struct("bin", "low", "upto", "own", "rest")).alias("y"))
+        found = sums.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("rest"), F.struct("bin", "low", "upto", "own", "rest"))).alias("x"), F.max(F.struct("bin", "low", "upto", "own", "rest")).alias("y"))
         x = F.coalesce("x", "y")
-        cut = stored(last.select("source", (x["low"] + x["bin"] * width).alias("low"), (x["upto"] - x["own"]).cast("bigint").alias("words"), x["rest"].alias("rest")), "mix-cut")
+        found = found.select(F.col("source").alias("__s"), (x["low"] + x["bin"] * width).alias("low"), (x["upto"] - x["own"]).cast("bigint").alias("words"))
+        # A source without documents here keeps its bounds.
+        cut = cut.withColumnsRenamed({"low": "low0", "words": "words0"}).join(found, F.col("source").eqNullSafe(F.col("__s")), "left")
+        cut = stored(cut.select("source", F.coalesce("low", "low0").alias("low"), F.coalesce("words", "words0").alias("words"), "rest"), "mix-bin")
     inside = _lookup(ranked, cut, "source").where((F.col("v") >= F.col("low")) & (F.col("v") < F.col("low") + width))
     upto = F.col("words") + F.sum("size").over(Window.partitionBy("source").orderBy("v", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    ends = inside.withColumn("upto", upto).select("source", "v", "doc_id", "upto", "rest")
-    before = cut.select("source", F.col("low").alias("v"), F.lit(None).cast("bigint").alias("doc_id"), F.col("words").alias("upto"), "rest")
-    best = before.unionByName(ends).groupBy("source").agg(F.min_by(F.struct("v", "doc_id", "upto", "rest"), F.struct(F.abs(F.col("upto") - F.col("rest")), "v", "doc_id")).alias("x")).select("source", F.col("x.v").alias("cut_v"), F.col("x.doc_id").alias("cut_id"), (F.col("x.rest") - F.col("x.upto")).alias("gap"))
-    best = stored(best, "mix-best")
-    taken = _taken()
-    swap = _lookup(ranked, best, "source").where(((F.col("gap") > 0) & ~taken) | ((F.col("gap") < 0) & taken)).withColumn("off", F.abs(F.abs("gap") - F.col("size"))).where(F.col("off") < F.abs("gap"))
-    swap = swap.groupBy("source").agg(F.min(F.struct("off", "v", "doc_id")).alias("x")).select("source", F.col("x.v").alias("swap_v"), F.col("x.doc_id").alias("swap_id"))
-    plan = targets.join(best.select(F.col("source").alias("s1"), "cut_v", "cut_id"), F.col("source").eqNullSafe(F.col("s1")), "left").join(swap.select(F.col("source").alias("s2"), "swap_v", "swap_id"), F.col("source").eqNullSafe(F.col("s2")), "left")
-    return stored(plan.drop("s1", "s2"), "mix-plan")
+    ends = inside.withColumn("upto", upto).where("upto <= rest").select("source", "v", "doc_id", "upto")
+    before = cut.select("source", F.col("low").alias("v"), F.lit(None).cast("bigint").alias("doc_id"), F.col("words").alias("upto"))
+    return before.unionByName(ends).groupBy("source").agg(F.max_by(F.struct("v", "doc_id", "upto"), F.struct("upto", "v", "doc_id")).alias("x")).select("source", "x.v", "x.doc_id", "x.upto")
 
 
-def _taken() -> Column:
-    """Whether a document stands at or before the cut; the cut without an id stands before its bin."""
-    return (F.col("v") < F.col("cut_v")) | ((F.col("v") == F.col("cut_v")) & F.col("cut_id").isNotNull() & (F.col("doc_id") <= F.col("cut_id")))
+def _taken(cuts: int = CUTS) -> Column:
+    """Whether a document is short enough for one of the cuts and stands before or at it; a cut without an id stands before its bin."""
+    out = F.lit(False)
+    for k in range(cuts):
+        v, i = F.col(f"cut_v{k}"), F.col(f"cut_id{k}")
+        before = (F.col("v") < v) | ((F.col("v") == v) & i.isNotNull() & (F.col("doc_id") <= i))
+        out = out | F.coalesce((F.col("size") <= F.col(f"limit{k}")) & before, F.lit(False))
+    return out
 
 
 def _lookup(df: DataFrame, small: DataFrame, key: str) -> DataFrame:
@@ -111,9 +151,9 @@ def rank_documents(df: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFram
 def with_copies(df: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     """Adds each row's number of copies, ``n_copies``, and the plan's columns."""
     ranked = rank_documents(df, plan, seed)
-    swapped = F.coalesce((F.col("v") == F.col("swap_v")) & (F.col("doc_id") == F.col("swap_id")), F.lit(False))
-    more = F.coalesce(_taken(), F.lit(False)) != swapped
-    return ranked.withColumn("n_copies", F.col("copies") + F.when((F.col("p") > 0) & (F.col("size") > 0) & more, 1).otherwise(0))
+    is_ = lambda v, i: F.coalesce((F.col("v") == F.col(v)) & F.col("doc_id").eqNullSafe(F.col(i)), F.lit(False))
+    more = (F.col("p") > 0) & (F.col("size") > 0) & ((_taken() & ~is_("out_v", "out_id")) | is_("add_v", "add_id"))
+    return ranked.withColumn("n_copies", F.col("copies") + F.when(more, 1).otherwise(0))
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
