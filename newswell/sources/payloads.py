@@ -116,7 +116,7 @@ def lenient_object(c: Column) -> Column:
     fenced = F.nullif(F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
     span = F.nullif(F.regexp_extract(c, r"(?s)([\[{].*[\]}])", 1), F.lit(""))
     cut = F.concat(F.regexp_extract(c, r"(?s)(\[.*\})", 1), F.lit("]"))
-    good = lambda x: F.when(F.try_parse_json(x).isNotNull() & F.trim(x).rlike(r"^[\[{]"), F.trim(x))
+    good = lambda x: F.when(F.try_parse_json(x).isNotNull() & x.rlike(r"^\s*[\[{]"), F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.coalesce(good(fenced), good(c), good(span), good(cut))
 
 
