@@ -171,3 +171,21 @@ def annotation_route(lang: Column, source_type: Column, score_: Column, agenda_:
 def suspicious_date(unknown: Column, published_at: Column, first_seen: Column) -> Column:
     """A date within two minutes of collection is taken for the time of collection."""
     return F.coalesce(unknown, F.lit(False)) | (F.abs(F.unix_timestamp(published_at) - F.unix_timestamp(first_seen)) < 120)
+
+
+def absorb_annotations(entities: Column, relations: Column, persona: Column, reason: Column) -> Column:
+    """What of a model's annotations is sound: trimmed entity names, relations of known types between two names, a rating of 0 to 10."""
+    from newswell.functions.lexicon import RELATIONS
+
+    names = F.slice(F.filter(F.transform(entities, lambda x: F.trim(x)), lambda x: (F.length(x) > 1) & (F.length(x) < 60)), 1, 12)
+    clean = F.transform(relations, lambda r: F.struct(F.trim(r["src"]).alias("src"), F.trim(r["tgt"]).alias("tgt"), r["type"].alias("type"), F.substring(r["evidence"], 1, 200).alias("evidence")))
+    good = F.slice(F.filter(clean, lambda r: r["type"].isin(*RELATIONS) & (r["src"] != "") & (r["tgt"] != "") & (r["src"] != r["tgt"])), 1, 6)
+    number = persona.cast("string").try_cast("int")
+    return F.struct(names.alias("entities"), good.alias("relations"), F.when(number.between(0, 10), number).alias("persona_score"), F.substring(reason, 1, 200).alias("persona_reason"))
+
+
+def postprocess_card(body: Column, names=(), phrases=()) -> Column:
+    """Names without bold marks, timing phrases taken out, and a bold last sentence where nothing is bold."""
+    from newswell.functions.text import emphasise_last, strip_phrases, unbold
+
+    return emphasise_last(strip_phrases(unbold(body, names), phrases))

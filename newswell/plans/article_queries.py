@@ -239,6 +239,24 @@ def c03(spark, d):
     return articles(spark, d).select("ord", F.array_join(classify.merge_primary(F.col("categories"), primary), ",").alias("categories"))
 
 
+@query("c04_absorb_annotations", ARTICLES + """SELECT ord, array_to_string(list_filter(entities, lambda x: length(trim(x)) > 1 AND length(trim(x)) < 60)[1:12], ',') AS entities,
+CASE WHEN ord % 4 IN (0, 1) THEN 0 ELSE 1 END::INT AS n_relations, CASE WHEN ord % 13 <= 10 THEN (ord % 13)::INT END AS persona_score, length(substring(summary, 1, 200))::INT AS n_reason FROM articles""")
+def c04(spark, d):
+    i = F.col("ord")
+    kind = F.element_at(F.array(*map(F.lit, ("bad", "mentions", "acquires", "adopts"))), (i % 4 + 1).cast("int"))
+    relations = F.array(F.struct(F.lit(" a ").alias("src"), F.when(i % 4 == 1, "a").otherwise("b").alias("tgt"), kind.alias("type"), F.col("summary").alias("evidence")))
+    x = classify.absorb_annotations(F.transform("entities", lambda e: F.concat(F.lit(" "), e, F.lit(" "))), relations, i % 13, F.col("summary"))
+    return articles(spark, d).select("ord", x.alias("x")).select("ord", F.array_join("x.entities", ",").alias("entities"), F.size("x.relations").alias("n_relations"), "x.persona_score", F.length("x.persona_reason").alias("n_reason"))
+
+
+@query("c05_postprocess_cards", ARTICLES + """, u AS (SELECT ord, regexp_replace(regexp_replace(title, '^(\\S+) (\\S+)', '**\\1** **\\2**'), '\\*\\*(thinger|[^*]{1,6})\\*\\*', '\\1', 'g') AS c FROM articles),
+p AS (SELECT ord, trim(regexp_replace(regexp_replace(regexp_replace(c, '(?i)\\bof the\\b', '', 'g'), ' {2,}', ' ', 'g'), ' +([.,])', '\\1', 'g')) AS c FROM u), b AS (SELECT ord, c, trim(regexp_extract(c, '([^.!?]+[.!?]?)$', 1)) AS body FROM p)
+SELECT ord, CASE WHEN contains(c, '**') OR length(body) = 0 OR length(body) > 150 OR (length(body) = length(c) AND length(body) < 10) THEN c ELSE substring(c, 1, length(c) - length(body)) || '**' || body || '**' END AS body FROM b""")
+def c05(spark, d):
+    card = F.regexp_replace("title", r"^(\S+) (\S+)", "**$1** **$2**")
+    return articles(spark, d).select("ord", classify.postprocess_card(card, ("thinger",), [r"(?i)\bof the\b"]).alias("body"))
+
+
 @query("c06_period_readiness", f"WITH k AS ({_PERIODS}), c AS (SELECT DISTINCT period, key FROM k WHERE o_orderkey % 97 = 0), n AS (SELECT period, key, count(*) AS n_items, count_if(o_orderkey % 97 <> 0)::BIGINT AS n_uncited FROM k GROUP BY ALL) SELECT period, key, n_items, n_uncited, CASE WHEN c.key IS NULL AND n_items >= CASE period WHEN 'daily' THEN 3 WHEN 'weekly' THEN 20 ELSE 30 END THEN 'build' WHEN c.key IS NOT NULL AND period = 'daily' AND n_uncited >= 5 THEN 'extend' ELSE 'keep' END AS action FROM n LEFT JOIN c USING (period, key)")
 def c06(spark, d):
     from newswell.operators.reports import band_of_periods
@@ -302,6 +320,14 @@ def w06(spark, d):
     return history.rank_cards(c, DEMO["high"], DEMO["medium"], 20).select("key", "ord", "tier", "rank", "tag")
 
 
+@query("u04_append_cards", f"""WITH h AS (SELECT conv_id AS key, turn AS ord, lower(role || ' ' || text) AS x FROM conversations), t AS (SELECT key, ord, {_hits('x', 'high')} AS hi, {_hits('x', 'medium')} AS me FROM h)
+SELECT key, ord, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN hi >= 2 THEN 0 WHEN hi = 1 THEN 1 WHEN me >= 1 THEN 2 ELSE 3 END, CASE WHEN hi >= 1 THEN hi ELSE me END DESC, ord) AS rank FROM t""")
+def u04(spark, d):
+    c = table(spark, d, "conversations").select(F.lit("daily").alias("period"), F.col("conv_id").alias("key"), F.col("turn").alias("ord"), F.col("role").alias("tag"), F.lit(None).cast("string").alias("title"), F.col("text").alias("body"))
+    both = history.union_sources(c.where("ord % 2 = 0"), c.where("ord % 2 = 1"))
+    return history.rank_cards(both, DEMO["high"], DEMO["medium"]).select("key", "ord", "rank")
+
+
 @query("w08_emergency_cards", ARTICLES + "SELECT source, rank, ord FROM (SELECT source, ord, row_number() OVER (PARTITION BY source ORDER BY score DESC, ord) AS rank, count(*) OVER (PARTITION BY source) AS n FROM articles WHERE llm_enriched) WHERE rank <= 5 AND n >= 3")
 def w08(spark, d):
     a = articles(spark, d).where("llm_enriched")
