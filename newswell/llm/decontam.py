@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newswell.llm.shared import LOWER, Step, clean_names, steps, windows
+from newswell.llm.shared import Step, clean_names, steps, windows
 
 ERROR_PERCENT = 20
 #: Items with fewer words must be found exactly; items with fewer than the second value are not looked for at all.

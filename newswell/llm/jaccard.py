@@ -21,7 +21,6 @@ No candidate, group or bucket is capped.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newswell.llm.graph import components
-from newswell.llm.shared import BROADCAST_BYTES, SPACE, clean_names, mix, small_side, steps, stored, to_int64, windows
+from newswell.llm.shared import BROADCAST_BYTES, SPACE, clean_names, mix, small_side, steps, stored, windows
 
 #: Sets that are compared in one tile, and elements in them.
 TILE_ROWS, TILE_ELEMENTS = 4096, 2 << 20
@@ -191,11 +190,6 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return joined.mapInArrow(run, ", ".join(["node long", *(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in rest), "grams binary"]))
 
 
-def _spread_min(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Adds the least ``value`` of the rows with the same ``key``, for keys held by more than one row."""
-    return df.join(df.groupBy(key).agg(F.min(value).alias(name)), key)
-
-
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: the least ``doc_id`` that links reach.
 

@@ -20,7 +20,6 @@ Strings are judged on the input, not on what is left.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
