@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newswell.functions import dates
-from newswell.functions.text import any_term
 from newswell.operators import history, reports
 from newswell.plans.base import ARTICLES, Registry, articles, run_ts, table
 from newswell.sources import payloads, tables
