@@ -85,20 +85,51 @@ def agenda(title: Column, summary: Column, categories: Column, lex: Lexicon) ->
     return any_term(text, lex["super"]) | any_term(text, lex["core_law"]) | F.arrays_overlap(categories, F.array(*map(F.lit, ("legaltech", "policy", "gov_policy"))))
 
 
+def _measured(df: DataFrame, lex: Lexicon) -> DataFrame:
+    """What both scores are made of: terms of each list, strengths, subject, verdict."""
+    title, summary, cats = F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.coalesce("categories", F.array().cast("array<string>"))
+    text = match_normalise(F.concat(title, F.lit(" "), summary))
+    work = df.withColumns({"__t": text, "__c": cats, "__pr": pr_verdict(title, summary, lex)})
+    t = F.col("__t")
+    return work.withColumns({
+        "__m": occurrence_sum(t, lex["ai"]), "__d": dates.strength(hit_count(t, lex["decision"])), "__r": dates.strength(hit_count(t, lex["regulatory"])), "__k": dates.strength(hit_count(t, lex["market"])),
+        "__l": dates.strength(hit_count(t, lex["score_legal"])), "__neg": hit_count(t, lex["negative"]), "__core": F.arrays_overlap(F.col("__c"), F.array(*map(F.lit, INTRINSIC))), "__super": any_term(t, lex["super"]), "__cond": any_term(t, lex["conditional_law"]), "__basic": any_term(t, lex["basic_law"]),
+    })
+
+
+def _liked(lex: Lexicon) -> Column:
+    """Bonus of names, words and sources that readers kept."""
+    weighted = lambda table: sum((F.when(F.contains(F.col("__t"), F.lit(k)), v).otherwise(0) for k, v in table.items()), F.lit(0))
+    by_source = F.lit(0)
+    for k, v in reversed(lex.weight("bookmark_sources").items()):
+        by_source = F.when(F.contains(F.col("source"), F.lit(k)), v).otherwise(by_source)
+    return F.least(F.lit(12), weighted(lex.weight("bookmark_entities")) + weighted(lex.weight("bookmark_keywords")) + by_source)
+
+
+def score_staged(df: DataFrame, lex: Lexicon, run_ts: Column, name: str = "score") -> DataFrame:
+    """The alternative score in three stages: a filter, ten times the rating, floors and bonuses.
+
+    Articles without a rating get one of 6 at most from the strength of their terms.
+    """
+    work = _measured(df, lex)
+    total = F.col("__d") + F.col("__r") + F.col("__k") + F.col("__l")
+    out = (F.col("__pr.verdict") == "block") | ((F.col("__m") == 0) & ~F.col("__core") & ~F.col("__super")) | ((F.col("__neg") >= 1) & (total < 0.3))
+    rating = F.when(F.col("persona_score").between(0, 10), F.col("persona_score")).otherwise(F.least(F.lit(6), F.floor(total * 3)))
+    s = rating * 10 + F.coalesce(_liked(lex), F.lit(0))
+    s = F.when(F.col("__super"), F.greatest(s, F.lit(85))).otherwise(s)
+    s = F.when(F.col("__basic") | F.col("__cond"), F.greatest(s, F.lit(78))).otherwise(s)
+    s = s + F.when(F.col("published_at") > run_ts - F.expr("interval 24 hours"), 5).otherwise(0)
+    return work.withColumn(name, F.when(out, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(120), s))).cast("int")).select(*[x for x in df.columns if x != name], name)
+
+
 def score(df: DataFrame, lex: Lexicon, run_ts: Column, name: str = "score") -> DataFrame:
     """Adds the importance score 0 to 120 of ``title, summary, published_at, categories, persona_score, source``.
 
     Terms add to a base in the measure of the text's context; caps and floors follow in fixed order.
     """
-    title, summary, cats = F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.coalesce("categories", F.array().cast("array<string>"))
-    text = match_normalise(F.concat(title, F.lit(" "), summary))
-    work = df.withColumns({"__t": text, "__c": cats, "__pr": pr_verdict(title, summary, lex)})
-    t, c = F.col("__t"), F.col("__c")
+    title, summary = F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))
+    work, c = _measured(df, lex), F.col("__c")
     has = lambda *names: F.arrays_overlap(c, F.array(*map(F.lit, names)))
-    work = work.withColumns({
-        "__m": occurrence_sum(t, lex["ai"]), "__d": dates.strength(hit_count(t, lex["decision"])), "__r": dates.strength(hit_count(t, lex["regulatory"])), "__k": dates.strength(hit_count(t, lex["market"])),
-        "__l": dates.strength(hit_count(t, lex["score_legal"])), "__neg": hit_count(t, lex["negative"]), "__core": has(*INTRINSIC), "__super": any_term(t, lex["super"]), "__cond": any_term(t, lex["conditional_law"]), "__basic": any_term(t, lex["basic_law"]),
-    })
     m, core, neg, cap = F.col("__m"), F.col("__core"), F.col("__neg"), F.col("__pr.cap")
     capped = F.col("__pr.verdict") == "cap"
     total = F.col("__d") + F.col("__r") + F.col("__k") + F.col("__l")
@@ -133,14 +164,9 @@ def score(df: DataFrame, lex: Lexicon, run_ts: Column, name: str = "score") -> D
         lambda s: F.when(F.col("__super"), F.greatest(s + 18, F.lit(70.0))).otherwise(s),
         lambda s: F.when(protect, F.greatest(s, F.lit(35.0))).otherwise(s),
     ]
-    weighted = lambda value, table: sum((F.when(F.contains(value, F.lit(k)), v).otherwise(0) for k, v in table.items()), F.lit(0))
-    by_source = F.lit(0)
-    for k, v in reversed(lex.weight("bookmark_sources").items()):
-        by_source = F.when(F.contains(F.col("source"), F.lit(k)), v).otherwise(by_source)
-    liked = F.least(F.lit(12), weighted(t, lex.weight("bookmark_entities")) + weighted(t, lex.weight("bookmark_keywords")) + by_source)
     floor = F.greatest(F.when(law > 0, 78).otherwise(0), F.when(F.col("__super"), 70).otherwise(0), F.when(protect, 35).otherwise(0))
     steps += [
-        lambda s: s + F.when(capped, 0).otherwise(liked),
+        lambda s: s + F.when(capped, 0).otherwise(F.coalesce(_liked(lex), F.lit(0))),
         lambda s: F.when(F.col("persona_score").between(0, 10) & ~capped, F.least(s, F.greatest(30 + 10 * F.col("persona_score"), floor).cast("double"))).otherwise(s),
     ]
     for k, step in enumerate(steps):  # a column a step keeps each expression small

@@ -233,6 +233,17 @@ def c02(spark, d):
     return classify.score(articles(spark, d), DEMO, run_ts()).select("ord", "score")
 
 
+_LIKED = "least(12, " + " + ".join([*(f"CASE WHEN contains(x, '{k}') THEN {v} ELSE 0 END" for n in ("bookmark_entities", "bookmark_keywords") for k, v in DEMO.weight(n).items()), "CASE " + " ".join(f"WHEN contains(source, '{k}') THEN {v}" for k, v in DEMO.weight("bookmark_sources").items()) + " ELSE 0 END"]) + ")"
+
+
+@query("c09_staged_score", _score_sql() + f""", r AS (SELECT *, coalesce(CASE WHEN persona_score BETWEEN 0 AND 10 THEN persona_score END, least(6, floor(total * 3))) * 10 + {_LIKED} AS s FROM s2),
+q AS (SELECT * REPLACE (greatest(s, CASE WHEN sup THEN 85 ELSE 0 END, CASE WHEN basic OR cond THEN 78 ELSE 0 END) + CASE WHEN hours < 24 THEN 5 ELSE 0 END AS s) FROM r),
+c AS (SELECT ord, CASE WHEN v = 'block' OR (m = 0 AND NOT core AND NOT sup) OR (neg >= 1 AND total < 0.3) THEN 0 ELSE least(120, s) END::INT AS staged FROM q) SELECT ord, staged, scored.score, staged - scored.score AS change FROM c JOIN scored USING (ord)""")
+def c09(spark, d):
+    both = classify.score(classify.score_staged(articles(spark, d), DEMO, run_ts(), "staged"), DEMO, run_ts())
+    return both.select("ord", "staged", "score", (F.col("staged") - F.col("score")).alias("change"))
+
+
 @query("c03_merge_primary", ARTICLES + ", e AS (SELECT ord, unnest(list_concat(categories, ['policy', 'ai-industry', 'other'][ord % 3 + 1:ord % 3 + 1])) AS c FROM articles), o AS (" + _ordered("SELECT ord, c FROM e WHERE NOT (c = 'ai-industry' AND ord % 3 = 0)") + ") SELECT ord, CASE WHEN ord % 3 = 2 THEN array_to_string(a.categories, ',') ELSE coalesce(o.categories, '') END AS categories FROM articles a LEFT JOIN o USING (ord)")
 def c03(spark, d):
     primary = F.element_at(F.array(*map(F.lit, ("policy", "ai-industry", "other"))), (F.col("ord") % 3 + 1).cast("int"))
