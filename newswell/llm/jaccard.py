@@ -159,7 +159,7 @@ def tile_links(sets: list[np.ndarray], known: np.ndarray, percent: int) -> list[
 
 
 def _compare(dealt: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` found in the tiles of ``tile, node, known, grams``; a tile's rows are taken one tile at a time."""
+    """For the tiles of ``tile, node, known, grams``: each node ``a`` that links reach and the least node ``b`` that they reach in the tile."""
 
     def run(table: pa.Table) -> pa.Table:
         nodes = np.asarray(table.column("node"))
@@ -167,8 +167,12 @@ def _compare(dealt: DataFrame, percent: int) -> DataFrame:
         raw, known = table.column("grams").take(pa.array(first)), np.asarray(table.column("known"))[first]
         nodes = nodes[first]
         links = tile_links([np.frombuffer(x.as_buffer(), np.uint64) for x in raw], known, percent)
-        a, b = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
-        return pa.table({"a": pa.array(nodes[a]), "b": pa.array(nodes[b])})
+        root = np.arange(len(nodes))  # nodes are in order, so the least place of a component is its least node
+        for i, j in links:
+            low, high = sorted((root[i], root[j]))
+            root[root == high] = low
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.table({"a": pa.array(nodes[moved]), "b": pa.array(nodes[root[moved]])})
 
     return dealt.groupBy("tile").applyInArrow(run, "a long, b long")
 
