@@ -212,7 +212,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     nodes = stored(worded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")), "jaccard-nodes")
 
     # Families: all nodes that share keys, through the least node of each key.
-    keyed = worded.join(nodes.select(F.col("node").alias("own"), F.col("doc_id").alias("first")), (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", F.explode("keys").alias("key"))
+    keyed = worded.join(small_side(nodes.select(F.col("node").alias("own"), F.col("doc_id").alias("first")), 32), (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", F.explode("keys").alias("key"))
     hub = F.min("node").over(Window.partitionBy("key"))
     pairs = keyed.withColumn("hub", hub).where("node <> hub").select("node", "hub").distinct()
     families = stored(components(pairs, "node", "hub").withColumnRenamed("component", "family"), "jaccard-families")
