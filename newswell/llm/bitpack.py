@@ -36,7 +36,7 @@ END_ID = 2
 #: Documents, about, in one file.
 FILE_ROWS = 8192
 #: Words, at most, of which a Python worker remembers the ids; when full it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 350_000
 
 
 def bits_for(vocabulary: int) -> int:
