@@ -156,6 +156,53 @@ def o05(spark, d):
     return _marked(spark, d).orderBy(F.desc(F.coalesce("quality", F.lit(1))), "ord").limit(60).select("ord")
 
 
+_CLEAN = "trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("s03_feed_articles", ARTICLES + f", e AS (SELECT ord, {_CLEAN.format('title')} AS title, 'https://f.example/' || ord AS url, ord % 3 = 0 AS date_unknown, CASE WHEN ord % 3 = 0 THEN TIMESTAMP '2024-01-31' ELSE published_at END AS tm FROM articles) SELECT url, title, date_unknown, strftime(tm, '%Y-%m-%d %H:%M') AS published FROM e WHERE title <> ''")
+def s03(spark, d):
+    i = F.col("ord")
+    e = articles(spark, d).select("title", F.concat(F.lit(" https://f.example/"), i, F.lit("?utm_source=a")).alias("link"), F.lit("x").alias("summary"), F.when(i % 3 != 0, F.concat(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))).alias("pubDate"))
+    return payloads.normalise_feed(e, F.lit("f"), F.lit("rss"), F.lit("en"), run_ts()).select("url", "title", "date_unknown", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published"))
+
+
+@query("s05_sitemap_pages", "SELECT url FROM (SELECT rtrim(url, '/') AS url, TIMESTAMP '2024-01-26' + to_hours((page_id % 120)::INT) AS tm FROM pages) WHERE contains(url, '/en/') AND tm >= TIMESTAMP '2024-01-27' ORDER BY tm DESC, url LIMIT 12")
+def s05(spark, d):
+    at = F.expr("timestampadd(HOUR, page_id % 120, timestamp'2024-01-26 00:00:00')")
+    urls = table(spark, d, "pages").select(F.col("url").alias("loc"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("lastmod"))
+    return payloads.sitemap_pages(urls, "/en/", run_ts()).select("url")
+
+
+@query("s07_news_search", ARTICLES + f", e AS (SELECT {_CLEAN.format('title')} AS title, CASE WHEN ord % 2 = 0 THEN 'http://o.example/' || ord ELSE 'http://l.example/' || ord END AS url, published_at - INTERVAL 9 HOUR AS tm FROM articles) SELECT title, url, strftime(tm, '%Y-%m-%d %H:%M') AS published FROM e WHERE title <> ''")
+def s07(spark, d):
+    i = F.col("ord")
+    items = articles(spark, d).select("title", F.when(i % 2 == 0, F.concat(F.lit("http://o.example/"), i)).otherwise("").alias("originallink"), F.concat(F.lit("http://l.example/"), i).alias("link"), F.lit("d").alias("description"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("pubDate"))
+    out = payloads.news_search(items, F.array(F.lit("market")), run_ts(), F.lit("o"))
+    return out.select("title", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published"))
+
+
+@query("s08_scholarly_works", ARTICLES + f", e AS (SELECT ord, {_CLEAN.format('title')} AS title, published_at::DATE AS day, score FROM articles) SELECT 'https://w.example/' || ord AS url, title, 'A, B, C · V' AS source, strftime(day, '%Y-%m-%d') AS day, (CASE WHEN score >= 100 THEN 12 WHEN score >= 30 THEN 8 WHEN score >= 10 THEN 4 ELSE 0 END)::INT AS boost FROM e WHERE day >= DATE '2024-01-11'")
+def s08(spark, d):
+    person = lambda n: F.struct(F.struct(F.lit(n).alias("display_name")).alias("author"))
+    none = F.lit(None).cast("string")
+    works = articles(spark, d).select(F.concat(F.lit("w"), "ord").alias("id"), "title", none.alias("display_name"), F.date_format("published_at", "yyyy-MM-dd").alias("publication_date"), none.alias("doi"), F.col("score").alias("cited_by_count"), F.struct(none.alias("oa_url")).alias("open_access"), F.struct(F.concat(F.lit("https://w.example/"), "ord").alias("landing_page_url"), F.struct(F.lit("V").alias("display_name")).alias("source")).alias("primary_location"), F.array(*map(person, "ABCD")).alias("authorships"), F.lit(None).cast("map<string,array<int>>").alias("abstract_inverted_index"))
+    return payloads.scholarly_works(works, run_ts(), days_back=20).select("url", "title", "source", F.date_format("published_at", "yyyy-MM-dd").alias("day"), "boost")
+
+
+@query("s09_semantic_works", ARTICLES + f", e AS (SELECT ord, {_CLEAN.format('title')} AS title, published_at, score FROM articles) SELECT CASE WHEN ord % 3 = 0 THEN 'https://arxiv.org/abs/' || ord ELSE 'https://p.example/' || ord END AS url, title, CASE WHEN ord % 2 = 0 THEN strftime(published_at, '%Y-%m-%d') ELSE '2024-01-01' END AS day, ord % 2 <> 0 AS date_unknown, (CASE WHEN score >= 50 THEN 8 WHEN score >= 10 THEN 4 ELSE 0 END)::INT AS boost FROM e")
+def s09(spark, d):
+    i, none = F.col("ord"), F.lit(None).cast("string")
+    works = articles(spark, d).select("title", F.struct(F.when(i % 3 == 0, i.cast("string")).alias("ArXiv"), none.alias("DOI")).alias("externalIds"), F.concat(F.lit("https://p.example/"), i).alias("url"), none.alias("paperId"), F.when(i % 2 == 0, F.date_format("published_at", "yyyy-MM-dd")).alias("publicationDate"), F.lit(2024).alias("year"), F.col("score").alias("citationCount"))
+    return payloads.semantic_works(works).select("url", "title", F.date_format("published_at", "yyyy-MM-dd").alias("day"), "date_unknown", "boost")
+
+
+@query("s10_manual_first", ARTICLES + "SELECT url, arg_min(ord, (p, ord)) AS ord FROM (SELECT url, ord, CASE WHEN ord % 10 = 0 THEN 0 ELSE 1 END AS p FROM articles) GROUP BY url")
+def s10(spark, d):
+    a = articles(spark, d)
+    both = history.union_sources(payloads.manual_articles(a.where("ord % 10 = 0")), a.where("ord % 10 <> 0").withColumn("priority", F.lit(1)))
+    return history.first_per_key(both, ["url"], F.col("priority"), F.col("ord")).select("url", "ord")
+
+
 @query("s06_open_graph", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def s06(spark, d):
     return payloads.open_graph(table(spark, d, "pages")).select("page_id", payloads.raw_title(F.col("html")).alias("title"))
