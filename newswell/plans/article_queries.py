@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newswell.functions import dates, text
 from newswell.functions.lexicon import CATEGORIES, DEMO
 from newswell.operators import classify, cluster, history
-from newswell.plans.base import ARTICLES, Registry, articles, run_ts, table
+from newswell.plans.base import ARTICLES, CHARS, Registry, articles, run_ts, table
 
 _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
@@ -51,14 +51,14 @@ _GATED = ARTICLES + f", v AS (SELECT *, {_LOW} AS x, {_VERDICT} AS v FROM articl
 
 
 @query("p01_relevance_gate", _GATED + " SELECT ord, relevant FROM g")
-def p01(spark, d):
-    return articles(spark, d).select("ord", classify.is_relevant(F.col("title"), F.col("summary"), F.col("source_type"), DEMO).alias("relevant"))
+def p01(spark, d, chars=CHARS):
+    return articles(spark, d, chars).select("ord", classify.is_relevant(F.col("title"), F.col("summary"), F.col("source_type"), DEMO).alias("relevant"))
 
 
 @query("p02_pr_verdict", _GATED + " SELECT ord, v AS verdict FROM g")
-def p02(spark, d):
+def p02(spark, d, chars=CHARS):
     v = classify.pr_verdict(F.col("title"), F.col("summary"), DEMO)
-    return articles(spark, d).select("ord", F.concat_ws(" ", v["verdict"], v["cap"].cast("string")).alias("verdict"))
+    return articles(spark, d, chars).select("ord", F.concat_ws(" ", v["verdict"], v["cap"].cast("string")).alias("verdict"))
 
 
 @query("p03_score_cut", ARTICLES + "SELECT ord, score FROM articles WHERE score >= 20")
@@ -78,8 +78,8 @@ def p05(spark, d):
 
 
 @query("p06_revalidate", _GATED + " SELECT ord, array_to_string(list_filter(categories, lambda c: c <> 'market'), ',') AS categories FROM g WHERE relevant AND score >= 20")
-def p06(spark, d):
-    a = articles(spark, d).where("score >= 20")
+def p06(spark, d, chars=CHARS):
+    a = articles(spark, d, chars).where("score >= 20")
     return a.where(classify.is_relevant(F.col("title"), F.col("summary"), F.col("source_type"), DEMO)).select("ord", F.array_join(F.array_remove("categories", "market"), ",").alias("categories"))
 
 
@@ -96,19 +96,19 @@ def _agenda():
 
 
 @query("p08_needs_annotation", ARTICLES + f"""SELECT ord, CASE lang WHEN 'en' THEN true WHEN 'fr' THEN ((score >= 70 OR {_AGENDA}) AND ord % 2 = 0) OR len(entities) = 0 OR (ord % 5 = 0 AND source_type NOT IN ('arxiv', 'openalex')) ELSE false END AS needed FROM articles""")
-def p08(spark, d):
-    a = articles(spark, d).withColumns({"l": F.when(F.col("lang") == "fr", "ko").otherwise(F.col("lang")), "ins": F.when(F.col("ord") % 2 == 1, "x"), "prim": F.when(F.col("ord") % 5 != 0, "policy")})
+def p08(spark, d, chars=CHARS):
+    a = articles(spark, d, chars).withColumns({"l": F.when(F.col("lang") == "fr", "ko").otherwise(F.col("lang")), "ins": F.when(F.col("ord") % 2 == 1, "x"), "prim": F.when(F.col("ord") % 5 != 0, "policy")})
     return a.select("ord", classify.needs_annotation(F.col("l"), F.col("source_type"), F.col("score"), _agenda(), F.lit(None).cast("string"), F.col("ins"), F.col("entities"), F.col("prim")).alias("needed"))
 
 
 @query("p09_agenda", ARTICLES + f"SELECT ord, {_AGENDA} AS agenda FROM articles")
-def p09(spark, d):
-    return articles(spark, d).select("ord", _agenda().alias("agenda"))
+def p09(spark, d, chars=CHARS):
+    return articles(spark, d, chars).select("ord", _agenda().alias("agenda"))
 
 
 @query("p10_annotation_route", ARTICLES + f"SELECT ord, CASE WHEN source_type IN ('arxiv', 'openalex') THEN 'paper' WHEN lang = 'en' THEN 'en-full' WHEN score >= 70 OR {_AGENDA} THEN 'ko-insight' ELSE 'ko-ner-only' END AS route FROM articles")
-def p10(spark, d):
-    return articles(spark, d).select("ord", classify.annotation_route(F.col("lang"), F.col("source_type"), F.col("score"), _agenda()).alias("route"))
+def p10(spark, d, chars=CHARS):
+    return articles(spark, d, chars).select("ord", classify.annotation_route(F.col("lang"), F.col("source_type"), F.col("score"), _agenda()).alias("route"))
 
 
 @query("p11_period_filter", ARTICLES + "SELECT ord, substring(date_raw, 1, 10) BETWEEN '2024-01-22' AND '2024-01-28' AS weekly, starts_with(date_raw, '2024-01') AS monthly FROM articles WHERE NOT date_unknown")
@@ -184,8 +184,8 @@ _CATS = " UNION ALL ".join(
 
 
 @query("c01_categorise", ARTICLES + f", y AS (SELECT *, source_type = 'arxiv' OR {_word('cat_papers')} AS paper FROM (SELECT *, {_LOW} AS x FROM articles)), o AS ({_ordered(_CATS)}) SELECT ord, coalesce(o.categories, '') AS categories FROM articles LEFT JOIN o USING (ord)")
-def c01(spark, d):
-    return articles(spark, d).select("ord", F.array_join(classify.categorise(F.col("title"), F.col("summary"), F.col("categories"), F.col("source_type"), DEMO), ",").alias("categories"))
+def c01(spark, d, chars=CHARS):
+    return articles(spark, d, chars).select("ord", F.array_join(classify.categorise(F.col("title"), F.col("summary"), F.col("categories"), F.col("source_type"), DEMO), ",").alias("categories"))
 
 
 def _score_sql() -> str:
@@ -229,8 +229,8 @@ t0 AS (SELECT *, ({steps[0]})::DOUBLE AS s FROM s2)"""
 
 
 @query("c02_importance_score", _score_sql() + "SELECT ord, score FROM scored")
-def c02(spark, d):
-    return classify.score(articles(spark, d), DEMO, run_ts()).select("ord", "score")
+def c02(spark, d, chars=CHARS):
+    return classify.score(articles(spark, d, chars), DEMO, run_ts()).select("ord", "score")
 
 
 _LIKED = "least(12, " + " + ".join([*(f"CASE WHEN contains(x, '{k}') THEN {v} ELSE 0 END" for n in ("bookmark_entities", "bookmark_keywords") for k, v in DEMO.weight(n).items()), "CASE " + " ".join(f"WHEN contains(source, '{k}') THEN {v}" for k, v in DEMO.weight("bookmark_sources").items()) + " ELSE 0 END"]) + ")"
@@ -239,8 +239,8 @@ _LIKED = "least(12, " + " + ".join([*(f"CASE WHEN contains(x, '{k}') THEN {v} EL
 @query("c09_staged_score", _score_sql() + f""", r AS (SELECT *, coalesce(CASE WHEN persona_score BETWEEN 0 AND 10 THEN persona_score END, least(6, floor(total * 3))) * 10 + {_LIKED} AS s FROM s2),
 q AS (SELECT * REPLACE (greatest(s, CASE WHEN sup THEN 85 ELSE 0 END, CASE WHEN basic OR cond THEN 78 ELSE 0 END) + CASE WHEN hours < 24 THEN 5 ELSE 0 END AS s) FROM r),
 c AS (SELECT ord, CASE WHEN v = 'block' OR (m = 0 AND NOT core AND NOT sup) OR (neg >= 1 AND total < 0.3) THEN 0 ELSE least(120, s) END::INT AS staged FROM q) SELECT ord, staged, scored.score, staged - scored.score AS change FROM c JOIN scored USING (ord)""")
-def c09(spark, d):
-    both = classify.score(classify.score_staged(articles(spark, d), DEMO, run_ts(), "staged"), DEMO, run_ts())
+def c09(spark, d, chars=CHARS):
+    both = classify.score(classify.score_staged(articles(spark, d, chars), DEMO, run_ts(), "staged"), DEMO, run_ts())
     return both.select("ord", "staged", "score", (F.col("staged") - F.col("score")).alias("change"))
 
 
@@ -290,8 +290,8 @@ def c08(spark, d):
 
 
 @query("a04_bucket_strengths", ARTICLES + ", x AS (SELECT ord, trim(regexp_replace(lower(translate(title || ' ' || summary, '''\"', '  ')), '\\s+', ' ', 'g')) AS x, lower(title) AS h FROM articles) SELECT ord, " + ", ".join(f"round(1 - pow(0.78, {_hits('x', n)}), 3)::DOUBLE AS {n}" for n in ("law", "global", "policy")) + f", CASE WHEN {_any('h', 'promo')} THEN 1.0 ELSE 0.0 END::DOUBLE AS promo FROM x")
-def a04(spark, d):
-    return articles(spark, d).select("ord", classify.bucket_strengths(F.col("title"), F.col("summary"), DEMO).alias("s")).select("ord", "s.*")
+def a04(spark, d, chars=CHARS):
+    return articles(spark, d, chars).select("ord", classify.bucket_strengths(F.col("title"), F.col("summary"), DEMO).alias("s")).select("ord", "s.*")
 
 
 # ------------------------------------------------------------ merging and ranking
@@ -310,10 +310,10 @@ def w02(spark, d):
 _TOPS = " UNION ALL ".join(f"SELECT '{p}' AS period, {k} AS key, row_number() OVER (PARTITION BY {k} ORDER BY score DESC, ord) AS rank, ord, title, score FROM scored QUALIFY rank <= {TOP[p]}" for p, k in (("daily", "strftime(published_at, '%Y-%m-%d')"), ("weekly", "strftime(published_at, '%G-W%V')"), ("monthly", "strftime(published_at, '%Y-%m')")))
 
 
-def flagship(spark, d):
+def flagship(spark, d, chars=CHARS):
     """Scored articles, the best of each day, week and month."""
     t = F.col("published_at")
-    scored = classify.score(articles(spark, d), DEMO, run_ts())
+    scored = classify.score(articles(spark, d, chars), DEMO, run_ts())
     keys = F.array(*(F.struct(F.lit(p).alias("period"), k.alias("key"), F.lit(TOP[p]).alias("most")) for p, k in (("daily", dates.day_key(t)), ("weekly", dates.week_key(t)), ("monthly", dates.month_key(t)))))
     fanned = scored.select("ord", "title", "score", F.inline(keys))
     return history.top_n_per(fanned, ["period", "key"], max(TOP.values()), F.desc("score"), F.col("ord")).where("rank <= most").select("period", "key", "rank", "ord", "title", "score")
@@ -403,8 +403,8 @@ def j04(spark, d):
 
 
 @query("j09_force_include", ARTICLES + f", top AS (SELECT * FROM articles ORDER BY score DESC, ord LIMIT 50), more AS (SELECT * FROM articles WHERE {_any(_LOW, 'super')} AND url NOT IN (SELECT url FROM top) ORDER BY score DESC, ord LIMIT 10) SELECT ord FROM top UNION ALL SELECT ord FROM more")
-def j09(spark, d):
-    a = articles(spark, d)
+def j09(spark, d, chars=CHARS):
+    a = articles(spark, d, chars)
     order = (F.desc("score"), F.col("ord"))
     wanted = text.any_term(F.lower(F.concat_ws(" ", "title", "summary")), DEMO["super"])
     return history.force_include(a, a.orderBy(*order).limit(50), wanted, 10, *order).select("ord")
@@ -451,34 +451,37 @@ FROM t a JOIN t b ON a.ord < b.ord WHERE abs(epoch(a.published_at) - epoch(b.pub
 """
 
 
-def _dup(spark, d):
-    return cluster.duplicate_pairs(articles(spark, d), run_ts(), DEMO["nouns"], sequence=False)
+def _dup(spark, d, chars=CHARS):
+    return cluster.duplicate_pairs(articles(spark, d, chars), run_ts(), DEMO["nouns"], sequence=False)
 
 
 @query("j10_duplicate_pairs", _PAIRS + "SELECT a, b FROM d")
-def j10(spark, d):
-    return _dup(spark, d)
+def j10(spark, d, chars=CHARS):
+    return _dup(spark, d, chars)
 
 
 @query("j10s_duplicate_pairs_by_sequence")
 def j10s(spark, d):
-    return cluster.duplicate_pairs(articles(spark, d), run_ts(), DEMO["nouns"], sequence=True)
+    return cluster.duplicate_pairs(articles(spark, d, None), run_ts(), DEMO["nouns"], sequence=True)
 
 
 _LABELS = _PAIRS.replace("WITH articles", "WITH RECURSIVE articles", 1) + ", e AS MATERIALIZED (SELECT a, b FROM d UNION ALL SELECT b, a FROM d), r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached), labels AS (SELECT ord AS node, coalesce(least(ord, m), ord) AS label FROM articles LEFT JOIN (SELECT node, min(reached) AS m FROM r GROUP BY node) ON node = ord)\n"
 
 
-def _labels(spark, d):
-    return cluster.connected_components(_dup(spark, d), articles(spark, d).select("ord"))
+def _labels(spark, d, chars=CHARS):
+    return cluster.connected_components(_dup(spark, d, chars), articles(spark, d, chars).select("ord"))
 
 
 @query("a01_connected_components", _LABELS + "SELECT node, label FROM labels")
-def a01(spark, d):
-    return _labels(spark, d)
+def a01(spark, d, chars=CHARS):
+    return _labels(spark, d, chars)
 
 
 @query("a02_collapse_clusters", _LABELS + """, m AS (SELECT a.*, label, row_number() OVER (PARTITION BY label ORDER BY score DESC, ord) AS r FROM articles a JOIN labels ON ord = node),
 u AS (SELECT label, array_to_string(list_sort(list_distinct(list(c))), ',') AS categories FROM (SELECT label, unnest(categories) AS c FROM m) GROUP BY label)
 SELECT (arg_min(ord, r)) AS ord, any_value(u.categories) AS categories, (count(*) - 1)::INT AS related_count, coalesce(string_agg(CASE WHEN r > 1 THEN url END, ' ' ORDER BY r), '') AS related FROM m JOIN u USING (label) GROUP BY label""")
-def a02(spark, d):
-    return cluster.collapse_clusters(articles(spark, d).drop("related_count"), _labels(spark, d)).select("ord", F.array_join("categories", ",").alias("categories"), "related_count", F.array_join(F.transform("related", lambda x: x["url"]), " ").alias("related"))
+def a02(spark, d, chars=CHARS):
+    return cluster.collapse_clusters(articles(spark, d, chars).drop("related_count"), _labels(spark, d, chars)).select("ord", F.array_join("categories", ",").alias("categories"), "related_count", F.array_join(F.transform("related", lambda x: x["url"]), " ").alias("related"))
+
+
+_R.whole("p01_relevance_gate", "p02_pr_verdict", "p06_revalidate", "p08_needs_annotation", "p09_agenda", "p10_annotation_route", "c01_categorise", "c02_importance_score", "c09_staged_score", "a04_bucket_strengths", "w03_top_per_period", "j09_force_include", "j10_duplicate_pairs", "a01_connected_components", "a02_collapse_clusters")

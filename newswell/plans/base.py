@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN = "2024-01-31 00:00:00"
 TYPES = ("rss", "google_news", "arxiv", "openalex", "blog")
+#: Characters of the summary that the registered SQL reads. Queries without SQL, and those of ``Registry.whole``, read it to the end (None).
+CHARS = 400
 KINDS = ("legaltech", "policy", "ai-industry", "papers", "models", "funding", "market")
 
 
@@ -28,6 +31,15 @@ class Registry:
 
         return add
 
+    def whole(self, *names: str):
+        """Each query once more over whole texts, with ``w`` after its number, and its SQL without the cut."""
+        for name in names:
+            head, rest = name.split("_", 1)
+            sql = self.SQL[name]
+            whole = sql.replace(f"length(title) + 2, {CHARS}) AS summary", "length(title) + 2) AS summary")
+            assert whole != sql
+            self.query(f"{head}w_{rest}", whole)(partial(self.QUERIES[name], chars=None))
+
 
 def run_ts() -> Column:
     return F.lit(RUN).cast("timestamp")
@@ -41,8 +53,8 @@ def _pick(values, index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as articles: the first line is the title; dates, kinds and annotations follow from the id."""
+def articles(spark: SparkSession, sf_dir: str, chars: int | None = CHARS) -> DataFrame:
+    """``documents`` as articles: the first line is the title, ``chars`` characters of the rest (all with None) the summary; dates, kinds and annotations follow from the id."""
     i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     title = F.substring_index(text, "\n", 1)
@@ -51,7 +63,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.alias("ord"),
         F.concat(F.lit("https://"), "source", F.lit(".example/"), i % 9973).alias("url"),
         "title",
-        F.expr("substring(coalesce(text, ''), length(title) + 2, 400)").alias("summary"),
+        F.expr(f"substring(coalesce(text, ''), length(title) + 2{'' if chars is None else f', {chars}'})").alias("summary"),
         "lang",
         "source",
         _pick(TYPES, i % 5).alias("source_type"),

@@ -20,5 +20,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gate, categories, score and the best articles of each day, week and month."""
-    return article_queries.flagship(spark, sf_dir)
+    """Gate, categories, score and the best articles of each day, week and month, over whole texts."""
+    return article_queries.flagship(spark, sf_dir, chars=None)

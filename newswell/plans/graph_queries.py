@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newswell.functions import dates
 from newswell.functions.lexicon import RELATIONS, SYMMETRIC
 from newswell.operators import graph, history, reports
-from newswell.plans.base import ARTICLES, Registry, articles, table
+from newswell.plans.base import ARTICLES, CHARS, Registry, articles, table
 
 _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
@@ -35,22 +35,22 @@ def _catalog(spark):
     return spark.createDataFrame([(e, t, x, k) for k, (e, t, x) in enumerate(rows)], "entity_id string, type string, alias string, ord int")
 
 
-def _docs(spark, d):
-    return articles(spark, d).withColumn("day", dates.day_key(F.col("published_at")))
+def _docs(spark, d, chars=CHARS):
+    return articles(spark, d, chars).withColumn("day", dates.day_key(F.col("published_at")))
 
 
-def _mentions(spark, d):
-    return graph.entity_mentions(_docs(spark, d), _ENTITIES, F.concat_ws(" ", "title", "summary"), "ord", "score", "day")
+def _mentions(spark, d, chars=CHARS):
+    return graph.entity_mentions(_docs(spark, d, chars), _ENTITIES, F.concat_ws(" ", "title", "summary"), "ord", "score", "day")
 
 
 @query("j12_entity_mentions", _MENTIONS + "SELECT ord, entity_id FROM mentions")
-def j12(spark, d):
-    return _mentions(spark, d).select("ord", "entity_id")
+def j12(spark, d, chars=CHARS):
+    return _mentions(spark, d, chars).select("ord", "entity_id")
 
 
 @query("a05_entity_rollup", _MENTIONS + ", n AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY day DESC, ord) AS r FROM mentions) SELECT entity_id, count(*) AS total_mentions, round_even(avg(score), 1)::DOUBLE AS avg_score, min(day) AS first_seen, max(day) AS last_seen, string_agg(CASE WHEN r <= 30 THEN ord::VARCHAR END, ',' ORDER BY r) AS newest FROM n GROUP BY entity_id")
-def a05(spark, d):
-    return graph.entity_rollup(_mentions(spark, d)).withColumn("newest", F.array_join(F.transform("newest", lambda x: x.cast("string")), ","))
+def a05(spark, d, chars=CHARS):
+    return graph.entity_rollup(_mentions(spark, d, chars)).withColumn("newest", F.array_join(F.transform("newest", lambda x: x.cast("string")), ","))
 
 
 @query("a06_entity_context", f"WITH catalog(entity_id, type, alias, ord) AS (VALUES {_ROWS}), m AS (SELECT DISTINCT conv_id, turn, entity_id FROM conversations JOIN catalog ON regexp_matches(lower(text), '(^|[^a-z])' || alias || '($|[^a-z])')), r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY conv_id, turn) AS r FROM m) SELECT entity_id, string_agg(conv_id || ':' || turn, ',' ORDER BY r) AS cards FROM r WHERE r <= 20 GROUP BY entity_id")
@@ -64,8 +64,8 @@ def a06(spark, d):
 @query("a07_auto_entities", _MENTIONS + """, e AS (SELECT ord, title, score, unnest(entities) AS name FROM articles), al AS (SELECT ord, list(DISTINCT alias) AS aliases FROM hits GROUP BY ord),
 k AS (SELECT e.*, lower(name) AS k FROM e LEFT JOIN al USING (ord) WHERE length(name) BETWEEN 2 AND 60 AND coalesce(len(list_filter(aliases, lambda a: contains(lower(name), a) OR contains(a, lower(name)))), 0) = 0)
 SELECT k, arg_min(name, ord) AS name, count(*) AS n, round_even(avg(score), 1)::DOUBLE AS avg_score, array_to_string(list(ord ORDER BY ord)[1:3], ',') AS first FROM k GROUP BY k HAVING count(*) >= 2""")
-def a07(spark, d):
-    a = _docs(spark, d)
+def a07(spark, d, chars=CHARS):
+    a = _docs(spark, d, chars)
     text = F.lower(F.concat_ws(" ", "title", "summary"))
     aliases = [x for _, _, al in CATALOG for x in al]
     hits = graph.entity_mentions(a, [(x, (x,)) for x in aliases], text, "ord").select("ord", F.col("entity_id").alias("alias"))
@@ -73,15 +73,15 @@ def a07(spark, d):
 
 
 @query("a08_type_counts", _MENTIONS + "SELECT type, count(DISTINCT entity_id) AS n_entities, count(*) AS n_mentions FROM mentions GROUP BY type")
-def a08(spark, d):
+def a08(spark, d, chars=CHARS):
     kinds = _catalog(spark).select("entity_id", "type").distinct()
-    return _mentions(spark, d).join(F.broadcast(kinds), "entity_id").groupBy("type").agg(F.count_distinct("entity_id").alias("n_entities"), F.count("*").alias("n_mentions"))
+    return _mentions(spark, d, chars).join(F.broadcast(kinds), "entity_id").groupBy("type").agg(F.count_distinct("entity_id").alias("n_entities"), F.count("*").alias("n_mentions"))
 
 
 @query("a23_effective_mentions", _MENTIONS + ", t AS (SELECT entity_id, type, count(*) AS n_articles, count_if(score >= 60)::BIGINT AS n_trends FROM mentions GROUP BY ALL) SELECT entity_id, n_articles + n_trends AS n, row_number() OVER (PARTITION BY type ORDER BY n_articles + n_trends DESC, entity_id) AS place FROM t")
-def a23(spark, d):
+def a23(spark, d, chars=CHARS):
     kinds = _catalog(spark).select("entity_id", "type").distinct()
-    r = _mentions(spark, d).groupBy("entity_id").agg(F.count("*").alias("n_articles"), F.count_if(F.col("score") >= 60).alias("n_trends")).withColumn("n_papers", F.lit(0)).join(F.broadcast(kinds), "entity_id")
+    r = _mentions(spark, d, chars).groupBy("entity_id").agg(F.count("*").alias("n_articles"), F.count_if(F.col("score") >= 60).alias("n_trends")).withColumn("n_papers", F.lit(0)).join(F.broadcast(kinds), "entity_id")
     r = r.withColumn("n", graph.effective_mentions(r))
     return r.withColumn("place", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("n"), "entity_id")).cast("bigint")).select("entity_id", "n", "place")
 
@@ -238,8 +238,8 @@ _INST = "[" + ", ".join(f"'{n}'" for n in INSTITUTIONS) + "]"
 
 
 @query("a12_institution_counts", ARTICLES + f", n AS (SELECT unnest(list_filter({_INST}, lambda k: contains(lower(concat_ws(' ', title, summary)), lower(k)))) AS name FROM articles WHERE source_type IN ('arxiv', 'openalex')) SELECT name, count(*) AS n FROM n GROUP BY name ORDER BY n DESC, name LIMIT 15")
-def a12(spark, d):
-    return reports.institution_counts(articles(spark, d).where(F.col("source_type").isin("arxiv", "openalex")), INSTITUTIONS)
+def a12(spark, d, chars=CHARS):
+    return reports.institution_counts(articles(spark, d, chars).where(F.col("source_type").isin("arxiv", "openalex")), INSTITUTIONS)
 
 
 @query("a13_title_keywords", ARTICLES + """, w AS (SELECT ord, regexp_extract_all(lower(title), '([a-z]{4,})', 1) AS ws FROM articles), u AS (SELECT ord, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w), b AS (SELECT w AS a, lead(w) OVER (PARTITION BY ord ORDER BY i) AS b FROM u),
@@ -253,3 +253,6 @@ def w11(spark, d):
     p = articles(spark, d).where(F.col("source_type").isin("arxiv", "openalex")).withColumn("key", dates.week_key(F.col("published_at")))
     enough = p.groupBy("key").agg(F.count("*").alias("n")).where("n >= 3").select("key")
     return history.top_n_per(p.join(enough, "key", "left_semi"), ["key"], 30, F.desc("score"), F.col("ord")).select("key", "ord", "rank")
+
+
+_R.whole("j12_entity_mentions", "a05_entity_rollup", "a07_auto_entities", "a08_type_counts", "a23_effective_mentions", "a12_institution_counts")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newswell.functions import dates
 from newswell.operators import history, reports
-from newswell.plans.base import ARTICLES, Registry, articles, run_ts, table
+from newswell.plans.base import ARTICLES, CHARS, Registry, articles, run_ts, table
 from newswell.sources import payloads, tables
 from newswell.streaming import streams
 
@@ -131,9 +131,9 @@ def p16(spark, d):
 
 
 @query("p17_search", ARTICLES + f"SELECT ord FROM articles WHERE {_SEARCH} ORDER BY published_at DESC, ord LIMIT 60")
-def p17(spark, d):
+def p17(spark, d, chars=CHARS):
     terms = reports.expand_search(("inger",), {"leaux": ("inger",)})
-    return reports.feed_query(articles(spark, d), reports.FeedSpec(search=terms, order="latest"), run_ts()).select("ord")
+    return reports.feed_query(articles(spark, d, chars), reports.FeedSpec(search=terms, order="latest"), run_ts()).select("ord")
 
 
 @query("o02_importance_order", ARTICLES + "SELECT ord FROM articles ORDER BY coalesce(persona_score, -1) DESC, score DESC, published_at DESC, ord LIMIT 180")
@@ -283,3 +283,6 @@ def t07(spark, d):
 @query("t03_stream_merge", ARTICLES + "SELECT url, max(ord) AS ord FROM articles GROUP BY url")
 def t03(spark, d):
     return streams.stream_merge_last(spark, f"{d}/documents.parquet", lambda docs: docs.select(F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id") % 9973).alias("url"), F.col("doc_id").alias("ord")), ["url"], "ord")
+
+
+_R.whole("p17_search")

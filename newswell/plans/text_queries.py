@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newswell.functions import dates, text
 from newswell.functions.lexicon import DEMO
-from newswell.plans.base import ARTICLES, Registry, articles, run_ts, table
+from newswell.plans.base import ARTICLES, CHARS, Registry, articles, run_ts, table
 
 _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
@@ -103,21 +103,21 @@ def f17(spark, d):
 
 
 @query("f18_jaccard", ARTICLES + f", t AS (SELECT ord, list_distinct({_TOK.format('title')}) AS a, list_distinct({_TOK.format('summary')}) AS b FROM articles) SELECT ord, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 9) AS j FROM t")
-def f18(spark, d):
-    return articles(spark, d).select("ord", F.round(text.jaccard(text.tokens(F.col("title")), text.tokens(F.col("summary"))), 9).alias("j"))
+def f18(spark, d, chars=CHARS):
+    return articles(spark, d, chars).select("ord", F.round(text.jaccard(text.tokens(F.col("title")), text.tokens(F.col("summary"))), 9).alias("j"))
 
 
 @query("f20_noun_overlap", ARTICLES + "SELECT ord, len(list_filter(['inger', 'ation', 'leaux'], lambda k: contains(lower(title), k) AND contains(lower(summary), k)))::INT AS n FROM articles")
-def f20(spark, d):
+def f20(spark, d, chars=CHARS):
     nouns = F.array(*map(F.lit, ("inger", "ation", "leaux")))
     found = lambda c: text.bind(F.lower(c), lambda x: F.filter(nouns, lambda n: F.contains(x, n)))
-    return articles(spark, d).select("ord", F.size(F.array_intersect(found("title"), found("summary"))).alias("n"))
+    return articles(spark, d, chars).select("ord", F.size(F.array_intersect(found("title"), found("summary"))).alias("n"))
 
 
 @query("f23_law_terms", ARTICLES + ", t AS (SELECT ord, lower(concat_ws(' ', title, summary)) AS x FROM articles) SELECT ord, contains(x, 'rerely') OR contains(x, 'license') AS core, contains(x, 'general public') AS basic, contains(x, 'license') OR contains(x, 'inthe') AS conditional, contains(x, 'apache license') OR contains(x, 'heedth') AS boosted FROM t")
-def f23(spark, d):
+def f23(spark, d, chars=CHARS):
     x = F.lower(F.concat_ws(" ", "title", "summary"))
-    return articles(spark, d).select("ord", *(text.any_term(x, DEMO[k]).alias(a) for k, a in (("core_law", "core"), ("basic_law", "basic"), ("conditional_law", "conditional"), ("super", "boosted"))))
+    return articles(spark, d, chars).select("ord", *(text.any_term(x, DEMO[k]).alias(a) for k, a in (("core_law", "core"), ("basic_law", "basic"), ("conditional_law", "conditional"), ("super", "boosted"))))
 
 
 @query("f24_occurrence_sum", "SELECT doc_id, (list_sum(list_transform([' the ', 'the ', ' the', 'ation'], lambda t: (length(lower(text)) - length(replace(lower(text), t, ''))) // length(t))))::INT AS n FROM documents")
@@ -199,3 +199,6 @@ def m03(spark, d):
 @query("w14_latest_key", "SELECT o_orderpriority, max(strftime(o_orderdate, '%G-W%V')) AS latest FROM orders GROUP BY ALL")
 def w14(spark, d):
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.max(dates.week_key(F.col("o_orderdate"))).alias("latest"))
+
+
+_R.whole("f18_jaccard", "f20_noun_overlap", "f23_law_terms")

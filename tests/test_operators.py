@@ -127,3 +127,14 @@ def test_quotas_and_quartiles(spark):
     assert history.admit(r, 5).count() == 5
     q = reports.quartiles(spark.createDataFrame([(x,) for x in (5, 1, 9, 7, 3)], "v int"), "v").first()
     assert (q["q1"], q["q2"], q["q3"], q["least"], q["most"]) == (3, 5, 7, 1, 9)
+
+
+def test_operators_read_past_the_400th_character(spark, tmp_path):
+    from newswell.plans import catalog
+
+    path = str(tmp_path)
+    spark.createDataFrame([(2, "Title\n" + "x " * 300 + "leaux inger", "en", "s", 616)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    q = catalog.queries()
+    assert q["j12_entity_mentions"](spark, path).count() == 0 and q["p17_search"](spark, path).count() == 0
+    assert {r["entity_id"] for r in q["j12w_entity_mentions"](spark, path).collect()} == {"inger", "leaux"}
+    assert [r["ord"] for r in q["p17w_search"](spark, path).collect()] == [2]
