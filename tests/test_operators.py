@@ -138,3 +138,29 @@ def test_operators_read_past_the_400th_character(spark, tmp_path):
     assert q["j12_entity_mentions"](spark, path).count() == 0 and q["p17_search"](spark, path).count() == 0
     assert {r["entity_id"] for r in q["j12w_entity_mentions"](spark, path).collect()} == {"inger", "leaux"}
     assert [r["ord"] for r in q["p17w_search"](spark, path).collect()] == [2]
+
+
+def test_pairs_by_sequence_match_brute_force(spark, monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(cluster, "TILE_TITLES", 16, raising=False)
+    rng = random.Random(4)
+    words = ["acmecorp", "unveils", "lawyerbot", "court", "rules", "on", "model", "data", "tax", "ai"]
+    titles = ["acmecorp unveils lawyerbot", "xacmecorp unveilsx lawyerbots", "ab cd ef gh", "abx cdx efx gh", "AI"]
+    for _ in range(45):
+        base = " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))
+        titles += [base, "".join(c + rng.choice("xyz") if rng.random() < 0.15 else c for c in base)]
+    rows = [(k, x, "", f"s{k}", RUN - dt.timedelta(days=rng.randint(0, 20)), "2026-05-20") for k, x in enumerate(titles)]
+    df = spark.createDataFrame(rows, "ord long, title string, summary string, source string, published_at timestamp, date_raw string")
+    tok = {r["ord"]: set(r["t"]) for r in df.select("ord", text.tokens(F.col("title")).alias("t")).collect()}
+    head = {r["ord"]: r["h"] for r in df.select("ord", text.head_token(F.col("title")).alias("h")).collect()}
+    want = set()
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if abs(rows[a][4] - rows[b][4]) <= dt.timedelta(days=7) and tok[a] and tok[b]:
+                j = len(tok[a] & tok[b]) / len(tok[a] | tok[b])
+                base = max(j, 0.6 * SequenceMatcher(None, titles[a].lower(), titles[b].lower()).ratio() + 0.4 * j)
+                if base >= 0.5 or (base >= 0.25 and head[a] and head[a] == head[b]):
+                    want.add((a, b))
+    assert {(r["a"], r["b"]) for r in cluster.duplicate_pairs(df, F.lit(RUN)).collect()} == want and len(want) > 100
