@@ -451,8 +451,8 @@ FROM t a JOIN t b ON a.ord < b.ord WHERE abs(epoch(a.published_at) - epoch(b.pub
 """
 
 
-def _dup(spark, d, chars=CHARS):
-    return cluster.duplicate_pairs(articles(spark, d, chars), run_ts(), DEMO["nouns"], sequence=False)
+def _dup(spark, d, chars=CHARS, sequence=False):
+    return cluster.duplicate_pairs(articles(spark, d, chars), run_ts(), DEMO["nouns"], sequence=sequence)
 
 
 @query("j10_duplicate_pairs", _PAIRS + "SELECT a, b FROM d")
@@ -462,14 +462,14 @@ def j10(spark, d, chars=CHARS):
 
 @query("j10s_duplicate_pairs_by_sequence")
 def j10s(spark, d):
-    return cluster.duplicate_pairs(articles(spark, d, None), run_ts(), DEMO["nouns"], sequence=True)
+    return _dup(spark, d, None, True)
 
 
 _LABELS = _PAIRS.replace("WITH articles", "WITH RECURSIVE articles", 1) + ", e AS MATERIALIZED (SELECT a, b FROM d UNION ALL SELECT b, a FROM d), r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached), labels AS (SELECT ord AS node, coalesce(least(ord, m), ord) AS label FROM articles LEFT JOIN (SELECT node, min(reached) AS m FROM r GROUP BY node) ON node = ord)\n"
 
 
-def _labels(spark, d, chars=CHARS):
-    return cluster.connected_components(_dup(spark, d, chars), articles(spark, d, chars).select("ord"))
+def _labels(spark, d, chars=CHARS, sequence=False):
+    return cluster.connected_components(_dup(spark, d, chars, sequence), articles(spark, d, chars).select("ord"))
 
 
 @query("a01_connected_components", _LABELS + "SELECT node, label FROM labels")
@@ -480,8 +480,19 @@ def a01(spark, d, chars=CHARS):
 @query("a02_collapse_clusters", _LABELS + """, m AS (SELECT a.*, label, row_number() OVER (PARTITION BY label ORDER BY score DESC, ord) AS r FROM articles a JOIN labels ON ord = node),
 u AS (SELECT label, array_to_string(list_sort(list_distinct(list(c))), ',') AS categories FROM (SELECT label, unnest(categories) AS c FROM m) GROUP BY label)
 SELECT (arg_min(ord, r)) AS ord, any_value(u.categories) AS categories, (count(*) - 1)::INT AS related_count, coalesce(string_agg(CASE WHEN r > 1 THEN url END, ' ' ORDER BY r), '') AS related FROM m JOIN u USING (label) GROUP BY label""")
-def a02(spark, d, chars=CHARS):
-    return cluster.collapse_clusters(articles(spark, d, chars).drop("related_count"), _labels(spark, d, chars)).select("ord", F.array_join("categories", ",").alias("categories"), "related_count", F.array_join(F.transform("related", lambda x: x["url"]), " ").alias("related"))
+def a02(spark, d, chars=CHARS, sequence=False):
+    return cluster.collapse_clusters(articles(spark, d, chars).drop("related_count"), _labels(spark, d, chars, sequence)).select("ord", F.array_join("categories", ",").alias("categories"), "related_count", F.array_join(F.transform("related", lambda x: x["url"]), " ").alias("related"))
+
+
+# Whole texts and the sequence similarity of ASCII titles too; SQL has no such ratio.
+@query("a01s_components_by_sequence")
+def a01s(spark, d):
+    return _labels(spark, d, None, True)
+
+
+@query("a02s_clusters_by_sequence")
+def a02s(spark, d):
+    return a02(spark, d, None, True)
 
 
 _R.whole("p01_relevance_gate", "p02_pr_verdict", "p06_revalidate", "p08_needs_annotation", "p09_agenda", "p10_annotation_route", "c01_categorise", "c02_importance_score", "c09_staged_score", "a04_bucket_strengths", "w03_top_per_period", "j09_force_include", "j10_duplicate_pairs", "a01_connected_components", "a02_collapse_clusters")

@@ -164,3 +164,13 @@ def test_pairs_by_sequence_match_brute_force(spark, monkeypatch):
                 if base >= 0.5 or (base >= 0.25 and head[a] and head[a] == head[b]):
                     want.add((a, b))
     assert {(r["a"], r["b"]) for r in cluster.duplicate_pairs(df, F.lit(RUN)).collect()} == want and len(want) > 100
+
+
+def test_clusters_by_sequence(spark, tmp_path):
+    from newswell.plans import catalog
+
+    rows = [(30, "acmecorp unveils lawyerbot"), (61, "xacmecorp unveilsx lawyerbots"), (91, "nothing alike here")]
+    spark.createDataFrame([(i, x + "\nbody", "en", f"s{i}", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    q = catalog.queries()
+    assert {tuple(r) for r in q["a01s_components_by_sequence"](spark, str(tmp_path)).collect()} == {(30, 30), (61, 30), (91, 91)}
+    assert sorted((r["ord"], r["related_count"]) for r in q["a02s_clusters_by_sequence"](spark, str(tmp_path)).collect()) in ([(30, 1), (91, 0)], [(61, 1), (91, 0)])
