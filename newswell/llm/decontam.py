@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from newswell.llm.shared import Step, clean_names, steps, windows
 
 ERROR_PERCENT = 20
-#: Items with fewer words must be found exactly; items with fewer than the second value are not looked for at all.
-EXACT_BELOW, LEAST_WORDS = 8, 4
+#: Items with fewer words have no whole word of errors and must be found exactly; items with fewer than the second value hold nothing to look for.
+EXACT_BELOW, LEAST_WORDS = 5, 1
 #: Benchmark text, at most, that one scan of the documents looks for; larger benchmarks are looked for in blocks.
 BLOCK_BYTES = 4 << 20
 

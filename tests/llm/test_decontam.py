@@ -87,3 +87,11 @@ def test_empty(spark, documents, corpus):
     assert decontam.find_items(documents(), none).count() == 0 and decontam.decontaminate(documents(), none).count() == len(corpus)
     bench = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
     assert decontam.find_items(documents([]), bench).count() == 0 and decontam.decontaminate(documents([]), bench).count() == 0
+
+
+def test_short_items_are_found(spark, documents):
+    bench = spark.createDataFrame([(1, "solo"), (2, "two words"), (3, "one two three four five"), (4, "a b c d")], "item_id long, text string")
+    texts = [(1, "x solo y"), (2, "x two, words y"), (3, "x one two changed four five y"), (4, "a b x d"), (5, "x y z")]
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.find_items(documents(texts), bench).collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (3, 3, 1)}
+    assert {r["doc_id"] for r in decontam.decontaminate(documents(texts), bench).collect()} == {4, 5}
