@@ -371,10 +371,11 @@ def w13(spark, d):
 _SPLIT = ARTICLES + ", new AS (SELECT * FROM articles WHERE ord % 3 = 0), prev AS (SELECT * REPLACE (published_at - INTERVAL 5 DAY AS published_at, first_seen - INTERVAL 5 DAY AS first_seen) FROM articles WHERE ord % 2 = 0)"
 
 
-def _split(spark, d):
+def _split(spark, d, all_rows=False):
     a = articles(spark, d)
     back = F.expr("interval 5 days")
-    return a.where("ord % 2 = 0").withColumns({"published_at": F.col("published_at") - back, "first_seen": F.col("first_seen") - back}), a.where("ord % 3 = 0")
+    stored, arrived = (a, a) if all_rows else (a.where("ord % 2 = 0"), a.where("ord % 3 = 0"))
+    return stored.withColumns({"published_at": F.col("published_at") - back, "first_seen": F.col("first_seen") - back}), arrived
 
 
 @query("j01_merge_articles", _SPLIT + """, n AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord) = 1), p AS (SELECT * FROM prev QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord) = 1),
@@ -382,15 +383,15 @@ j AS (SELECT coalesce(n.url, p.url) AS url, n.url IS NOT NULL AS arrived, p.url
 CASE WHEN n.url IS NOT NULL AND p.url IS NOT NULL AND n.date_unknown AND NOT p.date_unknown THEN false WHEN n.url IS NOT NULL THEN n.date_unknown ELSE p.date_unknown OR abs(epoch(p.published_at) - epoch(p.first_seen)) < 120 END AS date_unknown,
 coalesce(p.first_seen, n.first_seen) AS first_seen, coalesce(n.ord, p.ord) AS ord FROM n FULL JOIN p ON n.url = p.url)
 SELECT url, ord, strftime(published_at, '%Y-%m-%d %H:%M') AS published_at, date_unknown, strftime(first_seen, '%Y-%m-%d %H:%M') AS first_seen, arrived AND NOT stored AS is_new FROM j WHERE published_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY""")
-def j01(spark, d):
-    prev, new = (history.first_per_key(x, ["url"], F.col("ord")) for x in _split(spark, d))
+def j01(spark, d, all_rows=False):
+    prev, new = (history.first_per_key(x, ["url"], F.col("ord")) for x in _split(spark, d, all_rows))
     show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
     return history.merge_articles(prev, new, run_ts()).select("url", "ord", show("published_at"), "date_unknown", show("first_seen"), "is_new")
 
 
 @query("j02_restore_annotations", _SPLIT + ", c AS (SELECT url, arg_min(entities, ord) AS e FROM prev WHERE llm_enriched GROUP BY url) SELECT new.ord, array_to_string(CASE WHEN new.ord % 2 = 1 THEN new.entities ELSE c.e END, ',') AS entities FROM new LEFT JOIN c USING (url)")
-def j02(spark, d):
-    prev, new = _split(spark, d)
+def j02(spark, d, all_rows=False):
+    prev, new = _split(spark, d, all_rows)
     cache = history.first_per_key(prev.where("llm_enriched"), ["url"], F.col("ord")).withColumn("ner_only", F.lit(False))
     bare = new.withColumn("entities", F.when(F.col("ord") % 2 == 1, F.col("entities")))
     return history.restore_annotations(bare, cache, ("entities",)).select("ord", F.array_join("entities", ",").alias("entities"))
@@ -419,9 +420,10 @@ def u01(spark, d):
 
 
 @query("u02_merge_bookmarks", "WITH a AS (SELECT doc_id AS key, doc_id % 13 AS saved_at FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS key, doc_id % 11 AS saved_at FROM documents WHERE doc_id % 3 = 0) SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL OR b.saved_at > a.saved_at THEN b.saved_at ELSE a.saved_at END AS saved_at, CASE WHEN a.key IS NULL OR b.saved_at > a.saved_at THEN 'b' ELSE 'a' END AS side FROM a FULL JOIN b ON a.key = b.key")
-def u02(spark, d):
+def u02(spark, d, all_rows=False):
     i = table(spark, d, "documents").select(F.col("doc_id").alias("key"))
-    return history.merge_bookmarks(i.where("key % 2 = 0").withColumn("saved_at", F.col("key") % 13), i.where("key % 3 = 0").withColumn("saved_at", F.col("key") % 11))
+    a, b = (i, i) if all_rows else (i.where("key % 2 = 0"), i.where("key % 3 = 0"))
+    return history.merge_bookmarks(a.withColumn("saved_at", F.col("key") % 13), b.withColumn("saved_at", F.col("key") % 11))
 
 
 @query("u03_apply_toggles", "SELECT user_id AS key, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS saved_at FROM events GROUP BY user_id HAVING count(*) % 2 = 1")
@@ -496,3 +498,5 @@ def a02s(spark, d):
 
 
 _R.whole("p01_relevance_gate", "p02_pr_verdict", "p06_revalidate", "p08_needs_annotation", "p09_agenda", "p10_annotation_route", "c01_categorise", "c02_importance_score", "c09_staged_score", "a04_bucket_strengths", "w03_top_per_period", "j09_force_include", "j10_duplicate_pairs", "a01_connected_components", "a02_collapse_clusters")
+_R.all_rows((" WHERE ord % 3 = 0", " WHERE ord % 2 = 0"), "j01_merge_articles", "j02_restore_annotations")
+_R.all_rows((" WHERE doc_id % 2 = 0", " WHERE doc_id % 3 = 0"), "u02_merge_bookmarks")

@@ -31,6 +31,16 @@ class Registry:
 
         return add
 
+    def all_rows(self, filters: tuple[str, ...], *names: str):
+        """Each query once more without its filters by id, with ``a`` after its number; ``filters`` are their texts in its SQL."""
+        for name in names:
+            head, rest = name.split("_", 1)
+            sql = self.SQL[name]
+            for f in filters:
+                assert f in sql
+                sql = sql.replace(f, "")
+            self.query(f"{head}a_{rest}", sql)(partial(self.QUERIES[name], all_rows=True))
+
     def whole(self, *names: str):
         """Each query once more over whole texts, with ``w`` after its number, and its SQL without the cut."""
         for name in names:

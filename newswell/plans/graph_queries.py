@@ -191,38 +191,38 @@ cards AS (SELECT doc_id AS ord, source AS key, lang AS tag, string_split(coalesc
 """
 
 
-def _cards(spark, d):
+def _cards(spark, d, all_rows=False):
     a = articles(spark, d)
     ranked = history.top_n_per(a, ["source"], 30, F.desc("score"), F.col("ord")).select(F.lit("daily").alias("period"), F.col("source").alias("key"), "ord", "url", "title", "rank")
     i = F.col("doc_id")
-    cards = table(spark, d, "documents").where("doc_id % 5 = 0").select(F.lit("daily").alias("period"), F.col("source").alias("key"), i.alias("ord"), F.col("lang").alias("tag"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), F.col("text").alias("body"), F.when(i % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(i % 40, i % 7 + 1, F.lit(2).cast("bigint"))).alias("sources"))
+    cards = table(spark, d, "documents").where(F.lit(all_rows) | (i % 5 == 0)).select(F.lit("daily").alias("period"), F.col("source").alias("key"), i.alias("ord"), F.col("lang").alias("tag"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), F.col("text").alias("body"), F.when(i % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(i % 40, i % 7 + 1, F.lit(2).cast("bigint"))).alias("sources"))
     return cards, ranked
 
 
 @query("j05_resolve_citations", _CARDS + ", c AS (SELECT ord, key, unnest(sources) AS rank, generate_subscripts(sources, 1) - 1 AS place FROM cards WHERE len(sources) > 0) SELECT c.ord, c.place::INT AS place, url, substring(title, 1, 140) AS title FROM c JOIN ranked r ON r.key = c.key AND r.rank = c.rank")
-def j05(spark, d):
-    return reports.resolve_citations(*_cards(spark, d)).select("ord", "place", "url", "title")
+def j05(spark, d, all_rows=False):
+    return reports.resolve_citations(*_cards(spark, d, all_rows)).select("ord", "place", "url", "title")
 
 
 @query("j06_fallback_citations", _CARDS + ", w AS (SELECT key, rank, url, list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda w: length(w) > 3)[1:10] AS words FROM ranked), j AS (SELECT c.ord, w.rank, w.url FROM cards c JOIN w USING (key) WHERE len(sources) = 0 AND len(list_filter(words, lambda w: contains(lower(concat_ws(' ', tag, title, body)), w))) >= 3) SELECT ord, row_number() OVER (PARTITION BY ord ORDER BY rank) AS place, url FROM j QUALIFY place <= 5")
-def j06(spark, d):
-    return reports.fallback_citations(*_cards(spark, d)).select("ord", "place", "url")
+def j06(spark, d, all_rows=False):
+    return reports.fallback_citations(*_cards(spark, d, all_rows)).select("ord", "place", "url")
 
 
 @query("j07_attach_papers", _CARDS + ", c AS (SELECT ord, key, unnest(sources[1:8]) AS rank FROM cards WHERE len(sources) > 0) SELECT c.ord, count(DISTINCT (c.rank)) AS paper_count FROM c JOIN ranked r ON r.key = c.key AND r.rank = c.rank GROUP BY c.ord")
-def j07(spark, d):
-    return reports.resolve_citations(*_cards(spark, d), most=8).groupBy("ord").agg(F.count_distinct("rank").alias("paper_count"))
+def j07(spark, d, all_rows=False):
+    return reports.resolve_citations(*_cards(spark, d, all_rows), most=8).groupBy("ord").agg(F.count_distinct("rank").alias("paper_count"))
 
 
 @query("j08_uncited_items", _CARDS + ", c AS (SELECT key, unnest(sources) AS rank FROM cards WHERE len(sources) > 0) SELECT ord FROM ranked WHERE url NOT IN (SELECT url FROM c JOIN ranked r ON r.key = c.key AND r.rank = c.rank)")
-def j08(spark, d):
-    cards, ranked = _cards(spark, d)
+def j08(spark, d, all_rows=False):
+    cards, ranked = _cards(spark, d, all_rows)
     return ranked.join(reports.resolve_citations(cards, ranked).select("url"), "url", "left_anti").select("ord")
 
 
 @query("j20_persona_coverage", _CARDS + ", c AS (SELECT key, unnest(sources) AS rank FROM cards WHERE len(sources) > 0), cited AS (SELECT DISTINCT url FROM c JOIN ranked r ON r.key = c.key AND r.rank = c.rank) SELECT source, count(*) AS n_high, count_if(url IN (SELECT url FROM cited))::BIGINT AS n_cited FROM articles WHERE persona_score >= 8 GROUP BY source")
-def j20(spark, d):
-    cited = reports.resolve_citations(*_cards(spark, d)).select("url").distinct().withColumn("cited", F.lit(True))
+def j20(spark, d, all_rows=False):
+    cited = reports.resolve_citations(*_cards(spark, d, all_rows)).select("url").distinct().withColumn("cited", F.lit(True))
     return articles(spark, d).where("persona_score >= 8").join(cited, "url", "left").groupBy("source").agg(F.count("*").alias("n_high"), F.count_if(F.col("cited").isNotNull()).alias("n_cited"))
 
 
@@ -256,3 +256,4 @@ def w11(spark, d):
 
 
 _R.whole("j12_entity_mentions", "a05_entity_rollup", "a07_auto_entities", "a08_type_counts", "a23_effective_mentions", "a12_institution_counts")
+_R.all_rows((" WHERE doc_id % 5 = 0",), "j05_resolve_citations", "j06_fallback_citations", "j07_attach_papers", "j08_uncited_items", "j20_persona_coverage")

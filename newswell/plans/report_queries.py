@@ -110,11 +110,11 @@ def j16(spark, d):
 
 
 @query("j19_expand_selection", ARTICLES + "SELECT url, min(ord) AS ord FROM (SELECT url, ord FROM articles WHERE ord % 40 = 0 UNION ALL SELECT url, ord FROM articles WHERE source IN (SELECT source FROM articles WHERE ord = 3) AND ord % 3 = 0) WHERE url <> '' GROUP BY url")
-def j19(spark, d):
+def j19(spark, d, all_rows=False):
     a = articles(spark, d)
     card = a.where("ord = 3").select("source")
-    cited = a.where("ord % 3 = 0").join(card, "source", "left_semi")
-    return a.where("ord % 40 = 0").select("url", "ord").unionByName(cited.select("url", "ord")).where("url <> ''").groupBy("url").agg(F.min("ord").alias("ord"))
+    cited = a.where(F.lit(all_rows) | (F.col("ord") % 3 == 0)).join(card, "source", "left_semi")
+    return a.where(F.lit(all_rows) | (F.col("ord") % 40 == 0)).select("url", "ord").unionByName(cited.select("url", "ord")).where("url <> ''").groupBy("url").agg(F.min("ord").alias("ord"))
 
 
 _SEARCH = "len(list_filter(['leaux', 'inger'], lambda k: contains(lower(concat_ws(' ', title, summary, source, array_to_string(categories, ' '))), k))) > 0"
@@ -286,3 +286,4 @@ def t03(spark, d):
 
 
 _R.whole("p17_search")
+_R.all_rows((" WHERE ord % 40 = 0", " AND ord % 3 = 0"), "j19_expand_selection")

@@ -174,3 +174,13 @@ def test_clusters_by_sequence(spark, tmp_path):
     q = catalog.queries()
     assert {tuple(r) for r in q["a01s_components_by_sequence"](spark, str(tmp_path)).collect()} == {(30, 30), (61, 30), (91, 91)}
     assert sorted((r["ord"], r["related_count"]) for r in q["a02s_clusters_by_sequence"](spark, str(tmp_path)).collect()) in ([(30, 1), (91, 0)], [(61, 1), (91, 0)])
+
+
+def test_cards_of_all_documents_are_resolved(spark, tmp_path):
+    from newswell.plans import catalog
+
+    rows = [(i, f"title {i}", "en", "s", 9) for i in (1, 2, 4, 7, 8, 11)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    q = catalog.queries()
+    assert q["j05_resolve_citations"](spark, str(tmp_path)).count() == 0
+    assert {r["ord"] for r in q["j05a_resolve_citations"](spark, str(tmp_path)).collect()} == {1, 2, 4, 7, 8, 11}
