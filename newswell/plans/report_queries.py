@@ -208,6 +208,12 @@ def s06(spark, d):
     return payloads.open_graph(table(spark, d, "pages")).select("page_id", payloads.raw_title(F.col("html")).alias("title"))
 
 
+# The operator's own columns, which the SQL of s06 doesn't have.
+@query("s06t_open_graph_tags")
+def s06t(spark, d):
+    return payloads.open_graph(table(spark, d, "pages")).select("page_id", "og_title", "og_description")
+
+
 @query("s12_bookmark_rows", "SELECT 'i' || doc_id AS key, quality::BIGINT AS saved_at FROM labels")
 def s12(spark, d):
     line = F.concat(F.lit('{"items":{"i'), "doc_id", F.lit('":{"savedAt":'), "quality", F.lit("}}}"))

@@ -184,3 +184,11 @@ def test_cards_of_all_documents_are_resolved(spark, tmp_path):
     q = catalog.queries()
     assert q["j05_resolve_citations"](spark, str(tmp_path)).count() == 0
     assert {r["ord"] for r in q["j05a_resolve_citations"](spark, str(tmp_path)).collect()} == {1, 2, 4, 7, 8, 11}
+
+
+def test_open_graph_query_gives_the_tags(spark, tmp_path):
+    from newswell.plans import catalog
+
+    html = '<title>plain</title><meta property="og:title" content="A &amp; B"><meta property="og:description" content="told">'
+    spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in catalog.queries()["s06t_open_graph_tags"](spark, str(tmp_path)).collect()] == [(1, "A & B", "told")]
