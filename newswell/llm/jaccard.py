@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newswell.llm.graph import components
@@ -101,8 +101,13 @@ def segment_keys(grams: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
+def row_key() -> Column:
+    """Key of a row by id and text, where an id may be null or stand for several texts. Rows alike in both share it."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+
+
 def _node_rows(docs: DataFrame, n: int, bands: Bands, kind: str) -> DataFrame:
-    """``doc_id, node, n_shingles, keys`` of each row; no node where there is no word."""
+    """``doc_id, row_key, node, n_shingles, keys`` of each row; no node where there is no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,9 +123,9 @@ def _node_rows(docs: DataFrame, n: int, bands: Bands, kind: str) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 nodes = pa.array(np.array(nodes, np.uint64).view(np.int64), mask=sizes == 0)
                 flat = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, step.docs), nodes, pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["doc_id", "node", "n_shingles", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, step.docs), batch.column(2).slice(row, step.docs), nodes, pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["doc_id", "row_key", "node", "n_shingles", "keys"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, row_key long, node long, n_shingles long, keys array<long>")
 
 
 def tile_links(sets: list[np.ndarray], known: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -178,9 +183,9 @@ def _compare(dealt: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``wanted`` rows (``doc_id, node, ...``, one a node) with the sets of their documents as bytes."""
-    rest = [c for c in wanted.columns if c not in ("doc_id", "node")]
-    joined = docs.join(small_side(wanted, 64, BROADCAST_BYTES), "doc_id").select("text", "node", *rest)
+    """``wanted`` rows (``row_key, node, ...``, one a node) with the sets of their documents as bytes."""
+    rest = [c for c in wanted.columns if c not in ("row_key", "node")]
+    joined = docs.join(small_side(wanted, 64, BROADCAST_BYTES), "row_key").select("text", "node", *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +194,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 own = batch.slice(row, step.docs)
                 right = np.array([len(g) > 0 and int(set_hash(g).astype(np.int64)) == v for g, v in zip(grams, own.column(1).to_pylist())], bool)
                 out = pa.RecordBatch.from_arrays([*own.columns[1:], pa.array([g.tobytes() for g in grams], pa.binary())], names=["node", *rest, "grams"])
-                yield out.filter(pa.array(right))  # another row of the same doc_id may hold another text
+                yield out.filter(pa.array(right))  # another text may share a key
 
     return joined.mapInArrow(run, ", ".join(["node long", *(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in rest), "grams binary"]))
 
@@ -203,16 +208,22 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     nothing. Equal rows, and rows with equal ``doc_id``, each give a row. A null
     ``doc_id`` counts as larger than any other. An empty table gives an empty result.
     """
-    docs = clean_names(docs, "doc_id", "text")
+    return _row_groups(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _row_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The columns of ``similar_groups``, with each row's ``row_key`` and that of its group's first row (least ``doc_id``, then key) as ``first_key``, null without words."""
+    docs = clean_names(docs, "doc_id", "text").withColumn("row_key", row_key())
     kind = docs.schema["doc_id"].dataType.simpleString()
     bands = Bands(percent)
     rows = _node_rows(docs, n, bands, kind)
     rows = stored(rows, "jaccard-rows")
     worded = rows.where("node IS NOT NULL")
-    nodes = stored(worded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")), "jaccard-nodes")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    nodes = stored(worded.groupBy("node").agg(F.min(place).alias("x"), F.max("n_shingles").alias("size")).select("node", "x.doc_id", "x.row_key", "size"), "jaccard-nodes")
 
     # Families: all nodes that share keys, through the least node of each key.
-    keyed = worded.join(small_side(nodes.select(F.col("node").alias("own"), F.col("doc_id").alias("first")), 32), (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", F.explode("keys").alias("key"))
+    keyed = worded.join(small_side(nodes.select(F.col("node").alias("own"), F.col("row_key").alias("first")), 32), (F.col("node") == F.col("own")) & (F.col("row_key") == F.col("first"))).select("node", F.explode("keys").alias("key"))
     hub = F.min("node").over(Window.partitionBy("key"))
     pairs = keyed.withColumn("hub", hub).where("node <> hub").select("node", "hub").distinct()
     families = stored(components(pairs, "node", "hub").withColumnRenamed("component", "family"), "jaccard-families")
@@ -228,13 +239,13 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     big = big.join(dealt, ["family", "band"]).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.col("salts")).cast("int"))
     big = stored(big, "jaccard-big")
     tile_of = lambda *c: F.xxhash64(*c)
-    small = members.where(fits).select("doc_id", "node", F.array(tile_of("family")).alias("tiles"), F.col("node").alias("known"))
+    small = members.where(fits).select("row_key", "node", F.array(tile_of("family")).alias("tiles"), F.col("node").alias("known"))
     plain = tile_of("family", "band", "salt")
     below = big.groupBy("family", F.col("band").alias("below")).agg(F.max("salts").alias("salts_below"))
     pivots = big.withColumn("below", F.col("band") - 1).join(below, ["family", "below"], "left")
     others = lambda band, salts: F.transform(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1), lambda s: F.xxhash64("family", band, s))
     everywhere = F.array_distinct(F.concat(F.array(plain), F.when(F.col("node") == F.col("pivot"), F.concat(others(F.col("band"), F.col("salts")), F.when(F.col("salts_below").isNotNull(), others(F.col("below"), F.col("salts_below"))).otherwise(F.array().cast("array<long>")))).otherwise(F.array().cast("array<long>"))))
-    first = small.unionByName(pivots.select("doc_id", "node", everywhere.alias("tiles"), F.col("node").alias("known")))
+    first = small.unionByName(pivots.select("row_key", "node", everywhere.alias("tiles"), F.col("node").alias("known")))
     first = stored(first, "jaccard-tiles")
     links = stored(_compare(_with_sets(docs, first, n).withColumn("tile", F.explode("tiles")).drop("tiles"), percent), "jaccard-links")
     linked = stored(components(links), "jaccard-linked")
@@ -253,26 +264,36 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             near = near.select("family", "b1", "s1", "b2", "s2", F.xxhash64("family", "b1", "s1", "b2", "s2").alias("tile"))
             sides = near.select("family", F.col("b1").alias("band"), F.col("s1").alias("salt"), "tile").unionByName(near.select("family", F.col("b2").alias("band"), F.col("s2").alias("salt"), "tile")).distinct()
             tiles = sides.groupBy("family", "band", "salt").agg(F.collect_set("tile").alias("tiles"))
-            second = stored(state.join(tiles, ["family", "band", "salt"]).select("doc_id", "node", "tiles", "known"), "jaccard-second")
+            second = stored(state.join(tiles, ["family", "band", "salt"]).select("row_key", "node", "tiles", "known"), "jaccard-second")
             more = _compare(_with_sets(docs, second, n).withColumn("tile", F.explode("tiles")).drop("tiles"), percent)
             bridges = second.where("known <> node").select(F.col("node").alias("a"), F.col("known").alias("b"))
             linked = stored(components(links.unionByName(more).unionByName(bridges)), "jaccard-linked")
 
     named = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = stored(named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("node", "component_id"), "jaccard-names")
-    out = rows.select("doc_id", "n_shingles", "node").join(small_side(names, 32), "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    firsts = named.groupBy("component").agg(F.min(place).alias("x")).select("component", F.col("x.doc_id").alias("component_id"), F.col("x.row_key").alias("first_key"))
+    names = stored(named.select("node", "component").join(firsts, "component").select("node", "component_id", "first_key"), "jaccard-names")
+    out = rows.select("doc_id", "row_key", "n_shingles", "node").join(small_side(names, 40), "node", "left")
+    return out.select("doc_id", "row_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "first_key")
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near copies, that with the least ``doc_id``, with the columns of ``docs``.
 
-    Of rows that share this ``doc_id`` one stays as well; rows without words are no copies and all stay.
+    Rows are told apart by id and text: of texts that share an id, only those that are near copies of
+    another row go, and of repeated rows one stays. Rows without words are no copies and all stay.
     """
-    groups = stored(similar_groups(docs, n, percent), "jaccard-groups")
-    gone = stored(groups.where("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("least")).where("least <> doc_id").select("doc_id"), "jaccard-gone")
-    kept = docs.join(small_side(gone, 16), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    return kept
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    groups = stored(_row_groups(docs, n, percent).where("n_shingles > 0").select(F.col("row_key").alias(key), "first_key"), "jaccard-groups")
+    gone = stored(groups.where(F.col(key) != F.col("first_key")).select(key).distinct(), "jaccard-gone")
+    again = stored(groups.where(F.col(key) == F.col("first_key")).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "jaccard-again")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.withColumn(key, row_key()).join(small_side(gone, 16), key, "left_anti")
+    if not again.limit(1).count():
+        return kept.select(*columns)
+    again = small_side(again, 16)
+    return kept.join(again, key, "left_anti").select(*columns).unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]).select(*columns))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

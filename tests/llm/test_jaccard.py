@@ -82,3 +82,12 @@ def test_one_of_each_group_stays(documents, clashing):
 def test_empty(documents):
     assert jaccard.similar_groups(documents([])).count() == 0
     assert jaccard.drop_near_copies(documents([])).count() == 0
+
+
+def test_rows_without_or_with_shared_ids_are_decided_by_themselves(documents):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    near = lambda k: text(k) + " more"
+    rows = [(None, text("a")), (None, near("a")), (1, text("b")), (5, near("b")), (5, text("c")), (7, text("d")), (7, text("d"))]
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in jaccard.drop_near_copies(documents(rows), 5, 80).collect())
+    assert len([k for k in kept if k[0] == -1]) == 1
+    assert kept[1:] == [(1, text("b")), (5, text("c")), (7, text("d"))]
