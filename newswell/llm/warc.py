@@ -59,7 +59,8 @@ class Writer:
     def __init__(self, path: str):
         store, name = pafs.FileSystem.from_uri(path)
         store.create_dir(os.path.dirname(name), recursive=True)
-        self.out, self.path, self.waiting, self.size, self.n, self.written, self.compress = store.open_output_stream(name), path, [], 0, 0, 0, None
+        # Without ``compression=None`` the stream would be wrapped in another Zstandard frame because of its name.
+        self.out, self.path, self.waiting, self.size, self.n, self.written, self.compress = store.open_output_stream(name, compression=None), path, [], 0, 0, 0, None
 
     def add(self, data: bytes) -> None:
         self.n += 1
@@ -81,49 +82,51 @@ class Writer:
 
         try:
             trained = zstandard.train_dictionary(DICTIONARY_BYTES, self.waiting)
-        except (zstandard.ZstdError, ValueError, MemoryError):  # too few or too small samples: the archive has no dictionary
-            trained = None
-        if trained:
-            content = zstandard.ZstdCompressor(level=3).compress(trained.as_bytes())
-            self.out.write(struct.pack("<II", SKIPPABLE, len(content)) + content)
-        self.compress = zstandard.ZstdCompressor(level=3, **({"dict_data": trained} if trained else {})).compress
+        except (zstandard.ZstdError, ValueError):  # too few or too small samples to train from: they are the dictionary themselves
+            trained = zstandard.ZstdCompressionDict(b"".join(self.waiting)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content = zstandard.ZstdCompressor(level=3).compress(trained.as_bytes())
+        self.out.write(struct.pack("<II", SKIPPABLE, len(content)) + content)
+        self.written += 8 + len(content)
+        self.compress = zstandard.ZstdCompressor(level=3, dict_data=trained, write_checksum=True).compress
         for data in self.waiting:
             self._write(data)
         self.waiting = []
 
     def close(self) -> None:
-        if not self.compress:
+        if not self.compress and self.waiting:
             self._begin()
         self.out.close()
 
 
 def frames(path: str) -> Iterator[bytes]:
-    """The content of each record's frame, one decoded at a time."""
+    """The content of each record's frame, one decoded at a time. A file without the leading dictionary, or that ends within a frame, is refused."""
     import zstandard
 
     store, name = pafs.FileSystem.from_uri(path)
-    with store.open_input_stream(name) as f:
-        data, trained = f.read(8), None
-        if len(data) == 8 and struct.unpack("<I", data[:4])[0] == SKIPPABLE:
-            content = f.read(struct.unpack("<I", data[4:])[0])
-            if content[:4] == FRAME:
-                content = zstandard.ZstdDecompressor().decompress(content)
-            trained = zstandard.ZstdCompressionDict(content)
-            data = b""
-        decoder = zstandard.ZstdDecompressor(**({"dict_data": trained} if trained else {}))
-        frame, parts = decoder.decompressobj(), []
+    with store.open_input_stream(name, compression=None) as f:
+        head = f.read(8)
+        if len(head) < 8 or struct.unpack("<I", head[:4])[0] != SKIPPABLE:
+            raise ValueError(f"{path}: no dictionary leads the archive")
+        size = struct.unpack("<I", head[4:])[0]
+        content = f.read(size)
+        if len(content) < size:
+            raise ValueError(f"{path}: the dictionary is cut off")
+        if content[:4] == FRAME:
+            content = zstandard.ZstdDecompressor().decompress(content)
+        decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))
+        frame, parts, begun, data = decoder.decompressobj(), [], False, b""
         while True:
+            data = data or f.read(1 << 20)
             if not data:
-                data = f.read(1 << 20)
-                if not data:
-                    break
+                break
+            begun = True
             parts.append(frame.decompress(data))
             data = b""
             if frame.eof:
                 data = frame.unused_data
                 yield b"".join(parts)
-                frame, parts = decoder.decompressobj(), []
-        if any(parts):
+                frame, parts, begun = decoder.decompressobj(), [], False
+        if begun:
             raise ValueError(f"{path}: the last frame is cut off")
 
 
@@ -166,7 +169,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     empty payload; a null ``page_id`` comes after all others and, alone with its
     payload, is a response. Archives follow the partitions of ``pages``.
     """
-    pages = clean_names(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("__key", F.sha2("html", 256))
+    pages = clean_names(pages, "page_id", "url", "html").withColumns({"page_id": F.col("page_id").cast("bigint"), "html": F.coalesce("html", F.lit(""))}).withColumn("__key", F.sha2("html", 256))
     least = pages.groupBy("__key").agg(F.min("page_id").alias("__least"), F.count("*").alias("__n")).where("__n > 1").select("__key", "__least")
     least = stored(least, "warc-equal")
     joined = pages.join(small_side(least, 120), "__key", "left")
@@ -197,7 +200,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """``page_id, url, record_type, refers_to, payload_bytes, payload_digest`` and, if wanted, ``payload`` of all records.
 
-    A record that breaks the format, or whose length or digest is wrong, stops the read.
+    A record that breaks the format, or whose length or digest is wrong, stops the read; so does
+    an archive with fewer or more records than the manifest says, as after a cut between two frames.
     """
     n = max(1, manifest.count())
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *["payload"] * payloads]
@@ -206,24 +210,26 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda x: int(x) if x else None
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                rows, size = [], 0
+            for path, told in zip(*(c.to_pylist() for c in batch.columns)):
+                rows, size, seen = [], 0, 0
 
                 def out():
                     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
                 for data in frames(path):
-                    x = parse(data)
+                    x, seen = parse(data), seen + 1
                     h = x["headers"]
                     rows.append((number(h.get("warc-page-id")), h.get("warc-target-uri"), h["warc-type"], number(h.get("warc-refers-to-page-id")), x["payload_bytes"], x["payload_digest"], *[x["payload"]] * payloads))
                     size += len(x["payload"]) if payloads else 200
                     if size > 4 << 20:
                         yield out()
                         rows, size = [], 0
+                if seen != told:
+                    raise ValueError(f"{path}: {seen} records instead of {told}")
                 if rows:
                     yield out()
 
-    return manifest.select("path").repartition(n).mapInArrow(read, ", ".join(f"{c} {'binary' if c == 'payload' else 'long' if t == pa.int64() else 'string'}" for c, t in zip(names, kinds)))
+    return manifest.select("path", "n_records").repartition(n).mapInArrow(read, ", ".join(f"{c} {'binary' if c == 'payload' else 'long' if t == pa.int64() else 'string'}" for c, t in zip(names, kinds)))
 
 
 def op9_warc_zstd(spark, sf_dir: str) -> DataFrame:
