@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,10 +34,15 @@ from newswell.llm.shared import clean_names, scratch, stored
 MAGIC = b"NWELLTOK"
 BLOCK_IDS = 1 << 14
 END_ID = 2
-#: Documents, about, in one file.
-FILE_ROWS = 8192
-#: Words, at most, of which a Python worker remembers the ids; when full it starts anew.
+#: Documents, about, in one file, and the most files; beyond that many, files grow instead.
+FILE_ROWS, MOST_FILES = 8192, 1 << 14
+#: Words, at most, of which a Python worker remembers the ids; the half not asked for lately goes first.
 CACHE_WORDS = 350_000
+#: Bytes of text that are encoded as one column; a longer document is a column of its own.
+COLUMN_BYTES = 8 << 20
+#: Closing punctuation that is looked up apart from its word; letters of such words (those of Latin-1).
+CLOSING = ".,;:!?"
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
 
 
 def bits_for(vocabulary: int) -> int:
@@ -137,60 +143,132 @@ class Reader:
         self.file.close()
 
 
-class _Kept(dict):
-    """A dictionary of at most ``CACHE_WORDS`` results that asks ``make`` for those it lacks; when full it starts anew."""
+class _Kept:
+    """Results of ``make`` for at most ``CACHE_WORDS`` words, in two halves: when the newer is full, the older goes."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.new, self.old = make, {}, {}
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[key] = value = self.make(key)
-        return value
+    def __call__(self, keys: list[str]) -> list[bytes]:
+        out = list(map(self.new.get, keys))
+        for k, value in enumerate(out):
+            if value is None:
+                key = keys[k]
+                value = self.old.get(key)
+                out[k] = value = self.make(key) if value is None else value
+                if len(self.new) >= CACHE_WORDS // 2:
+                    self.new, self.old = {}, self.new
+                self.new[key] = value
+        return out
 
 
-class Encoder:
-    """Ids of texts by the ``tokenizers`` library, remembering the ids of parts between blanks.
+def splits_at_blanks(settings: dict) -> bool:
+    """Whether a tokenizer lower-cases, drops white space, never joins across it, and takes letters, closing marks and the rest apart.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its parts between blanks and newlines, one after the other. A part of
-    Latin-1 letters and closing punctuation is looked up as lower-cased letters
-    and punctuation, which the tokenizer lower-cases and splits in the same way;
-    any other part goes through the whole tokenizer.
+    Read from its own settings: only then are a text's ids those of its parts between blanks.
+    """
+    normalizers = (settings.get("normalizer") or {}).get("normalizers") or []
+    splitters = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = settings["model"]
+    if [x["type"] for x in normalizers] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in splitters] != ["Split", "ByteLevel"]:
+        return False
+    words, to_bytes = splitters
+    return (
+        normalizers[1]["pattern"] == {"Regex": r"\s+"}
+        and normalizers[1]["content"] == " "
+        and words["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        and (words["behavior"], words["invert"]) == ("Removed", True)
+        and not to_bytes["add_prefix_space"]
+        and not to_bytes["use_regex"]
+        and model["type"] == "BPE"
+        and not model.get("dropout")
+        and settings.get("truncation") is None
+        and settings.get("padding") is None
+        and all(not any(c.isspace() for c in t["content"]) and any(not c.isalpha() and c not in CLOSING for c in t["content"]) for t in settings["added_tokens"])
+    )
+
+
+class Encoder:
+    """Ids of whole columns of texts by the ``tokenizers`` library.
+
+    Where the tokenizer's settings allow it, a column is cut at blanks and newlines
+    and dictionary-encoded, so that each different part is encoded once, and ids are
+    gathered by the parts' numbers. A part of Latin-1 letters and closing punctuation
+    is looked up as lower-cased letters and punctuation, which the tokenizer
+    lower-cases and splits in the same way; any other part goes through the whole
+    tokenizer. Texts of tokenizers with other settings go through it as they are.
     """
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_parts = splits_at_blanks(json.loads(self.tokenizer.to_str()))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         # The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256.
         own = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in own)}
-        self.parts, self.stems, self.tails = _Kept(self._part), _Kept(self._stem), _Kept(self._any)
+        self.stems, self.others = _Kept(self._stem), _Kept(self._any)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, f"<u{self.width}").tobytes()
 
     def _any(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b""
 
     def _stem(self, stem: str) -> bytes:
         """Ids of one lower-cased word: the tokenizer's model, given the word's bytes in its alphabet."""
         word = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.alphabet)
         return self._bytes([t.id for t in self.model.tokenize(word)])
 
-    def _part(self, part: str) -> bytes:
-        stem = part.rstrip(".,;:!?")
-        if stem.isalpha() and (stem.isascii() or max(stem) < "Ā"):
-            return self.stems[stem.lower()] + self.tails[part[len(stem) :]] if len(stem) < len(part) else self.stems[stem.lower()]
-        return self._any(part) if part else b""
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.parts.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different parts: all ids, and each part's first one and their number."""
+        stem = pc.utf8_rtrim(parts, CLOSING)
+        simple = pc.match_substring_regex(stem, f"^[{LETTERS}]+$")
+        plain, odd = np.flatnonzero(np.asarray(simple)), np.flatnonzero(~np.asarray(simple))
+        stems = pc.utf8_lower(stem.filter(simple)).dictionary_encode()
+        tails = pc.utf8_ltrim(parts.filter(simple), LETTERS).dictionary_encode()
+        known = [b"", *self.stems(stems.dictionary.to_pylist()), *self.others(tails.dictionary.to_pylist()), *self.others(parts.take(pa.array(odd)).to_pylist())]
+        units = np.zeros((len(parts), 2), np.int64)
+        units[plain, 0] = 1 + np.asarray(stems.indices)
+        units[plain, 1] = 1 + len(stems.dictionary) + np.asarray(tails.indices)
+        units[odd, 0] = 1 + len(stems.dictionary) + len(tails.dictionary) + np.arange(len(odd))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.width
+        ids, ends = gather(np.frombuffer(b"".join(known), f"<u{self.width}"), np.cumsum(size) - size, size, units.ravel())
+        ends = ends[1::2]
+        return ids, np.concatenate([[0], ends[:-1]])[: len(ends)], np.diff(ends, prepend=0)
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column without nulls, one after the other, and where each text's begin, with the end; ``end_id`` closes each text."""
+        kind = f"<u{self.width}"
+        if not self.by_parts:
+            more = [] if end_id is None else [end_id]
+            lists = [x.ids + more for x in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for x in lists for i in x], kind), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        parts = lists.flatten().dictionary_encode()
+        at = np.asarray(lists.offsets).astype(np.int64)
+        number, at = np.asarray(parts.indices), at - at[0]
+        ids, first, size = self._parts(parts.dictionary)
+        if end_id is not None:  # the end is one more part of each text
+            number = np.insert(number, at[1:], len(first))
+            at = at + np.arange(len(at))
+            ids, first, size = np.append(ids, np.array(end_id, kind)), np.append(first, len(ids)), np.append(size, 1)
+        ids, ends = gather(ids, first, size, number)
+        return ids, np.concatenate([[0], ends])[at]
+
+
+def gather(ids: np.ndarray, first: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ids that ``number`` lists, one after the other, and where each ends."""
+    sizes = size[number]
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    take = np.repeat((first[number] - ends + sizes).astype(np.int32 if len(ids) + total < 1 << 31 else np.int64), sizes)
+    take += np.arange(total, dtype=take.dtype)
+    return ids[take], ends
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -207,11 +285,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
 
     Returns the stored manifest ``file, path, n_docs, n_tokens``, a row a file. Null
     texts are empty and have the end id alone; null ids come first; rows with equal
-    ids stand together in any order. A task that runs again writes another file, and
-    the manifest names those that count.
+    ids stand together in any order. ``doc_id`` is an integer (a string of digits is
+    taken as one). A text of any length is one row, whose ids Spark's limit of 2 GB a
+    row must hold. A task that runs again writes another file, and the manifest names
+    those that count. An empty table gives no file.
     """
-    docs = clean_names(docs, "doc_id", "text")
-    n_files = max(1, math.ceil(docs.count() / file_rows))
+    docs = clean_names(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    n_files = min(MOST_FILES, max(1, math.ceil(docs.count() / file_rows)))
     cuts = docs.stat.approxQuantile("doc_id", [k / n_files for k in range(1, n_files)], 0.2 / n_files) if n_files > 1 else []
     cuts = np.unique(np.array(cuts, np.int64))
     reader = encoder(tokenizer)
@@ -221,13 +301,24 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
         from newswell.llm.bitpack import encoder as mine
 
         e = mine(tokenizer)
-        end = np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids = [x + end for x in e.encode(part.column(1).fill_null("").to_pylist())]
-                file = np.searchsorted(cuts, np.asarray(part.column(0).fill_null(np.iinfo(np.int64).min)), "right")
-                yield pa.RecordBatch.from_arrays([pa.array(file.astype(np.int32)), part.column(0), pa.array(ids, pa.binary())], names=["file", "doc_id", "ids"])
+            sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(1)).fill_null(0)).astype(np.int64))
+            k = 0
+            while k < batch.num_rows:
+                to = max(k + 1, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + COLUMN_BYTES, "right")))
+                part = batch.slice(k, to - k)
+                k = to
+                ids, at = e.encode(part.column(1).fill_null(""), end_id)
+                # Spark's batches address binary data by 32 bits, so rows leave in as many batches as that needs.
+                low = 0
+                while low < len(at) - 1:
+                    high = max(low + 1, int(np.searchsorted(at, at[low] + (1 << 28), "right")) - 1)
+                    own = part.slice(low, high - low).column(0)
+                    bounds = ((at[low : high + 1] - at[low]) * width).astype(np.int32)
+                    data = pa.BinaryArray.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(ids[at[low] : at[high]].tobytes())])
+                    file = np.searchsorted(cuts, np.asarray(own.fill_null(np.iinfo(np.int64).min)), "right")
+                    yield pa.RecordBatch.from_arrays([pa.array(file.astype(np.int32)), own, data], names=["file", "doc_id", "ids"])
+                    low = high
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, path = None, None, None

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from newswell.llm import bitpack
@@ -18,11 +19,33 @@ def test_pack_round_trip(bits):
         assert len(data) == -(-n // 64) * bits * 8 and (bitpack.unpack(data, n, bits) == ids).all()
 
 
-def test_remembering_encoder_equals_the_library():
+TEXTS = ["İstanbul ΣΑΣ straße ÀÉ's don't x'll a.b,c 12,3", "<|endoftext|> a<|endoftext|>b", "ªµ \x1c a\x1cb é ́x  tab\tq nb\xa0sp", "", " \n ", "Hello, WORLD!?..;", "été."]
+
+
+def plain(tokenizer, texts):
+    return [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("kept", [4, 350_000])
+def test_column_encoder_equals_the_library(monkeypatch, kept):
+    monkeypatch.setattr(bitpack, "CACHE_WORDS", kept)
     e = bitpack.Encoder(PATH)
-    texts = ["İstanbul ΣΑΣ straße ÀÉ's don't x'll a.b,c 12,3", "<|endoftext|> a<|endoftext|>b", "ªµ \x1c a\x1cb é ́x  tab\tq nb\xa0sp", "", " \n ", "Hello, WORLD!?..;", "été."]
-    for t in texts:
-        assert np.frombuffer(e.encode([t])[0], "<u2").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    assert e.by_parts
+    rng = np.random.default_rng(1)
+    alphabet = list("abcdeABCDE  \n\t.,;:!?'-12éÉßµªΣσİı\u0301\xa0漢")
+    texts = TEXTS + ["".join(rng.choice(alphabet, rng.integers(0, 60))) for _ in range(2000)] * 2
+    ids, at = e.encode(pa.array(texts).slice(3))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == plain(e.tokenizer, texts[3:])
+    ids, at = e.encode(pa.array(texts), 2)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [x + [2] for x in plain(e.tokenizer, texts)]
+    assert e.encode(pa.array([], pa.string()), 2)[1].tolist() == [0]
+
+
+def test_tokenizers_of_other_settings_read_whole_texts():
+    e = bitpack.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not e.by_parts
+    ids, at = e.encode(pa.array(TEXTS), 7)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [x + [7] for x in plain(e.tokenizer, TEXTS)]
 
 
 def test_files_round_trip(spark, documents, corpus):
@@ -64,3 +87,17 @@ def test_query_columns(spark, documents, clashing, corpus):
     empty = next(r for r in rows if r["doc_id"] == 32)
     assert empty["n_tokens"] == 1 and empty["ids_crc32"] == zlib.crc32(np.array([2], "<u4").tobytes())
     assert bitpack.read_tokens(bitpack.write_tokens(documents([]), PATH, scratch(spark, "t"))).count() == 0
+
+
+def test_query_equals_the_library(spark, documents, corpus, tmp_path):
+    rows = [(i, t) for i, t in corpus if i is not None and i not in (40, 41)]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = bitpack.op5_token_bitpacking(spark, str(tmp_path)).collect()
+    e, start = bitpack.Encoder(PATH), 0
+    want = []
+    for i, t in sorted(rows):
+        (ids,) = plain(e.tokenizer, [t or ""])
+        ids.append(2)
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, got)) == want
