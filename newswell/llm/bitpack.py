@@ -37,9 +37,9 @@ END_ID = 2
 #: Documents, about, in one file, and the most files; beyond that many, files grow instead.
 FILE_ROWS, MOST_FILES = 8192, 1 << 14
 #: Words, at most, of which a Python worker remembers the ids; the half not asked for lately goes first.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 100_000
 #: Bytes of text that are encoded as one column; a longer document is a column of its own.
-COLUMN_BYTES = 8 << 20
+COLUMN_BYTES = 3 << 20
 #: Closing punctuation that is looked up apart from its word; letters of such words (those of Latin-1).
 CLOSING = ".,;:!?"
 LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())

@@ -26,7 +26,7 @@ def plain(tokenizer, texts):
     return [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-@pytest.mark.parametrize("kept", [4, 350_000])
+@pytest.mark.parametrize("kept", [4, 100_000])
 def test_column_encoder_equals_the_library(monkeypatch, kept):
     monkeypatch.setattr(bitpack, "CACHE_WORDS", kept)
     e = bitpack.Encoder(PATH)
