@@ -10,10 +10,15 @@ wherever the window stands, so equal windows lie in blocks that share an anchor.
    suffixes are put in order by prefix doubling, up to ``length`` bytes. The previous
    and the next smaller position in suffix order are the candidates for the longest
    previous factor: a window has an earlier copy if and only if one of them agrees
-   with it in ``length`` bytes; it has any copy if a neighbour in suffix order does.
+   with it in ``length`` bytes. Greater positions give the longest next factor in the
+   same way, and so the first copies.
 3. Anchors with very many different blocks are not sorted in one task: their windows
    are counted by hash instead, spread over all tasks.
 
+Step 1 is what keeps copies from meeting in one task: of a block that stands in
+many places one goes into suffix order, and where its factors reach elsewhere is
+known already for all of it.
+
 ``keep="first"`` removes later copies only; ``keep="none"`` removes every copy.
 Strings are judged on the input, not on what is left.
 """
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newswell.llm.shared import Step, _powers, clean_names, mix, small_side, steps, stored
+from newswell.llm.shared import BROADCAST_BYTES, Step, _powers, clean_names, mix, small_side, steps, stored
 
 LENGTH = 200
 GRAM = 32
@@ -94,27 +99,39 @@ def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
 def smaller_before(position: np.ndarray) -> np.ndarray:
     """For each place of a sequence the nearest place before it with a smaller value, -1 if none."""
     out = np.arange(len(position)) - 1
-    while True:
-        wrong = np.flatnonzero((out >= 0) & (position[np.maximum(out, 0)] > position))
-        if not len(wrong):
-            return out
+    wrong = np.flatnonzero(out >= 0)
+    while len(wrong):
+        wrong = wrong[position[out[wrong]] > position[wrong]]
         out[wrong] = out[out[wrong]]
+        wrong = wrong[out[wrong] >= 0]
+    return out
+
+
+def previous_factor_reaches(rank: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Whether each suffix's longest previous factor is as long as the strings that ``rank`` tells apart.
+
+    Both sequences are in suffix order. The longest match at a smaller position is that with the nearest
+    suffix before or after in order that has one.
+    """
+    before = smaller_before(position)
+    after = len(position) - 1 - smaller_before(position[::-1])[::-1]
+    out = np.zeros(len(position), bool)
+    for other in (before, np.where(after < len(position), after, -1)):
+        out |= (other >= 0) & (rank[np.maximum(other, 0)] == rank)
+    return out
 
 
 def repeated(rank: np.ndarray, position: np.ndarray, keep: str) -> np.ndarray:
-    """Marks strings to remove. ``rank`` orders the suffixes, ``position`` their places in the input."""
+    """Marks strings to remove: later copies by their previous factors, first ones too by their next factors with ``keep="none"``.
+
+    ``rank`` orders the suffixes, ``position`` their places in the input.
+    """
     order = np.lexsort((position, rank))
     r, p = rank[order], position[order]
     out = np.zeros(len(rank), bool)
-    if keep == "first":
-        before = smaller_before(p)
-        after = len(p) - 1 - smaller_before(p[::-1])[::-1]
-        for other in (before, np.where(after < len(p), after, -1)):
-            out[order] |= (other >= 0) & (r[np.maximum(other, 0)] == r)
-    else:
-        same = r[1:] == r[:-1]
-        out[order[1:]] |= same
-        out[order[:-1]] |= same
+    out[order] = previous_factor_reaches(r, p)
+    if keep == "none":
+        out[order] |= previous_factor_reaches(r, -p)
     return out
 
 
@@ -123,7 +140,7 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-MARKS = pa.schema([("row", pa.int64()), ("starts", pa.list_(pa.int32())), ("size", pa.int32())])
+MARKS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("starts", pa.list_(pa.int32())), ("size", pa.int32())])
 
 
 def _sort_blocks(length: int, keep: str):
@@ -148,7 +165,7 @@ def _sort_blocks(length: int, keep: str):
         owner = np.searchsorted(np.cumsum(n + 1), a, "right")
         base = np.concatenate([[0], np.cumsum(n + 1)[:-1]])
         first = (start[owner] + a - base[owner]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(rows[owner]), pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32)), pa.array(first)), pa.array((b - a + length - 1).astype(np.int32))], schema=MARKS)
+        return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(pa.array(owner)), pa.array(rows[owner]), pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32)), pa.array(first)), pa.array((b - a + length - 1).astype(np.int32))], schema=MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -171,7 +188,7 @@ def _sort_blocks(length: int, keep: str):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
-    """``row, spans``: for each row of ``doc_id, text, row`` with any, the merged byte ranges to remove, in order. Stored."""
+    """``doc_id, row, spans``: for each row of ``doc_id, text, row`` with any, the merged byte ranges to remove, in order. Stored."""
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
 
@@ -190,16 +207,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first") -
     seen = stored(seen.where("copies > 1 OR least <> most").select("anchor", "doc_id", "row", "starts", "n", (F.col("copies") > 1).alias("again"), (F.col("least") != F.col("most")).alias("mixed"), "nth"), "suffix-blocks")
     size = (F.col("n") + length - 1).cast("int").alias("size")
     if keep == "first":
-        marks = seen.where("nth > 1 OR size(starts) > 1").select("row", F.when(F.col("nth") > 1, F.col("starts")).otherwise(F.slice("starts", F.lit(2), F.size("starts"))).alias("starts"), size)
+        marks = seen.where("nth > 1 OR size(starts) > 1").select("doc_id", "row", F.when(F.col("nth") > 1, F.col("starts")).otherwise(F.slice("starts", F.lit(2), F.size("starts"))).alias("starts"), size)
     else:
-        marks = seen.where("again").select("row", "starts", size)
+        marks = seen.where("again").select("doc_id", "row", "starts", size)
 
     # The first of each different block, with its bytes. A block with copies elsewhere can still repeat a window of an earlier one.
-    firsts = seen.where("mixed AND nth = 1").select("anchor", "row", F.get("starts", F.lit(0)).alias("start"), "n")
+    firsts = seen.where("mixed AND nth = 1").select("anchor", "doc_id", "row", F.get("starts", F.lit(0)).alias("start"), "n")
     hot = stored(firsts.groupBy("anchor").agg(F.count("*").alias("blocks")).where(F.col("blocks") > HOT_BLOCKS).select("anchor"), "suffix-hot")
     firsts = firsts.join(small_side(hot.withColumn("hot", F.lit(True)), 16), "anchor", "left")
-    wanted = stored(firsts.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted")), "suffix-wanted")
-    fetched = docs.join(wanted, "row").select("row", "doc_id", "text", "wanted")
+    wanted = stored(firsts.groupBy(F.col("doc_id").alias("own_id"), F.col("row").alias("own_row")).agg(F.collect_list(F.struct("anchor", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted")), "suffix-wanted")
+    fetched = docs.join(wanted, (F.col("row") == F.col("own_row")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("row", "doc_id", "text", "wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,27 +232,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first") -
     fetched = fetched.mapInArrow(fetch, "anchor long, doc_id long, row long, start int, n int, hot boolean, data binary")
     # Rows of equal id and text are one row here; both copies are marked by their equal blocks.
     usual = fetched.where("NOT hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
-    marks = marks.unionByName(usual.mapInArrow(_sort_blocks(length, keep), "row long, starts array<int>, size int"))
+    marks = marks.unionByName(usual.mapInArrow(_sort_blocks(length, keep), "doc_id long, row long, starts array<int>, size int"))
     if hot.limit(1).count():
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for doc_id, row, start, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "start", "n", "data"))):
+                for anchor, doc_id, row, start, n, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "row", "start", "n", "data"))):
                     own = Step(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
                     at = np.arange(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(own.hashes(at, at + length).view(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array((start + at).astype(np.int32))], names=["window", "doc_id", "row", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(own.hashes(at, at + length).view(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array((start + at).astype(np.int32))], names=["anchor", "window", "doc_id", "row", "start"])
 
-        windows = fetched.where("hot").mapInArrow(split, "window long, doc_id long, row long, start int")
+        windows = fetched.where("hot").mapInArrow(split, "anchor long, window long, doc_id long, row long, start int")
         if keep == "first":
-            windows = windows.withColumn("nth", F.row_number().over(Window.partitionBy("window").orderBy(F.col("doc_id").asc_nulls_first(), "row", "start"))).where("nth > 1")
+            windows = windows.withColumn("nth", F.row_number().over(Window.partitionBy("anchor", "window").orderBy(F.col("doc_id").asc_nulls_first(), "row", "start"))).where("nth > 1")
         else:
-            windows = windows.withColumn("copies", F.count("*").over(Window.partitionBy("window"))).where("copies > 1")
-        marks = marks.unionByName(windows.select("row", F.array("start").alias("starts"), F.lit(length).alias("size")))
+            windows = windows.withColumn("copies", F.count("*").over(Window.partitionBy("anchor", "window"))).where("copies > 1")
+        marks = marks.unionByName(windows.select("doc_id", "row", F.array("start").alias("starts"), F.lit(length).alias("size")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for ranges in batch.column(1).to_pylist():
+            for ranges in batch.column(2).to_pylist():
                 own: list[list[int]] = []
                 for a, b in sorted((a, a + x["size"]) for x in ranges for a in x["starts"]):
                     if own and a <= own[-1][1]:
@@ -243,10 +260,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first") -
                     else:
                         own.append([a, b])
                 out.append([x for r in own for x in r])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["row", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "row", "spans"])
 
-    grouped = marks.groupBy("row").agg(F.collect_list(F.struct("starts", "size")).alias("ranges"))
-    return stored(grouped.mapInArrow(merge, "row long, spans array<int>"), "suffix-spans")
+    grouped = marks.groupBy("doc_id", "row").agg(F.collect_list(F.struct("starts", "size")).alias("ranges"))
+    return stored(grouped.mapInArrow(merge, "doc_id long, row long, spans array<int>"), "suffix-spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
@@ -255,19 +272,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -
     Texts are taken as UTF-8; null ones are empty. Texts of fewer than ``length`` bytes lose
     nothing. Repeated rows are copies of each other; with ``keep="first"`` the one that comes
     first by ``doc_id`` stays, null ids before all others, and of rows equal in id and text
-    neither can be told from the other and both stay. An empty table stays empty. Removal can cut a
-    character in two, so ``kept`` is binary.
+    neither can be told from the other and both stay. ``doc_id`` is an integer, or a string of digits;
+    other strings are an error. A row is told apart by its id and a 64-bit hash of both. A text may be as
+    long as a Spark value; its places are 32-bit. An empty table stays empty. Removal can cut a character
+    in two, so ``kept`` is binary.
     """
     docs = clean_names(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     if keep == "first":
-        twin = docs.groupBy("row").agg(F.count("*").alias("n")).where("n > 1")
-        spans = repeated_spans(docs.dropDuplicates(["row"]) if twin.limit(1).count() else docs, length, keep)
+        twin = docs.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
+        spans = repeated_spans(docs.dropDuplicates(["doc_id", "row"]) if twin.limit(1).count() else docs, length, keep)
     else:
         spans = repeated_spans(docs, length, keep)
-    entries = spans.agg(F.coalesce(F.sum(F.size("spans") + 6), F.lit(0))).first()[0]
-    side = F.broadcast(spans) if entries * 4 <= 32 << 20 else spans
-    joined = docs.join(side, "row", "left").select("doc_id", "text", "spans")
+    entries = spans.agg(F.coalesce(F.sum(F.size("spans") + 10), F.lit(0))).first()[0]
+    spans = spans.withColumnsRenamed({"doc_id": "own_id", "row": "own_row"})
+    side = F.broadcast(spans) if entries * 4 <= BROADCAST_BYTES else spans
+    joined = docs.join(side, (F.col("row") == F.col("own_row")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

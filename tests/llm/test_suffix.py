@@ -47,7 +47,8 @@ def test_matches_brute_force(documents, corpus, monkeypatch, keep, hot, sort):
 
 
 def test_rows_equal_in_id_and_text_stay_together(documents):
-    text = "".join(chr(97 + (k * k) % 23) for k in range(500))
+    rng = np.random.default_rng(9)  # a text that does not repeat itself
+    text = "".join(chr(97 + k) for k in rng.integers(0, 26, 500))
     out = suffix.remove_repeats(documents([(1, text), (1, text), (2, text)]), 200, "first").collect()
     assert sorted((r["doc_id"], len(r["kept"])) for r in out) == [(1, 500), (1, 500), (2, 0)]
 
@@ -58,6 +59,28 @@ def test_smaller_before():
     assert suffix.smaller_before(p).tolist() == want
 
 
+def test_previous_factors_match_brute_force():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 99, 300).astype(np.uint8)
+    raw, length = data.tobytes(), 8
+    starts = np.arange(len(data) - length + 1)
+    rank = suffix.suffix_ranks(data, starts, length)
+    strings = [raw[s : s + length] for s in starts]
+    for keep in ("first", "none"):
+        want = [x in strings[:k] or (keep == "none" and x in strings[k + 1 :]) for k, x in enumerate(strings)]
+        assert suffix.repeated(rank, starts, keep).tolist() == want
+
+
+def test_query_columns(spark, documents, tmp_path):
+    own = lambda seed: "".join(chr(97 + k) for k in np.random.default_rng(seed).integers(0, 26, 300))
+    shared = own(1)[:250]
+    rows_ = [(1, own(2) + shared + own(3)), (2, own(4) + shared), (3, None), (4, own(5))]
+    documents(rows_).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in suffix.op8_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert [(got[k]["n_bytes"], got[k]["n_removed"], got[k]["n_spans"]) for k in (1, 2, 3, 4)] == [(850, 250, 1), (550, 250, 1), (0, 0, 0), (300, 0, 0)]
+    assert got[1]["kept_sha256"] == hashlib.sha256((own(2) + own(3)).encode()).hexdigest()
+
+
 def test_suffix_ranks_are_byte_order():
     data = np.frombuffer(b"banana bandana cabana banana bandana ", np.uint8)
     for length in (8, 11, 16):
