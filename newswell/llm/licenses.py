@@ -131,9 +131,11 @@ class Scanner:
         self.sieve = np.zeros(1 << 18, bool)
         self.sieve[self.vocabulary & np.uint64(len(self.sieve) - 1)] = True
         n = len(self.vocabulary)
-        self.pairs = np.zeros((n + 1, n + 1), bool)
+        self.pairs, self.alone = np.zeros((n + 1, n + 1), bool), np.zeros(n + 1, bool)
         for s in numbered:
             self.pairs[s[:-1], s[1:]] = True
+            if len(s) == 1:
+                self.alone[s] = True
 
     def number(self, words: np.ndarray) -> np.ndarray:
         """Numbers of words that templates use, else one more than the largest."""
@@ -145,14 +147,19 @@ class Scanner:
         return out
 
     def runs(self, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        """Stretches in which each two neighbours stand together in a template: no match of two words or more leaves them."""
+        """Stretches in which each two neighbours stand together in a template, and words that are a template or phrase alone.
+
+        No match of two words or more leaves a stretch.
+        """
         ids = self.number(words)
-        good = np.zeros(len(ids) + 1, bool)
-        if len(ids) > 1:
-            good[1:-1] = self.pairs[ids[:-1], ids[1:]]
-            good[np.cumsum(counts)[:-1]] = False  # pairs of two documents
-        edges = np.flatnonzero(good[1:] != good[:-1])
-        for a, b in zip(edges[::2], edges[1::2]):
+        if not len(ids):
+            return
+        joined = np.zeros(len(ids) + 1, bool)  # whether a word stands together with the one before it
+        joined[1:-1] = self.pairs[ids[:-1], ids[1:]]
+        joined[np.cumsum(counts)[:-1]] = False  # pairs of two documents
+        inside = joined[:-1] | joined[1:] | self.alone[ids]
+        first, last = np.flatnonzero(inside & ~joined[:-1]), np.flatnonzero(inside & ~joined[1:])
+        for a, b in zip(first, last):
             yield int(a), ids[a : b + 1].tolist()
 
     def scan(self, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, list, list]]:
@@ -167,10 +174,10 @@ class Scanner:
             before = (0, 0)
             for at, (state, length) in enumerate(auto.stream(ids), first):
                 base += [(k, at + 1 - n) for k, n in auto.ends[state] if n <= length]
-                if length <= before[1] and before[1] >= LEAST_MATCH:
+                if length <= before[1] and before[1]:
                     matches.append((at, *before))
                 before = (state, length)
-            if before[1] >= LEAST_MATCH:
+            if before[1]:
                 matches.append((first + len(ids), *before))
         for doc, (base, matches) in found.items():
             spans = self.chain(matches)
@@ -178,11 +185,11 @@ class Scanner:
                 yield doc, base, spans
 
     def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """The best chain of matches (end, state, length) for each template that is covered enough; several where they don't overlap."""
+        """Chains of matches (end, state, length) that cover enough of a template: the best first, then those that overlap none before."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for end, state, length in matches:
             for k, at in self.automaton.where[state]:
-                if k >= self.n_phrases:
+                if k >= self.n_phrases and length >= min(LEAST_MATCH, self.sizes[k]):
                     by.setdefault(k, []).append((end, at, min(length, at)))
         out = []
         for k, rows in by.items():
@@ -200,14 +207,14 @@ class Scanner:
                     if e < end and a < at and over < n and end - n - e <= MOST_GAP:
                         own = max(own, (best[j][0] + n - over, best[j][1]), key=lambda x: x[0])
                 best.append(own)
-            last = -1
+            taken: list[tuple[int, int]] = []
             for i in sorted(range(len(rows)), key=lambda i: (-best[i][0], rows[i][0])):
-                cover = best[i][0] / self.sizes[k]
-                if cover < LEAST_COVER:
+                (covered, first), end = best[i], rows[i][0]
+                if covered < LEAST_COVER * self.sizes[k]:
                     break
-                if last < 0 or best[i][1] >= last:
-                    out.append((k, best[i][1], rows[i][0], min(1.0, cover)))
-                    last = rows[i][0]
+                if all(end <= a or first >= z for a, z in taken):
+                    out.append((k, first, end, min(1.0, covered / self.sizes[k])))
+                    taken.append((first, end))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
@@ -218,8 +225,10 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> Data
     """``doc_id, n_words, phrases, spans`` of each row of ``docs``.
 
     ``phrases`` lists (label, first_word) of each place of a phrase; ``spans`` lists the covered
-    template spans with the share of the template that they cover. Null and empty texts have no
-    words; repeated rows each give a row; an empty table stays empty.
+    template spans with the share of the template that they cover; spans of one template do not
+    overlap, those of different ones may. Null and empty texts have no words; a text is scanned to
+    its end, however long; repeated rows each give a row; ids may be of any type; an empty table
+    stays empty.
     """
     source = clean_names(docs, "doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()

@@ -49,3 +49,60 @@ def test_spans_hold_the_template():
 def test_empty_and_clashing(documents, clashing, corpus):
     assert licenses.scan_licenses(documents([])).count() == 0
     assert licenses.scan_licenses(clashing).count() == len(corpus)
+
+
+def test_one_word_phrases_and_all_spans_of_a_template(documents):
+    words = [f"t{k}" for k in range(50)]
+    near = " ".join(words[:20] + ["x"] + words[21:])
+    for text in (f"{near} q q q q q q q q q q {' '.join(words)}", f"{' '.join(words)} q q q q q q q q q q {near}"):
+        (r,) = licenses.scan_licenses(documents([(1, f"{text} Copyleft")]), (("tpl", " ".join(words)), ("one", "zzz")), {"copyleft": "left"}).collect()
+        assert [(x["label"], x["first_word"]) for x in r["phrases"]] == [("left", 110)]
+        assert [(x["first_word"], x["end_word"]) for x in r["spans"]] == [(0, 50), (60, 110)] and {x["label"] for x in r["spans"]} == {"tpl"}
+    (r,) = licenses.scan_licenses(documents([(1, "a zzz b")]), (("one", "zzz"),), {"copy left": "left"}).collect()
+    assert [(x["label"], x["first_word"], x["end_word"], x["cover"]) for x in r["spans"]] == [("one", 1, 2, 1.0)]
+
+
+def test_spans_match_brute_force():
+    """Copies of templates with changed words: found when and only when the words that still stand in order cover enough."""
+    import random
+
+    rng = random.Random(6)
+    words = [f"t{k}" for k in range(30)]
+    scanner = licenses.Scanner((("tpl", " ".join(words)),), {"zz top": "z"})
+    for n in range(0, 16):
+        changed = rng.sample(range(30), n)
+        own = [f"u{k}" if k in changed else w for k, w in enumerate(words)]
+        runs, gap, covered = [], 0, 0
+        for w in [*own, "end"]:  # runs of two words or more count; a gap of at most MOST_GAP joins them
+            if w[0] == "t":
+                gap += 1
+            else:
+                runs.append(gap)
+                gap = 0
+        covered = sum(r for r in runs if r >= licenses.LEAST_MATCH)
+        for _, step in steps(pa.array(["a b " + " ".join(own) + " c"])):
+            got = list(scanner.scan(*words_of(step)))
+        spans = got[0][2] if got else []
+        if covered >= 0.8 * 30:
+            assert len(spans) == 1 and abs(spans[0][3] - covered / 30) < 1e-9
+        else:
+            assert not spans
+
+
+def test_query_columns_against_sql(spark, documents, corpus, tmp_path):
+    import duckdb
+
+    rows = [(i, t) for i, t in corpus if i not in (None, 40, 41)] + [(70, "CC BY-NC 4.0, cc by cc, by"), (71, "x General Public\nLicense. All rights reserved"), (72, licenses.TEMPLATES[2][1])]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = licenses.op4_license_scan(spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    sql = """WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+    p(phrase, label) AS (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')),
+    h AS (SELECT doc_id, label, i FROM w, p, range(1, len(ws) + 1) r(i) WHERE ws[i:i + len(phrase) - 1] = phrase)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, count(i) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM w LEFT JOIN h USING (doc_id) GROUP BY ALL ORDER BY doc_id"""
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(sql).df()
+    assert got[want.columns].fillna(-1).values.tolist() == want.fillna(-1).values.tolist()
+    by = {r["doc_id"]: r for r in got.to_dict("records")}
+    assert by[72]["labels"] == "mit" and by[72]["score"] == 1.0 and by[72]["n_base"] == 0 and by[0]["labels"] == "" and by[0]["score"] == 0.0
+    assert by[70]["labels"] == "cc-by,cc-by-nc-4.0" or by[70]["labels"] == "cc-by"
