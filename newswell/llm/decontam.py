@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from newswell.llm.shared import Step, clean_names, steps, windows
 
@@ -23,7 +25,7 @@ ERROR_PERCENT = 20
 #: Items with fewer words have no whole word of errors and must be found exactly; items with fewer than the second value hold nothing to look for.
 EXACT_BELOW, LEAST_WORDS = 5, 1
 #: Benchmark text, at most, that one scan of the documents looks for; larger benchmarks are looked for in blocks.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 
 #: Bytes that end a word: all ASCII but letters and digits.
 GAP = np.ones(256, bool)
@@ -73,12 +75,22 @@ def bits_of(words: list[int]) -> dict[int, int]:
 
 @dataclass
 class Item:
-    item_id: int
-    words: list[int]
+    """An item's words; the bit masks of Myers' algorithm are made when it is first looked at closely."""
 
-    def __post_init__(self):
-        self.errors = budget(len(self.words))
-        self.forward, self.backward = bits_of(self.words), bits_of(self.words[::-1])
+    item_id: object
+    words: np.ndarray
+
+    @property
+    def errors(self) -> int:
+        return budget(len(self.words))
+
+    @cached_property
+    def forward(self) -> dict[int, int]:
+        return bits_of(self.words.tolist())
+
+    @cached_property
+    def backward(self) -> dict[int, int]:
+        return bits_of(self.words[::-1].tolist())
 
 
 class Index:
@@ -93,7 +105,7 @@ class Index:
             for k in range(step.docs):
                 if counts[k] >= LEAST_WORDS:
                     own = words[at[k] : at[k + 1]]
-                    item = Item(items[row + k][0], own.tolist())
+                    item = Item(items[row + k][0], own.copy())
                     cuts = np.linspace(0, len(own), item.errors + 2).astype(int)
                     for a, b in zip(cuts[:-1], cuts[1:]):
                         key = int(windows(own[a:b], np.array([b - a]), b - a)[0][0])
@@ -151,7 +163,7 @@ class Index:
 
 
 def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded size. Each block is read by itself, so that the driver holds one at a time."""
+    """The items in blocks of bounded size. Each block is one scan of the documents, of which the plan holds the items; a benchmark is small against a corpus."""
     rows = benchmark.where("text IS NOT NULL").select("item_id", "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n = -(-size // BLOCK_BYTES) or 1
@@ -165,12 +177,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are runs of ASCII letters and digits and of other than ASCII characters, lower-cased.
     Null texts on either side hold nothing; repeated rows, and items with equal texts, are each
-    reported. Of several places the one with least distance, then the first, is given. An empty
-    table on either side gives an empty result.
+    reported. Of several places the one with least distance, then the first, is given. Ids on either
+    side may be of any type; texts are read to their ends. An empty table on either side gives an
+    empty result.
     """
     source, out = clean_names(docs, "doc_id", "text"), None
     kind = source.schema["doc_id"].dataType.simpleString()
-    item_kind = benchmark.schema["item_id"].dataType.simpleString()
+    item_kind, item_type = benchmark.schema["item_id"].dataType.simpleString(), to_arrow_type(benchmark.schema["item_id"].dataType)
     for items in _blocks(benchmark):
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             index = Index(items)
@@ -186,7 +199,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         cells.append((index.items[i].item_id, *rest))
                 if rows:
                     columns = list(zip(*cells))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "item_id", "distance", "start_word", "end_word"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(columns[0], item_type), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "item_id", "distance", "start_word", "end_word"])
 
         found = source.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, distance long, start_word long, end_word long")
         out = found if out is None else out.unionByName(found)
@@ -194,7 +207,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns."""
+    """The rows of ``docs`` in which no item is found, with all their columns. Null texts hold nothing and stay, as do repeated rows; an empty benchmark rejects nothing."""
     for items in _blocks(benchmark):
         at = docs.columns.index("text")
 

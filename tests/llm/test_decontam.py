@@ -95,3 +95,12 @@ def test_short_items_are_found(spark, documents):
     got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.find_items(documents(texts), bench).collect()}
     assert got == {(1, 1, 0), (2, 2, 0), (3, 3, 1)}
     assert {r["doc_id"] for r in decontam.decontaminate(documents(texts), bench).collect()} == {4, 5}
+
+
+def test_string_ids_and_query(spark, documents, tmp_path):
+    bench = spark.createDataFrame([("q1", "one two three four five six"), ("q2", None)], "item_id string, text string")
+    docs = spark.createDataFrame([("d1", "x one two three four five six y"), (None, "nothing")], "doc_id string, text string")
+    assert [tuple(r) for r in decontam.find_items(docs, bench).collect()] == [("d1", "q1", 0, 1, 7)]
+    documents([(1, "see one two three four five six"), (2, "clean")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "one two three four five six")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in decontam.op10_decontamination(spark, str(tmp_path)).collect()] == [(1, 7, 0, 1, 7)]
