@@ -56,7 +56,8 @@ def number_slots(df: DataFrame, key: str = "doc_id", rows: int | None = None) ->
 
     A shard's rows are dealt into groups by a hash of key and row content; groups are
     numbered one after the other from their counts, so no shard is sorted as a whole
-    and many rows of one key or text don't meet. Repeated rows get slots of their own.
+    and many rows of one key or of one text don't meet; only rows equal in every column do.
+    Repeated rows get slots of their own.
     """
     total = df.count() if rows is None else rows
     parts = max(1, math.ceil(total / SLOT_ROWS))

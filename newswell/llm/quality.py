@@ -3,7 +3,9 @@
 Every rule may reject a document. A bounded sample gives each rule's cost and
 the share that it rejects; rules then run in the order of rejections per cost,
 and a document that one rule rejects is not shown to the rules after it. A
-verdict is the conjunction of all rules, so the order never changes it.
+verdict is the conjunction of all rules, so the order never changes it. Costs are
+measured, so the order, and with it the rule that is named as the first to reject,
+may differ between runs; ``kept`` does not.
 """
 
 from __future__ import annotations
@@ -51,11 +53,11 @@ class Features:
     def pick(self, rows: np.ndarray) -> Features:
         """The same for some of the documents only; what is known already is kept."""
         at = self.step.offsets
-        sizes = np.diff(at)[rows]
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        take = np.repeat(at[rows] - offsets[:-1], sizes) + np.arange(offsets[-1])
-        new = Features(Step(self.step.data[take], offsets))
-        new._kept = {k: v[rows] for k, v in self._kept.items() if isinstance(v, np.ndarray) and len(v) == self.step.docs and k[0] != "*"}
+        edges = np.flatnonzero(np.diff(rows) > 1) + 1  # runs of documents that stand together are copied as one
+        first, last = np.append(rows[:1], rows[edges]), np.append(rows[edges - 1], rows[-1:])
+        data = [self.step.data[at[a] : at[b + 1]] for a, b in zip(first, last)]
+        new = Features(Step(np.concatenate(data) if data else self.step.data[:0], np.concatenate([[0], np.cumsum(np.diff(at)[rows])])))
+        new._kept = {k: v[rows] if isinstance(v, np.ndarray) else v.pick(rows) for k, v in self._kept.items()}
         return new
 
     def _words(self):
@@ -117,6 +119,14 @@ class Words:
         self.hashes = step.hashes(starts, ends) if len(starts) else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(step.docs), self.counts)
 
+    def pick(self, rows: np.ndarray) -> Words:
+        new = object.__new__(Words)
+        keep = np.zeros(len(self.counts), bool)
+        keep[rows] = True
+        new.counts, new.hashes = self.counts[rows], self.hashes[keep[self.doc]]
+        new.doc = np.repeat(np.arange(len(rows)), new.counts)
+        return new
+
 
 class Lines:
     """Lines that hold a word, by document; ``repeated`` counts those equal to an earlier one."""
@@ -133,6 +143,11 @@ class Lines:
         hashes = step.hashes(starts, ends) if len(starts) else np.zeros(0, np.uint64)
         self.repeated = np.bincount(doc[_found_twice(hashes, doc, first=False)], minlength=step.docs)
 
+    def pick(self, rows: np.ndarray) -> Lines:
+        new = object.__new__(Lines)
+        new.counts, new.repeated = self.counts[rows], self.repeated[rows]
+        return new
+
 
 def _found_twice(hashes: np.ndarray, doc: np.ndarray, first: bool) -> np.ndarray:
     """Marks values that occur again in their document: all of them, or all but one of each."""
@@ -200,7 +215,7 @@ def ordered(rules: tuple[Rule, ...], figures: list[dict]) -> tuple[Rule, ...]:
 
 
 def cascade(features: Features, rules: tuple[Rule, ...]) -> np.ndarray:
-    """Position of the rule that rejects each document, -1 where none does. Later rules see only what is left."""
+    """Position of the rule that rejects each document, -1 where none does. A rule is only shown what those before it left."""
     out = np.full(features.step.docs, -1, np.int32)
     left = np.arange(features.step.docs)
     for k, r in enumerate(rules):
@@ -210,33 +225,10 @@ def cascade(features: Features, rules: tuple[Rule, ...]) -> np.ndarray:
         if bad.any():
             out[left[bad]] = k
             keep = np.flatnonzero(~bad)
-            left = left[keep]
-            if len(keep) < 0.7 * features.step.docs:
-                features = features.pick(keep)
-            else:
-                features = _Masked(features, keep)
+            left, features = left[keep], features.pick(keep)
     return out
 
 
-class _Masked:
-    """Features of some documents of a step that is not worth copying."""
-
-    def __init__(self, features, keep):
-        self.base, self.rows = (features.base, features.rows[keep]) if isinstance(features, _Masked) else (features, keep)
-        self.step = _Count(len(self.rows))
-
-    def __getitem__(self, name: str) -> np.ndarray:
-        return self.base[name][self.rows]
-
-    def pick(self, rows: np.ndarray) -> Features:
-        return self.base.pick(self.rows[rows])
-
-
-@dataclass(frozen=True)
-class _Count:
-    docs: int
-
-
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -246,8 +238,8 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, measures: bo
     ``measures`` adds the base measures of every document too. ``docs`` needs
     ``text``; the other columns stay (``keep_columns``), except that those
     named like an added one are replaced. A null text counts as an empty one,
-    which has too few words. Repeated rows each get their own verdict. An empty
-    table stays empty.
+    which has too few words. A text of any length is measured whole. Repeated rows
+    each get their own verdict. An empty table stays empty.
     """
     order = ordered(rules, estimate(docs, rules, sample_rows))
     names = [r.name for r in order]

@@ -38,3 +38,17 @@ def test_slots_have_no_gaps(documents, clashing, monkeypatch, corpus):
 def test_plan_is_native(documents):
     plan = jumphash.shard_documents(documents())._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_query_columns(spark, documents, tmp_path):
+    import zlib
+
+    rows = [(k, f"text {k} é") for k in range(200)] + [(900, None), (901, "")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got, slots = jumphash.op7_jump_sharding(spark, str(tmp_path)).collect(), {}
+    for r in got:
+        data = (dict(rows)[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(data) + 8, zlib.crc32(data), "key")
+        assert (r["shard"], r["grown_shard"]) == (jump(r["doc_id"], 24), jump(r["doc_id"], 25)) and (r["grown_shard"] in (r["shard"], 24))
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(rows) and all(sorted(v) == list(range(len(v))) for v in slots.values())

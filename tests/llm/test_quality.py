@@ -46,3 +46,36 @@ def test_empty_and_clashing(documents, clashing):
     out = quality.quality_rules(clashing)
     assert out.columns == [c for c in clashing.columns if c != "kept"] + ["kept", "rejected_by"]
     assert out.count() == clashing.count() and dict(out.dtypes)["kept"] == "boolean"
+
+
+def test_a_rule_sees_only_what_is_left():
+    import numpy as np
+    import pyarrow as pa
+    from newswell.llm.shared import steps
+
+    seen = []
+
+    def rule(name, marks):
+        def rejects(f):
+            seen.append((name, f.step.docs, f["n_words"].tolist()))
+            return np.array([w in marks for w in f["n_words"]])
+
+        return Rule(name, rejects)
+
+    (_, step), = steps(pa.array(["a", "b b", "c c c", "d d d d", "e e e e e"]))
+    f = quality.Features(step)
+    assert f["words"].counts.tolist() == [1, 2, 3, 4, 5]
+    out = quality.cascade(f, (rule("x", {2}), rule("y", {1, 5}), rule("z", {3})))
+    assert out.tolist() == [1, 0, 2, -1, 1]
+    assert seen == [("x", 5, [1, 2, 3, 4, 5]), ("y", 4, [1, 3, 4, 5]), ("z", 2, [3, 4])]
+
+
+def test_query_columns(spark, documents, corpus, tmp_path):
+    rows = [(i, t) for i, t in corpus if i not in (None, 40, 41)] + [(71, "!!! NO NO NO " * 30)]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in quality.op1_quality_rules(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        n, chars, symbols, dup, repeat = brute(t)
+        assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_symbols"], got[i]["n_dup_lines"], got[i]["n_repeat_words"]) == (n, chars, symbols, dup, repeat)
+        assert got[i]["base_failed"] == (n < 50 or 100 * repeat > 50 * n) and not (got[i]["base_failed"] and got[i]["kept"])
+    assert not got[71]["kept"] and got[0]["kept"]
