@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Named entities that are unescaped; numeric ones are computed.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—"}
 #: Tracking parameters that are cut from addresses.
-TRACKING = r"(utm_[^=&]+|fbclid|gclid|mc_cid|mc_eid)"
+TRACKING = r"(utm_[^=]+|fbclid|gclid|mc_cid|mc_eid)"
 #: Closing particles, in the order in which they are tried.
 PARTICLES = ("로", "은", "는", "이", "가", "의", "을", "를", "에", "에서", "도", "와", "과", "랑")
 
@@ -54,9 +54,14 @@ def match_normalise(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.translate(c, "'\"‘’“”`´「」『』", " " * 12), r"(?U)\s+", " ")))
 
 
+def strip(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def normalize_url(c: Column) -> Column:
     """Address without tracking parameters and a closing question mark. A cut parameter takes its ``?`` along."""
-    return F.regexp_replace(F.regexp_replace(c, rf"[?&]{TRACKING}=[^&#]*", ""), r"\?$", "")
+    return strip(F.regexp_replace(F.regexp_replace(c, rf"[?&]{TRACKING}=[^&]*", ""), r"\?$", ""))
 
 
 def strip_particle(c: Column) -> Column:
@@ -103,33 +108,38 @@ def fold_replace(c: Column, rules) -> Column:
 
 
 def strip_phrases(c: Column, patterns) -> Column:
-    """Without phrases that match; doubled blanks and blanks before punctuation are mended."""
-    return F.trim(fold_replace(c, [*((p, "") for p in patterns), (r" {2,}", " "), (r" +([.,])", "$1")]))
+    """Without phrases that match in any case; doubled blanks and tabs, and those before punctuation, are mended. Line ends stay."""
+    return strip(fold_replace(c, [*((f"(?i){p}", "") for p in patterns), (r"[ \t]{2,}", " "), (r"[ \t]+([.,!?])", "$1")]))
 
 
-def unbold(c: Column, names=(), longest: int = 6) -> Column:
-    """Bold marks taken from given names and from runs of at most ``longest`` characters."""
-    inner = "|".join(x for x in (quoted(names), rf"[^*]{{1,{longest}}}") if x)
-    return F.regexp_replace(c, rf"\*\*({inner})\*\*", "$1")
+def unbold(c: Column, names=(), longest: int = 6, before: int = 40, after: int = 15) -> Column:
+    """Bold marks taken from spans that hold a given name with few characters around it, and from spans of at most ``longest``."""
+    rules = [(rf"\*\*([^*\n]{{0,{before}}}?{re.escape(n)}[^*\n]{{0,{after}}}?)\*\*", "$1") for n in names]
+    return fold_replace(c, [*rules, (rf"\*\*([^*\n]{{1,{longest}}})\*\*", "$1")])
 
 
 def emphasise_last(c: Column, longest: int = 150, single_least: int = 10) -> Column:
-    """Bold for the last sentence where nothing is bold: if it is short enough, and, if it is the only one, long enough."""
-    last = F.regexp_extract(F.trim(c), r"([^.!?]+[.!?]?)$", 1)
-    body = F.trim(last)
-    alone = F.length(body) == F.length(F.trim(c))
-    fits = (F.length(body) > 0) & (F.length(body) <= longest) & (~alone | (F.length(body) >= single_least))
-    head = F.substring(F.trim(c), F.lit(1), F.length(F.trim(c)) - F.length(body))
-    return F.when(F.contains(c, F.lit("**")) | ~fits, c).otherwise(F.concat(head, F.lit("**"), body, F.lit("**")))
+    """Bold for the last sentence where nothing is bold, its closing marks left outside.
+
+    Sentences end at a mark and a blank. The last one must be short enough, and, if it is the only one, long enough.
+    """
+    whole = strip(c)
+    body = F.regexp_replace(whole, r"[.!? ]+$", "")
+    tail = F.substring(whole, F.length(body) + 1, F.length(whole))
+    head = F.regexp_extract(body, r"(?s)^(.*[.!?] )", 1)
+    last = strip(F.substring(body, F.length(head) + 1, F.length(body)))
+    bold = F.concat(head, F.lit("**"), F.when(head == "", body).otherwise(last), F.lit("**"), tail)
+    fits = F.when(head == "", F.length(body).between(single_least, longest)).otherwise(F.length(last).between(1, longest))
+    return F.when(F.contains(c, F.lit("**")), c).when(fits, bold).otherwise(whole)
 
 
 def number_breaks(c: Column) -> Column:
-    """A paragraph break before ``1)`` to ``9)`` within a text."""
-    return F.regexp_replace(c, r"(\S)\s*\n?\s+([1-9]\))", "$1\n\n$2")
+    """A paragraph break before ``1) `` to ``9) `` within a text, but not after a point, a bracket or a digit."""
+    return F.regexp_replace(c, r"(?U)([^\n.(\d])\s+([1-9]\)\s)", "$1\n\n$2")
 
 
 def arxiv_id(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, r"arxiv\.org/(?:abs|pdf)/([0-9.]+[0-9])", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, r"arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})", 1), F.lit(""))
 
 
 def host(c: Column) -> Column:
@@ -179,3 +189,7 @@ def compact_key(key: Column) -> Column:
 
 def expanded_key(key: Column) -> Column:
     return F.when(F.contains(key, F.lit("W")), F.regexp_replace(key, r"^(\d{4})(W\d{2})$", "$1-$2")).when(F.length(key) == 8, F.regexp_replace(key, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise(F.regexp_replace(key, r"^(\d{4})(\d{2})$", "$1-$2"))
+
+
+def is_arxiv(source_type: Column, url: Column) -> Column:
+    return (source_type == "arxiv") | F.contains(F.coalesce(url, F.lit("")), F.lit("arxiv.org"))

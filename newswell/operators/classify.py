@@ -20,7 +20,7 @@ def _starts(c: Column, prefixes) -> Column:
 def pr_verdict(title: Column, summary: Column, lex: Lexicon) -> Column:
     """``struct(verdict, cap)``: whether a headline looks like press-release material, and the score cap that follows."""
     core = hit_count(F.lower(F.concat_ws(" ", title, summary)), lex["ai"])
-    verbs = hit_count(F.lower(title), lex["pr_verbs"])
+    verbs = hit_count(F.lower(F.concat_ws(" ", title, summary)), lex["pr_verbs"])
     out = lambda verdict, cap=None: F.struct(F.lit(verdict).alias("verdict"), F.lit(cap).cast("int").alias("cap"))
     return (
         F.when(_starts(title, lex["pr_block"]), out("block"))
@@ -215,3 +215,40 @@ def postprocess_card(body: Column, names=(), phrases=()) -> Column:
     from newswell.functions.text import emphasise_last, strip_phrases, unbold
 
     return emphasise_last(strip_phrases(unbold(body, names), phrases))
+
+
+def revalidate(df: DataFrame, lex: Lexicon, run_ts: Column, legacy: str = "domestic", least: int = 20) -> DataFrame:
+    """Stored articles under the present rules: a flag ``kept``, the category that is no longer in use taken out, and a new score.
+
+    An article goes if the gate refuses it or its new score is below ``least``; ``rescored`` marks changes of five points or more.
+    """
+    gate = is_relevant(F.col("title"), F.col("summary"), F.col("source_type"), lex)
+    work = df.withColumn("categories", F.array_remove("categories", legacy)).withColumnRenamed("score", "old_score")
+    work = score(work, lex, run_ts).withColumn("__gate", gate)
+    kept = F.col("__gate") & (F.col("score") >= least)
+    return work.withColumn("rescored", F.col("__gate") & (F.abs(F.col("score") - F.col("old_score")) >= 5)).withColumn("kept", kept).drop("__gate")
+
+
+def revalidation_counts(df: DataFrame) -> DataFrame:
+    """How many articles a revalidation dropped and rescored."""
+    return df.agg(F.count_if(~F.col("kept")).alias("dropped"), F.count_if("rescored").alias("rescored"))
+
+
+def valid_cards(df: DataFrame) -> DataFrame:
+    """Cards that have a tag, a title, a body and an action."""
+    return df.where(" AND ".join(f"{c} IS NOT NULL AND {c} <> ''" for c in ("tag", "title", "body", "action")))
+
+
+def score_cut(df: DataFrame, least: int = 20) -> DataFrame:
+    return df.where(F.col("score") >= least)
+
+
+def score_bands(df: DataFrame) -> DataFrame:
+    """Articles of each band of the score."""
+    return df.groupBy(band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
+
+
+def request_rows(top: DataFrame, by: str, line: Column) -> DataFrame:
+    """The ranked articles of each group as the numbered lines of a request."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
+    return top.groupBy(by).agg(F.array_join(rows, "\n").alias("request"))

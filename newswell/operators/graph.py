@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newswell.functions.lexicon import RELATIONS, SYMMETRIC
+from newswell.functions.text import any_term
 
 
 def mention_pattern(alias: str) -> str:
@@ -15,13 +19,74 @@ def mention_pattern(alias: str) -> str:
     return rf"(?<![a-z]){re.escape(alias)}(?![a-z])"
 
 
+#: Aliases up to which a catalog becomes part of the plan; a larger one is an automaton in the tasks.
+UNROLLED = 64
+
+
+def _mentions_by_automaton(docs: DataFrame, catalog, text: Column, keep: tuple[str, ...]) -> DataFrame:
+    """One pass over each text by an Aho-Corasick automaton of all aliases, however many there are."""
+    aliases: dict[str, list[str]] = {}
+    for entity, names in catalog:
+        for a in names:
+            aliases.setdefault(a, []).append(entity)
+    kind = docs.select(*keep, F.lit("").alias("entity_id")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        auto = ahocorasick.Automaton()
+        for a, entities in aliases.items():
+            auto.add_word(a, (len(a), entities))
+        auto.make_automaton()
+        letter = frozenset("abcdefghijklmnopqrstuvwxyz")
+        for batch in batches:
+            rows, found = [], []
+            for row, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                own = set()
+                for end, (n, entities) in auto.iter(t or ""):
+                    if t[end - n : end - n + 1] not in letter or end < n:
+                        if t[end + 1 : end + 2] not in letter:
+                            own.update(entities)
+                rows += [row] * len(own)
+                found += sorted(own)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int32())) for c in batch.columns[:-1]), pa.array(found, pa.string())], names=[*keep, "entity_id"])
+
+    return docs.select(*keep, F.lower(text).alias("__text")).mapInArrow(run, kind)
+
+
 def entity_mentions(docs: DataFrame, catalog: list[tuple[str, tuple[str, ...]]], text: Column, *keep: str) -> DataFrame:
-    """A row for each document and entity of which an alias occurs; ``catalog`` lists (entity_id, aliases)."""
+    """A row for each document and entity of which an alias occurs; ``catalog`` lists (entity_id, aliases), aliases in lower case."""
+    if sum(len(a) for _, a in catalog) > UNROLLED:
+        return _mentions_by_automaton(docs, catalog, text, keep)
     low = F.lower(text)
     found = F.transform(F.array(low), lambda t: F.array_compact(F.array(*(F.when(t.rlike("|".join(mention_pattern(a) for a in aliases)), F.lit(e)) for e, aliases in catalog))))[0]
     return docs.select(*keep, F.explode(found).alias("entity_id"))
 
 
+def candidate_entities(text: Column, catalog: list[tuple[str, tuple[str, ...]]]) -> Column:
+    """Entities of which an alias stands anywhere in a text, in order."""
+    return F.array_sort(F.transform(F.array(F.lower(text)), lambda t: F.array_compact(F.array(*(F.when(any_term(t, a), F.lit(e)) for e, a in catalog))))[0])
+
+
+def type_counts(mentions: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Entities and mentions of each type; ``kinds`` (``entity_id, type``) is a dimension."""
+    return mentions.join(kinds, "entity_id").groupBy("type").agg(F.count_distinct("entity_id").alias("n_entities"), F.count("*").alias("n_mentions"))
+
+
+def unmatched_names(names: DataFrame, catalog: DataFrame, top: int = 10) -> DataFrame:
+    """The most frequent annotated names that no alias equals."""
+    known = catalog.select(F.col("alias").alias("name")).distinct()
+    return names.join(known, "name", "left_anti").groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(top)
+
+
+def newest_per_name(named: DataFrame, top: int = 30) -> DataFrame:
+    """``name, n, overflow, newest``: an index of names with their newest ``top`` articles and how many more there are."""
+    totals = named.groupBy("name").agg(F.count("*").alias("n"))
+    ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("published_at"), "ord"))).where(F.col("r") <= top)
+    newest = ranked.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "ord"))), lambda x: x["ord"]).alias("newest"))
+    return totals.join(newest, "name").select("name", "n", F.greatest(F.col("n") - top, F.lit(0)).alias("overflow"), "newest")
+
+
 def entity_rollup(mentions: DataFrame, top: int = 30) -> DataFrame:
     """Mentions of each entity: how many, mean score, first and last day, and its newest ``top`` articles."""
     newest = mentions.withColumn("r", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("day"), "ord"))).where(F.col("r") <= top).withColumn("r", F.col("r").cast("bigint"))
@@ -38,20 +103,29 @@ def auto_entities(items: DataFrame, mentions: DataFrame, least: int = 2) -> Data
     names = items.select("ord", "title", "score", F.explode("entities").alias("name")).where(F.length("name").between(2, 60)).withColumn("k", F.lower("name"))
     aliases = mentions.groupBy("ord").agg(F.collect_set("alias").alias("aliases"))
     names = names.join(aliases, "ord", "left").where(~F.coalesce(F.exists("aliases", lambda a: F.contains(F.col("k"), a) | F.contains(a, F.col("k"))), F.lit(False)))
-    return names.groupBy("k").agg(F.min_by("name", "ord").alias("name"), F.count("*").alias("n"), F.bround(F.avg("score"), 1).alias("avg_score"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"]), 1, 3).alias("titles")).where(F.col("n") >= least)
+    totals = names.groupBy("k").agg(F.min_by("name", "ord").alias("name"), F.count("*").alias("n"), F.bround(F.avg("score"), 1).alias("avg_score")).where(F.col("n") >= least)
+    first = names.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("ord"))).where("r <= 3")
+    return totals.join(first.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "title"))), lambda x: x["title"]).alias("titles")), "k")
 
 
 def resolve_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
     """``name, entity_id``: equal to an alias, else the first alias of three letters or more that contains it or is contained.
 
-    The catalog (``entity_id, alias, ord``) is a dimension and meets only the distinct names that no alias equals.
+    Containment is an equi-join: aliases meet the parts of a name that are as long as some alias, names the parts of
+    aliases. Only the distinct names that no alias equals take part. ``catalog`` has ``entity_id, alias, ord``.
     """
     distinct = names.select(F.lower("name").alias("k")).distinct()
     exact = distinct.join(catalog.select(F.lower("alias").alias("k"), "entity_id", "ord"), "k").groupBy("k").agg(F.min_by("entity_id", "ord").alias("entity_id"))
-    misses = distinct.join(exact.select("k"), "k", "left_anti")
+    misses = distinct.join(exact.select("k"), "k", "left_anti").where("k <> ''")
     long_ = catalog.where(F.length("alias") >= 3).select(F.lower("alias").alias("alias"), "entity_id", "ord")
-    listed = long_.agg(F.array_sort(F.collect_list(F.struct("ord", "alias", "entity_id"))).alias("all"))
-    near = misses.crossJoin(F.broadcast(listed)).select("k", F.get(F.filter("all", lambda x: F.contains(x["alias"], F.col("k")) | F.contains(F.col("k"), x["alias"])), F.lit(0))["entity_id"].alias("entity_id")).where("entity_id IS NOT NULL")
+    lengths = long_.agg(F.collect_set(F.length("alias")).alias("lengths"))  # one row, as long as the longest alias
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    parts = misses.crossJoin(F.broadcast(lengths)).select("k", F.explode("lengths").alias("n")).where(F.length("k") >= F.col("n")).select("k", F.explode(F.array_distinct(F.transform(up_to(F.length("k") - F.col("n") + 1), lambda i: F.substring(F.col("k"), i, F.col("n"))))).alias("alias"))
+    within = parts.join(long_, "alias").select("k", "entity_id", "ord")
+    sizes = F.sequence(F.lit(1), F.length("alias"))
+    cuts = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("alias") - n + 1), lambda i: F.substring(F.col("alias"), i, n)))))
+    around = long_.select("entity_id", "ord", F.explode(cuts).alias("k")).join(misses, "k").select("k", "entity_id", "ord")
+    near = within.unionByName(around).groupBy("k").agg(F.min_by("entity_id", "ord").alias("entity_id"))
     found = exact.unionByName(near)
     return names.withColumn("k", F.lower("name")).join(found, "k", "left").drop("k")
 
@@ -96,3 +170,27 @@ def core_subgraph(edges: DataFrame, nodes: DataFrame, k: int = 28, types=None, p
 def effective_mentions(rollup: DataFrame, papers: bool = True) -> Column:
     n = F.coalesce("n_articles", F.lit(0)) + F.coalesce("n_trends", F.lit(0))
     return n + F.coalesce("n_papers", F.lit(0)) if papers else n
+
+
+def edge_filter(edges: DataFrame, types=None, papers: bool = True) -> DataFrame:
+    """Edges of the wanted types, with or without those that papers gave."""
+    kept = edges.where(F.col("type").isin(*types)) if types else edges
+    return kept if papers else kept.where(F.coalesce("source_type", F.lit("trend")) != "paper")
+
+
+def graph_nodes(edges: DataFrame, entities: DataFrame, isolated: bool = False) -> DataFrame:
+    """``entity_id`` of the edges' ends, and, if wanted, entities without an edge that are mentioned (``mentions`` > 0)."""
+    ends = edges.select(F.explode(F.array("source", "target")).alias("entity_id"))
+    if isolated:
+        ends = ends.unionByName(entities.where("mentions > 0").select("entity_id"))
+    return ends.distinct().join(entities.select("entity_id").distinct(), "entity_id", "left_semi")
+
+
+def adjacency(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """For each known entity its edges in both directions: the other end with its type, ``dir``, kind, evidence and weight."""
+    own = ["type", "evidence", "weight", F.coalesce("source_type", F.lit("trend")).alias("source_type"), "ord"]
+    out = edges.select(F.col("source").alias("entity_id"), F.col("target").alias("other"), F.lit("out").alias("dir"), *own)
+    into = edges.select(F.col("target").alias("entity_id"), F.col("source").alias("other"), F.lit("in").alias("dir"), *own)
+    known = entities.select("entity_id", F.col("type").alias("entity_type"))
+    both = out.unionByName(into).join(known, "entity_id")
+    return both.join(known.select(F.col("entity_id").alias("other"), F.col("entity_type").alias("other_type")), "other", "left")

@@ -119,6 +119,70 @@ def recent_keys(df: DataFrame, n: int, key: str = "key") -> DataFrame:
     return df.select("period", key).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("period").orderBy(F.desc(key)))).where(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def admit(requests: DataFrame, limit: int = 5, who: str = "ip", ts: str = "ts") -> DataFrame:
+def admit(requests: DataFrame, limit: int = 5, who: str = "ip", ts: str = "ts", day: Column | None = None) -> DataFrame:
     """The first ``limit`` requests of each sender and UTC day. A group is one sender's day."""
-    return requests.withColumn("rank", F.row_number().over(Window.partitionBy(who, F.to_date(ts)).orderBy(ts))).where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("bigint"))
+    return top_n_per(requests.withColumn("__day", F.to_date(ts) if day is None else day), [who, "__day"], limit, F.col(ts)).drop("__day")
+
+
+# ------------------------------------------------------------ windows of time and periods
+
+
+def within_days(df: DataFrame, run_ts: Column, days: int, column: str = "published_at") -> DataFrame:
+    """Rows of the last ``days`` days."""
+    return df.where(F.col(column) >= run_ts - F.expr(f"interval {days} days"))
+
+
+def fetched_days(df: DataFrame, run_ts: Column, days: int = 1) -> DataFrame:
+    """Articles dated, in Seoul, not more than ``days`` days before the run; those without a date pass."""
+    from newswell.functions.dates import seoul_date
+
+    return df.where(F.col("date_unknown") | (seoul_date(F.col("published_at")) >= F.date_sub(F.to_date(run_ts), days)))
+
+
+def in_period(df: DataFrame, first: str, last: str) -> DataFrame:
+    """Articles with a known date from ``first`` to ``last``, days as strings, both included."""
+    return df.where(~F.col("date_unknown") & F.substring("date_raw", 1, 10).between(first, last))
+
+
+def recent_papers(df: DataFrame, since: str) -> DataFrame:
+    """Papers with a known date from ``since`` on."""
+    return df.where(F.col("source_type").isin("arxiv", "openalex") & ~F.col("date_unknown") & (F.substring("date_raw", 1, 10) >= since))
+
+
+def added_since(df: DataFrame, since: Column) -> DataFrame:
+    """Articles first seen, or else published, since an instant."""
+    return df.where(F.coalesce("first_seen", "published_at") >= since)
+
+
+def retain_by_source(df: DataFrame, run_sources: DataFrame, since: Column) -> DataFrame:
+    """Old articles go, but for those of sources that did not take part in the run."""
+    present = run_sources.select("source").distinct().withColumn("__in_run", F.lit(True))
+    return df.join(present, "source", "left").where((F.to_date("published_at") >= since) | F.col("__in_run").isNull()).drop("__in_run")
+
+
+def keep_unless_recent(df: DataFrame, columns: tuple[str, ...], run_ts: Column, days: int = 3) -> DataFrame:
+    """Annotations of articles of the last ``days`` days are taken off, so that they are made anew."""
+    recent = F.coalesce(F.col("published_at") >= run_ts - F.expr(f"interval {days} days"), F.lit(False))
+    return df.withColumns({c: F.when(~recent, F.col(c)) for c in columns})
+
+
+def best_of_enough(df: DataFrame, keys: list[str], n: int, least: int, *order: Column) -> DataFrame:
+    """The first ``n`` of each group that has ``least`` rows or more."""
+    enough = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(*keys)
+    return top_n_per(df.join(enough, keys, "left_semi"), keys, n, *order)
+
+
+def annotation_budget(df: DataFrame, n: int = 300) -> DataFrame:
+    """The ``n`` most important articles without annotations."""
+    return df.where(~F.coalesce(F.col("llm_enriched"), F.lit(False))).orderBy(F.desc("score"), F.desc("date_raw"), "ord").limit(n)
+
+
+def expand_selection(picked: DataFrame, cited: DataFrame) -> DataFrame:
+    """``url, ord``: picked articles and those that picked cards cite, each address once."""
+    return picked.select("url", "ord").unionByName(cited.select("url", "ord")).where("url <> ''").groupBy("url").agg(F.min("ord").alias("ord"))
+
+
+def match_bookmarks(marks: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """How many bookmarks have an article, and how many have none."""
+    found = items.select(key).distinct().withColumn("matched", F.lit(True))
+    return marks.join(found, key, "left").groupBy(F.coalesce("matched", F.lit(False)).alias("matched")).agg(F.count("*").alias("n"))

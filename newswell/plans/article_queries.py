@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from newswell.functions import dates, text
 from newswell.functions.lexicon import CATEGORIES, DEMO
 from newswell.operators import classify, cluster, history
-from newswell.plans.base import ARTICLES, CHARS, Registry, articles, run_ts, table
+from newswell.plans.text_queries import CARD_SQL, _TRIM, _UNBOLD, card_text, emphasise_sql
+from newswell.plans.base import ARTICLES, Registry, articles, run_ts, table
 
 _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
@@ -37,7 +38,7 @@ _LOW = "lower(concat_ws(' ', title, summary))"
 _VERDICT = f"""CASE WHEN {_starts('pr_block')} THEN 'block' WHEN {_starts('pr_cap')} THEN 'cap 25'
  WHEN {_starts('pr_opinion')} THEN CASE WHEN {_hits(_LOW, 'ai')} >= 3 THEN 'pass' ELSE 'cap 28' END
  WHEN {_starts('pr_series')} THEN CASE WHEN {_hits(_LOW, 'ai')} >= 3 THEN 'pass' ELSE 'block' END
- WHEN {_hits('lower(title)', 'pr_verbs')} >= 2 THEN CASE WHEN {_hits(_LOW, 'ai')} >= 3 THEN 'cap 45' ELSE 'cap 30' END ELSE 'pass' END"""
+ WHEN {_hits(_LOW, 'pr_verbs')} >= 2 THEN CASE WHEN {_hits(_LOW, 'ai')} >= 3 THEN 'cap 45' ELSE 'cap 30' END ELSE 'pass' END"""
 
 
 def _sum(x: str, name: str) -> str:
@@ -51,36 +52,29 @@ _GATED = ARTICLES + f", v AS (SELECT *, {_LOW} AS x, {_VERDICT} AS v FROM articl
 
 
 @query("p01_relevance_gate", _GATED + " SELECT ord, relevant FROM g")
-def p01(spark, d, chars=CHARS):
-    return articles(spark, d, chars).select("ord", classify.is_relevant(F.col("title"), F.col("summary"), F.col("source_type"), DEMO).alias("relevant"))
+def p01(spark, d):
+    return articles(spark, d).select("ord", classify.is_relevant(F.col("title"), F.col("summary"), F.col("source_type"), DEMO).alias("relevant"))
 
 
 @query("p02_pr_verdict", _GATED + " SELECT ord, v AS verdict FROM g")
-def p02(spark, d, chars=CHARS):
+def p02(spark, d):
     v = classify.pr_verdict(F.col("title"), F.col("summary"), DEMO)
-    return articles(spark, d, chars).select("ord", F.concat_ws(" ", v["verdict"], v["cap"].cast("string")).alias("verdict"))
+    return articles(spark, d).select("ord", F.concat_ws(" ", v["verdict"], v["cap"].cast("string")).alias("verdict"))
 
 
 @query("p03_score_cut", ARTICLES + "SELECT ord, score FROM articles WHERE score >= 20")
 def p03(spark, d):
-    return articles(spark, d).where("score >= 20").select("ord", "score")
+    return classify.score_cut(articles(spark, d)).select("ord", "score")
 
 
 @query("p04_fetch_days", ARTICLES + "SELECT ord FROM articles WHERE date_unknown OR (published_at + INTERVAL 9 HOUR)::DATE >= DATE '2024-01-30'")
 def p04(spark, d):
-    run = F.to_date(run_ts())
-    return articles(spark, d).where(F.col("date_unknown") | (dates.seoul_date(F.col("published_at")) >= F.date_sub(run, 1))).select("ord")
+    return history.fetched_days(articles(spark, d), run_ts()).select("ord")
 
 
 @query("p05_retention", ARTICLES + "SELECT ord FROM articles WHERE published_at >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY")
 def p05(spark, d):
-    return articles(spark, d).where(F.col("published_at") >= run_ts() - F.expr("interval 20 days")).select("ord")
-
-
-@query("p06_revalidate", _GATED + " SELECT ord, array_to_string(list_filter(categories, lambda c: c <> 'market'), ',') AS categories FROM g WHERE relevant AND score >= 20")
-def p06(spark, d, chars=CHARS):
-    a = articles(spark, d, chars).where("score >= 20")
-    return a.where(classify.is_relevant(F.col("title"), F.col("summary"), F.col("source_type"), DEMO)).select("ord", F.array_join(F.array_remove("categories", "market"), ",").alias("categories"))
+    return history.within_days(articles(spark, d), run_ts(), 20).select("ord")
 
 
 @query("p07_suspicious_date", ARTICLES + "SELECT ord, date_unknown OR abs(epoch(published_at) - epoch(first_seen)) < 120 AS suspicious FROM articles")
@@ -96,19 +90,19 @@ def _agenda():
 
 
 @query("p08_needs_annotation", ARTICLES + f"""SELECT ord, CASE lang WHEN 'en' THEN true WHEN 'fr' THEN ((score >= 70 OR {_AGENDA}) AND ord % 2 = 0) OR len(entities) = 0 OR (ord % 5 = 0 AND source_type NOT IN ('arxiv', 'openalex')) ELSE false END AS needed FROM articles""")
-def p08(spark, d, chars=CHARS):
-    a = articles(spark, d, chars).withColumns({"l": F.when(F.col("lang") == "fr", "ko").otherwise(F.col("lang")), "ins": F.when(F.col("ord") % 2 == 1, "x"), "prim": F.when(F.col("ord") % 5 != 0, "policy")})
+def p08(spark, d):
+    a = articles(spark, d).withColumns({"l": F.when(F.col("lang") == "fr", "ko").otherwise(F.col("lang")), "ins": F.when(F.col("ord") % 2 == 1, "x"), "prim": F.when(F.col("ord") % 5 != 0, "policy")})
     return a.select("ord", classify.needs_annotation(F.col("l"), F.col("source_type"), F.col("score"), _agenda(), F.lit(None).cast("string"), F.col("ins"), F.col("entities"), F.col("prim")).alias("needed"))
 
 
 @query("p09_agenda", ARTICLES + f"SELECT ord, {_AGENDA} AS agenda FROM articles")
-def p09(spark, d, chars=CHARS):
-    return articles(spark, d, chars).select("ord", _agenda().alias("agenda"))
+def p09(spark, d):
+    return articles(spark, d).select("ord", _agenda().alias("agenda"))
 
 
 @query("p10_annotation_route", ARTICLES + f"SELECT ord, CASE WHEN source_type IN ('arxiv', 'openalex') THEN 'paper' WHEN lang = 'en' THEN 'en-full' WHEN score >= 70 OR {_AGENDA} THEN 'ko-insight' ELSE 'ko-ner-only' END AS route FROM articles")
-def p10(spark, d, chars=CHARS):
-    return articles(spark, d, chars).select("ord", classify.annotation_route(F.col("lang"), F.col("source_type"), F.col("score"), _agenda()).alias("route"))
+def p10(spark, d):
+    return articles(spark, d).select("ord", classify.annotation_route(F.col("lang"), F.col("source_type"), F.col("score"), _agenda()).alias("route"))
 
 
 @query("p11_period_filter", ARTICLES + "SELECT ord, substring(date_raw, 1, 10) BETWEEN '2024-01-22' AND '2024-01-28' AS weekly, starts_with(date_raw, '2024-01') AS monthly FROM articles WHERE NOT date_unknown")
@@ -119,7 +113,7 @@ def p11(spark, d):
 
 @query("p12_paper_filter", ARTICLES + "SELECT ord FROM articles WHERE source_type IN ('arxiv', 'openalex') AND NOT date_unknown AND substring(date_raw, 1, 10) >= '2024-01-24'")
 def p12(spark, d):
-    return articles(spark, d).where(F.col("source_type").isin("arxiv", "openalex") & ~F.col("date_unknown") & (F.substring("date_raw", 1, 10) >= "2024-01-24")).select("ord")
+    return history.recent_papers(articles(spark, d), "2024-01-24").select("ord")
 
 
 _PERIODS = "SELECT 'daily' AS period, strftime(o_orderdate, '%Y-%m-%d') AS key, o_orderkey FROM orders UNION ALL SELECT 'weekly', strftime(o_orderdate, '%G-W%V'), o_orderkey FROM orders UNION ALL SELECT 'monthly', strftime(o_orderdate, '%Y-%m'), o_orderkey FROM orders"
@@ -136,32 +130,32 @@ def p13(spark, d):
     return history.prune_history(_periods(spark, d), F.lit("1998-07-01").cast("date")).groupBy("period").agg(F.count("*").alias("n"))
 
 
-@query("p14_source_retention", ARTICLES + "SELECT source, count(*) AS n FROM articles WHERE published_at::DATE >= DATE '2024-01-15' OR source NOT IN (SELECT source FROM articles WHERE ord % 50 = 0) GROUP BY source")
+@query("p14_source_retention", ARTICLES + "SELECT source, count(*) AS n FROM articles WHERE published_at::DATE >= DATE '2024-01-15' OR source NOT IN (SELECT source FROM articles WHERE published_at >= TIMESTAMP '2024-01-30' AND source IS NOT NULL) GROUP BY source")
 def p14(spark, d):
     a = articles(spark, d)
-    run = a.where("ord % 50 = 0").select("source").distinct().withColumn("in_run", F.lit(True))
-    return a.join(run, "source", "left").where((F.to_date("published_at") >= "2024-01-15") | F.col("in_run").isNull()).groupBy("source").agg(F.count("*").alias("n"))
+    run = a.where(F.col("published_at") >= "2024-01-30").select("source")
+    return history.retain_by_source(a, run, F.lit("2024-01-15")).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("p18_today_added", ARTICLES + "SELECT ord FROM articles WHERE coalesce(first_seen, published_at) >= TIMESTAMP '2024-01-30'")
 def p18(spark, d):
-    return articles(spark, d).where(F.coalesce("first_seen", "published_at") >= F.date_trunc("day", run_ts() - F.expr("interval 1 day"))).select("ord")
+    return history.added_since(articles(spark, d), F.date_trunc("day", run_ts() - F.expr("interval 1 day"))).select("ord")
 
 
 @query("p19_refresh_window", ARTICLES + "SELECT ord, CASE WHEN published_at < TIMESTAMP '2024-01-28' THEN array_to_string(entities, ',') END AS entities FROM articles")
 def p19(spark, d):
-    recent = F.col("published_at") >= run_ts() - F.expr("interval 3 days")
-    return articles(spark, d).select("ord", F.when(~recent, F.array_join("entities", ",")).alias("entities"))
+    return history.keep_unless_recent(articles(spark, d), ("entities",), run_ts()).select("ord", F.array_join("entities", ",").alias("entities"))
 
 
-@query("p20_card_shape", "SELECT conv_id, turn FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
+@query("p20_card_shape", "SELECT conv_id, turn FROM conversations WHERE role <> '' AND split_part(text, ' ', 1) <> '' AND length(text) > 0 AND regexp_extract(text, '[.!?]') <> ''")
 def p20(spark, d):
-    return table(spark, d, "conversations").where("role IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select("conv_id", "turn")
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("tag"), F.substring_index("text", " ", 1).alias("title"), F.col("text").alias("body"), F.regexp_extract("text", "[.!?]", 0).alias("action"))
+    return classify.valid_cards(c).select("conv_id", "turn")
 
 
 @query("p22_is_arxiv", ARTICLES + "SELECT ord, source_type = 'arxiv' OR contains(url, 'arxiv.org') AS arxiv FROM articles")
 def p22(spark, d):
-    return articles(spark, d).select("ord", ((F.col("source_type") == "arxiv") | F.contains("url", F.lit("arxiv.org"))).alias("arxiv"))
+    return articles(spark, d).select("ord", text.is_arxiv(F.col("source_type"), F.col("url")).alias("arxiv"))
 
 
 _RANK = "CASE c " + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(CATEGORIES)) + " ELSE 99 END"
@@ -184,8 +178,8 @@ _CATS = " UNION ALL ".join(
 
 
 @query("c01_categorise", ARTICLES + f", y AS (SELECT *, source_type = 'arxiv' OR {_word('cat_papers')} AS paper FROM (SELECT *, {_LOW} AS x FROM articles)), o AS ({_ordered(_CATS)}) SELECT ord, coalesce(o.categories, '') AS categories FROM articles LEFT JOIN o USING (ord)")
-def c01(spark, d, chars=CHARS):
-    return articles(spark, d, chars).select("ord", F.array_join(classify.categorise(F.col("title"), F.col("summary"), F.col("categories"), F.col("source_type"), DEMO), ",").alias("categories"))
+def c01(spark, d):
+    return articles(spark, d).select("ord", F.array_join(classify.categorise(F.col("title"), F.col("summary"), F.col("categories"), F.col("source_type"), DEMO), ",").alias("categories"))
 
 
 def _score_sql() -> str:
@@ -229,8 +223,23 @@ t0 AS (SELECT *, ({steps[0]})::DOUBLE AS s FROM s2)"""
 
 
 @query("c02_importance_score", _score_sql() + "SELECT ord, score FROM scored")
-def c02(spark, d, chars=CHARS):
-    return classify.score(articles(spark, d, chars), DEMO, run_ts()).select("ord", "score")
+def c02(spark, d):
+    return classify.score(articles(spark, d), DEMO, run_ts()).select("ord", "score")
+
+
+_AGAIN = _score_sql() + f""", gv AS (SELECT *, {_LOW} AS x, {_VERDICT} AS v FROM articles), g AS (SELECT *, {_RELEVANT} AS relevant FROM gv),
+again AS (SELECT ord, array_to_string(list_filter(g.categories, lambda c: c <> 'market'), ',') AS categories, scored.score, relevant AND scored.score >= 20 AS kept, relevant AND abs(scored.score - g.score) >= 5 AS rescored FROM g JOIN scored USING (ord))
+"""
+
+
+@query("p06_revalidate", _AGAIN + "SELECT * FROM again")
+def p06(spark, d):
+    return classify.revalidate(articles(spark, d), DEMO, run_ts(), "market").select("ord", F.array_join("categories", ",").alias("categories"), "score", "kept", "rescored")
+
+
+@query("p06c_revalidation_counts", _AGAIN + "SELECT count_if(NOT kept)::BIGINT AS dropped, count_if(rescored)::BIGINT AS rescored FROM again")
+def p06c(spark, d):
+    return classify.revalidation_counts(classify.revalidate(articles(spark, d), DEMO, run_ts(), "market"))
 
 
 _LIKED = "least(12, " + " + ".join([*(f"CASE WHEN contains(x, '{k}') THEN {v} ELSE 0 END" for n in ("bookmark_entities", "bookmark_keywords") for k, v in DEMO.weight(n).items()), "CASE " + " ".join(f"WHEN contains(source, '{k}') THEN {v}" for k, v in DEMO.weight("bookmark_sources").items()) + " ELSE 0 END"]) + ")"
@@ -239,8 +248,8 @@ _LIKED = "least(12, " + " + ".join([*(f"CASE WHEN contains(x, '{k}') THEN {v} EL
 @query("c09_staged_score", _score_sql() + f""", r AS (SELECT *, coalesce(CASE WHEN persona_score BETWEEN 0 AND 10 THEN persona_score END, least(6, floor(total * 3))) * 10 + {_LIKED} AS s FROM s2),
 q AS (SELECT * REPLACE (greatest(s, CASE WHEN sup THEN 85 ELSE 0 END, CASE WHEN basic OR cond THEN 78 ELSE 0 END) + CASE WHEN hours < 24 THEN 5 ELSE 0 END AS s) FROM r),
 c AS (SELECT ord, CASE WHEN v = 'block' OR (m = 0 AND NOT core AND NOT sup) OR (neg >= 1 AND total < 0.3) THEN 0 ELSE least(120, s) END::INT AS staged FROM q) SELECT ord, staged, scored.score, staged - scored.score AS change FROM c JOIN scored USING (ord)""")
-def c09(spark, d, chars=CHARS):
-    both = classify.score(classify.score_staged(articles(spark, d, chars), DEMO, run_ts(), "staged"), DEMO, run_ts())
+def c09(spark, d):
+    both = classify.score(classify.score_staged(articles(spark, d), DEMO, run_ts(), "staged"), DEMO, run_ts())
     return both.select("ord", "staged", "score", (F.col("staged") - F.col("score")).alias("change"))
 
 
@@ -260,38 +269,37 @@ def c04(spark, d):
     return articles(spark, d).select("ord", x.alias("x")).select("ord", F.array_join("x.entities", ",").alias("entities"), F.size("x.relations").alias("n_relations"), "x.persona_score", F.length("x.persona_reason").alias("n_reason"))
 
 
-@query("c05_postprocess_cards", ARTICLES + """, u AS (SELECT ord, regexp_replace(regexp_replace(title, '^(\\S+) (\\S+)', '**\\1** **\\2**'), '\\*\\*(thinger|[^*]{1,6})\\*\\*', '\\1', 'g') AS c FROM articles),
-p AS (SELECT ord, trim(regexp_replace(regexp_replace(regexp_replace(c, '(?i)\\bof the\\b', '', 'g'), ' {2,}', ' ', 'g'), ' +([.,])', '\\1', 'g')) AS c FROM u), b AS (SELECT ord, c, trim(regexp_extract(c, '([^.!?]+[.!?]?)$', 1)) AS body FROM p)
-SELECT ord, CASE WHEN contains(c, '**') OR length(body) = 0 OR length(body) > 150 OR (length(body) = length(c) AND length(body) < 10) THEN c ELSE substring(c, 1, length(c) - length(body)) || '**' || body || '**' END AS body FROM b""")
+_POST = _TRIM.format("regexp_replace(regexp_replace(regexp_replace(" + _UNBOLD.format(CARD_SQL) + ", '(?i)\\bof the\\b', '', 'g'), '[ \\t]{2,}', ' ', 'g'), '[ \\t]+([.,!?])', '\\1', 'g')")
+
+
+@query("c05_postprocess_cards", ARTICLES + f", p AS (SELECT ord, {_POST} AS c FROM articles)" + emphasise_sql("c", "p"))
 def c05(spark, d):
-    card = F.regexp_replace("title", r"^(\S+) (\S+)", "**$1** **$2**")
-    return articles(spark, d).select("ord", classify.postprocess_card(card, ("thinger",), [r"(?i)\bof the\b"]).alias("body"))
+    return articles(spark, d).select("ord", classify.postprocess_card(card_text(), ("thinger",), [r"\bof the\b"]).alias("body"))
 
 
-@query("c06_period_readiness", f"WITH k AS ({_PERIODS}), c AS (SELECT DISTINCT period, key FROM k WHERE o_orderkey % 97 = 0), n AS (SELECT period, key, count(*) AS n_items, count_if(o_orderkey % 97 <> 0)::BIGINT AS n_uncited FROM k GROUP BY ALL) SELECT period, key, n_items, n_uncited, CASE WHEN c.key IS NULL AND n_items >= CASE period WHEN 'daily' THEN 3 WHEN 'weekly' THEN 20 ELSE 30 END THEN 'build' WHEN c.key IS NOT NULL AND period = 'daily' AND n_uncited >= 5 THEN 'extend' ELSE 'keep' END AS action FROM n LEFT JOIN c USING (period, key)")
+@query("c06_period_readiness", f"WITH k AS ({_PERIODS}), u AS (SELECT k.*, o_totalprice > 400000 AS cited FROM k JOIN orders USING (o_orderkey)), c AS (SELECT DISTINCT period, key FROM u WHERE cited), n AS (SELECT period, key, count(*) AS n_items, count_if(NOT cited)::BIGINT AS n_uncited FROM u GROUP BY ALL) SELECT period, key, n_items, n_uncited, CASE WHEN c.key IS NULL AND n_items >= CASE period WHEN 'daily' THEN 3 WHEN 'weekly' THEN 20 ELSE 30 END THEN 'build' WHEN c.key IS NOT NULL AND period = 'daily' AND n_uncited >= 5 THEN 'extend' ELSE 'keep' END AS action FROM n LEFT JOIN c USING (period, key)")
 def c06(spark, d):
     from newswell.operators.reports import band_of_periods
 
     k = _periods(spark, d).withColumnRenamed("o_orderkey", "url")
-    cards = k.where("url % 97 = 0").groupBy("period", "key").agg(F.collect_list("url").alias("urls"))
-    return band_of_periods(k, cards, {"daily": 3, "weekly": 20, "monthly": 30})
+    cited = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_orderkey").alias("url"))
+    return band_of_periods(k, k.join(cited, "url", "left_semi"), {"daily": 3, "weekly": 20, "monthly": 30})
 
 
 @query("c07_request_rows", ARTICLES + ", r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, ord) AS rank FROM articles) SELECT source, string_agg('[' || rank || '] ' || title || ' / ' || lang, chr(10) ORDER BY rank) AS request FROM r WHERE rank <= 10 GROUP BY source")
 def c07(spark, d):
     top = history.top_n_per(articles(spark, d), ["source"], 10, F.desc("score"), F.col("ord"))
-    line = F.format_string("[%d] %s / %s", "rank", "title", "lang")
-    return top.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("request"))
+    return classify.request_rows(top, "source", F.format_string("[%d] %s / %s", "rank", "title", "lang"))
 
 
 @query("c08_score_band", ARTICLES + "SELECT CASE WHEN score < 35 THEN '0-34' WHEN score < 50 THEN '35-49' WHEN score < 70 THEN '50-69' WHEN score < 90 THEN '70-89' ELSE '90+' END AS band, count(*) AS n FROM articles GROUP BY ALL")
 def c08(spark, d):
-    return articles(spark, d).groupBy(classify.band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
+    return classify.score_bands(articles(spark, d))
 
 
 @query("a04_bucket_strengths", ARTICLES + ", x AS (SELECT ord, trim(regexp_replace(lower(translate(title || ' ' || summary, '''\"', '  ')), '\\s+', ' ', 'g')) AS x, lower(title) AS h FROM articles) SELECT ord, " + ", ".join(f"round(1 - pow(0.78, {_hits('x', n)}), 3)::DOUBLE AS {n}" for n in ("law", "global", "policy")) + f", CASE WHEN {_any('h', 'promo')} THEN 1.0 ELSE 0.0 END::DOUBLE AS promo FROM x")
-def a04(spark, d, chars=CHARS):
-    return articles(spark, d, chars).select("ord", classify.bucket_strengths(F.col("title"), F.col("summary"), DEMO).alias("s")).select("ord", "s.*")
+def a04(spark, d):
+    return articles(spark, d).select("ord", classify.bucket_strengths(F.col("title"), F.col("summary"), DEMO).alias("s")).select("ord", "s.*")
 
 
 # ------------------------------------------------------------ merging and ranking
@@ -310,10 +318,10 @@ def w02(spark, d):
 _TOPS = " UNION ALL ".join(f"SELECT '{p}' AS period, {k} AS key, row_number() OVER (PARTITION BY {k} ORDER BY score DESC, ord) AS rank, ord, title, score FROM scored QUALIFY rank <= {TOP[p]}" for p, k in (("daily", "strftime(published_at, '%Y-%m-%d')"), ("weekly", "strftime(published_at, '%G-W%V')"), ("monthly", "strftime(published_at, '%Y-%m')")))
 
 
-def flagship(spark, d, chars=CHARS):
+def flagship(spark, d):
     """Scored articles, the best of each day, week and month."""
     t = F.col("published_at")
-    scored = classify.score(articles(spark, d, chars), DEMO, run_ts())
+    scored = classify.score(articles(spark, d), DEMO, run_ts())
     keys = F.array(*(F.struct(F.lit(p).alias("period"), k.alias("key"), F.lit(TOP[p]).alias("most")) for p, k in (("daily", dates.day_key(t)), ("weekly", dates.week_key(t)), ("monthly", dates.month_key(t)))))
     fanned = scored.select("ord", "title", "score", F.inline(keys))
     return history.top_n_per(fanned, ["period", "key"], max(TOP.values()), F.desc("score"), F.col("ord")).where("rank <= most").select("period", "key", "rank", "ord", "title", "score")
@@ -341,14 +349,12 @@ def u04(spark, d):
 
 @query("w08_emergency_cards", ARTICLES + "SELECT source, rank, ord FROM (SELECT source, ord, row_number() OVER (PARTITION BY source ORDER BY score DESC, ord) AS rank, count(*) OVER (PARTITION BY source) AS n FROM articles WHERE llm_enriched) WHERE rank <= 5 AND n >= 3")
 def w08(spark, d):
-    a = articles(spark, d).where("llm_enriched")
-    enough = a.groupBy("source").agg(F.count("*").alias("n")).where("n >= 3").select("source")
-    return history.top_n_per(a.join(enough, "source", "left_semi"), ["source"], 5, F.desc("score"), F.col("ord")).select("source", "rank", "ord")
+    return history.best_of_enough(articles(spark, d).where("llm_enriched"), ["source"], 5, 3, F.desc("score"), F.col("ord")).select("source", "rank", "ord")
 
 
 @query("w09_annotation_budget", ARTICLES + "SELECT ord FROM articles WHERE NOT llm_enriched ORDER BY score DESC, date_raw DESC, ord LIMIT 300")
 def w09(spark, d):
-    return articles(spark, d).where("NOT llm_enriched").orderBy(F.desc("score"), F.desc("date_raw"), "ord").limit(300).select("ord")
+    return history.annotation_budget(articles(spark, d)).select("ord")
 
 
 @query("w10_recent_keys", f"SELECT period, key, rank FROM (SELECT period, key, row_number() OVER (PARTITION BY period ORDER BY key DESC) AS rank FROM (SELECT DISTINCT period, key FROM ({_PERIODS}))) WHERE rank <= 4")
@@ -359,8 +365,7 @@ def w10(spark, d):
 @query("w12_daily_quota", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) <= 5")
 def w12(spark, d):
     e = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
-    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
-    return e.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("event_id")
+    return history.admit(e, 5, "user_id", "at", F.to_date("ts")).select("event_id")
 
 
 @query("w13_keep_last", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 50")
@@ -368,13 +373,13 @@ def w13(spark, d):
     return history.top_n_per(table(spark, d, "events"), ["user_id"], 50, F.desc("ts"), F.col("event_id")).select("user_id", "event_id")
 
 
-_SPLIT = ARTICLES + ", new AS (SELECT * FROM articles WHERE ord % 3 = 0), prev AS (SELECT * REPLACE (published_at - INTERVAL 5 DAY AS published_at, first_seen - INTERVAL 5 DAY AS first_seen) FROM articles WHERE ord % 2 = 0)"
+_SPLIT = ARTICLES + ", new AS (SELECT * FROM articles WHERE lang IS DISTINCT FROM 'fr'), prev AS (SELECT * REPLACE (published_at - INTERVAL 5 DAY AS published_at, first_seen - INTERVAL 5 DAY AS first_seen) FROM articles WHERE lang IS DISTINCT FROM 'de')"
 
 
-def _split(spark, d, all_rows=False):
-    a = articles(spark, d)
-    back = F.expr("interval 5 days")
-    stored, arrived = (a, a) if all_rows else (a.where("ord % 2 = 0"), a.where("ord % 3 = 0"))
+def _split(spark, d):
+    """What is stored and what arrives: each side lacks one language, so that there are known, new and left-over articles."""
+    a, back = articles(spark, d), F.expr("interval 5 days")
+    stored, arrived = (a.where(~F.col("lang").eqNullSafe(x)) for x in ("de", "fr"))
     return stored.withColumns({"published_at": F.col("published_at") - back, "first_seen": F.col("first_seen") - back}), arrived
 
 
@@ -383,15 +388,15 @@ j AS (SELECT coalesce(n.url, p.url) AS url, n.url IS NOT NULL AS arrived, p.url
 CASE WHEN n.url IS NOT NULL AND p.url IS NOT NULL AND n.date_unknown AND NOT p.date_unknown THEN false WHEN n.url IS NOT NULL THEN n.date_unknown ELSE p.date_unknown OR abs(epoch(p.published_at) - epoch(p.first_seen)) < 120 END AS date_unknown,
 coalesce(p.first_seen, n.first_seen) AS first_seen, coalesce(n.ord, p.ord) AS ord FROM n FULL JOIN p ON n.url = p.url)
 SELECT url, ord, strftime(published_at, '%Y-%m-%d %H:%M') AS published_at, date_unknown, strftime(first_seen, '%Y-%m-%d %H:%M') AS first_seen, arrived AND NOT stored AS is_new FROM j WHERE published_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY""")
-def j01(spark, d, all_rows=False):
-    prev, new = (history.first_per_key(x, ["url"], F.col("ord")) for x in _split(spark, d, all_rows))
+def j01(spark, d):
+    prev, new = (history.first_per_key(x, ["url"], F.col("ord")) for x in _split(spark, d))
     show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
     return history.merge_articles(prev, new, run_ts()).select("url", "ord", show("published_at"), "date_unknown", show("first_seen"), "is_new")
 
 
 @query("j02_restore_annotations", _SPLIT + ", c AS (SELECT url, arg_min(entities, ord) AS e FROM prev WHERE llm_enriched GROUP BY url) SELECT new.ord, array_to_string(CASE WHEN new.ord % 2 = 1 THEN new.entities ELSE c.e END, ',') AS entities FROM new LEFT JOIN c USING (url)")
-def j02(spark, d, all_rows=False):
-    prev, new = _split(spark, d, all_rows)
+def j02(spark, d):
+    prev, new = _split(spark, d)
     cache = history.first_per_key(prev.where("llm_enriched"), ["url"], F.col("ord")).withColumn("ner_only", F.lit(False))
     bare = new.withColumn("entities", F.when(F.col("ord") % 2 == 1, F.col("entities")))
     return history.restore_annotations(bare, cache, ("entities",)).select("ord", F.array_join("entities", ",").alias("entities"))
@@ -404,8 +409,8 @@ def j04(spark, d):
 
 
 @query("j09_force_include", ARTICLES + f", top AS (SELECT * FROM articles ORDER BY score DESC, ord LIMIT 50), more AS (SELECT * FROM articles WHERE {_any(_LOW, 'super')} AND url NOT IN (SELECT url FROM top) ORDER BY score DESC, ord LIMIT 10) SELECT ord FROM top UNION ALL SELECT ord FROM more")
-def j09(spark, d, chars=CHARS):
-    a = articles(spark, d, chars)
+def j09(spark, d):
+    a = articles(spark, d)
     order = (F.desc("score"), F.col("ord"))
     wanted = text.any_term(F.lower(F.concat_ws(" ", "title", "summary")), DEMO["super"])
     return history.force_include(a, a.orderBy(*order).limit(50), wanted, 10, *order).select("ord")
@@ -419,10 +424,10 @@ def u01(spark, d):
     return history.union_sources(*parts, rest).groupBy("source_type").agg(F.count("*").alias("n"), F.count("persona_score").alias("n_rated"))
 
 
-@query("u02_merge_bookmarks", "WITH a AS (SELECT doc_id AS key, doc_id % 13 AS saved_at FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS key, doc_id % 11 AS saved_at FROM documents WHERE doc_id % 3 = 0) SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL OR b.saved_at > a.saved_at THEN b.saved_at ELSE a.saved_at END AS saved_at, CASE WHEN a.key IS NULL OR b.saved_at > a.saved_at THEN 'b' ELSE 'a' END AS side FROM a FULL JOIN b ON a.key = b.key")
-def u02(spark, d, all_rows=False):
-    i = table(spark, d, "documents").select(F.col("doc_id").alias("key"))
-    a, b = (i, i) if all_rows else (i.where("key % 2 = 0"), i.where("key % 3 = 0"))
+@query("u02_merge_bookmarks", "WITH a AS (SELECT doc_id AS key, doc_id % 13 AS saved_at FROM documents WHERE lang IS DISTINCT FROM 'fr'), b AS (SELECT doc_id AS key, doc_id % 11 AS saved_at FROM documents WHERE lang IS DISTINCT FROM 'de') SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL OR b.saved_at > a.saved_at THEN b.saved_at ELSE a.saved_at END AS saved_at, CASE WHEN a.key IS NULL OR b.saved_at > a.saved_at THEN 'b' ELSE 'a' END AS side FROM a FULL JOIN b ON a.key = b.key")
+def u02(spark, d):
+    i = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "lang")
+    a, b = (i.where(~F.col("lang").eqNullSafe(x)).select("key") for x in ("fr", "de"))
     return history.merge_bookmarks(a.withColumn("saved_at", F.col("key") % 13), b.withColumn("saved_at", F.col("key") % 11))
 
 
@@ -453,50 +458,50 @@ FROM t a JOIN t b ON a.ord < b.ord WHERE abs(epoch(a.published_at) - epoch(b.pub
 """
 
 
-def _dup(spark, d, chars=CHARS, sequence=False):
-    return cluster.duplicate_pairs(articles(spark, d, chars), run_ts(), DEMO["nouns"], sequence=sequence)
+def _dup(spark, d, sequence=False):
+    return cluster.duplicate_pairs(articles(spark, d), run_ts(), DEMO["nouns"], sequence=sequence)
 
 
 @query("j10_duplicate_pairs", _PAIRS + "SELECT a, b FROM d")
-def j10(spark, d, chars=CHARS):
-    return _dup(spark, d, chars)
+def j10(spark, d):
+    return _dup(spark, d)
 
 
 @query("j10s_duplicate_pairs_by_sequence")
 def j10s(spark, d):
-    return _dup(spark, d, None, True)
+    return _dup(spark, d, True)
 
 
 _LABELS = _PAIRS.replace("WITH articles", "WITH RECURSIVE articles", 1) + ", e AS MATERIALIZED (SELECT a, b FROM d UNION ALL SELECT b, a FROM d), r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached), labels AS (SELECT ord AS node, coalesce(least(ord, m), ord) AS label FROM articles LEFT JOIN (SELECT node, min(reached) AS m FROM r GROUP BY node) ON node = ord)\n"
 
 
-def _labels(spark, d, chars=CHARS, sequence=False):
-    return cluster.connected_components(_dup(spark, d, chars, sequence), articles(spark, d, chars).select("ord"))
+def _labels(spark, d, sequence=False):
+    return cluster.connected_components(_dup(spark, d, sequence), articles(spark, d).select("ord"))
 
 
 @query("a01_connected_components", _LABELS + "SELECT node, label FROM labels")
-def a01(spark, d, chars=CHARS):
-    return _labels(spark, d, chars)
+def a01(spark, d):
+    return _labels(spark, d)
 
 
 @query("a02_collapse_clusters", _LABELS + """, m AS (SELECT a.*, label, row_number() OVER (PARTITION BY label ORDER BY score DESC, ord) AS r FROM articles a JOIN labels ON ord = node),
 u AS (SELECT label, array_to_string(list_sort(list_distinct(list(c))), ',') AS categories FROM (SELECT label, unnest(categories) AS c FROM m) GROUP BY label)
 SELECT (arg_min(ord, r)) AS ord, any_value(u.categories) AS categories, (count(*) - 1)::INT AS related_count, coalesce(string_agg(CASE WHEN r > 1 THEN url END, ' ' ORDER BY r), '') AS related FROM m JOIN u USING (label) GROUP BY label""")
-def a02(spark, d, chars=CHARS, sequence=False):
-    return cluster.collapse_clusters(articles(spark, d, chars).drop("related_count"), _labels(spark, d, chars, sequence)).select("ord", F.array_join("categories", ",").alias("categories"), "related_count", F.array_join(F.transform("related", lambda x: x["url"]), " ").alias("related"))
+def a02(spark, d, sequence=False):
+    return cluster.collapse_clusters(articles(spark, d).drop("related_count"), _labels(spark, d, sequence)).select("ord", F.array_join("categories", ",").alias("categories"), "related_count", F.array_join(F.transform("related", lambda x: x["url"]), " ").alias("related"))
 
 
 # Whole texts and the sequence similarity of ASCII titles too; SQL has no such ratio.
 @query("a01s_components_by_sequence")
 def a01s(spark, d):
-    return _labels(spark, d, None, True)
+    return _labels(spark, d, True)
 
 
 @query("a02s_clusters_by_sequence")
 def a02s(spark, d):
-    return a02(spark, d, None, True)
+    return a02(spark, d, True)
 
 
-_R.whole("p01_relevance_gate", "p02_pr_verdict", "p06_revalidate", "p08_needs_annotation", "p09_agenda", "p10_annotation_route", "c01_categorise", "c02_importance_score", "c09_staged_score", "a04_bucket_strengths", "w03_top_per_period", "j09_force_include", "j10_duplicate_pairs", "a01_connected_components", "a02_collapse_clusters")
-_R.all_rows((" WHERE ord % 3 = 0", " WHERE ord % 2 = 0"), "j01_merge_articles", "j02_restore_annotations")
-_R.all_rows((" WHERE doc_id % 2 = 0", " WHERE doc_id % 3 = 0"), "u02_merge_bookmarks")
+_R.also("w", "p01_relevance_gate", "p02_pr_verdict", "p06_revalidate", "p08_needs_annotation", "p09_agenda", "p10_annotation_route", "c01_categorise", "c02_importance_score", "c09_staged_score", "a04_bucket_strengths", "w03_top_per_period", "j09_force_include", "j10_duplicate_pairs", "a01_connected_components", "a02_collapse_clusters")
+_R.also("a", "j01_merge_articles", "j02_restore_annotations")
+_R.also("a", "u02_merge_bookmarks")

@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN = "2024-01-31 00:00:00"
 TYPES = ("rss", "google_news", "arxiv", "openalex", "blog")
-#: Characters of the summary that the registered SQL reads. Queries without SQL, and those of ``Registry.whole``, read it to the end (None).
-CHARS = 400
 KINDS = ("legaltech", "policy", "ai-industry", "papers", "models", "funding", "market")
 
 
@@ -31,24 +28,11 @@ class Registry:
 
         return add
 
-    def all_rows(self, filters: tuple[str, ...], *names: str):
-        """Each query once more without its filters by id, with ``a`` after its number; ``filters`` are their texts in its SQL."""
+    def also(self, mark: str, *names: str):
+        """Names under which queries were registered beside others, for whole texts (``w``) or all rows (``a``), as all are now."""
         for name in names:
             head, rest = name.split("_", 1)
-            sql = self.SQL[name]
-            for f in filters:
-                assert f in sql
-                sql = sql.replace(f, "")
-            self.query(f"{head}a_{rest}", sql)(partial(self.QUERIES[name], all_rows=True))
-
-    def whole(self, *names: str):
-        """Each query once more over whole texts, with ``w`` after its number, and its SQL without the cut."""
-        for name in names:
-            head, rest = name.split("_", 1)
-            sql = self.SQL[name]
-            whole = sql.replace(f"length(title) + 2, {CHARS}) AS summary", "length(title) + 2) AS summary")
-            assert whole != sql
-            self.query(f"{head}w_{rest}", whole)(partial(self.QUERIES[name], chars=None))
+            self.query(f"{head}{mark}_{rest}", self.SQL[name])(self.QUERIES[name])
 
 
 def run_ts() -> Column:
@@ -63,17 +47,22 @@ def _pick(values, index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
-def articles(spark: SparkSession, sf_dir: str, chars: int | None = CHARS) -> DataFrame:
-    """``documents`` as articles: the first line is the title, ``chars`` characters of the rest (all with None) the summary; dates, kinds and annotations follow from the id."""
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as articles."""
+    return shape_articles(table(spark, sf_dir, "documents"))
+
+
+def shape_articles(docs: DataFrame) -> DataFrame:
+    """The first line of a document is the title, the rest the summary; dates, kinds and annotations follow from the id."""
     i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    d = docs.select("doc_id", "text", "lang", "source", "n_chars")
     title = F.substring_index(text, "\n", 1)
     d = d.withColumn("title", title).withColumn("published_at", F.expr("timestampadd(HOUR, doc_id % 24, timestampadd(DAY, doc_id % 30, timestamp'2024-01-01 00:00:00'))"))
     return d.select(
         i.alias("ord"),
         F.concat(F.lit("https://"), "source", F.lit(".example/"), i % 9973).alias("url"),
         "title",
-        F.expr(f"substring(coalesce(text, ''), length(title) + 2{'' if chars is None else f', {chars}'})").alias("summary"),
+        F.expr("substring(coalesce(text, ''), length(title) + 2)").alias("summary"),
         "lang",
         "source",
         _pick(TYPES, i % 5).alias("source_type"),
@@ -92,7 +81,7 @@ def articles(spark: SparkSession, sf_dir: str, chars: int | None = CHARS) -> Dat
 
 #: The same in SQL; queries follow as further tables of the WITH clause.
 ARTICLES = """WITH articles AS (
-SELECT doc_id AS ord, 'https://' || source || '.example/' || (doc_id % 9973) AS url, title, substring(t, length(title) + 2, 400) AS summary, lang, source,
+SELECT doc_id AS ord, 'https://' || source || '.example/' || (doc_id % 9973) AS url, title, substring(t, length(title) + 2) AS summary, lang, source,
   ['rss', 'google_news', 'arxiv', 'openalex', 'blog'][doc_id % 5 + 1] AS source_type, published_at, strftime(published_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS date_raw, doc_id % 17 = 0 AS date_unknown,
   published_at + to_minutes(doc_id % 7) AS first_seen,
   CASE WHEN k1 = k2 THEN [k1] ELSE [k1, k2] END AS categories, (n_chars % 121)::INT AS score, CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 11)::INT END AS persona_score,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newswell.functions import dates
 from newswell.functions.lexicon import RELATIONS, SYMMETRIC
 from newswell.operators import graph, history, reports
-from newswell.plans.base import ARTICLES, CHARS, Registry, articles, table
+from newswell.plans.base import ARTICLES, Registry, articles, table
 
 _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
@@ -35,22 +35,22 @@ def _catalog(spark):
     return spark.createDataFrame([(e, t, x, k) for k, (e, t, x) in enumerate(rows)], "entity_id string, type string, alias string, ord int")
 
 
-def _docs(spark, d, chars=CHARS):
-    return articles(spark, d, chars).withColumn("day", dates.day_key(F.col("published_at")))
+def _docs(spark, d):
+    return articles(spark, d).withColumn("day", dates.day_key(F.col("published_at")))
 
 
-def _mentions(spark, d, chars=CHARS):
-    return graph.entity_mentions(_docs(spark, d, chars), _ENTITIES, F.concat_ws(" ", "title", "summary"), "ord", "score", "day")
+def _mentions(spark, d):
+    return graph.entity_mentions(_docs(spark, d), _ENTITIES, F.concat_ws(" ", "title", "summary"), "ord", "score", "day")
 
 
 @query("j12_entity_mentions", _MENTIONS + "SELECT ord, entity_id FROM mentions")
-def j12(spark, d, chars=CHARS):
-    return _mentions(spark, d, chars).select("ord", "entity_id")
+def j12(spark, d):
+    return _mentions(spark, d).select("ord", "entity_id")
 
 
 @query("a05_entity_rollup", _MENTIONS + ", n AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY day DESC, ord) AS r FROM mentions) SELECT entity_id, count(*) AS total_mentions, round_even(avg(score), 1)::DOUBLE AS avg_score, min(day) AS first_seen, max(day) AS last_seen, string_agg(CASE WHEN r <= 30 THEN ord::VARCHAR END, ',' ORDER BY r) AS newest FROM n GROUP BY entity_id")
-def a05(spark, d, chars=CHARS):
-    return graph.entity_rollup(_mentions(spark, d, chars)).withColumn("newest", F.array_join(F.transform("newest", lambda x: x.cast("string")), ","))
+def a05(spark, d):
+    return graph.entity_rollup(_mentions(spark, d)).withColumn("newest", F.array_join(F.transform("newest", lambda x: x.cast("string")), ","))
 
 
 @query("a06_entity_context", f"WITH catalog(entity_id, type, alias, ord) AS (VALUES {_ROWS}), m AS (SELECT DISTINCT conv_id, turn, entity_id FROM conversations JOIN catalog ON regexp_matches(lower(text), '(^|[^a-z])' || alias || '($|[^a-z])')), r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY conv_id, turn) AS r FROM m) SELECT entity_id, string_agg(conv_id || ':' || turn, ',' ORDER BY r) AS cards FROM r WHERE r <= 20 GROUP BY entity_id")
@@ -64,8 +64,8 @@ def a06(spark, d):
 @query("a07_auto_entities", _MENTIONS + """, e AS (SELECT ord, title, score, unnest(entities) AS name FROM articles), al AS (SELECT ord, list(DISTINCT alias) AS aliases FROM hits GROUP BY ord),
 k AS (SELECT e.*, lower(name) AS k FROM e LEFT JOIN al USING (ord) WHERE length(name) BETWEEN 2 AND 60 AND coalesce(len(list_filter(aliases, lambda a: contains(lower(name), a) OR contains(a, lower(name)))), 0) = 0)
 SELECT k, arg_min(name, ord) AS name, count(*) AS n, round_even(avg(score), 1)::DOUBLE AS avg_score, array_to_string(list(ord ORDER BY ord)[1:3], ',') AS first FROM k GROUP BY k HAVING count(*) >= 2""")
-def a07(spark, d, chars=CHARS):
-    a = _docs(spark, d, chars)
+def a07(spark, d):
+    a = _docs(spark, d)
     text = F.lower(F.concat_ws(" ", "title", "summary"))
     aliases = [x for _, _, al in CATALOG for x in al]
     hits = graph.entity_mentions(a, [(x, (x,)) for x in aliases], text, "ord").select("ord", F.col("entity_id").alias("alias"))
@@ -73,26 +73,24 @@ def a07(spark, d, chars=CHARS):
 
 
 @query("a08_type_counts", _MENTIONS + "SELECT type, count(DISTINCT entity_id) AS n_entities, count(*) AS n_mentions FROM mentions GROUP BY type")
-def a08(spark, d, chars=CHARS):
-    kinds = _catalog(spark).select("entity_id", "type").distinct()
-    return _mentions(spark, d, chars).join(F.broadcast(kinds), "entity_id").groupBy("type").agg(F.count_distinct("entity_id").alias("n_entities"), F.count("*").alias("n_mentions"))
+def a08(spark, d):
+    return graph.type_counts(_mentions(spark, d), _catalog(spark).select("entity_id", "type").distinct())
 
 
-@query("a23_effective_mentions", _MENTIONS + ", t AS (SELECT entity_id, type, count(*) AS n_articles, count_if(score >= 60)::BIGINT AS n_trends FROM mentions GROUP BY ALL) SELECT entity_id, n_articles + n_trends AS n, row_number() OVER (PARTITION BY type ORDER BY n_articles + n_trends DESC, entity_id) AS place FROM t")
-def a23(spark, d, chars=CHARS):
+@query("a23_effective_mentions", _MENTIONS + ", t AS (SELECT entity_id, type, count_if(source_type NOT IN ('arxiv', 'openalex')) AS n_articles, count_if(source_type NOT IN ('arxiv', 'openalex') AND m.score >= 60) AS n_trends, count_if(source_type IN ('arxiv', 'openalex')) AS n_papers FROM mentions m JOIN articles USING (ord) GROUP BY ALL), n AS (SELECT *, (n_articles + n_trends + n_papers)::BIGINT AS n FROM t) SELECT entity_id, n, (n_articles + n_trends)::BIGINT AS n_without_papers, row_number() OVER (PARTITION BY type ORDER BY n DESC, entity_id) AS place FROM n")
+def a23(spark, d):
     kinds = _catalog(spark).select("entity_id", "type").distinct()
-    r = _mentions(spark, d, chars).groupBy("entity_id").agg(F.count("*").alias("n_articles"), F.count_if(F.col("score") >= 60).alias("n_trends")).withColumn("n_papers", F.lit(0)).join(F.broadcast(kinds), "entity_id")
-    r = r.withColumn("n", graph.effective_mentions(r))
-    return r.withColumn("place", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("n"), "entity_id")).cast("bigint")).select("entity_id", "n", "place")
+    m = graph.entity_mentions(articles(spark, d), _ENTITIES, F.concat_ws(" ", "title", "summary"), "score", "source_type")
+    paper = F.col("source_type").isin("arxiv", "openalex")
+    r = m.groupBy("entity_id").agg(F.count_if(~paper).alias("n_articles"), F.count_if(~paper & (F.col("score") >= 60)).alias("n_trends"), F.count_if(paper).alias("n_papers")).join(F.broadcast(kinds), "entity_id")
+    r = r.withColumn("n", graph.effective_mentions(r)).withColumn("n_without_papers", graph.effective_mentions(r, papers=False))
+    return r.withColumn("place", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("n"), "entity_id")).cast("bigint")).select("entity_id", "n", "n_without_papers", "place")
 
 
 @query("a26_entity_index", ARTICLES + ", e AS (SELECT ord, published_at, unnest(entities) AS name FROM articles), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY published_at DESC, ord) AS r FROM e) SELECT name, count(*) AS n, greatest(count(*) - 30, 0) AS overflow, string_agg(CASE WHEN r <= 30 THEN ord::VARCHAR END, ',' ORDER BY r) AS newest FROM r GROUP BY name")
 def a26(spark, d):
     e = articles(spark, d).select("ord", "published_at", F.explode("entities").alias("name"))
-    totals = e.groupBy("name").agg(F.count("*").alias("n"))
-    top = history.top_n_per(e, ["name"], 30, F.desc("published_at"), F.col("ord"))
-    newest = top.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ord"))), lambda x: x["ord"].cast("string")), ",").alias("newest"))
-    return totals.join(newest, "name").select("name", "n", F.greatest(F.col("n") - 30, F.lit(0)).alias("overflow"), "newest")
+    return graph.newest_per_name(e).withColumn("newest", F.array_join(F.transform("newest", lambda x: x.cast("string")), ","))
 
 
 @query("j13_resolve_names", ARTICLES + f""", catalog(entity_id, type, alias, ord) AS (VALUES {_ROWS}), names AS (SELECT ord, entities[1] AS name FROM articles WHERE len(entities) > 0),
@@ -105,10 +103,8 @@ def j13(spark, d):
 
 @query("j14_candidate_entities", f"WITH catalog(entity_id, type, alias, ord) AS (VALUES {_ROWS}), m AS (SELECT DISTINCT conv_id, turn, entity_id FROM conversations JOIN catalog ON contains(lower(text), alias)) SELECT conv_id, turn, string_agg(entity_id, ',' ORDER BY entity_id) AS entities FROM m GROUP BY ALL HAVING count(*) >= 2")
 def j14(spark, d):
-    text = F.lower("text")
-    found = F.transform(F.array(text), lambda t: F.array_compact(F.array(*(F.when(t.rlike("|".join(a)), F.lit(e)) for e, a in _ENTITIES))))[0]
-    c = table(spark, d, "conversations").select("conv_id", "turn", found.alias("e"))
-    return c.where("size(e) >= 2").select("conv_id", "turn", F.array_join(F.array_sort("e"), ",").alias("entities"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", graph.candidate_entities(F.col("text"), _ENTITIES).alias("e"))
+    return c.where("size(e) >= 2").select("conv_id", "turn", F.array_join("e", ",").alias("entities"))
 
 
 _TYPES = "[" + ", ".join(f"'{t}'" for t in RELATIONS) + "]"
@@ -143,8 +139,7 @@ def a10(spark, d):
 @query("a11_unmatched_names", ARTICLES + f", catalog(entity_id, type, alias, ord) AS (VALUES {_ROWS}) SELECT name, count(*) AS n FROM (SELECT unnest(entities) AS name FROM articles) WHERE name NOT IN (SELECT alias FROM catalog) GROUP BY name ORDER BY n DESC, name LIMIT 10")
 def a11(spark, d):
     names = articles(spark, d).select(F.explode("entities").alias("name"))
-    known = F.broadcast(_catalog(spark).select(F.col("alias").alias("name")))
-    return names.join(known, "name", "left_anti").groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(10)
+    return graph.unmatched_names(names, _catalog(spark))
 
 
 @query("a11b_relation_types", _EDGES + "SELECT type, count(*) AS n FROM edges GROUP BY type")
@@ -181,56 +176,82 @@ def a25(spark, d):
 
 @query("p23_edge_filters", _EDGES + "SELECT type, count(*) AS n FROM edges WHERE type IN ('acquires', 'mentions') AND source_type <> 'paper' GROUP BY type")
 def p23(spark, d):
-    return _edges(spark, d).where(F.col("type").isin("acquires", "mentions") & (F.col("source_type") != "paper")).groupBy("type").agg(F.count("*").alias("n"))
+    return graph.edge_filter(_edges(spark, d), ("acquires", "mentions"), papers=False).groupBy("type").agg(F.count("*").alias("n"))
+
+
+_NODES = _EDGES + """, entities AS (SELECT 's' || (o_custkey % 60) AS entity_id, 't' || min(o_custkey % 60) % 3 AS type, count_if(o_totalprice > 300000)::BIGINT AS mentions FROM orders GROUP BY o_custkey % 60),
+kept AS (SELECT * FROM edges WHERE type = 'acquires' AND source_type <> 'paper')
+"""
+
+
+def _nodes(spark, d):
+    k = F.col("o_custkey") % 60
+    return table(spark, d, "orders").groupBy(k.alias("k")).agg(F.count_if(F.col("o_totalprice") > 300000).alias("mentions")).select(F.concat(F.lit("s"), "k").alias("entity_id"), F.concat(F.lit("t"), F.col("k") % 3).alias("type"), "mentions")
+
+
+@query("p23b_graph_nodes", _NODES + "SELECT entity_id FROM entities WHERE entity_id IN (SELECT source FROM kept UNION ALL SELECT target FROM kept) OR mentions > 0")
+def p23b(spark, d):
+    return graph.graph_nodes(graph.edge_filter(_edges(spark, d), ("acquires",), papers=False), _nodes(spark, d), isolated=True)
+
+
+@query("j18b_adjacency", _NODES + "SELECT a.entity_id, other, dir, e.type AS kind, ord, a.type AS entity_type, b.type AS other_type FROM (SELECT source AS entity_id, target AS other, 'out' AS dir, type, ord FROM edges UNION ALL SELECT target, source, 'in', type, ord FROM edges) e JOIN entities a ON a.entity_id = e.entity_id LEFT JOIN entities b ON b.entity_id = other")
+def j18b(spark, d):
+    return graph.adjacency(_edges(spark, d), _nodes(spark, d)).select("entity_id", "other", "dir", F.col("type").alias("kind"), "ord", "entity_type", "other_type")
 
 
 # ------------------------------------------------------------ citations and papers
 
-_CARDS = ARTICLES + """, ranked AS (SELECT source AS key, ord, url, title, row_number() OVER (PARTITION BY source ORDER BY score DESC, ord) AS rank FROM articles QUALIFY rank <= 30),
-cards AS (SELECT doc_id AS ord, source AS key, lang AS tag, string_split(coalesce(text, ''), chr(10))[1] AS title, text AS body, CASE WHEN doc_id % 3 = 0 THEN [] ELSE [doc_id % 40, doc_id % 7 + 1, 2] END AS sources FROM documents WHERE doc_id % 5 = 0)
+_CARDS = ARTICLES + """, ranked AS (SELECT source AS key, ord, url, title, date_raw, row_number() OVER (PARTITION BY source ORDER BY score DESC, ord) AS rank FROM articles QUALIFY rank <= 30),
+cards AS (SELECT doc_id AS ord, source AS key, lang AS tag, string_split(coalesce(text, ''), chr(10))[1] AS title, text AS body, CASE WHEN doc_id % 3 = 0 THEN [] ELSE [doc_id % 40, doc_id % 7 + 1, 2] END AS sources FROM documents)
 """
 
 
-def _cards(spark, d, all_rows=False):
+def _cards(spark, d):
     a = articles(spark, d)
-    ranked = history.top_n_per(a, ["source"], 30, F.desc("score"), F.col("ord")).select(F.lit("daily").alias("period"), F.col("source").alias("key"), "ord", "url", "title", "rank")
+    ranked = history.top_n_per(a, ["source"], 30, F.desc("score"), F.col("ord")).select(F.lit("daily").alias("period"), F.col("source").alias("key"), "ord", "url", "title", "source", "date_raw", "rank")
     i = F.col("doc_id")
-    cards = table(spark, d, "documents").where(F.lit(all_rows) | (i % 5 == 0)).select(F.lit("daily").alias("period"), F.col("source").alias("key"), i.alias("ord"), F.col("lang").alias("tag"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), F.col("text").alias("body"), F.when(i % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(i % 40, i % 7 + 1, F.lit(2).cast("bigint"))).alias("sources"))
+    cards = table(spark, d, "documents").select(F.lit("daily").alias("period"), F.col("source").alias("key"), i.alias("ord"), F.col("lang").alias("tag"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), F.col("text").alias("body"), F.when(i % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(i % 40, i % 7 + 1, F.lit(2).cast("bigint"))).alias("sources"))
     return cards, ranked
 
 
 @query("j05_resolve_citations", _CARDS + ", c AS (SELECT ord, key, unnest(sources) AS rank, generate_subscripts(sources, 1) - 1 AS place FROM cards WHERE len(sources) > 0) SELECT c.ord, c.place::INT AS place, url, substring(title, 1, 140) AS title FROM c JOIN ranked r ON r.key = c.key AND r.rank = c.rank")
-def j05(spark, d, all_rows=False):
-    return reports.resolve_citations(*_cards(spark, d, all_rows)).select("ord", "place", "url", "title")
+def j05(spark, d):
+    return reports.resolve_citations(*_cards(spark, d)).select("ord", "place", "url", "title")
 
 
 @query("j06_fallback_citations", _CARDS + ", w AS (SELECT key, rank, url, list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda w: length(w) > 3)[1:10] AS words FROM ranked), j AS (SELECT c.ord, w.rank, w.url FROM cards c JOIN w USING (key) WHERE len(sources) = 0 AND len(list_filter(words, lambda w: contains(lower(concat_ws(' ', tag, title, body)), w))) >= 3) SELECT ord, row_number() OVER (PARTITION BY ord ORDER BY rank) AS place, url FROM j QUALIFY place <= 5")
-def j06(spark, d, all_rows=False):
-    return reports.fallback_citations(*_cards(spark, d, all_rows)).select("ord", "place", "url")
+def j06(spark, d):
+    return reports.fallback_citations(*_cards(spark, d)).select("ord", "place", "url")
 
 
 @query("j07_attach_papers", _CARDS + ", c AS (SELECT ord, key, unnest(sources[1:8]) AS rank FROM cards WHERE len(sources) > 0) SELECT c.ord, count(DISTINCT (c.rank)) AS paper_count FROM c JOIN ranked r ON r.key = c.key AND r.rank = c.rank GROUP BY c.ord")
-def j07(spark, d, all_rows=False):
-    return reports.resolve_citations(*_cards(spark, d, all_rows), most=8).groupBy("ord").agg(F.count_distinct("rank").alias("paper_count"))
+def j07(spark, d):
+    return reports.resolve_citations(*_cards(spark, d), most=8).groupBy("ord").agg(F.count_distinct("rank").alias("paper_count"))
+
+
+@query("j07b_papers_of_cards", _CARDS + ", c AS (SELECT ord, key, unnest(sources[1:8]) AS rank, generate_subscripts(sources[1:8], 1) AS place FROM cards WHERE len(sources) > 0), p AS (SELECT c.ord, string_agg(url || '|' || substring(title, 1, 160) || '|' || key || '|' || substring(date_raw, 1, 10), chr(10) ORDER BY place) AS papers, count(*) AS n FROM c JOIN ranked r USING (key, rank) GROUP BY c.ord) SELECT ord, coalesce(papers, '') AS papers, coalesce(CASE WHEN cards.tag = 'en' THEN 99 END, n, 0)::INT AS paper_count FROM cards LEFT JOIN p USING (ord)")
+def j07b(spark, d):
+    cards, ranked = _cards(spark, d)
+    out = reports.attach_papers(cards.withColumn("paper_count", F.when(F.col("tag") == "en", 99)), ranked)
+    shown = F.transform("papers", lambda p: F.concat_ws("|", p["url"], p["title"], p["source"], p["date"]))
+    return out.select("ord", F.array_join(shown, "\n").alias("papers"), "paper_count")
 
 
 @query("j08_uncited_items", _CARDS + ", c AS (SELECT key, unnest(sources) AS rank FROM cards WHERE len(sources) > 0) SELECT ord FROM ranked WHERE url NOT IN (SELECT url FROM c JOIN ranked r ON r.key = c.key AND r.rank = c.rank)")
-def j08(spark, d, all_rows=False):
-    cards, ranked = _cards(spark, d, all_rows)
-    return ranked.join(reports.resolve_citations(cards, ranked).select("url"), "url", "left_anti").select("ord")
+def j08(spark, d):
+    cards, ranked = _cards(spark, d)
+    return reports.uncited_items(ranked, cards).select("ord")
 
 
 @query("j20_persona_coverage", _CARDS + ", c AS (SELECT key, unnest(sources) AS rank FROM cards WHERE len(sources) > 0), cited AS (SELECT DISTINCT url FROM c JOIN ranked r ON r.key = c.key AND r.rank = c.rank) SELECT source, count(*) AS n_high, count_if(url IN (SELECT url FROM cited))::BIGINT AS n_cited FROM articles WHERE persona_score >= 8 GROUP BY source")
-def j20(spark, d, all_rows=False):
-    cited = reports.resolve_citations(*_cards(spark, d, all_rows)).select("url").distinct().withColumn("cited", F.lit(True))
-    return articles(spark, d).where("persona_score >= 8").join(cited, "url", "left").groupBy("source").agg(F.count("*").alias("n_high"), F.count_if(F.col("cited").isNotNull()).alias("n_cited"))
+def j20(spark, d):
+    return reports.persona_coverage(articles(spark, d), *_cards(spark, d))
 
 
 @query("a28_fallback_summary", "WITH t AS (SELECT conv_id, turn, regexp_replace('TREND 0' || turn || ' · ' || role, '^TREND [0-9]+ · ', '') AS tag FROM conversations) SELECT conv_id, array_to_string(list(tag ORDER BY turn)[1:5], ', ') AS summary FROM t GROUP BY conv_id")
 def a28(spark, d):
-    tag = F.regexp_replace(F.format_string("TREND 0%d · %s", "turn", "role"), "^TREND [0-9]+ · ", "")
-    c = table(spark, d, "conversations").select("conv_id", F.struct("turn", tag.alias("tag")).alias("x"))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("x")), 1, 5), lambda x: x["tag"]), ", ").alias("summary"))
+    cards = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("ord"), F.format_string("TREND 0%d · %s", "turn", "role").alias("tag"))
+    return reports.fallback_summary(cards, "conv_id")
 
 
 INSTITUTIONS = ("Inger", "Theration", "Leaux", "Menten", "Erst", "Thnt")
@@ -238,8 +259,8 @@ _INST = "[" + ", ".join(f"'{n}'" for n in INSTITUTIONS) + "]"
 
 
 @query("a12_institution_counts", ARTICLES + f", n AS (SELECT unnest(list_filter({_INST}, lambda k: contains(lower(concat_ws(' ', title, summary)), lower(k)))) AS name FROM articles WHERE source_type IN ('arxiv', 'openalex')) SELECT name, count(*) AS n FROM n GROUP BY name ORDER BY n DESC, name LIMIT 15")
-def a12(spark, d, chars=CHARS):
-    return reports.institution_counts(articles(spark, d, chars).where(F.col("source_type").isin("arxiv", "openalex")), INSTITUTIONS)
+def a12(spark, d):
+    return reports.institution_counts(articles(spark, d).where(F.col("source_type").isin("arxiv", "openalex")), INSTITUTIONS)
 
 
 @query("a13_title_keywords", ARTICLES + """, w AS (SELECT ord, regexp_extract_all(lower(title), '([a-z]{4,})', 1) AS ws FROM articles), u AS (SELECT ord, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w), b AS (SELECT w AS a, lead(w) OVER (PARTITION BY ord ORDER BY i) AS b FROM u),
@@ -255,5 +276,5 @@ def w11(spark, d):
     return history.top_n_per(p.join(enough, "key", "left_semi"), ["key"], 30, F.desc("score"), F.col("ord")).select("key", "ord", "rank")
 
 
-_R.whole("j12_entity_mentions", "a05_entity_rollup", "a07_auto_entities", "a08_type_counts", "a23_effective_mentions", "a12_institution_counts")
-_R.all_rows((" WHERE doc_id % 5 = 0",), "j05_resolve_citations", "j06_fallback_citations", "j07_attach_papers", "j08_uncited_items", "j20_persona_coverage")
+_R.also("w", "j12_entity_mentions", "a05_entity_rollup", "a07_auto_entities", "a08_type_counts", "a23_effective_mentions", "a12_institution_counts")
+_R.also("a", "j05_resolve_citations", "j06_fallback_citations", "j07_attach_papers", "j08_uncited_items", "j20_persona_coverage")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from newswell.functions import dates, text
 from newswell.functions.lexicon import DEMO
-from newswell.plans.base import ARTICLES, CHARS, Registry, articles, run_ts, table
+from newswell.operators.reports import joined_head
+from newswell.plans.base import ARTICLES, Registry, articles, run_ts, table
 
 _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
@@ -34,9 +35,11 @@ def f04(spark, d):
     return articles(spark, d).select("ord", text.match_normalise(F.col("title")).alias("norm"))
 
 
-@query("f05_normalize_url", "SELECT page_id, regexp_replace(regexp_replace(url, '[?&](utm_[^=&]+|fbclid|gclid|mc_cid|mc_eid)=[^&#]*', '', 'g'), '\\?$', '') AS url FROM pages")
+@query("f05_normalize_url", "SELECT page_id, regexp_replace(regexp_replace(url, '[?&](utm_[^=]+|fbclid|gclid|mc_cid|mc_eid)=[^&]*', '', 'g'), '\\?$', '') AS url FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '?utm_source=a&x=1#top' WHEN 1 THEN '?fbclid=9' WHEN 2 THEN '?utm_&y=2&gclid=z#k' ELSE '?q=1' END AS url FROM pages)")
 def f05(spark, d):
-    return table(spark, d, "pages").select("page_id", text.normalize_url(F.col("url")).alias("url"))
+    k = F.col("page_id") % 4
+    more = F.when(k == 0, "?utm_source=a&x=1#top").when(k == 1, "?fbclid=9").when(k == 2, "?utm_&y=2&gclid=z#k").otherwise("?q=1")
+    return table(spark, d, "pages").select("page_id", text.normalize_url(F.concat("url", more)).alias("url"))
 
 
 _TOK = "list_filter(string_split(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', ' ', 'g'), ' '), lambda w: length(w) > 1)"
@@ -52,39 +55,65 @@ def f08(spark, d):
     return articles(spark, d).select("ord", text.head_token(F.col("title")).alias("head"))
 
 
-@query("f09_strip_phrases", ARTICLES + "SELECT ord, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '(?i)\\bof the\\b', '', 'g'), '(?i)\\bto be\\b', '', 'g'), ' {2,}', ' ', 'g'), ' +([.,])', '\\1', 'g')) AS body FROM articles")
+_TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("f07_strip_particle", ARTICLES + ", w AS (SELECT ord, split_part(title, ' ', 1) || ['로', '은', '는', '이', '가', '의', '을', '를', '에', '에서', '도', '와', '과', '랑', ''][ord % 15 + 1] AS w FROM articles), p AS (SELECT *, list_filter(['로', '은', '는', '이', '가', '의', '을', '를', '에', '에서', '도', '와', '과', '랑'], lambda p: ends_with(w, p) AND length(w) > length(p) + 1)[1] AS p FROM w) SELECT ord, CASE WHEN p IS NULL THEN w ELSE left(w, length(w) - length(p)) END AS word FROM p")
+def f07(spark, d):
+    endings = F.array(*map(F.lit, (*text.PARTICLES, "")))
+    word = F.concat(F.substring_index("title", " ", 1), F.element_at(endings, (F.col("ord") % 15 + 1).cast("int")))
+    return articles(spark, d).select("ord", text.strip_particle(word).alias("word"))
+
+
+@query("f09_strip_phrases", ARTICLES + "SELECT ord, " + _TRIM.format("regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '(?i)\\bof the\\b', '', 'g'), '(?i)\\bto be\\b', '', 'g'), '[ \\t]{2,}', ' ', 'g'), '[ \\t]+([.,!?])', '\\1', 'g')") + " AS body FROM (SELECT ord, replace(title, ' ', CASE ord % 3 WHEN 0 THEN ' ' WHEN 1 THEN ' of the ' ELSE chr(9) || ' to be !' END) || ' !' || chr(10) AS c FROM articles)")
 def f09(spark, d):
-    return articles(spark, d).select("ord", text.strip_phrases(F.col("title"), [r"(?i)\bof the\b", r"(?i)\bto be\b"]).alias("body"))
+    between = F.when(F.col("ord") % 3 == 0, " ").when(F.col("ord") % 3 == 1, " of the ").otherwise("\t to be !")
+    body = F.concat(F.replace("title", F.lit(" "), between), F.lit(" !\n"))
+    return articles(spark, d).select("ord", text.strip_phrases(body, [r"\bof the\b", r"\bto be\b"]).alias("body"))
+
 
+_CARD = "regexp_replace(title, '^(\\S+) (\\S+)', '**\\1** **the \\2 word**')"
+_UNBOLD = "regexp_replace(regexp_replace({0}, '\\*\\*([^*\\n]{{0,40}}?thinger[^*\\n]{{0,15}}?)\\*\\*', '\\1', 'g'), '\\*\\*([^*\\n]{{1,6}})\\*\\*', '\\1', 'g')"
 
-_CARD = "regexp_replace(title, '^(\\S+) (\\S+)', '**\\1** **\\2**')"
 
+def card_text():
+    """A title with two bold spans, of which every third holds a name."""
+    return F.regexp_replace(F.when(F.col("ord") % 3 == 0, F.regexp_replace("title", r"^(\S+) (\S+)", "$1 thinger")).otherwise(F.col("title")), r"^(\S+) (\S+)", "**$1** **the $2 word**")
 
-@query("f10_unbold", ARTICLES + f"SELECT ord, regexp_replace({_CARD}, '\\*\\*(thinger|[^*]{{1,6}})\\*\\*', '\\1', 'g') AS body FROM articles")
+
+CARD_SQL = _CARD.replace("title", "CASE WHEN ord % 3 = 0 THEN regexp_replace(title, '^(\\S+) (\\S+)', '\\1 thinger') ELSE title END")
+
+
+@query("f10_unbold", ARTICLES + f"SELECT ord, {_UNBOLD.format(CARD_SQL)} AS body FROM articles")
 def f10(spark, d):
-    card = F.regexp_replace("title", r"^(\S+) (\S+)", "**$1** **$2**")
-    return articles(spark, d).select("ord", text.unbold(card, ("thinger",)).alias("body"))
+    return articles(spark, d).select("ord", text.unbold(card_text(), ("thinger",)).alias("body"))
+
+
+def emphasise_sql(c: str, frm: str) -> str:
+    """SQL of ord and body from rows of ord and text ``c``."""
+    return f""", e0 AS (SELECT ord, {c} AS c, {_TRIM.format(c)} AS w FROM {frm}), e1 AS (SELECT *, rtrim(w, '.!? ') AS b FROM e0), e2 AS (SELECT *, regexp_extract(b, '(?s)^(.*[.!?] )', 1) AS h, substring(w, length(b) + 1) AS tail FROM e1),
+e3 AS (SELECT *, CASE WHEN h = '' THEN b ELSE {_TRIM.format('substring(b, length(h) + 1)')} END AS l FROM e2)
+SELECT ord, CASE WHEN contains(c, '**') THEN c WHEN (h = '' AND length(l) BETWEEN 10 AND 150) OR (h <> '' AND length(l) BETWEEN 1 AND 150) THEN h || '**' || l || '**' || tail ELSE w END AS body FROM e3"""
 
 
-@query(
-    "f11_emphasise_last",
-    ARTICLES
-    + """, b AS (SELECT ord, trim(title) AS c, trim(regexp_extract(trim(title), '([^.!?]+[.!?]?)$', 1)) AS body FROM articles)
-SELECT ord, CASE WHEN contains(c, '**') OR length(body) = 0 OR length(body) > 150 OR (length(body) = length(c) AND length(body) < 10) THEN c ELSE substring(c, 1, length(c) - length(body)) || '**' || body || '**' END AS body FROM b""",
-)
+@query("f11_emphasise_last", ARTICLES + ", t AS (SELECT ord, title || CASE ord % 3 WHEN 0 THEN '. Version 3.1 is out!' WHEN 1 THEN '' ELSE '? ' END AS t FROM articles)" + emphasise_sql("t", "t"))
 def f11(spark, d):
-    return articles(spark, d).select("ord", text.emphasise_last(F.trim("title")).alias("body"))
+    more = F.when(F.col("ord") % 3 == 0, ". Version 3.1 is out!").when(F.col("ord") % 3 == 1, "").otherwise("? ")
+    return articles(spark, d).select("ord", text.emphasise_last(F.concat("title", more)).alias("body"))
 
 
-@query("f12_number_breaks", ARTICLES + "SELECT ord, replace(replace(title || ' 1) ' || lang || ' 2) ' || source, ' 1)', chr(10) || chr(10) || '1)'), ' 2)', chr(10) || chr(10) || '2)') AS body FROM articles WHERE title <> '' AND right(title, 1) <> ' '")
+@query("f12_number_breaks", ARTICLES + "SELECT ord, regexp_replace(title || ' 1) ' || lang || '. 2) ' || source || ' (3) x 4)y 3.5) z 6) w', '([^\\n.(\\d])\\s+([1-9]\\)\\s)', '\\1' || chr(10) || chr(10) || '\\2', 'g') AS body FROM articles")
 def f12(spark, d):
-    return articles(spark, d).where("title <> '' AND right(title, 1) <> ' '").select("ord", text.number_breaks(F.concat("title", F.lit(" 1) "), "lang", F.lit(" 2) "), "source")).alias("body"))
+    body = F.concat("title", F.lit(" 1) "), "lang", F.lit(". 2) "), "source", F.lit(" (3) x 4)y 3.5) z 6) w"))
+    return articles(spark, d).select("ord", text.number_breaks(body).alias("body"))
 
 
-@query("f15_arxiv_id", "SELECT doc_id, regexp_extract('http://arxiv.org/abs/' || (2000 + doc_id % 400) || '.' || doc_id || 'v1', 'arxiv\\.org/(?:abs|pdf)/([0-9.]+[0-9])', 1) AS arxiv FROM documents")
+@query("f15_arxiv_id", "SELECT doc_id, nullif(regexp_extract('http://arxiv.org/' || ['abs', 'pdf', 'list'][doc_id % 3 + 1] || '/' || (2000 + doc_id % 400) || '.' || lpad((doc_id % 100000)::VARCHAR, 3 + (doc_id % 4)::INT, '0') || 'v1', 'arxiv\\.org/(?:abs|pdf)/([0-9]{4}\\.[0-9]{4,5})', 1), '') AS arxiv FROM documents")
 def f15(spark, d):
     i = F.col("doc_id")
-    return table(spark, d, "documents").select("doc_id", text.arxiv_id(F.concat(F.lit("http://arxiv.org/abs/"), 2000 + i % 400, F.lit("."), i, F.lit("v1"))).alias("arxiv"))
+    part = F.element_at(F.array(*map(F.lit, ("abs", "pdf", "list"))), (i % 3 + 1).cast("int"))
+    number = F.lpad((i % 100000).cast("string"), (3 + i % 4).cast("int"), F.lit("0"))
+    return table(spark, d, "documents").select("doc_id", text.arxiv_id(F.concat(F.lit("http://arxiv.org/"), part, F.lit("/"), 2000 + i % 400, F.lit("."), number, F.lit("v1"))).alias("arxiv"))
 
 
 _HOST = "regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '^(www|m)\\.', '')"
@@ -103,21 +132,21 @@ def f17(spark, d):
 
 
 @query("f18_jaccard", ARTICLES + f", t AS (SELECT ord, list_distinct({_TOK.format('title')}) AS a, list_distinct({_TOK.format('summary')}) AS b FROM articles) SELECT ord, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 9) AS j FROM t")
-def f18(spark, d, chars=CHARS):
-    return articles(spark, d, chars).select("ord", F.round(text.jaccard(text.tokens(F.col("title")), text.tokens(F.col("summary"))), 9).alias("j"))
+def f18(spark, d):
+    return articles(spark, d).select("ord", F.round(text.jaccard(text.tokens(F.col("title")), text.tokens(F.col("summary"))), 9).alias("j"))
 
 
 @query("f20_noun_overlap", ARTICLES + "SELECT ord, len(list_filter(['inger', 'ation', 'leaux'], lambda k: contains(lower(title), k) AND contains(lower(summary), k)))::INT AS n FROM articles")
-def f20(spark, d, chars=CHARS):
+def f20(spark, d):
     nouns = F.array(*map(F.lit, ("inger", "ation", "leaux")))
     found = lambda c: text.bind(F.lower(c), lambda x: F.filter(nouns, lambda n: F.contains(x, n)))
-    return articles(spark, d, chars).select("ord", F.size(F.array_intersect(found("title"), found("summary"))).alias("n"))
+    return articles(spark, d).select("ord", F.size(F.array_intersect(found("title"), found("summary"))).alias("n"))
 
 
 @query("f23_law_terms", ARTICLES + ", t AS (SELECT ord, lower(concat_ws(' ', title, summary)) AS x FROM articles) SELECT ord, contains(x, 'rerely') OR contains(x, 'license') AS core, contains(x, 'general public') AS basic, contains(x, 'license') OR contains(x, 'inthe') AS conditional, contains(x, 'apache license') OR contains(x, 'heedth') AS boosted FROM t")
-def f23(spark, d, chars=CHARS):
+def f23(spark, d):
     x = F.lower(F.concat_ws(" ", "title", "summary"))
-    return articles(spark, d, chars).select("ord", *(text.any_term(x, DEMO[k]).alias(a) for k, a in (("core_law", "core"), ("basic_law", "basic"), ("conditional_law", "conditional"), ("super", "boosted"))))
+    return articles(spark, d).select("ord", *(text.any_term(x, DEMO[k]).alias(a) for k, a in (("core_law", "core"), ("basic_law", "basic"), ("conditional_law", "conditional"), ("super", "boosted"))))
 
 
 @query("f24_occurrence_sum", "SELECT doc_id, (list_sum(list_transform([' the ', 'the ', ' the', 'ation'], lambda t: (length(lower(text)) - length(replace(lower(text), t, ''))) // length(t))))::INT AS n FROM documents")
@@ -144,8 +173,7 @@ def f27(spark, d):
 
 @query("f28_projection", "SELECT conv_id, array_to_string(list(role || ':' || length(text) ORDER BY turn)[1:3], ',') AS head FROM conversations GROUP BY conv_id")
 def f28(spark, d):
-    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(":"), F.length("text")).alias("x"))))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.slice(turns, 1, 3), lambda t: t["x"]), ",").alias("head"))
+    return joined_head(table(spark, d, "conversations"), "conv_id", 3, "turn", F.concat("role", F.lit(":"), F.length("text")), ",")
 
 
 @query("d01_parse_date", "SELECT o_orderkey, strftime(CASE o_orderkey % 3 WHEN 0 THEN o_orderdate WHEN 1 THEN o_orderdate WHEN 2 THEN o_orderdate - INTERVAL 9 HOUR END, '%Y-%m-%d %H:%M:%S') AS at FROM orders")
@@ -201,4 +229,4 @@ def w14(spark, d):
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.max(dates.week_key(F.col("o_orderdate"))).alias("latest"))
 
 
-_R.whole("f18_jaccard", "f20_noun_overlap", "f23_law_terms")
+_R.also("w", "f18_jaccard", "f20_noun_overlap", "f23_law_terms")

@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from newswell.functions.dates import parse_date
 from newswell.functions.text import clean_text, normalize_url, rebuild_abstract, truncate, unescape
+from newswell.storage import exists
 
 ARTICLE = "title string, url string, source string, source_type string, lang string, summary string, date_raw string, published_at timestamp, date_unknown boolean, categories array<string>, score int"
 
 
-def read_envelope(spark: SparkSession, path: str, schema: str, items: str = "items") -> DataFrame:
-    """Rows of a JSON envelope ``{..., items: [...]}``."""
-    return spark.read.schema(f"{items} array<struct<{schema}>>").option("multiLine", True).json(path).select(F.inline(items))
+def read_envelope(spark: SparkSession, path: str, schema: str, items: str = "items", lines: bool = False) -> DataFrame:
+    """Rows of JSON envelopes ``{..., items: [...]}``, one a file or one a line; an empty table where nothing is stored."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{items} array<struct<{schema}>>").option("multiLine", not lines).json(path).select(F.inline(items))
 
 
 def read_first_existing(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """The first snapshot that exists; an empty table where none does."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    """The first snapshot that exists, an envelope if its name ends in ``.json`` and Parquet else; an empty table where none does."""
     for p in paths:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        if at.getFileSystem(hadoop).exists(at):
-            return spark.read.parquet(p)
+        if exists(spark, p):
+            return read_envelope(spark, p, schema) if p.endswith(".json") else spark.read.schema(schema).parquet(p)
     return spark.createDataFrame([], schema)
 
 
@@ -38,15 +39,37 @@ def normalise_feed(entries: DataFrame, source: Column, source_type: Column, lang
     raw = F.when(paper, F.coalesce("updated", "published", "pubDate")).otherwise(F.coalesce("published", "pubDate", "updated"))
     text = clean_text(F.coalesce("summary", "description", F.lit("")))
     at = parse_date(raw, lang)
-    out = entries.select(clean_text(F.col("title")).alias("title"), normalize_url(F.trim("link")).alias("url"), source.alias("source"), source_type.alias("source_type"), lang.alias("lang"), F.when(paper, F.substring(text, 1, 1800)).otherwise(truncate(text, 400)).alias("summary"), F.coalesce(raw, F.date_format(run_ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).alias("date_raw"), F.coalesce(at, run_ts).alias("published_at"), at.isNull().alias("date_unknown"))
+    out = entries.select(clean_text(F.col("title")).alias("title"), normalize_url(F.trim("link")).alias("url"), source.alias("source"), source_type.alias("source_type"), lang.alias("lang"), F.when(paper, truncate(text, 1800)).otherwise(truncate(text, 400)).alias("summary"), F.coalesce(raw, F.date_format(run_ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).alias("date_raw"), F.coalesce(at, run_ts).alias("published_at"), at.isNull().alias("date_unknown"))
     return out.where((F.col("title") != "") & (F.col("url") != ""))
 
 
+def arxiv_meta(link: Column, authors: Column, tags: Column, primary: Column | None = None) -> Column:
+    """``struct(authors, arxiv_tags, primary_category, arxiv_id)`` of a paper's entry: ten authors at most, tags of the form ``cs.AI``, the id in its address."""
+    named = F.filter(F.transform(authors, lambda a: F.trim(a)), lambda a: a != "")
+    subjects = F.filter(tags, lambda t: t.rlike(r"^[a-z\-]+\.[A-Z]{2,}$"))
+    found = F.nullif(F.regexp_extract(link, r"arxiv\.org/abs/([0-9.]+)", 1), F.lit(""))
+    none = F.array().cast("array<string>")
+    return F.struct(F.slice(F.coalesce(named, none), 1, 10).alias("authors"), F.coalesce(subjects, none).alias("arxiv_tags"), (primary if primary is not None else F.lit(None).cast("string")).alias("primary_category"), found.alias("arxiv_id"))
+
+
 def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """Entries of landed RSS (``item``) or Atom (``entry``) files."""
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
 
 
+def active_sources(catalog: DataFrame) -> DataFrame:
+    """The source dimension ``source, url, source_type, lang, categories``: active sources of a catalog, the first of each name, with defaults."""
+    from newswell.operators.history import first_per_key
+
+    filled = catalog.where(F.coalesce("active", F.lit(True))).withColumns({"source_type": F.coalesce("source_type", F.lit("rss")), "lang": F.coalesce("lang", F.lit("en"))})
+    return first_per_key(filled, ["source"], F.col("ord")).select("source", "url", "source_type", "lang", "categories")
+
+
+def search_queries(catalog: DataFrame) -> DataFrame:
+    """``query, categories``: the different queries of a search catalog (``query, category``) with all their categories."""
+    return catalog.where("query <> ''").groupBy(F.trim("query").alias("query")).agg(F.array_sort(F.collect_set("category")).alias("categories"))
+
+
 def sitemap_pages(urls: DataFrame, part: str, run_ts: Column, days: int = 4, newest: int = 12) -> DataFrame:
     """The newest pages of a sitemap (``loc, lastmod``) whose address holds ``part``."""
     at = parse_date(F.col("lastmod"), F.lit("en"))
@@ -111,13 +134,42 @@ def bookmarks(lines: DataFrame) -> DataFrame:
     return both.where("v <> 'false'").select("kind", "key", F.coalesce(F.get_json_object("v", "$.savedAt").cast("bigint"), F.lit(1).cast("bigint")).alias("saved_at"))
 
 
+def _ends(c: Column, opening: str, closing: str) -> Column:
+    """``struct(first, last)``: how many characters of a text go up to the first, and the last, place where all brackets are closed. Those in strings don't count."""
+    none = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+    def step(s: Column, x: Column) -> Column:
+        plain = ~s["escaped"] & ~s["quoted"]
+        closes = plain & x.isin(*closing)
+        depth = s["depth"] + F.when(plain & x.isin(*opening), 1).when(closes, -1).otherwise(0)
+        end = closes & (depth == 0)
+        quoted = F.when(~s["escaped"] & (x == '"'), ~s["quoted"]).otherwise(s["quoted"])
+        first = F.when(end & (s["first"] == 0), s["i"] + 1).otherwise(s["first"])
+        return F.struct((s["i"] + 1).alias("i"), depth.alias("depth"), quoted.alias("quoted"), (~s["escaped"] & (x == "\\")).alias("escaped"), first.alias("first"), F.when(end, s["i"] + 1).otherwise(s["last"]).alias("last"))
+
+    return F.aggregate(F.split(c, ""), none, step)
+
+
+def _salvaged(c: Column) -> Column:
+    """A list cut off in the middle, up to its last whole object."""
+    start = F.locate("[", c)
+    rest = F.substring(c, start, F.length(c))
+    last = _ends(rest, "{", "}")["last"]
+    return F.when((start > 0) & (last > 0), F.concat(F.substring(rest, F.lit(1), last), F.lit("]")))
+
+
 def lenient_object(c: Column) -> Column:
-    """The JSON object or list in a model's answer: a fenced block, else the whole, else the outermost span; null if none parses."""
-    fenced = F.nullif(F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
-    span = F.nullif(F.regexp_extract(c, r"(?s)([\[{].*[\]}])", 1), F.lit(""))
-    cut = F.concat(F.regexp_extract(c, r"(?s)(\[.*\})", 1), F.lit("]"))
-    good = lambda x: F.when(F.try_parse_json(x).isNotNull() & x.rlike(r"^\s*[\[{]"), F.regexp_replace(x, r"^\s+|\s+$", ""))
-    return F.coalesce(good(fenced), good(c), good(span), good(cut))
+    """The JSON object or list in a model's answer; null if none parses.
+
+    Tried in turn: a fenced block, or else the whole; the outermost list, if it opens before any object; the
+    outermost object; a list that was cut off, up to its last whole object.
+    """
+    body = F.regexp_replace(F.when(c.rlike(r"(?s)```.*```"), F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)).otherwise(c), r"^\s+|\s+$", "")
+    # Spark's parser stops after the first value; what follows it must not be there.
+    good = lambda x: F.when(x.rlike(r"^[\[{]") & F.try_parse_json(x).isNotNull() & (_ends(x, "[{", "]}")["first"] == F.length(x)), x)
+    listed = F.nullif(F.regexp_extract(body, r"(?s)^[^{\[]*(\[.*\])", 1), F.lit(""))
+    single = F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit(""))
+    return F.coalesce(good(body), good(listed), good(single), good(_salvaged(body)))
 
 
 _CARD = "array<struct<tag:string,title:string,body:string,action:string>>"

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from newswell.operators.history import first_per_key, merge_articles, upsert_history
+from newswell.storage import new_folder
+
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -29,16 +29,32 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
-def run_to_table(df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that has landed and give what it wrote, with exactly-once files for appended rows."""
+def run_to_table(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that has landed and give what it wrote.
+
+    ``append`` writes files exactly once. ``update`` gives groups that changed, which replace those of the same ``keys`` in
+    a table of numbered versions; the watermark frees the state of groups that can't change any more.
+    """
     spark, folder = df.sparkSession, _folder(df.sparkSession)
     out = f"{folder}/out"
     writer = df.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
-    else:  # each batch is the whole result so far and replaces the one before
-        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).outputMode(mode).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+        return spark.read.schema(df.schema).parquet(out)
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        if number:
+            batch = upsert_history(spark.read.schema(df.schema).parquet(f"{out}/v{number - 1}"), batch, keys)
+        batch.write.mode("overwrite").parquet(f"{out}/v{number}")
+
+    writer.foreachBatch(upsert).outputMode("update").start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{out}/v{_last_version(spark, out)}")
+
+
+def _last_version(spark: SparkSession, table: str) -> int:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return max((int(s.getPath().getName()[1:]) for s in files if s.getPath().getName().startswith("v")), default=-1)
 
 
 def stream_dedup(df: DataFrame, ts: str, keys: list[str], memory: str = "30 days") -> DataFrame:
@@ -75,33 +91,67 @@ def stream_quota(df: DataFrame, limit: int = 5) -> DataFrame:
     return keyed.groupBy("ip", "day").applyInPandasWithState(admit, "ip string, day string, admitted long", "used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_merge(stream: DataFrame, table: str, keys: list[str], order: str) -> None:
-    """Upsert every batch into a stored table: the row with the greatest ``order`` of each key stays.
+def stream_merge(stream: DataFrame, table: str, keys: list[str], *order: Column) -> None:
+    """Upsert every batch into a stored table: the first row of each key in ``order`` stays.
 
     A batch writes a new version beside the old ones, named by its number, so a batch that runs again writes the same version.
     """
     spark = stream.sparkSession
 
     def upsert(batch: DataFrame, number: int) -> None:
-        from newswell.operators.history import first_per_key
-
         if number:
             batch = batch.unionByName(spark.read.parquet(f"{table}/v{number - 1}"))
-        first_per_key(batch, keys, -F.col(order)).write.mode("overwrite").parquet(f"{table}/v{number}")
+        first_per_key(batch, keys, *order).write.mode("overwrite").parquet(f"{table}/v{number}")
 
     stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{table}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_merge_last(spark: SparkSession, path: str, shape: Callable[[DataFrame], DataFrame], keys: list[str], order: str) -> DataFrame:
+def stream_merge_last(spark: SparkSession, path: str, shape: Callable[[DataFrame], DataFrame], keys: list[str], *order: Column) -> DataFrame:
     """Run :func:`stream_merge` over landed files and read the last version."""
     table = _folder(spark)
-    stream_merge(shape(read_stream(spark, path)), table, keys, order)
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    last = max(int(s.getPath().getName()[1:]) for s in at.getFileSystem(hadoop).listStatus(at) if s.getPath().getName().startswith("v"))
-    return spark.read.parquet(f"{table}/v{last}")
+    stream_merge(shape(read_stream(spark, path)), table, keys, *order)
+    return spark.read.parquet(f"{table}/v{_last_version(spark, table)}")
+
+
+def stream_merge_articles(stream: DataFrame, prev: DataFrame, run_ts: Column, keep_days: int = 30) -> DataFrame:
+    """Merge every batch of articles into a stored table as :func:`merge_articles` does, annotations kept; gives the last version."""
+    spark, table = prev.sparkSession, _folder(prev.sparkSession)
+    prev.write.parquet(f"{table}/stored")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{table}/v{number - 1}" if number else f"{table}/stored")
+        new = first_per_key(batch, ["url"], F.col("ord"))
+        merge_articles(before.select(*new.columns), new, run_ts, keep_days).write.mode("overwrite").parquet(f"{table}/v{number}")
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{table}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = _last_version(spark, table)
+    return spark.read.parquet(f"{table}/v{last}" if last >= 0 else f"{table}/stored")
 
 
 def late_corrections(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of a batch whose date corrects that of a stored article marked as unknown."""
-    return batch.where("NOT date_unknown").join(stored.where("date_unknown").select("url"), "url", "left_semi")
+    """The stored articles with dates corrected by a batch.
+
+    A known date of the batch takes the place of a stored one that is unknown or looks like the time of collection.
+    """
+    from newswell.operators.classify import suspicious_date
+
+    known = first_per_key(batch.where("NOT date_unknown AND published_at IS NOT NULL"), ["url"], F.col("ord")).select("url", F.col("published_at").alias("__at"))
+    wrong = suspicious_date(F.col("date_unknown"), F.col("published_at"), F.col("first_seen")) & F.col("__at").isNotNull()
+    wrong = F.coalesce(wrong, F.col("__at").isNotNull() & F.col("published_at").isNull())
+    out = stored.join(known, "url", "left").withColumn("corrected", wrong)
+    return out.withColumns({"published_at": F.when(F.col("corrected"), F.col("__at")).otherwise(F.col("published_at")), "date_unknown": F.col("date_unknown") & ~F.col("corrected")}).drop("__at")
+
+
+def stream_late_corrections(stream: DataFrame, stored_: DataFrame, ts: str = "published_at", horizon: str = "2 days") -> DataFrame:
+    """:func:`late_corrections` by every batch, rows later than the horizon left out; gives the last version."""
+    spark, table = stored_.sparkSession, _folder(stored_.sparkSession)
+    stored_.withColumn("corrected", F.lit(False)).write.parquet(f"{table}/stored")
+
+    def correct(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{table}/v{number - 1}" if number else f"{table}/stored")
+        after = late_corrections(before.withColumnRenamed("corrected", "__before"), batch)
+        after.withColumn("corrected", F.col("corrected") | F.col("__before")).drop("__before").write.mode("overwrite").parquet(f"{table}/v{number}")
+
+    stream.withWatermark(ts, horizon).writeStream.foreachBatch(correct).option("checkpointLocation", f"{table}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = _last_version(spark, table)
+    return spark.read.parquet(f"{table}/v{last}" if last >= 0 else f"{table}/stored")

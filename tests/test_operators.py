@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newswell.functions import dates, text
 from newswell.functions.lexicon import Lexicon
 from newswell.operators import classify, cluster, graph, history, reports
+from newswell import storage
 from newswell.sources import payloads, tables
 
 RUN = dt.datetime(2026, 5, 28, 12)
@@ -25,6 +26,8 @@ def one(spark, value, f, kind="string"):
         (lambda c: text.truncate(c, 9), "one two three", "one two…"),
         (text.normalize_url, "http://a/?utm_x=1&b=2", "http://a/&b=2"),
         (text.normalize_url, "http://a/p?fbclid=9", "http://a/p"),
+        (text.normalize_url, " http://a/p?gclid=1#top ", "http://a/p"),
+        (text.normalize_url, "http://a/?utm_&b=1", "http://a/"),
         (text.strip_particle, "서울에서", "서울"),
         (text.strip_particle, "나는", "나는"),
         (lambda c: F.array_join(text.tokens(c), " "), "법원은 AI 판결문을 공개, 공개!", "법원 ai 판결문 공개"),
@@ -32,7 +35,15 @@ def one(spark, value, f, kind="string"):
         (text.head_token, "'AI는 막는다'…KB금융, 발표", "kb금융"),
         (text.head_token, "AI: x", ""),
         (text.arxiv_id, "https://arxiv.org/pdf/2401.01234v2", "2401.01234"),
-        (text.emphasise_last, "First one. And the last.", "First one. **And the last.**"),
+        (text.arxiv_id, "https://arxiv.org/abs/math/0301001", None),
+        (text.emphasise_last, "First one. And the last.", "First one. **And the last**."),
+        (text.emphasise_last, " Version 3.1 ships now! ", "**Version 3.1 ships now**!"),
+        (text.emphasise_last, "Too short.", "Too short."),
+        (text.emphasise_last, "A **bold** part. And more.", "A **bold** part. And more."),
+        (text.emphasise_last, "One! Two? Three", "One! Two? **Three**"),
+        (lambda c: text.unbold(c, ("Acme",)), "**Acme's new office** and **short** but **a longer point**", "Acme's new office and short but **a longer point**"),
+        (lambda c: text.strip_phrases(c, ["this week"]), "It grew This Week\t , then\nfell \t!", "It grew, then\nfell!"),
+        (text.number_breaks, "Intro 1) one 2) two (3) x 3. 4) y 5)z", "Intro\n\n1) one\n\n2) two (3) x 3. 4) y 5)z"),
         (text.expanded_key, "2024W05", "2024-W05"),
     ],
 )
@@ -119,7 +130,11 @@ def test_payloads(spark, tmp_path):
 def test_snapshots_and_runs(spark):
     df = spark.range(5)
     assert tables.write_snapshot(df, "t").count() == 5
-    assert tables.run_record(df, "t").first()["n_rows"] == 5
+    record = tables.run_record(df, "t", F.lit(RUN), 7)
+    assert tuple(record.first()) == ("t", RUN, 7, 5)
+    log = f"{storage.new_folder(spark, 'runs')}/log"
+    assert tables.append_run(record, log).count() == 1 and tables.append_run(record, log).count() == 1
+    assert tables.append_run(tables.run_record(df, "u", F.lit(RUN)), log).count() == 2
 
 
 def test_quotas_and_quartiles(spark):
@@ -135,9 +150,9 @@ def test_operators_read_past_the_400th_character(spark, tmp_path):
     path = str(tmp_path)
     spark.createDataFrame([(2, "Title\n" + "x " * 300 + "leaux inger", "en", "s", 616)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     q = catalog.queries()
-    assert q["j12_entity_mentions"](spark, path).count() == 0 and q["p17_search"](spark, path).count() == 0
-    assert {r["entity_id"] for r in q["j12w_entity_mentions"](spark, path).collect()} == {"inger", "leaux"}
-    assert [r["ord"] for r in q["p17w_search"](spark, path).collect()] == [2]
+    for name in ("j12_entity_mentions", "j12w_entity_mentions"):
+        assert {r["entity_id"] for r in q[name](spark, path).collect()} == {"inger", "leaux"}
+    assert [r["ord"] for r in q["p17_search"](spark, path).collect()] == [2]
 
 
 def test_pairs_by_sequence_match_brute_force(spark, monkeypatch):
@@ -182,8 +197,7 @@ def test_cards_of_all_documents_are_resolved(spark, tmp_path):
     rows = [(i, f"title {i}", "en", "s", 9) for i in (1, 2, 4, 7, 8, 11)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     q = catalog.queries()
-    assert q["j05_resolve_citations"](spark, str(tmp_path)).count() == 0
-    assert {r["ord"] for r in q["j05a_resolve_citations"](spark, str(tmp_path)).collect()} == {1, 2, 4, 7, 8, 11}
+    assert {r["ord"] for r in q["j05_resolve_citations"](spark, str(tmp_path)).collect()} == {1, 2, 4, 7, 8, 11}
 
 
 def test_open_graph_query_gives_the_tags(spark, tmp_path):
@@ -191,4 +205,73 @@ def test_open_graph_query_gives_the_tags(spark, tmp_path):
 
     html = '<title>plain</title><meta property="og:title" content="A &amp; B"><meta property="og:description" content="told">'
     spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    assert [tuple(r) for r in catalog.queries()["s06t_open_graph_tags"](spark, str(tmp_path)).collect()] == [(1, "A & B", "told")]
+    assert [tuple(r) for r in catalog.queries()["s06_open_graph"](spark, str(tmp_path)).collect()] == [(1, "plain", "A & B", "told")]
+
+
+def test_verbs_of_the_summary_count(spark):
+    """Title patterns come first; then two verbs anywhere in title and summary cap the score."""
+    lex = Lexicon({"ai": ("ai", "llm", "model"), "pr_verbs": ("unveils", "signs", "hosts"), "pr_block": ("[Board]",), "pr_cap": ("Notice",), "pr_opinion": ("Column",), "pr_series": ("Firm news",)})
+    rows = [("Acme signs", "and hosts", "cap", 30), ("Acme signs", "and hosts an ai llm model day", "cap", 45), ("Acme signs", "nothing more", "pass", None), ("[Board] Acme", "", "block", None), ("Notice: Acme", "", "cap", 25), ("Column: Acme", "", "cap", 28), ("Column: Acme", "ai llm model", "pass", None), ("Firm news", "", "block", None), ("Firm news", "ai llm model", "pass", None), (None, None, "pass", None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "title string, summary string")
+    got = df.select(classify.pr_verdict(F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), lex).alias("v")).select("v.*").collect()
+    assert [tuple(r) for r in got] == [r[2:] for r in rows]
+
+
+def test_large_catalogs_find_the_same(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(k, "".join(rng.choice("ab c1.") for _ in range(40)) if k else None) for k in range(200)], "ord int, t string")
+    catalog = [(f"e{k}", tuple({"".join(rng.choice("ab c") for _ in range(rng.randint(1, 4))).strip() or "a" for _ in range(3)})) for k in range(20)]
+    small = sorted(map(tuple, graph.entity_mentions(docs, catalog, F.col("t"), "ord").collect()))
+    monkeypatch.setattr(graph, "UNROLLED", 0)
+    assert sorted(map(tuple, graph.entity_mentions(docs, catalog, F.col("t"), "ord").collect())) == small and len(small) > 300
+
+
+def test_names_resolve_by_containment(spark):
+    catalog = spark.createDataFrame([("e1", "acme", 0), ("e2", "acme corp", 1), ("e3", "zed", 2), ("e4", "io", 3)], "entity_id string, alias string, ord int")
+    names = ["Acme", "Acme Corporation", "corp", "IO", "radio", "zed ai", "none", "c", ""]
+    want = {}
+    for n in names:
+        k = n.lower()
+        exact = [e for e, a, _ in (("e1", "acme", 0), ("e2", "acme corp", 1), ("e3", "zed", 2), ("e4", "io", 3)) if a == k]
+        near = [e for e, a, _ in (("e1", "acme", 0), ("e2", "acme corp", 1), ("e3", "zed", 2)) if k and (a in k or k in a)]
+        want[n] = (exact or near or [None])[0]
+    got = graph.resolve_names(spark.createDataFrame([(n,) for n in names], "name string"), catalog).collect()
+    assert {r["name"]: r["entity_id"] for r in got} == want
+
+
+def test_revalidation_drops_and_rescores(spark):
+    schema = "ord int, title string, summary string, source string, source_type string, url string, published_at timestamp, categories array<string>, persona_score int, score int"
+    rows = [(1, "Court rulings opened", "ai and llm " * 20, "s", "rss", "u", None, ["domestic", "legaltech"], 5, 3), (2, "[Board] AI", "ai", "s", "rss", "u", None, [], 9, 80), (3, "Garden", "flowers", "s", "rss", "u", None, [], None, 70)]
+    out = {r["ord"]: r for r in classify.revalidate(spark.createDataFrame(rows, schema), LEX, F.lit(RUN)).collect()}
+    assert out[1]["kept"] and out[1]["rescored"] and out[1]["categories"] == ["legaltech"] and not out[2]["kept"] and not out[3]["kept"]
+    c = classify.revalidation_counts(classify.revalidate(spark.createDataFrame(rows, schema), LEX, F.lit(RUN))).first()
+    assert (c["dropped"], c["rescored"]) == (2, 2)
+
+
+def test_envelopes_and_salvaged_lists(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"built": "x",\n "items": [{"url": "u", "score": 3},\n {"url": "v"}]}')
+    rows = payloads.read_first_existing(spark, [f"{tmp_path}/no", f"{tmp_path}/a.json"], "url string, score int").collect()
+    assert [(r["url"], r["score"]) for r in rows] == [("u", 3), ("v", None)]
+    assert payloads.read_envelope(spark, f"{tmp_path}/none", "url string").count() == 0
+    answers = ['[{"a":"x } y"},{"b":{"c":1}},{"d', 'so [1] then {"a":1}', 'x {"a":1} [2]', "```\n{\"a\":1}\n```", None, "[1,2", '{"a":']
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in answers], "c string").select(payloads.lenient_object(F.col("c"))).collect()]
+    assert got == ['[{"a":"x } y"},{"b":{"c":1}}]', "[1]", '{"a":1}', '{"a":1}', None, None, None]
+
+
+def test_streamed_merge_keeps_annotations(spark, tmp_path):
+    from newswell.streaming import streams
+
+    schema = "url string, title string, published_at timestamp, first_seen timestamp, date_unknown boolean, entities array<string>, ord int"
+    t = lambda d: RUN - dt.timedelta(days=d)
+    prev = spark.createDataFrame([("a", "old", t(2), t(2), False, ["E"], 1), ("b", "gone", t(40), t(40), False, None, 2)], schema)
+    for k, rows in enumerate(([("a", "new", t(1), t(1), False, None, 3)], [("c", "fresh", t(0), t(0), False, None, 4), ("a", "newest", t(0), t(0), True, None, 5)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out = {r["url"]: r for r in streams.stream_merge_articles(stream, prev, F.lit(RUN)).collect()}
+    assert set(out) == {"a", "c"} and out["a"]["entities"] == ["E"] and out["a"]["first_seen"] == t(2) and out["a"]["published_at"] in (t(0), t(1))
+    stored = spark.createDataFrame([("a", None, t(0), True), ("b", t(1), t(1), False), ("c", t(5), t(1), False)], "url string, published_at timestamp, first_seen timestamp, date_unknown boolean")
+    batch = spark.createDataFrame([("a", t(3), False, 1), ("b", t(4), False, 2), ("c", t(9), False, 3)], "url string, published_at timestamp, date_unknown boolean, ord int")
+    fixed = {r["url"]: (r["published_at"], r["corrected"]) for r in streams.late_corrections(stored, batch).collect()}
+    assert fixed == {"a": (t(3), True), "b": (t(4), True), "c": (t(5), False)}
