@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newswell.llm.graph import components
-from newswell.llm.shared import BROADCAST_BYTES, SPACE, clean_names, mix, small_side, steps, stored, windows
+from newswell.llm.shared import SPACE, clean_names, mix, small_side, steps, stored, windows
+from newswell.operators.components import components
 
 #: Sets that are compared in one tile, and elements in them.
 TILE_ROWS, TILE_ELEMENTS = 4096, 2 << 20
@@ -185,7 +185,7 @@ def _compare(dealt: DataFrame, percent: int) -> DataFrame:
 def _with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``wanted`` rows (``row_key, node, ...``, one a node) with the sets of their documents as bytes."""
     rest = [c for c in wanted.columns if c not in ("row_key", "node")]
-    joined = docs.join(small_side(wanted, 64, BROADCAST_BYTES), "row_key").select("text", "node", *rest)
+    joined = docs.join(small_side(wanted, 64), "row_key").select("text", "node", *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newswell.storage import new_folder, stored  # noqa: F401  (operators import both from here)
+
 #: A side of a join is broadcast only when its rows times its row width stay below this.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of text that one vectorised step takes at once; a longer document is a step of its own.
@@ -29,38 +29,19 @@ _POWERS: dict[str, np.ndarray] = {}
 # ---------------------------------------------------------------- storage
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (single-machine sessions) a temporary folder is taken.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not folder:
-        folder = sc.getCheckpointDir()
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
+    return new_folder(spark, what)
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def small_side(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:
+    """``df`` (already stored) marked for broadcast if its size is below the limit; else it is joined by a shuffle.
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` (already stored) marked for broadcast if its counted size is below ``limit``; else it is joined by a shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    The size is that of its strings and binaries, summed, and ``row_bytes`` for the other columns of each row.
+    """
+    long_ = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    rows = df.agg(F.count("*"), *(F.coalesce(F.sum(F.octet_length(f"`{c}`")), F.lit(0)) for c in long_)).first()
+    return F.broadcast(df) if rows[0] * row_bytes + sum(rows[1:]) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def ship(spark: SparkSession) -> None:
