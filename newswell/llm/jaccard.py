@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
 1. Each text becomes its set of word n-grams, as sorted 64-bit hashes. Texts with
-   the same set are one *node*, named by a hash of the set.
+   the same set are one *node*, named by a 64-bit hash of the set; words and n-grams
+   are compared by 64-bit hashes too.
 2. Candidates. Two sets of sizes x and y with Jaccard similarity t or more differ
    in at most (1 - t) / (1 + t) * (x + y) elements. If the hash range is cut into
    that many segments and one more, some segment holds the same elements in both.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newswell.llm.shared import SPACE, clean_names, mix, small_side, steps, stored, windows
@@ -206,7 +207,8 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     lower-cased (A-Z) word ``n``-grams. Rows with fewer than ``n`` words have all their
     words as one gram; rows without words, null texts included, have none and link with
     nothing. Equal rows, and rows with equal ``doc_id``, each give a row. A null
-    ``doc_id`` counts as larger than any other. An empty table gives an empty result.
+    ``doc_id`` counts as larger than any other; ids may be of any type that has an order.
+    A text of any length gives its whole set. An empty table gives an empty result.
     """
     return _row_groups(docs, n, percent).select("doc_id", "n_shingles", "component_id")
 
@@ -224,22 +226,23 @@ def _row_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     # Families: all nodes that share keys, through the least node of each key.
     keyed = worded.join(small_side(nodes.select(F.col("node").alias("own"), F.col("row_key").alias("first")), 32), (F.col("node") == F.col("own")) & (F.col("row_key") == F.col("first"))).select("node", F.explode("keys").alias("key"))
-    hub = F.min("node").over(Window.partitionBy("key"))
-    pairs = keyed.withColumn("hub", hub).where("node <> hub").select("node", "hub").distinct()
+    # A key is counted with a partial combine, so that one that very many nodes have is no group of its own; nodes then meet its least one in a join, which Spark can split.
+    shared = stored(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "jaccard-keys")
+    pairs = keyed.join(small_side(shared, 16), "key").where("node <> hub").select("node", "hub").distinct()
     families = stored(components(pairs, "node", "hub").withColumnRenamed("component", "family"), "jaccard-families")
+    fits = (F.col("members") <= TILE_ROWS) & (F.col("elements") <= TILE_ELEMENTS)
     sizes = families.join(nodes, "node").groupBy("family").agg(F.count("*").alias("members"), F.sum("size").alias("elements"))
+    large = small_side(stored(sizes.where(~fits).select("family"), "jaccard-large"), 8)
     lows = F.array(*(F.lit(int(x)) for x in bands.lows if x <= 1 << 40))
-    members = families.join(sizes, "family").join(nodes, "node")
-    members = members.withColumn("band", F.size(F.filter(lows, lambda x: x <= F.col("size"))) - 1)
+    banded = F.size(F.filter(lows, lambda x: x <= F.col("size"))) - 1
 
     # Tiles: a small family is one; a large one is dealt by band and hash, with a pivot in each.
-    fits = (F.col("members") <= TILE_ROWS) & (F.col("elements") <= TILE_ELEMENTS)
-    big = members.where(~fits)
+    big = families.join(large, "family", "left_semi").join(nodes, "node").withColumn("band", banded)
     dealt = big.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / (TILE_ROWS // 2)), F.ceil(F.sum("size") / (TILE_ELEMENTS // 2))).cast("int").alias("salts"), F.min("node").alias("pivot"))
     big = big.join(dealt, ["family", "band"]).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.col("salts")).cast("int"))
     big = stored(big, "jaccard-big")
     tile_of = lambda *c: F.xxhash64(*c)
-    small = members.where(fits).select("row_key", "node", F.array(tile_of("family")).alias("tiles"), F.col("node").alias("known"))
+    small = families.join(large, "family", "left_anti").join(nodes, "node").select("row_key", "node", F.array(tile_of("family")).alias("tiles"), F.col("node").alias("known"))
     plain = tile_of("family", "band", "salt")
     below = big.groupBy("family", F.col("band").alias("below")).agg(F.max("salts").alias("salts_below"))
     pivots = big.withColumn("below", F.col("band") - 1).join(below, ["family", "below"], "left")
