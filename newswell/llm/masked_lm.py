@@ -1,205 +1,333 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
-Each word of a text is predicted from the two words before and the two after it,
-as if it were masked. The network (position embeddings, tanh, softmax) predicts
-the word's class; a word's share of its class comes from counts over the corpus:
+Each word of a text is predicted from the two words before and the two after it, as
+if it were masked. A document's score is the sum of the logarithms of these
+conditional probabilities.
 
-    log P(word | window) = log P(class | window) + log P(word | class)
+What is gathered grows with the corpus: a stored table counts every different word,
+and the number of *leaves*, the units that the network knows, grows with the square
+root of the words read. The most frequent words are leaves of their own; the others
+share leaves, dealt by hash. The leaves stand in a Huffman tree of their frequencies,
+and the network (position-weighted embeddings, tanh, a vector at each inner node)
+decides left or right at each node on a word's path, so that
+
+    log P(word | window) = log P(leaf | window) + log P(word | leaf)
+
+is normalised over all words without a sum over the vocabulary. ``P(word | leaf)``
+comes from the counts of whole words, which are joined to the words of each document;
+there a document's own occurrences are left out, so that a word which the rest of the
+corpus does not have is a rare one, however often its document repeats it.
 
-A document's score is the sum over its words. Words are hashed into ``IDS`` ids, so
-that model and counts have a fixed size for any corpus. Counts cover every word.
 In training each partition takes steps of its own from common weights, on every
 second word in the first round and on the others in the second; after each round the
 weights are averaged, weighted by words. Averages are sums of whole numbers, so they
-don't depend on the order of tasks.
+don't depend on the order of tasks, though they do on the partitions.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newswell.llm.decontam import words_of
-from newswell.llm.shared import Step, clean_names, steps
+from newswell.llm.shared import Step, clean_names, steps, stored
 
-IDS = 1 << 15
-#: Classes of words in the window, and of the word to predict. So many frequent words are classes of their own.
-IN_CLASSES, IN_OWN = 256, 192
-OUT_CLASSES, OUT_OWN = 48, 32
+#: Leaves of one word for each square root of the corpus' words, and bounds of their number; leaves that rare words share, for each of them.
+OWN_PER_ROOT, LEAST_OWN, MOST_OWN, SHARED_PART = 2.0, 64, 1 << 16, 8
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 16
 ROUNDS = 2
-BATCH = 2048
-RATE, DECAY_1, DECAY_2 = 0.01, 0.9, 0.999
-#: Weights are averaged as whole numbers of this unit.
-UNIT = 1 << 20
+BATCH = 4096
+RATE = 0.05
+#: Weights are averaged as whole numbers of this unit, so many of them in a row.
+UNIT, CHUNK = 1 << 20, 1 << 12
+#: Different words that a task counts before it hands them on.
+COUNTED = 1 << 20
+
 
+@dataclass
+class Tree:
+    """Huffman tree of leaves. The path of leaf k is ``nodes[first[k]:first[k] + size[k]]``, with 1 in ``right`` where it turns right."""
 
-def classes(counts: np.ndarray, n: int, own: int) -> np.ndarray:
-    """Class of each id: the ``own`` most frequent have one each, the others are dealt by frequency over the rest."""
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    out = np.empty(len(counts), np.int64)
-    out[order[:own]] = np.arange(own)
-    out[order[own:]] = own + np.arange(len(counts) - own) % (n - own)
-    return out
+    first: np.ndarray
+    size: np.ndarray
+    nodes: np.ndarray
+    right: np.ndarray
+    odds: np.ndarray  # log-odds of turning right at each node by frequency alone
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Tree:
+        n = len(counts)
+        heap = [(int(c) + 1, k) for k, c in enumerate(counts)]
+        heapq.heapify(heap)
+        parent, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int8)
+        weight = np.zeros(2 * n - 1)
+        weight[:n] = counts + 1
+        for node in range(n, 2 * n - 1):
+            (a, left), (b, right_) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[left], parent[right_], side[right_], weight[node] = node, node, 1, a + b
+            heapq.heappush(heap, (a + b, node))
+        # Paths from the root down: a node's path is its parent's, its parent and its side.
+        depth = np.zeros(2 * n - 1, np.int64)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        size = depth[:n]
+        first = np.cumsum(size) - size
+        nodes, right = np.zeros(size.sum(), np.int32), np.zeros(size.sum(), np.float32)
+        at, here = first + size - 1, np.arange(n)
+        live = np.flatnonzero(size)
+        while len(live):  # all leaves climb one step at a time
+            nodes[at[live]], right[at[live]] = parent[here[live]] - n, side[here[live]]
+            here[live], at[live] = parent[here[live]], at[live] - 1
+            live = live[here[live] != 2 * n - 2]
+        turned = side.astype(bool)
+        to_right, to_left = np.zeros(n - 1), np.zeros(n - 1)
+        inner = parent[:-1] - n
+        np.add.at(to_right, inner[turned[:-1]], weight[:-1][turned[:-1]])
+        np.add.at(to_left, inner[~turned[:-1]], weight[:-1][~turned[:-1]])
+        return cls(first, size, nodes, right, (np.log(to_right) - np.log(to_left)).astype(np.float32))
+
+    def paths(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and sides of all paths, one after the other; the position of each one's leaf; where each path begins."""
+        sizes = self.size[leaves]
+        begin = np.cumsum(sizes) - sizes
+        take = np.repeat(self.first[leaves] - begin, sizes) + np.arange(sizes.sum())
+        return self.nodes[take], self.right[take], np.repeat(np.arange(len(leaves)), sizes), begin
 
 
 class Model:
-    """Counts, classes and network. ``weights`` is one flat vector."""
-
-    SHAPES = ((len(OFFSETS), IN_CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, OUT_CLASSES), (OUT_CLASSES,))
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.inside, self.outside = classes(counts, IN_CLASSES, IN_OWN), classes(counts, OUT_CLASSES, OUT_OWN)
-        totals = np.bincount(self.outside, counts + 1, OUT_CLASSES)
-        self.within = np.log(counts + 1) - np.log(totals[self.outside])
-        rng = np.random.default_rng(0)
-        parts = [rng.normal(0, 0.1, s) for s in self.SHAPES]
-        parts[3] = np.log(totals / totals.sum())
+    """Leaves, tree and network. ``weights`` is one flat vector; ``words`` the stored counts of all words (``word, n``)."""
+
+    def __init__(self, own: np.ndarray, counts: np.ndarray, kinds: np.ndarray, words: DataFrame | None = None):
+        """``own`` lists the words with a leaf of their own; ``counts`` has the occurrences of these and of the shared leaves, ``kinds`` the different words of each shared leaf."""
+        order = np.argsort(own)
+        self.own, self.own_leaf, self.n_own = own[order], order, len(own)
+        self.counts, self.shared, self.kinds, self.words = counts, len(counts) - len(own), kinds, words
+        self.tree = Tree.of(counts)
+        n, rng = len(counts), np.random.default_rng(0)
+        # Embeddings of the leaves and of "no word", position weights, bias, vectors and biases of the inner nodes.
+        self.shapes = ((n + 1, HIDDEN), (len(OFFSETS), HIDDEN), (HIDDEN,), (n - 1, HIDDEN), (n - 1,))
+        parts = [rng.normal(0, 0.3, self.shapes[0]), np.ones(self.shapes[1]), np.zeros(HIDDEN), np.zeros(self.shapes[3]), self.tree.odds]
         self.weights = np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
-    @classmethod
-    def views(cls, flat: np.ndarray) -> list[np.ndarray]:
-        cuts = np.cumsum([0, *(int(np.prod(s)) for s in cls.SHAPES)])
-        return [flat[a:b].reshape(s) for a, b, s in zip(cuts[:-1], cuts[1:], cls.SHAPES)]
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "words": None}  # tasks don't need the table
+
+    def views(self, flat: np.ndarray) -> list[np.ndarray]:
+        cuts = np.cumsum([0, *(int(np.prod(s)) for s in self.shapes)])
+        return [flat[a:b].reshape(s) for a, b, s in zip(cuts[:-1], cuts[1:], self.shapes)]
 
-    def windows(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Classes of the words around each word; one more than the last class where the document has none."""
+    def leaves(self, words: np.ndarray) -> np.ndarray:
+        """Leaf of each word: its own, or one of the shared ones by its hash."""
+        at = np.minimum(np.searchsorted(self.own, words), max(0, self.n_own - 1))
+        shared = self.n_own + ((words >> np.uint64(20)) % np.uint64(self.shared)).astype(np.int64)
+        return np.where(self.own[at] == words, self.own_leaf[at], shared) if self.n_own else shared
+
+    def windows(self, leaves: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Leaves around each word; one more than the last leaf where the document has none."""
         doc = np.repeat(np.arange(len(counts)), counts)
-        inside = self.inside[ids]
-        out = np.full((len(OFFSETS), len(ids)), IN_CLASSES, np.uint16)
+        out = np.full((len(OFFSETS), len(leaves)), len(self.counts), np.int64)
         for k, o in enumerate(OFFSETS):
             here, there = (slice(-o, None), slice(None, o)) if o < 0 else (slice(None, -o), slice(o, None))
-            if abs(o) < len(ids):
-                out[k, here] = np.where(doc[here] == doc[there], inside[there], IN_CLASSES)
+            if abs(o) < len(leaves):
+                out[k, here] = np.where(doc[here] == doc[there], leaves[there], len(self.counts))
         return out
 
     @staticmethod
-    def forward(parts: list[np.ndarray], window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden layer and log-probabilities of the classes."""
-        embed, bias, out, out_bias = parts
-        hidden = bias + embed[0][window[0]]
+    def hidden(parts: list[np.ndarray], window: np.ndarray) -> np.ndarray:
+        embed, place, bias = parts[:3]
+        out = bias + embed[window[0]] * place[0]
         for k in range(1, len(OFFSETS)):
-            hidden += embed[k][window[k]]
-        np.tanh(hidden, out=hidden)
-        logits = hidden @ out + out_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        return hidden, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
-
-    def log_probabilities(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        window, parts, out = self.windows(ids, counts), self.views(self.weights), np.empty(len(ids))
-        for a in range(0, len(ids), BATCH):
-            _, logs = self.forward(parts, window[:, a : a + BATCH])
-            own = ids[a : a + BATCH]
-            out[a : a + BATCH] = logs[np.arange(len(own)), self.outside[own]] + self.within[own]
+            out += embed[window[k]] * place[k]
+        return np.tanh(out, out=out)
+
+    def forward(self, parts: list[np.ndarray], window: np.ndarray, target: np.ndarray):
+        """Hidden layer, paths of the targets, log-odds of their sides, and the log-probability of each target."""
+        h = self.hidden(parts, window)
+        nodes, right, owner, begin = self.tree.paths(target)
+        x = np.einsum("ij,ij->i", parts[3][nodes], h[owner]) + parts[4][nodes]
+        logs = -np.logaddexp(np.float32(0), np.where(right > 0, -x, x))
+        return h, (nodes, right, owner, begin), x, np.add.reduceat(logs, begin)
+
+    def log_probabilities(self, leaves: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log P(leaf | window) of each word."""
+        window, parts, out = self.windows(leaves, counts), self.views(self.weights), np.empty(len(leaves))
+        for a in range(0, len(leaves), BATCH):
+            out[a : a + BATCH] = self.forward(parts, window[:, a : a + BATCH], leaves[a : a + BATCH])[3]
         return out
 
+    def gradient(self, weights: np.ndarray, window: np.ndarray, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and their gradients of the mean loss for each part of the weights."""
+        parts, n = self.views(weights), len(target)
+        h, (nodes, right, owner, begin), x, _ = self.forward(parts, window, target)
+        error = (1 / (1 + np.exp(-x)) - right) / np.float32(n)
+        back = np.add.reduceat(error[:, None] * parts[3][nodes], begin, axis=0) * (1 - h * h)
+        v_rows, v = _by_row(nodes, error[:, None] * h[owner])
+        c = np.add.reduceat(error[np.argsort(nodes, kind="stable")], np.searchsorted(np.sort(nodes), v_rows))
+        e_rows, e = _by_row(window.ravel(), np.concatenate([back * parts[1][k] for k in range(len(OFFSETS))]))
+        place = np.stack([(back * parts[0][window[k]]).sum(axis=0) for k in range(len(OFFSETS))])
+        return [(e_rows, e), (np.arange(len(OFFSETS)), place), (np.arange(HIDDEN), back.sum(axis=0)), (v_rows, v), (v_rows, c)]
+
+
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of values of equal rows."""
+    order = np.argsort(rows, kind="stable")
+    sorted_ = rows[order]
+    cut = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return sorted_[cut], np.add.reduceat(values[order], cut, axis=0)
+
 
 class Trainer:
-    """Adam steps of one partition."""
+    """Adagrad steps of one partition."""
 
     def __init__(self, model: Model):
-        self.model, self.weights = model, model.weights.copy()
-        self.first, self.second, self.n_steps, self.words = np.zeros_like(self.weights), np.zeros_like(self.weights), 0, 0
+        self.model, self.weights, self.squares, self.words = model, model.weights.copy(), np.full_like(model.weights, 1e-8), 0
 
-    def learn(self, ids: np.ndarray, counts: np.ndarray, phase: int) -> None:
-        window, targets = self.model.windows(ids, counts)[:, phase::ROUNDS], self.model.outside[ids[phase::ROUNDS]]
+    def learn(self, leaves: np.ndarray, counts: np.ndarray, phase: int) -> None:
+        window, targets = self.model.windows(leaves, counts)[:, phase::ROUNDS], leaves[phase::ROUNDS]
         for a in range(0, len(targets), BATCH):
             self._step(window[:, a : a + BATCH], targets[a : a + BATCH])
 
     def _step(self, window: np.ndarray, target: np.ndarray) -> None:
-        parts = Model.views(self.weights)
-        hidden, logs = Model.forward(parts, window)
-        n = len(target)
-        error = np.exp(logs)
-        error[np.arange(n), target] -= 1
-        error /= n
-        grad = np.zeros_like(self.weights)
-        embed, bias, out, out_bias = Model.views(grad)
-        out[:], out_bias[:] = hidden.T @ error, error.sum(axis=0)
-        back = (error @ parts[2].T) * (1 - hidden * hidden)
-        bias[:] = back.sum(axis=0)
-        for k in range(len(OFFSETS)):
-            order = np.argsort(window[k], kind="stable")
-            sorted_ = window[k][order]
-            cut = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-            embed[k][sorted_[cut]] = np.add.reduceat(back[order], cut, axis=0)
-        self.n_steps += 1
-        self.words += n
-        self.first += (1 - DECAY_1) * (grad - self.first)
-        self.second += (1 - DECAY_2) * (grad * grad - self.second)
-        rate = RATE * np.sqrt(1 - DECAY_2**self.n_steps) / (1 - DECAY_1**self.n_steps)
-        self.weights -= rate * self.first / (np.sqrt(self.second) + 1e-8)
-
-
-def _ids(step: Step) -> tuple[np.ndarray, np.ndarray]:
-    words, counts = words_of(step)
-    return (words >> np.uint64(20) & np.uint64(IDS - 1)).astype(np.int64), counts
-
-
-def count_ids(docs: DataFrame) -> np.ndarray:
-    """Occurrences of each id in all texts: ``IDS`` numbers, whatever the corpus."""
+        grads = self.model.gradient(self.weights, window, target)
+        for part, squares, (rows, grad) in zip(self.model.views(self.weights), self.model.views(self.squares), grads):
+            squares[rows] += grad * grad
+            part[rows] -= RATE * grad / np.sqrt(squares[rows])
+        self.words += len(target)
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """``word, n``: the occurrences of each different word (by its 64-bit hash) in all texts. Stored; it grows with the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(IDS, np.int64)
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            words, inverse = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([c for _, c in held]), len(words)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
         for batch in batches:
             for _, step in steps(batch.column(0)):
-                total += np.bincount(_ids(step)[0], minlength=IDS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
-
-    out = np.zeros(IDS, np.int64)
-    for r in clean_names(docs, "text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r["id"]] = r["n"]
-    return out
+                words, counts = np.unique(words_of(step)[0], return_counts=True)
+                held.append((words, counts))
+                size += len(words)
+                if size >= COUNTED:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return stored(clean_names(docs, "text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+
+
+def new_model(docs: DataFrame) -> Model:
+    """Counts, leaves and a network that knows frequencies only. What reaches the driver is as large as the model."""
+    words = count_words(docs)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_own = min(MOST_OWN, max(LEAST_OWN, int(OWN_PER_ROOT * total**0.5)))
+    top = words.orderBy(F.desc("n"), "word").limit(n_own).collect()
+    own = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    shared = max(2, n_own // SHARED_PART)
+    # Of the other words: occurrences and different ones of each shared leaf.
+    leaf = F.pmod(F.shiftrightunsigned("word", 20), F.lit(shared))
+    last = (top[-1]["n"], top[-1]["word"]) if top else (0, 0)
+    rest = words.where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > last[1])))
+    counts, kinds = np.zeros(len(own) + shared, np.int64), np.zeros(shared, np.int64)
+    counts[: len(own)] = [r["n"] for r in top]
+    for r in rest.groupBy(leaf.alias("leaf")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        counts[len(own) + r["leaf"]], kinds[r["leaf"]] = r["n"], r["kinds"]
+    return Model(own, counts, kinds, words)
 
 
 def train(docs: DataFrame) -> Model:
-    """Counts and network of a corpus. What reaches the driver is as large as the model."""
-    model = Model(count_ids(docs))
+    """Counts and network of a corpus."""
+    model = new_model(docs)
     for phase in range(ROUNDS):
 
         def run(batches: Iterator[pa.RecordBatch], model=model, phase=phase) -> Iterator[pa.RecordBatch]:
             own = Trainer(model)
             for batch in batches:
                 for _, step in steps(batch.column(0)):
-                    own.learn(*_ids(step), phase)
+                    words, counts = words_of(step)
+                    own.learn(model.leaves(words), counts, phase)
             if own.words:
+                n = -(-len(own.weights) // CHUNK)
+                data = [own.weights[k * CHUNK : (k + 1) * CHUNK].astype(np.float64) * UNIT for k in range(n)]
                 share = -(-own.words // 1024)
-                values = np.rint(own.weights.astype(np.float64) * UNIT).astype(np.int64) * share
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(values), dtype=np.int32)), pa.array(np.concatenate([[share], values]))], names=["k", "v"])
-
-        sums = {r["k"]: r["v"] for r in clean_names(docs, "text").mapInArrow(run, "k int, v long").groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()}
-        if sums:
-            model.weights = np.array([int(sums[k]) / (int(sums[-1]) * UNIT) for k in range(len(model.weights))], np.float32)
+                salt = TaskContext.get().partitionId() % 64
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, salt, np.int32)), pa.array(np.full(n, share)), pa.array([(np.rint(d).astype(np.int64) * share).tobytes() for d in data], pa.binary())], names=["chunk", "salt", "share", "sums"])
+
+        def total(table: pa.Table) -> pa.Table:
+            sums = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("sums"))
+            return pa.table({"chunk": table.column("chunk")[:1], "salt": pa.array([0], pa.int32()), "share": [sum(table.column("share").to_pylist())], "sums": pa.array([sums.tobytes()], pa.binary())})
+
+        kind = "chunk int, salt int, share long, sums binary"
+        own = clean_names(docs, "text").mapInArrow(run, kind)
+        rows = own.groupBy("chunk", "salt").applyInArrow(total, kind).groupBy("chunk").applyInArrow(total, kind).collect()
+        for r in rows:
+            model.weights[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["sums"], np.int64) / (r["share"] * UNIT)
     return model
 
 
 def pseudo_likelihood(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, n_tokens, score, score_per_token`` of each row.
 
-    ``score`` is the sum of the words' conditional log-probabilities. Texts without
-    words, null ones included, have 0 words, score 0 and no score a word. Repeated
-    rows score alike up to single-precision rounding. An empty table stays empty; a model of an empty corpus gives
-    every word the same count.
+    ``score`` is the sum of the words' conditional log-probabilities. Texts without words, null
+    ones included, have 0 words, score 0 and no score a word. Repeated rows score alike up to
+    single-precision rounding. Ids may be of any type; a text of any length is scored whole. An
+    empty table stays empty; a model of an empty corpus takes every word for one never seen.
     """
     source = clean_names(docs, "doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for row, step in steps(batch.column(1)):
-                ids, counts = _ids(step)
-                logs = model.log_probabilities(ids, counts)
-                sums = np.bincount(np.repeat(np.arange(step.docs), counts), logs, step.docs)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, step.docs), pa.array(counts.astype(np.int64)), pa.array(sums), pa.array(sums / np.maximum(counts, 1), mask=counts == 0)], names=["doc_id", "n_tokens", "score", "score_per_token"])
-
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, score double, score_per_token double")
+                words, counts = words_of(step)
+                leaves = model.leaves(words)
+                doc = np.repeat(np.arange(step.docs), counts)
+                sums = np.bincount(doc, model.log_probabilities(leaves, counts), step.docs).astype(np.float64)
+                # Different words of shared leaves, with their occurrences, by document.
+                rare = np.flatnonzero(leaves >= model.n_own)
+                order = rare[np.lexsort((words[rare], doc[rare]))]
+                w, d = words[order], doc[order]
+                cut = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])])) if len(w) else np.zeros(0, np.int64)
+                bounds = pa.array(np.searchsorted(d[cut], np.arange(step.docs + 1)).astype(np.int32))
+                times = np.diff(np.append(cut, len(w))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, step.docs), pa.array(number + np.arange(step.docs)), pa.array(counts.astype(np.int64)), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(bounds, pa.array(w[cut].view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(times))],
+                    names=["doc_id", "number", "n_tokens", "sum", "words", "times"],
+                )
+                number += step.docs
+
+    base = stored(source.mapInArrow(run, f"doc_id {kind}, number long, n_tokens long, sum double, words array<long>, times array<int>"), "lm-base")
+    rare = base.select("number", F.inline(F.arrays_zip("words", "times"))).withColumnRenamed("words", "word")
+    # log P(word | leaf): a word's occurrences elsewhere and one more, of those of its leaf's words and of one word never seen.
+    room = F.array(*(F.lit(float(np.log(n + k + 1))) for n, k in zip(model.counts[model.n_own :], model.kinds))) if model.shared <= 256 else None
+    leaf = F.pmod(F.shiftrightunsigned("word", 20), F.lit(model.shared))
+    known = model.words.where("n > 0").select(F.col("word").alias("w"), F.col("n"))
+    found = rare.join(known, F.col("word") == F.col("w"), "left")
+    log_n = F.log(F.greatest(F.coalesce("n", F.lit(0)) - F.col("times"), F.lit(0)) + 1.0)
+    if room is not None:
+        log_room = F.get(room, leaf.cast("int"))
+    else:  # one row a shared leaf, at most MOST_OWN / SHARED_PART of them
+        spark = docs.sparkSession
+        rooms = spark.createDataFrame([(k, float(np.log(n + m + 1))) for k, (n, m) in enumerate(zip(model.counts[model.n_own :], model.kinds))], "leaf long, room double")
+        found = found.withColumn("leaf", leaf).join(F.broadcast(rooms), "leaf")
+        log_room = F.col("room")
+    within = found.select("number", (F.col("times") * (log_n - log_room)).alias("x")).groupBy("number").agg(F.sum("x").alias("within"))
+    score = F.col("sum") + F.coalesce("within", F.lit(0.0))
+    out = base.select("doc_id", "number", "n_tokens", "sum").join(within, "number", "left")
+    return out.select("doc_id", "n_tokens", score.alias("score"), F.when(F.col("n_tokens") > 0, score / F.col("n_tokens")).alias("score_per_token"))
 
 
 def op2_masked_lm_score(spark, sf_dir: str) -> DataFrame:
