@@ -44,7 +44,9 @@ OWN_PER_ROOT, LEAST_OWN, MOST_OWN, SHARED_PART = 2.0, 64, 1 << 16, 8
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 16
 ROUNDS = 2
-BATCH = 4096
+BATCH = 8192
+#: Levels of the tree whose few nodes are summed by products of matrices; bound of a node's log-odds, so that products of probabilities don't vanish.
+TOP_LEVELS, MOST_ODDS = 6, 27.0
 RATE = 0.05
 #: Weights are averaged as whole numbers of this unit, so many of them in a row.
 UNIT, CHUNK = 1 << 20, 1 << 12
@@ -94,12 +96,12 @@ class Tree:
         np.add.at(to_left, inner[~turned[:-1]], weight[:-1][~turned[:-1]])
         return cls(first, size, nodes, right, (np.log(to_right) - np.log(to_left)).astype(np.float32))
 
-    def paths(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes and sides of all paths, one after the other; the position of each one's leaf; where each path begins."""
-        sizes = self.size[leaves]
-        begin = np.cumsum(sizes) - sizes
-        take = np.repeat(self.first[leaves] - begin, sizes) + np.arange(sizes.sum())
-        return self.nodes[take], self.right[take], np.repeat(np.arange(len(leaves)), sizes), begin
+    def levels(self, leaves: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """An order of the leaves, longest paths first, and for each depth the nodes and sides of those in it that are so deep: a head of the order."""
+        order = np.argsort(-self.size[leaves])
+        first, size = self.first[leaves[order]], self.size[leaves[order]]
+        heads = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right") if len(size) else []
+        return order, [(self.nodes[first[:n] + d], self.right[first[:n] + d]) for d, n in enumerate(heads)]
 
 
 class Model:
@@ -148,37 +150,62 @@ class Model:
             out += embed[window[k]] * place[k]
         return np.tanh(out, out=out)
 
-    def forward(self, parts: list[np.ndarray], window: np.ndarray, target: np.ndarray):
-        """Hidden layer, paths of the targets, log-odds of their sides, and the log-probability of each target."""
-        h = self.hidden(parts, window)
-        nodes, right, owner, begin = self.tree.paths(target)
-        x = np.einsum("ij,ij->i", parts[3][nodes], h[owner]) + parts[4][nodes]
-        logs = -np.logaddexp(np.float32(0), np.where(right > 0, -x, x))
-        return h, (nodes, right, owner, begin), x, np.add.reduceat(logs, begin)
+    def forward(self, parts: list[np.ndarray], window: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The log-probability of each target."""
+        order, levels = self.tree.levels(target)
+        h, p = self.hidden(parts, window[:, order]), np.ones(len(target))
+        for nodes, right in levels:
+            x = np.einsum("ij,ij->i", parts[3][nodes], h[: len(nodes)]) + parts[4][nodes]
+            p[: len(nodes)] /= 1 + np.exp(np.clip(np.where(right > 0, -x, x), -MOST_ODDS, MOST_ODDS))
+        out = np.empty(len(target))
+        out[order] = np.log(p)
+        return out
 
     def log_probabilities(self, leaves: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log P(leaf | window) of each word."""
         window, parts, out = self.windows(leaves, counts), self.views(self.weights), np.empty(len(leaves))
         for a in range(0, len(leaves), BATCH):
-            out[a : a + BATCH] = self.forward(parts, window[:, a : a + BATCH], leaves[a : a + BATCH])[3]
+            out[a : a + BATCH] = self.forward(parts, window[:, a : a + BATCH], leaves[a : a + BATCH])
         return out
 
     def gradient(self, weights: np.ndarray, window: np.ndarray, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Rows and their gradients of the mean loss for each part of the weights."""
         parts, n = self.views(weights), len(target)
-        h, (nodes, right, owner, begin), x, _ = self.forward(parts, window, target)
-        error = (1 / (1 + np.exp(-x)) - right) / np.float32(n)
-        back = np.add.reduceat(error[:, None] * parts[3][nodes], begin, axis=0) * (1 - h * h)
-        v_rows, v = _by_row(nodes, error[:, None] * h[owner])
-        c = np.add.reduceat(error[np.argsort(nodes, kind="stable")], np.searchsorted(np.sort(nodes), v_rows))
-        e_rows, e = _by_row(window.ravel(), np.concatenate([back * parts[1][k] for k in range(len(OFFSETS))]))
-        place = np.stack([(back * parts[0][window[k]]).sum(axis=0) for k in range(len(OFFSETS))])
-        return [(e_rows, e), (np.arange(len(OFFSETS)), place), (np.arange(HIDDEN), back.sum(axis=0)), (v_rows, v), (v_rows, c)]
+        order, levels = self.tree.levels(target)
+        window = window[:, order]
+        h = self.hidden(parts, window)
+        back, rows, sums, deep = np.zeros_like(h), [], [], []
+        for depth, (nodes, right) in enumerate(levels):
+            vectors, own = parts[3][nodes], h[: len(nodes)]
+            x = np.einsum("ij,ij->i", vectors, own) + parts[4][nodes]
+            error = (1 / (1 + np.exp(-x)) - right) / h.dtype.type(n)
+            vectors *= error[:, None]
+            back[: len(nodes)] += vectors
+            if depth < TOP_LEVELS:  # few nodes that all targets pass: a product of matrices
+                some, place = np.unique(nodes, return_inverse=True)
+                spread = np.zeros((len(some), len(nodes)), h.dtype)
+                spread[place, np.arange(len(nodes))] = error
+                rows.append(some)
+                sums.append(np.column_stack([spread @ own, spread.sum(axis=1)]))
+            else:
+                joint = np.empty((len(nodes), HIDDEN + 1), h.dtype)  # vectors and biases of the nodes are summed together
+                np.multiply(error[:, None], own, out=joint[:, :HIDDEN])
+                joint[:, HIDDEN] = error
+                deep.append((nodes, joint))
+        if deep:
+            some, joint = _by_row(np.concatenate([x for x, _ in deep]), np.concatenate([x for _, x in deep]))
+            rows.append(some)
+            sums.append(joint)
+        v_rows, joint = np.concatenate(rows), np.concatenate(sums)
+        back *= 1 - h * h
+        e_rows, e = _by_row(window.astype(np.int32).ravel(), np.concatenate([back * parts[1][k] for k in range(len(OFFSETS))]))
+        place = np.stack([np.einsum("ij,ij->j", back, parts[0][window[k]]) for k in range(len(OFFSETS))])
+        return [(e_rows, e), (np.arange(len(OFFSETS)), place), (np.arange(HIDDEN), back.sum(axis=0)), (v_rows, joint[:, :HIDDEN]), (v_rows, joint[:, HIDDEN])]
 
 
 def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of values of equal rows."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows)
     sorted_ = rows[order]
     cut = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
     return sorted_[cut], np.add.reduceat(values[order], cut, axis=0)
@@ -198,8 +225,9 @@ class Trainer:
     def _step(self, window: np.ndarray, target: np.ndarray) -> None:
         grads = self.model.gradient(self.weights, window, target)
         for part, squares, (rows, grad) in zip(self.model.views(self.weights), self.model.views(self.squares), grads):
-            squares[rows] += grad * grad
-            part[rows] -= RATE * grad / np.sqrt(squares[rows])
+            sums = squares[rows] + grad * grad
+            squares[rows] = sums
+            part[rows] -= RATE * grad / np.sqrt(sums)
         self.words += len(target)
 
 

@@ -59,10 +59,10 @@ def test_probabilities_of_all_leaves_sum_to_one_and_start_as_frequencies():
         model, _ = model_of(TEXTS, n_own=n_own, seed=2)
         n = len(model.counts)
         window = np.tile(np.array([[0], [1], [n], [2]]), n)
-        logs = model.forward(model.views(model.weights), window, np.arange(n))[3]
+        logs = model.forward(model.views(model.weights), window, np.arange(n))
         assert abs(np.exp(logs).sum() - 1) < 1e-5
         model, _ = model_of(TEXTS, n_own=n_own)
-        logs = model.forward(model.views(model.weights), window, np.arange(n))[3]
+        logs = model.forward(model.views(model.weights), window, np.arange(n))
         assert np.abs(np.exp(logs) - (model.counts + 1) / (model.counts + 1).sum()).max() < 1e-5
 
 
@@ -73,7 +73,7 @@ def test_gradient_by_differences():
     words, counts = words_of(step)
     leaves = model.leaves(words)
     window = model.windows(leaves, counts)
-    loss = lambda w: -model.forward(model.views(w), window, leaves)[3].mean()
+    loss = lambda w: -model.forward(model.views(w), window, leaves).mean()
     dense = np.zeros_like(model.weights)
     for part, (rows, grad) in zip(model.views(dense), model.gradient(model.weights, window, leaves)):
         part[rows] += grad
