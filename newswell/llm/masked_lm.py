@@ -63,6 +63,8 @@ class Tree:
     nodes: np.ndarray
     right: np.ndarray
     odds: np.ndarray  # log-odds of turning right at each node by frequency alone
+    at_depth: list[np.ndarray]  # nodes of each of the top levels
+    place: np.ndarray  # each node's place among those of its level
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Tree:
@@ -94,7 +96,11 @@ class Tree:
         inner = parent[:-1] - n
         np.add.at(to_right, inner[turned[:-1]], weight[:-1][turned[:-1]])
         np.add.at(to_left, inner[~turned[:-1]], weight[:-1][~turned[:-1]])
-        return cls(first, size, nodes, right, (np.log(to_right) - np.log(to_left)).astype(np.float32))
+        deep, place = depth[n:], np.zeros(n - 1, np.int64)
+        at_depth = [np.flatnonzero(deep == d) for d in range(min(TOP_LEVELS, int(deep.max()) + 1))]
+        for some in at_depth:
+            place[some] = np.arange(len(some))
+        return cls(first, size, nodes, right, (np.log(to_right) - np.log(to_left)).astype(np.float32), at_depth, place)
 
     def levels(self, leaves: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """An order of the leaves, longest paths first, and for each depth the nodes and sides of those in it that are so deep: a head of the order."""
@@ -145,9 +151,9 @@ class Model:
     @staticmethod
     def hidden(parts: list[np.ndarray], window: np.ndarray) -> np.ndarray:
         embed, place, bias = parts[:3]
-        out = bias + embed[window[0]] * place[0]
+        out = embed.take(window[0], axis=0) * place[0] + bias
         for k in range(1, len(OFFSETS)):
-            out += embed[window[k]] * place[k]
+            out += embed.take(window[k], axis=0) * place[k]
         return np.tanh(out, out=out)
 
     def forward(self, parts: list[np.ndarray], window: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -155,8 +161,9 @@ class Model:
         order, levels = self.tree.levels(target)
         h, p = self.hidden(parts, window[:, order]), np.ones(len(target))
         for nodes, right in levels:
-            x = np.einsum("ij,ij->i", parts[3][nodes], h[: len(nodes)]) + parts[4][nodes]
-            p[: len(nodes)] /= 1 + np.exp(np.clip(np.where(right > 0, -x, x), -MOST_ODDS, MOST_ODDS))
+            x = np.einsum("ij,ij->i", parts[3].take(nodes, axis=0), h[: len(nodes)]) + parts[4].take(nodes)
+            x *= 1 - 2 * right
+            p[: len(nodes)] /= 1 + np.exp(np.minimum(x, MOST_ODDS, out=x))
         out = np.empty(len(target))
         out[order] = np.log(p)
         return out
@@ -176,13 +183,14 @@ class Model:
         h = self.hidden(parts, window)
         back, rows, sums, deep = np.zeros_like(h), [], [], []
         for depth, (nodes, right) in enumerate(levels):
-            vectors, own = parts[3][nodes], h[: len(nodes)]
-            x = np.einsum("ij,ij->i", vectors, own) + parts[4][nodes]
+            vectors, own = parts[3].take(nodes, axis=0), h[: len(nodes)]
+            x = np.einsum("ij,ij->i", vectors, own) + parts[4].take(nodes)
             error = (1 / (1 + np.exp(-x)) - right) / h.dtype.type(n)
             vectors *= error[:, None]
             back[: len(nodes)] += vectors
             if depth < TOP_LEVELS:  # few nodes that all targets pass: a product of matrices
-                some, place = np.unique(nodes, return_inverse=True)
+                some = self.tree.at_depth[depth]
+                place = self.tree.place[nodes]
                 spread = np.zeros((len(some), len(nodes)), h.dtype)
                 spread[place, np.arange(len(nodes))] = error
                 rows.append(some)
@@ -199,16 +207,16 @@ class Model:
         v_rows, joint = np.concatenate(rows), np.concatenate(sums)
         back *= 1 - h * h
         e_rows, e = _by_row(window.astype(np.int32).ravel(), np.concatenate([back * parts[1][k] for k in range(len(OFFSETS))]))
-        place = np.stack([np.einsum("ij,ij->j", back, parts[0][window[k]]) for k in range(len(OFFSETS))])
+        place = np.stack([np.einsum("ij,ij->j", back, parts[0].take(window[k], axis=0)) for k in range(len(OFFSETS))])
         return [(e_rows, e), (np.arange(len(OFFSETS)), place), (np.arange(HIDDEN), back.sum(axis=0)), (v_rows, joint[:, :HIDDEN]), (v_rows, joint[:, HIDDEN])]
 
 
 def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of values of equal rows."""
     order = np.argsort(rows)
-    sorted_ = rows[order]
+    sorted_ = rows.take(order)
     cut = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    return sorted_[cut], np.add.reduceat(values[order], cut, axis=0)
+    return sorted_[cut], np.add.reduceat(values.take(order, axis=0), cut, axis=0)
 
 
 class Trainer:
@@ -225,7 +233,7 @@ class Trainer:
     def _step(self, window: np.ndarray, target: np.ndarray) -> None:
         grads = self.model.gradient(self.weights, window, target)
         for part, squares, (rows, grad) in zip(self.model.views(self.weights), self.model.views(self.squares), grads):
-            sums = squares[rows] + grad * grad
+            sums = squares.take(rows, axis=0) + grad * grad
             squares[rows] = sums
             part[rows] -= RATE * grad / np.sqrt(sums)
         self.words += len(target)
