@@ -65,6 +65,7 @@ class Tree:
     odds: np.ndarray  # log-odds of turning right at each node by frequency alone
     at_depth: list[np.ndarray]  # nodes of each of the top levels
     place: np.ndarray  # each node's place among those of its level
+    short: np.ndarray  # less for a longer path
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Tree:
@@ -84,7 +85,7 @@ class Tree:
             depth[node] = depth[parent[node]] + 1
         size = depth[:n]
         first = np.cumsum(size) - size
-        nodes, right = np.zeros(size.sum(), np.int32), np.zeros(size.sum(), np.float32)
+        nodes, right = np.zeros(size.sum(), np.int64), np.zeros(size.sum(), np.float32)
         at, here = first + size - 1, np.arange(n)
         live = np.flatnonzero(size)
         while len(live):  # all leaves climb one step at a time
@@ -100,14 +101,19 @@ class Tree:
         at_depth = [np.flatnonzero(deep == d) for d in range(min(TOP_LEVELS, int(deep.max()) + 1))]
         for some in at_depth:
             place[some] = np.arange(len(some))
-        return cls(first, size, nodes, right, (np.log(to_right) - np.log(to_left)).astype(np.float32), at_depth, place)
+        return cls(first, size, nodes, right, (np.log(to_right) - np.log(to_left)).astype(np.float32), at_depth, place, (size.max() - size).astype(np.uint16))
 
     def levels(self, leaves: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """An order of the leaves, longest paths first, and for each depth the nodes and sides of those in it that are so deep: a head of the order."""
-        order = np.argsort(-self.size[leaves])
-        first, size = self.first[leaves[order]], self.size[leaves[order]]
+        order = np.argsort(self.short.take(leaves), kind="stable")  # of two bytes: a radix sort
+        leaves = leaves.take(order)
+        first, size = self.first.take(leaves), self.size.take(leaves)
         heads = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right") if len(size) else []
-        return order, [(self.nodes[first[:n] + d], self.right[first[:n] + d]) for d, n in enumerate(heads)]
+        out = []
+        for n in heads:
+            out.append((self.nodes.take(first[:n]), self.right.take(first[:n])))
+            first[:n] += 1
+        return order, out
 
 
 class Model:
@@ -149,19 +155,23 @@ class Model:
         return out
 
     @staticmethod
-    def hidden(parts: list[np.ndarray], window: np.ndarray) -> np.ndarray:
+    def hidden(parts: list[np.ndarray], window: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Hidden units, and the embeddings of the windows' words that they come from."""
         embed, place, bias = parts[:3]
-        out = embed.take(window[0], axis=0) * place[0] + bias
+        taken = [embed.take(leaves, axis=0) for leaves in window]
+        out = taken[0] * place[0]
+        out += bias
         for k in range(1, len(OFFSETS)):
-            out += embed.take(window[k], axis=0) * place[k]
-        return np.tanh(out, out=out)
+            out += taken[k] * place[k]
+        return np.tanh(out, out=out), taken
 
     def forward(self, parts: list[np.ndarray], window: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The log-probability of each target."""
         order, levels = self.tree.levels(target)
-        h, p = self.hidden(parts, window[:, order]), np.ones(len(target))
+        (h, _), p = self.hidden(parts, window[:, order]), np.ones(len(target))
         for nodes, right in levels:
-            x = np.einsum("ij,ij->i", parts[3].take(nodes, axis=0), h[: len(nodes)]) + parts[4].take(nodes)
+            x = np.einsum("ij,ij->i", parts[3].take(nodes, axis=0), h[: len(nodes)])
+            x += parts[4].take(nodes)
             x *= 1 - 2 * right
             p[: len(nodes)] /= 1 + np.exp(np.minimum(x, MOST_ODDS, out=x))
         out = np.empty(len(target))
@@ -180,11 +190,15 @@ class Model:
         parts, n = self.views(weights), len(target)
         order, levels = self.tree.levels(target)
         window = window[:, order]
-        h = self.hidden(parts, window)
-        back, rows, sums, deep = np.zeros_like(h), [], [], []
+        h, taken = self.hidden(parts, window)
+        back, rows, sums = np.zeros_like(h), [], []
+        # Of the other levels, vectors and biases of the nodes are summed together, with a column to be even.
+        deep = np.empty((sum(len(nodes) for nodes, _ in levels[TOP_LEVELS:]), HIDDEN + 2), h.dtype)
+        filled = 0
         for depth, (nodes, right) in enumerate(levels):
             vectors, own = parts[3].take(nodes, axis=0), h[: len(nodes)]
-            x = np.einsum("ij,ij->i", vectors, own) + parts[4].take(nodes)
+            x = np.einsum("ij,ij->i", vectors, own)
+            x += parts[4].take(nodes)
             error = (1 / (1 + np.exp(-x)) - right) / h.dtype.type(n)
             vectors *= error[:, None]
             back[: len(nodes)] += vectors
@@ -196,27 +210,31 @@ class Model:
                 rows.append(some)
                 sums.append(np.column_stack([spread @ own, spread.sum(axis=1)]))
             else:
-                joint = np.empty((len(nodes), HIDDEN + 1), h.dtype)  # vectors and biases of the nodes are summed together
+                joint = deep[filled : filled + len(nodes)]
                 np.multiply(error[:, None], own, out=joint[:, :HIDDEN])
-                joint[:, HIDDEN] = error
-                deep.append((nodes, joint))
-        if deep:
-            some, joint = _by_row(np.concatenate([x for x, _ in deep]), np.concatenate([x for _, x in deep]))
+                joint[:, HIDDEN:] = error[:, None]
+                filled += len(nodes)
+        if filled:
+            some, joint = _by_row(np.concatenate([nodes for nodes, _ in levels[TOP_LEVELS:]]), deep, len(parts[4]))
             rows.append(some)
-            sums.append(joint)
+            sums.append(joint[:, : HIDDEN + 1])
         v_rows, joint = np.concatenate(rows), np.concatenate(sums)
         back *= 1 - h * h
-        e_rows, e = _by_row(window.astype(np.int32).ravel(), np.concatenate([back * parts[1][k] for k in range(len(OFFSETS))]))
-        place = np.stack([np.einsum("ij,ij->j", back, parts[0].take(window[k], axis=0)) for k in range(len(OFFSETS))])
+        around = np.empty((len(OFFSETS), *back.shape), h.dtype)
+        np.multiply(back[None], parts[1][:, None], out=around)
+        e_rows, e = _by_row(window.ravel(), around.reshape(-1, HIDDEN), len(parts[0]))
+        place = np.stack([np.einsum("ij,ij->j", back, x) for x in taken])
         return [(e_rows, e), (np.arange(len(OFFSETS)), place), (np.arange(HIDDEN), back.sum(axis=0)), (v_rows, joint[:, :HIDDEN]), (v_rows, joint[:, HIDDEN])]
 
 
-def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of values of equal rows."""
-    order = np.argsort(rows)
+def _by_row(rows: np.ndarray, values: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of values of equal rows; an even number of columns."""
+    # Numbers of two bytes take a radix sort; two columns at a time are added as parts of complex numbers.
+    order = np.argsort(rows.astype(np.uint16), kind="stable") if n_rows <= 1 << 16 else np.argsort(rows)
     sorted_ = rows.take(order)
     cut = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    return sorted_[cut], np.add.reduceat(values.take(order, axis=0), cut, axis=0)
+    pairs = np.complex64 if values.dtype == np.float32 else np.complex128
+    return sorted_[cut], np.add.reduceat(values.take(order, axis=0).view(pairs), cut, axis=0).view(values.dtype)
 
 
 class Trainer:
