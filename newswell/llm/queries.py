@@ -21,6 +21,8 @@ _QUERIES = {
     "op8_suffix_array_dedup": ("suffix", None),
     "op9_warc_zstd": ("warc", None),
     "op10_decontamination": ("decontam", None),
+    "op11_token_counts": ("token_counts", None),
+    "op13_token_alignment": ("alignment", None),
 }
 
 
