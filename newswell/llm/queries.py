@@ -22,6 +22,7 @@ _QUERIES = {
     "op9_warc_zstd": ("warc", None),
     "op10_decontamination": ("decontam", None),
     "op11_token_counts": ("token_counts", None),
+    "op12_hard_negatives": ("hard_negatives", "OP12_SQL"),
     "op13_token_alignment": ("alignment", None),
 }
 
