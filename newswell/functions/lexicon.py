@@ -7,6 +7,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from newswell.functions.terms import TermIndex
+
+#: Terms of all lists of a lexicon, at most.
+MOST_TERMS = 100_000
 #: Categories in order of priority.
 CATEGORIES = ("papers", "legaltech", "gov_policy", "funding", "adoption", "governance", "policy", "models", "market", "coding", "infra", "product", "ai-industry")
 #: Bonus of each category in the importance score.
@@ -16,6 +20,10 @@ RELATIONS = ("competes_with", "partners_with", "acquires", "invests_in", "regula
 SYMMETRIC = ("competes_with", "partners_with", "mentions")
 
 
+#: Automata of each lexicon by kind of text, beside the lexicon itself.
+_MADE: dict[int, tuple] = {}
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Named term lists in order; ``weights`` holds those of weighted lists."""
@@ -29,6 +37,36 @@ class Lexicon:
     def weight(self, name: str) -> dict[str, float]:
         return self.weights.get(name, {})
 
+    def first(self, *names: str) -> tuple[str, ...]:
+        """The first of some lists that is there."""
+        return next((self.lists[n] for n in names if n in self.lists), ())
+
+    def terms(self, kind: str) -> TermIndex:
+        """The lists that are looked for together in one kind of text, as one automaton that is made once."""
+        made = _MADE.setdefault(id(self), (self, {}))[1]
+        if kind not in made:
+            low = lambda name: tuple(t.lower() for t in self[name])
+            if kind == "text":  # lower case
+                lists = {n: self[n] for n in ("boilerplate", "guard", "strong", "ai", "legal", "law", "global", "policy", "super", "core_law", "basic_law", "conditional_law")}
+                lists["blacklist"] = tuple(t for t in self["blacklist"] if t not in self["political"])
+                lists["ai_counts"] = self.first("ai_counts", "ai")
+                lists["ai_core"] = tuple(t.lower() for t in self.first("ai_core", "ai"))
+                lists["pr_verbs"] = low("pr_verbs")
+                categories = {f"cat_{c}": low(f"cat_{c}") for c in CATEGORIES if self[f"cat_{c}"]}
+                made[kind] = TermIndex(lists | categories, totals=("ai_counts",), words=categories)
+            elif kind == "title":
+                made[kind] = TermIndex({n: self[n] for n in ("political", "promo")})
+            elif kind == "matched":  # lower case, marks as blanks
+                lists = {n: low(n) for n in ("decision", "regulatory", "market", "score_legal", "negative", "bookmark_entities", "bookmark_keywords")}
+                weights = {n: {t.lower(): w for t, w in self.weight(n).items()} for n in ("bookmark_entities", "bookmark_keywords")}
+                lists |= {n: tuple(weights[n]) for n in weights}
+                lists |= {n: self[n] for n in ("super", "basic_law", "conditional_law")}
+                lists["ai_mentions"] = self.first("ai_mentions", "ai")
+                made[kind] = TermIndex(lists, totals=("ai_mentions",), weights=weights)
+            else:
+                made[kind] = TermIndex({"promo": self["promo"]})
+        return made[kind]
+
     @classmethod
     def from_rows(cls, rows) -> Lexicon:
         """From rows of ``list_name, term, weight, ord``."""
@@ -42,7 +80,9 @@ class Lexicon:
 
     @classmethod
     def from_table(cls, df: DataFrame) -> Lexicon:
-        """From a lexicon table; it is read to the driver, as terms become literals of the plan."""
+        """From a lexicon table ``list_name, term, weight, ord``, of ``MOST_TERMS`` rows at most: it is read to the driver and sent to the workers."""
+        if df.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+            raise ValueError(f"a lexicon has at most {MOST_TERMS} terms")
         return cls.from_rows(df.select("list_name", "term", "weight", "ord").collect())
 
     @classmethod
@@ -59,6 +99,9 @@ DEMO = Lexicon(
         "guard": ("license",),
         "strong": ("licensed under", "inger"),
         "ai": ("thnt", "eren", "leaux"),
+        "ai_counts": (" thnt ", "thnt ", "eren", "leaux."),
+        "ai_mentions": (" eren", "eren ", "leaux", "thnt"),
+        "ai_core": ("thnt", "eren", "leaux", "Inger"),
         "legal": ("license", "rerely", "menté"),
         "pr_block": ("Is ", "De "),
         "pr_cap": ("And ",),
@@ -72,7 +115,7 @@ DEMO = Lexicon(
         "negative": ("wham", "trash", "ndust"),
         "law": ("ation", "reed"),
         "global": ("thou", "blest"),
-        "policy": ("there", "tions"),
+        "policy": ("there", "tions", "there"),
         "promo": ("essh", "ouon"),
         "core_law": ("rerely", "license"),
         "basic_law": ("general public",),

@@ -49,9 +49,19 @@ def truncate(c: Column, n: int) -> Column:
     return F.when(F.length(c) <= n, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, n), " [^ ]*$", ""), F.lit("…")))
 
 
+#: Marks that are blanks where terms are looked for.
+MARKS = "'\"`·‘’“”«»「」『』"
+
+
 def match_normalise(c: Column) -> Column:
-    """Lower case with quotation marks as blanks and white space collapsed."""
-    return F.lower(F.trim(F.regexp_replace(F.translate(c, "'\"‘’“”`´「」『』", " " * 12), r"(?U)\s+", " ")))
+    """Lower case with quotation marks and middle dots as blanks and white space collapsed; blanks at the ends stay."""
+    return F.lower(F.regexp_replace(F.regexp_replace(c, f"[{MARKS}]+", " "), r"(?U)\s+", " "))
+
+
+def opening(prefixes) -> str:
+    """A pattern of headlines that open with one of some literal marks; blanks may stand between the parts of a mark."""
+    parts = lambda p: r"\s*".join(re.escape(x) for x in re.findall(r"\w+|[^\w\s]", p)) + (r"\s" if p[-1:].isspace() else "")
+    return rf"^\s*(?:{'|'.join(parts(p) for p in prefixes)})"
 
 
 def strip(c: Column) -> Column:
@@ -166,8 +176,8 @@ def any_term(c: Column, terms) -> Column:
 
 
 def hit_count(c: Column, terms) -> Column:
-    """How many distinct terms occur."""
-    listed = F.array(*(F.lit(t) for t in dict.fromkeys(terms))) if terms else F.array().cast("array<string>")
+    """How many of a few terms occur; one that is listed twice counts twice. Long lists: :mod:`newswell.functions.terms`."""
+    listed = F.array(*(F.lit(t) for t in terms)) if terms else F.array().cast("array<string>")
     return bind(c, lambda x: F.size(F.filter(listed, lambda t: F.contains(x, t))))
 
 

@@ -7,20 +7,32 @@ from pyspark.sql import functions as F
 
 from newswell.functions import dates
 from newswell.functions.lexicon import CATEGORIES, CATEGORY_BONUS, Lexicon
-from newswell.functions.text import any_term, hit_count, match_normalise, occurrence_sum, quoted
+from newswell.functions.text import match_normalise, opening, strip
 
 #: Categories that lie within the subject by themselves.
 INTRINSIC = ("papers", "legaltech", "models", "coding", "infra")
+#: Categories in which a conditional law counts without a mention of the subject.
+LAW_RELATED = ("legaltech", "policy", "governance", "gov_policy", "papers", "models", "coding", "infra")
+
+
+def _joined(title: Column, summary: Column) -> Column:
+    """Title and summary as one text; what is null is empty."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit("")))
 
 
 def _starts(c: Column, prefixes) -> Column:
-    return c.rlike(rf"(?iu)^\s*(?:{quoted(prefixes)})") if prefixes else F.lit(False)
+    return F.coalesce(c.rlike("(?iu)" + opening(prefixes)), F.lit(False)) if prefixes else F.lit(False)
+
+
+def text_terms(title: Column, summary: Column, lex: Lexicon) -> Column:
+    """Terms of all lists of gates and categories in a text, found in one pass; functions that use it share the pass within a projection."""
+    return lex.terms("text")(F.lower(_joined(title, summary)))
 
 
 def pr_verdict(title: Column, summary: Column, lex: Lexicon) -> Column:
     """``struct(verdict, cap)``: whether a headline looks like press-release material, and the score cap that follows."""
-    core = hit_count(F.lower(F.concat_ws(" ", title, summary)), lex["ai"])
-    verbs = hit_count(F.lower(F.concat_ws(" ", title, summary)), lex["pr_verbs"])
+    t = text_terms(title, summary, lex)
+    core, verbs = t["ai_core"]["hits"], t["pr_verbs"]["hits"]
     out = lambda verdict, cap=None: F.struct(F.lit(verdict).alias("verdict"), F.lit(cap).cast("int").alias("cap"))
     return (
         F.when(_starts(title, lex["pr_block"]), out("block"))
@@ -33,19 +45,18 @@ def pr_verdict(title: Column, summary: Column, lex: Lexicon) -> Column:
 
 
 def is_relevant(title: Column, summary: Column, source_type: Column, lex: Lexicon) -> Column:
-    """The ordered relevance gate; cheap exclusions come first."""
-    text, head = F.lower(F.concat_ws(" ", title, summary)), F.lower(title)
-    political = any_term(head, lex["political"]) & ~any_term(text, lex["guard"])
-    listed = any_term(text, [t for t in lex["blacklist"] if t not in lex["political"]])
-    open_source = ~source_type.isin("naver", "google_news")
-    ai, legal = hit_count(text, lex["ai"]), any_term(text, lex["legal"])
+    """The ordered relevance gate. Names of politicians count in titles only, and a guard term excuses them."""
+    t = text_terms(title, summary, lex)
+    has = lambda name: t[name]["hits"] > 0
+    political = (lex.terms("title")(F.lower(F.coalesce(title, F.lit(""))))["political"]["hits"] > 0) & ~has("guard")
+    open_source = ~F.coalesce(source_type.isin("naver", "google_news"), F.lit(False))
     return (
-        F.when(any_term(text, lex["boilerplate"]), False)
+        F.when(has("boilerplate"), False)
         .when(pr_verdict(title, summary, lex)["verdict"] == "block", False)
-        .when(political | listed, False)
+        .when(political | has("blacklist"), False)
         .when(open_source, True)
-        .when(any_term(text, lex["strong"]), True)
-        .otherwise(((ai >= 1) & legal) | (ai >= 2) | (occurrence_sum(text, lex["ai"]) >= 2))
+        .when(has("strong"), True)
+        .otherwise((has("ai") & has("legal")) | (t["ai"]["hits"] >= 2) | (t["ai_counts"]["total"] >= 2))
     )
 
 
@@ -57,13 +68,13 @@ def order_categories(c: Column, most: int = 3) -> Column:
 
 
 def categorise(title: Column, summary: Column, defaults: Column, source_type: Column, lex: Lexicon) -> Column:
-    """Categories of an article: defaults of its source, and those of which a keyword occurs as a whole word."""
-    text = F.lower(F.concat_ws(" ", title, summary))
-    word = lambda terms: text.rlike(rf"(?U)\b(?:{quoted(terms)})\b") if terms else F.lit(False)
-    named = [F.when(word(lex[f"cat_{c}"]), F.lit(c)) for c in CATEGORIES if c != "papers"]
-    ai_legal = any_term(text, lex["ai"]) & any_term(text, lex["legal"])
-    more = [F.when(ai_legal | any_term(text, lex["super"]), F.lit("legaltech")), F.when(any_term(text, lex["core_law"]), F.lit("policy"))]
-    paper = (source_type == "arxiv") | word(lex["cat_papers"])
+    """Categories of an article: defaults of its source, and those of which a keyword occurs, as a whole word or, in Hangul, anywhere."""
+    t = text_terms(title, summary, lex)
+    has = lambda name: t[name]["hits"] > 0
+    word = lambda c: t[f"cat_{c}"]["words"] > 0 if lex[f"cat_{c}"] else F.lit(False)
+    named = [F.when(word(c), F.lit(c)) for c in CATEGORIES if c != "papers"]
+    more = [F.when((has("ai") & has("legal")) | has("super"), F.lit("legaltech")), F.when(has("core_law"), F.lit("policy"))]
+    paper = F.coalesce(source_type == "arxiv", F.lit(False)) | word("papers")
     both = F.concat(F.coalesce(defaults, F.array().cast("array<string>")), F.array_compact(F.array(*named, *more)))
     return order_categories(F.when(paper, both).otherwise(F.array_remove(both, "papers")))
 
@@ -76,34 +87,37 @@ def merge_primary(categories: Column, primary: Column) -> Column:
 
 
 def bucket_strengths(title: Column, summary: Column, lex: Lexicon) -> Column:
-    text = match_normalise(F.concat_ws(" ", title, summary))
-    return F.struct(*(dates.strength(hit_count(text, lex[n])).alias(n) for n in ("law", "global", "policy")), F.when(any_term(match_normalise(title), lex["promo"]), 1.0).otherwise(0.0).alias("promo"))
+    """How strongly a text speaks of law, the world market and policy, and whether its title is advertising; in plain lower case."""
+    t = text_terms(title, summary, lex)
+    promo = lex.terms("title")(F.lower(F.coalesce(title, F.lit(""))))["promo"]["hits"] > 0
+    return F.struct(*(dates.strength(t[n]["hits"]).alias(n) for n in ("law", "global", "policy")), F.when(promo, 1.0).otherwise(0.0).alias("promo"))
 
 
 def agenda(title: Column, summary: Column, categories: Column, lex: Lexicon) -> Column:
-    text = F.lower(F.concat_ws(" ", title, summary))
-    return any_term(text, lex["super"]) | any_term(text, lex["core_law"]) | F.arrays_overlap(categories, F.array(*map(F.lit, ("legaltech", "policy", "gov_policy"))))
+    t = text_terms(title, summary, lex)
+    return (t["super"]["hits"] > 0) | (t["core_law"]["hits"] > 0) | F.coalesce(F.arrays_overlap(categories, F.array(*map(F.lit, ("legaltech", "policy", "gov_policy")))), F.lit(False))
 
 
 def _measured(df: DataFrame, lex: Lexicon) -> DataFrame:
     """What both scores are made of: terms of each list, strengths, subject, verdict."""
-    title, summary, cats = F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.coalesce("categories", F.array().cast("array<string>"))
-    text = match_normalise(F.concat(title, F.lit(" "), summary))
-    work = df.withColumns({"__t": text, "__c": cats, "__pr": pr_verdict(title, summary, lex)})
-    t = F.col("__t")
+    cats = F.coalesce("categories", F.array().cast("array<string>"))
+    text = match_normalise(_joined(F.col("title"), F.col("summary")))
+    head = lex.terms("headline")(match_normalise(F.coalesce("title", F.lit(""))))
+    work = df.withColumns({"__t": lex.terms("matched")(text), "__h": head, "__c": cats, "__pr": pr_verdict(F.col("title"), F.col("summary"), lex)})
+    hits = lambda name: F.col(f"__t.{name}.hits")
+    strength = lambda name: dates.strength(hits(name))
     return work.withColumns({
-        "__m": occurrence_sum(t, lex["ai"]), "__d": dates.strength(hit_count(t, lex["decision"])), "__r": dates.strength(hit_count(t, lex["regulatory"])), "__k": dates.strength(hit_count(t, lex["market"])),
-        "__l": dates.strength(hit_count(t, lex["score_legal"])), "__neg": hit_count(t, lex["negative"]), "__core": F.arrays_overlap(F.col("__c"), F.array(*map(F.lit, INTRINSIC))), "__super": any_term(t, lex["super"]), "__cond": any_term(t, lex["conditional_law"]), "__basic": any_term(t, lex["basic_law"]),
+        "__m": F.col("__t.ai_mentions.total"), "__d": strength("decision"), "__r": strength("regulatory"), "__k": strength("market"), "__l": strength("score_legal"), "__neg": hits("negative"), "__promo": F.col("__h.promo.hits") > 0,
+        "__core": F.arrays_overlap(F.col("__c"), F.array(*map(F.lit, INTRINSIC))), "__super": hits("super") > 0, "__cond": hits("conditional_law") > 0, "__basic": hits("basic_law") > 0,
     })
 
 
 def _liked(lex: Lexicon) -> Column:
     """Bonus of names, words and sources that readers kept."""
-    weighted = lambda table: sum((F.when(F.contains(F.col("__t"), F.lit(k)), v).otherwise(0) for k, v in table.items()), F.lit(0))
     by_source = F.lit(0)
     for k, v in reversed(lex.weight("bookmark_sources").items()):
-        by_source = F.when(F.contains(F.col("source"), F.lit(k)), v).otherwise(by_source)
-    return F.least(F.lit(12), weighted(lex.weight("bookmark_entities")) + weighted(lex.weight("bookmark_keywords")) + by_source)
+        by_source = F.when(F.contains(F.lower("source"), F.lit(k)), v).otherwise(by_source)
+    return F.least(F.lit(12), F.col("__t.bookmark_entities.weight") + F.col("__t.bookmark_keywords.weight") + by_source)
 
 
 def score_staged(df: DataFrame, lex: Lexicon, run_ts: Column, name: str = "score") -> DataFrame:
@@ -151,13 +165,13 @@ def score(df: DataFrame, lex: Lexicon, run_ts: Column, name: str = "score") -> D
         lambda s: least(s, total < 0.1, 25),
         lambda s: least(s, (m >= 3) & (total < 0.4), 33),
         lambda s: s + F.least(F.lit(16), sum((F.when(F.array_contains(c, k), v).otherwise(0) for k, v in CATEGORY_BONUS.items()), F.lit(0))),
-        lambda s: s + dates.depth_bonus(F.length(summary)) + F.when(F.length(title).between(20, 80), 1).when(F.length(title) > 120, -1).otherwise(0) + dates.recency_boost(F.col("published_at"), run_ts),
-        lambda s: least(s, any_term(match_normalise(title), lex["promo"]) & (total < 0.5), 25),
+        lambda s: s + dates.depth_bonus(F.length(summary)) + F.when(F.length(strip(title)).between(20, 80), 1).when(F.length(strip(title)) > 120, -1).otherwise(0) + dates.recency_boost(F.col("published_at"), run_ts),
+        lambda s: least(s, F.col("__promo") & (total < 0.5), 25),
         lambda s: negative(s, False),
         lambda s: F.when(capped, F.least(s, cap.cast("double"))).otherwise(s),
         lambda s: s + F.when(F.col("persona_score").between(0, 10) & ~capped, 8 * F.col("persona_score")).otherwise(0),
     ]
-    law = F.least(F.lit(18), F.when(F.col("__basic"), 12).otherwise(0) + F.when(F.col("__cond") & ((m >= 1) | has("legaltech", "policy", "gov_policy", "governance", "models", "coding", "infra", "ai-industry")), 12).otherwise(0))
+    law = F.least(F.lit(18), F.when(F.col("__basic"), 12).otherwise(0) + F.when(F.col("__cond") & ((m >= 1) | has(*LAW_RELATED)), 12).otherwise(0))
     protect = core | (F.col("__cond") & (m >= 1))
     steps += [
         lambda s: F.when(law > 0, F.greatest(s + law, F.lit(78.0))).otherwise(s),
@@ -223,10 +237,10 @@ def revalidate(df: DataFrame, lex: Lexicon, run_ts: Column, legacy: str = "domes
     An article goes if the gate refuses it or its new score is below ``least``; ``rescored`` marks changes of five points or more.
     """
     gate = is_relevant(F.col("title"), F.col("summary"), F.col("source_type"), lex)
-    work = df.withColumn("categories", F.array_remove("categories", legacy)).withColumnRenamed("score", "old_score")
-    work = score(work, lex, run_ts).withColumn("__gate", gate)
+    work = df.withColumns({"categories": F.array_remove("categories", legacy), "__gate": gate}).withColumnRenamed("score", "old_score")
+    work = score(work, lex, run_ts)
     kept = F.col("__gate") & (F.col("score") >= least)
-    return work.withColumn("rescored", F.col("__gate") & (F.abs(F.col("score") - F.col("old_score")) >= 5)).withColumn("kept", kept).drop("__gate")
+    return work.withColumns({"rescored": F.col("__gate") & (F.abs(F.col("score") - F.col("old_score")) >= 5), "kept": kept}).drop("__gate")
 
 
 def revalidation_counts(df: DataFrame) -> DataFrame:

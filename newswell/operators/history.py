@@ -102,10 +102,10 @@ def rank_cards(cards: DataFrame, high, medium, most: int | None = None) -> DataF
 
     Two or more high terms come first, then one, then a medium one; more hits before fewer; then the old order.
     """
-    from newswell.functions.text import hit_count
+    from newswell.functions.terms import term_hits
 
-    text = F.lower(F.concat_ws(" ", "tag", "title", "body"))
-    work = cards.withColumns({"__high": hit_count(text, high), "__medium": hit_count(text, medium)})
+    found = term_hits(F.lower(F.concat_ws(" ", "tag", "title", "body")), {"high": high, "medium": medium})
+    work = cards.withColumn("__found", found).withColumns({"__high": F.col("__found.high.hits"), "__medium": F.col("__found.medium.hits")}).drop("__found")
     tier = F.when(F.col("__high") >= 2, 0).when(F.col("__high") == 1, 1).when(F.col("__medium") >= 1, 2).otherwise(3)
     hits = F.when(F.col("__high") >= 1, F.col("__high")).otherwise(F.col("__medium"))
     work = work.withColumn("tier", tier).withColumn("rank", F.row_number().over(Window.partitionBy("period", "key").orderBy("tier", F.desc(hits), "ord")).cast("bigint"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newswell.functions import dates, text
 from newswell.functions.lexicon import CATEGORIES, DEMO
 from newswell.operators import classify, cluster, history
-from newswell.plans.text_queries import CARD_SQL, _TRIM, _UNBOLD, card_text, emphasise_sql
+from newswell.plans.text_queries import CARD_SQL, _TRIM, _UNBOLD, card_text, emphasise_sql, matched_sql
 from newswell.plans.base import ARTICLES, Registry, articles, run_ts, table
 
 _R = Registry()
@@ -22,8 +22,13 @@ def _listed(terms) -> str:
     return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in terms) + "]"
 
 
+#: Lists whose terms are looked for in lower case.
+_LOWERED = ("ai_core", "pr_verbs", "decision", "regulatory", "market", "score_legal", "negative")
+
+
 def _hits(x: str, name: str) -> str:
-    return f"len(list_filter({_listed(DEMO[name])}, lambda k: contains({x}, k)))"
+    terms = [t.lower() for t in DEMO[name]] if name in _LOWERED else DEMO[name]
+    return f"len(list_filter({_listed(terms)}, lambda k: contains({x}, k)))"
 
 
 def _any(x: str, name: str) -> str:
@@ -31,14 +36,14 @@ def _any(x: str, name: str) -> str:
 
 
 def _starts(name: str) -> str:
-    return f"regexp_matches(title, '(?i)^\\s*(?:{text.quoted(DEMO[name])})')"
+    return f"regexp_matches(title, '(?i){text.opening(DEMO[name])}')"
 
 
-_LOW = "lower(concat_ws(' ', title, summary))"
+_LOW = "lower(title || ' ' || summary)"
 _VERDICT = f"""CASE WHEN {_starts('pr_block')} THEN 'block' WHEN {_starts('pr_cap')} THEN 'cap 25'
- WHEN {_starts('pr_opinion')} THEN CASE WHEN {_hits(_LOW, 'ai')} >= 3 THEN 'pass' ELSE 'cap 28' END
- WHEN {_starts('pr_series')} THEN CASE WHEN {_hits(_LOW, 'ai')} >= 3 THEN 'pass' ELSE 'block' END
- WHEN {_hits(_LOW, 'pr_verbs')} >= 2 THEN CASE WHEN {_hits(_LOW, 'ai')} >= 3 THEN 'cap 45' ELSE 'cap 30' END ELSE 'pass' END"""
+ WHEN {_starts('pr_opinion')} THEN CASE WHEN {_hits(_LOW, 'ai_core')} >= 3 THEN 'pass' ELSE 'cap 28' END
+ WHEN {_starts('pr_series')} THEN CASE WHEN {_hits(_LOW, 'ai_core')} >= 3 THEN 'pass' ELSE 'block' END
+ WHEN {_hits(_LOW, 'pr_verbs')} >= 2 THEN CASE WHEN {_hits(_LOW, 'ai_core')} >= 3 THEN 'cap 45' ELSE 'cap 30' END ELSE 'pass' END"""
 
 
 def _sum(x: str, name: str) -> str:
@@ -47,7 +52,7 @@ def _sum(x: str, name: str) -> str:
 
 _RELEVANT = f"""CASE WHEN {_any('x', 'boilerplate')} THEN false WHEN v = 'block' THEN false
  WHEN ({_any('lower(title)', 'political')} AND NOT {_any('x', 'guard')}) OR {_any('x', 'blacklist')} THEN false WHEN source_type NOT IN ('naver', 'google_news') THEN true
- WHEN {_any('x', 'strong')} THEN true ELSE ({_hits('x', 'ai')} >= 1 AND {_any('x', 'legal')}) OR {_hits('x', 'ai')} >= 2 OR {_sum('x', 'ai')} >= 2 END"""
+ WHEN {_any('x', 'strong')} THEN true ELSE ({_hits('x', 'ai')} >= 1 AND {_any('x', 'legal')}) OR {_hits('x', 'ai')} >= 2 OR {_sum('x', 'ai_counts')} >= 2 END"""
 _GATED = ARTICLES + f", v AS (SELECT *, {_LOW} AS x, {_VERDICT} AS v FROM articles), g AS (SELECT *, {_RELEVANT} AS relevant FROM v)"
 
 
@@ -183,16 +188,15 @@ def c01(spark, d):
 
 
 def _score_sql() -> str:
-    x = "trim(regexp_replace(lower(translate(title || ' ' || summary, '''\"', '  ')), '\\s+', ' ', 'g'))"
-    h = "trim(regexp_replace(lower(translate(title, '''\"', '  ')), '\\s+', ' ', 'g'))"
+    x, h = matched_sql("title || ' ' || summary"), matched_sql("title")
     s = lambda n: f"CASE WHEN {_hits('x', n)} = 0 THEN 0.0 ELSE round(1 - pow(0.78, {_hits('x', n)}), 3) END::DOUBLE"
     has = lambda *c: f"list_has_any(categories, {_listed(c)})"
     core = has("papers", "legaltech", "models", "coding", "infra")
     neg = lambda minus: f"CASE WHEN neg < 1 THEN s WHEN {has('legaltech', 'papers', 'funding')} THEN CASE WHEN total < 0.5 THEN least(s, 38) WHEN total < 1 THEN least(s, 50) ELSE least(s, 65) END ELSE CASE WHEN total < 0.5 THEN least(s, 18) WHEN total < 1 THEN least(s, 28) ELSE least(s - {minus}, 45) END END"
     bonus = " + ".join(f"CASE WHEN list_contains(categories, '{c}') THEN {v} ELSE 0 END" for c, v in classify.CATEGORY_BONUS.items())
-    law = f"least(18, CASE WHEN basic THEN 12 ELSE 0 END + CASE WHEN cond AND (m >= 1 OR {has('legaltech', 'policy', 'gov_policy', 'governance', 'models', 'coding', 'infra', 'ai-industry')}) THEN 12 ELSE 0 END)"
+    law = f"least(18, CASE WHEN basic THEN 12 ELSE 0 END + CASE WHEN cond AND (m >= 1 OR {has(*classify.LAW_RELATED)}) THEN 12 ELSE 0 END)"
     weight = lambda n: " + ".join(f"CASE WHEN contains(x, '{k}') THEN {v} ELSE 0 END" for k, v in DEMO.weight(n).items())
-    by_source = "CASE " + " ".join(f"WHEN contains(source, '{k}') THEN {v}" for k, v in DEMO.weight("bookmark_sources").items()) + " ELSE 0 END"
+    by_source = "CASE " + " ".join(f"WHEN contains(lower(source), '{k}') THEN {v}" for k, v in DEMO.weight("bookmark_sources").items()) + " ELSE 0 END"
     floor = "greatest(CASE WHEN law > 0 THEN 78 ELSE 0 END, CASE WHEN sup THEN 70 ELSE 0 END, CASE WHEN protect THEN 35 ELSE 0 END)"
     steps = [
         "30.0 + d * 28 * mult + r * 28 * mult + k * 18 * mult + l * 12 * mult",
@@ -202,7 +206,7 @@ def _score_sql() -> str:
         "CASE WHEN total < 0.1 THEN least(s, 25) ELSE s END",
         "CASE WHEN m >= 3 AND total < 0.4 THEN least(s, 33) ELSE s END",
         f"s + least(16, {bonus})",
-        "s + CASE WHEN length(summary) >= 80 THEN least(6.0, log2(length(summary) / 40) * 1.2) ELSE -3.0 END + CASE WHEN length(title) BETWEEN 20 AND 80 THEN 1 WHEN length(title) > 120 THEN -1 ELSE 0 END + CASE WHEN hours < 24 THEN 10 WHEN hours < 72 THEN 5 WHEN hours < 168 THEN 2 ELSE 0 END",
+        "s + CASE WHEN length(summary) >= 80 THEN least(6.0, log2(length(summary) / 40) * 1.2) ELSE -3.0 END + CASE WHEN length(trim(title)) BETWEEN 20 AND 80 THEN 1 WHEN length(trim(title)) > 120 THEN -1 ELSE 0 END + CASE WHEN hours < 24 THEN 10 WHEN hours < 72 THEN 5 WHEN hours < 168 THEN 2 ELSE 0 END",
         f"CASE WHEN {_any('h', 'promo')} AND total < 0.5 THEN least(s, 25) ELSE s END",
         neg(0),
         "CASE WHEN cap IS NOT NULL THEN least(s, cap) ELSE s END",
@@ -214,7 +218,7 @@ def _score_sql() -> str:
         f"CASE WHEN persona_score BETWEEN 0 AND 10 AND cap IS NULL THEN least(s, greatest(30 + 10 * persona_score, {floor})) ELSE s END",
     ]
     out = ARTICLES + f""", s0 AS (SELECT *, {x} AS x, {h} AS h, {_VERDICT} AS v, (epoch(TIMESTAMP '2024-01-31') - epoch(published_at)) / 3600 AS hours FROM articles),
-s1 AS (SELECT *, {_sum('x', 'ai')} AS m, {s('decision')} AS d, {s('regulatory')} AS r, {s('market')} AS k, {s('score_legal')} AS l, {_hits('x', 'negative')} AS neg, {core} AS core, {_any('x', 'super')} AS sup, {_any('x', 'conditional_law')} AS cond, {_any('x', 'basic_law')} AS basic, CASE WHEN starts_with(v, 'cap') THEN substring(v, 5)::INT END AS cap FROM s0),
+s1 AS (SELECT *, {_sum('x', 'ai_mentions')} AS m, {s('decision')} AS d, {s('regulatory')} AS r, {s('market')} AS k, {s('score_legal')} AS l, {_hits('x', 'negative')} AS neg, {core} AS core, {_any('x', 'super')} AS sup, {_any('x', 'conditional_law')} AS cond, {_any('x', 'basic_law')} AS basic, CASE WHEN starts_with(v, 'cap') THEN substring(v, 5)::INT END AS cap FROM s0),
 s2 AS (SELECT *, d + r + k + l AS total, {law} AS law, core OR (cond AND m >= 1) AS protect, CASE WHEN core THEN greatest(0.85, CASE WHEN m >= 3 THEN 1.0 WHEN m >= 1 THEN 0.7 ELSE 0.5 END) WHEN m >= 3 THEN 1.0 WHEN m >= 1 THEN 0.7 ELSE 0.5 END::DOUBLE AS mult FROM s1),
 t0 AS (SELECT *, ({steps[0]})::DOUBLE AS s FROM s2)"""
     for k, step in enumerate(steps[1:], 1):
@@ -242,7 +246,7 @@ def p06c(spark, d):
     return classify.revalidation_counts(classify.revalidate(articles(spark, d), DEMO, run_ts(), "market"))
 
 
-_LIKED = "least(12, " + " + ".join([*(f"CASE WHEN contains(x, '{k}') THEN {v} ELSE 0 END" for n in ("bookmark_entities", "bookmark_keywords") for k, v in DEMO.weight(n).items()), "CASE " + " ".join(f"WHEN contains(source, '{k}') THEN {v}" for k, v in DEMO.weight("bookmark_sources").items()) + " ELSE 0 END"]) + ")"
+_LIKED = "least(12, " + " + ".join([*(f"CASE WHEN contains(x, '{k}') THEN {v} ELSE 0 END" for n in ("bookmark_entities", "bookmark_keywords") for k, v in DEMO.weight(n).items()), "CASE " + " ".join(f"WHEN contains(lower(source), '{k}') THEN {v}" for k, v in DEMO.weight("bookmark_sources").items()) + " ELSE 0 END"]) + ")"
 
 
 @query("c09_staged_score", _score_sql() + f""", r AS (SELECT *, coalesce(CASE WHEN persona_score BETWEEN 0 AND 10 THEN persona_score END, least(6, floor(total * 3))) * 10 + {_LIKED} AS s FROM s2),
@@ -297,7 +301,7 @@ def c08(spark, d):
     return classify.score_bands(articles(spark, d))
 
 
-@query("a04_bucket_strengths", ARTICLES + ", x AS (SELECT ord, trim(regexp_replace(lower(translate(title || ' ' || summary, '''\"', '  ')), '\\s+', ' ', 'g')) AS x, lower(title) AS h FROM articles) SELECT ord, " + ", ".join(f"round(1 - pow(0.78, {_hits('x', n)}), 3)::DOUBLE AS {n}" for n in ("law", "global", "policy")) + f", CASE WHEN {_any('h', 'promo')} THEN 1.0 ELSE 0.0 END::DOUBLE AS promo FROM x")
+@query("a04_bucket_strengths", ARTICLES + ", x AS (SELECT ord, lower(title || ' ' || summary) AS x, lower(title) AS h FROM articles) SELECT ord, " + ", ".join(f"round(1 - pow(0.78, {_hits('x', n)}), 3)::DOUBLE AS {n}" for n in ("law", "global", "policy")) + f", CASE WHEN {_any('h', 'promo')} THEN 1.0 ELSE 0.0 END::DOUBLE AS promo FROM x")
 def a04(spark, d):
     return articles(spark, d).select("ord", classify.bucket_strengths(F.col("title"), F.col("summary"), DEMO).alias("s")).select("ord", "s.*")
 
@@ -500,8 +504,3 @@ def a01s(spark, d):
 @query("a02s_clusters_by_sequence")
 def a02s(spark, d):
     return a02(spark, d, True)
-
-
-_R.also("w", "p01_relevance_gate", "p02_pr_verdict", "p06_revalidate", "p08_needs_annotation", "p09_agenda", "p10_annotation_route", "c01_categorise", "c02_importance_score", "c09_staged_score", "a04_bucket_strengths", "w03_top_per_period", "j09_force_include", "j10_duplicate_pairs", "a01_connected_components", "a02_collapse_clusters")
-_R.also("a", "j01_merge_articles", "j02_restore_annotations")
-_R.also("a", "u02_merge_bookmarks")

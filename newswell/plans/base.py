@@ -28,12 +28,6 @@ class Registry:
 
         return add
 
-    def also(self, mark: str, *names: str):
-        """Names under which queries were registered beside others, for whole texts (``w``) or all rows (``a``), as all are now."""
-        for name in names:
-            head, rest = name.split("_", 1)
-            self.query(f"{head}{mark}_{rest}", self.SQL[name])(self.QUERIES[name])
-
 
 def run_ts() -> Column:
     return F.lit(RUN).cast("timestamp")

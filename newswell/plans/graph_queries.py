@@ -274,7 +274,3 @@ def w11(spark, d):
     p = articles(spark, d).where(F.col("source_type").isin("arxiv", "openalex")).withColumn("key", dates.week_key(F.col("published_at")))
     enough = p.groupBy("key").agg(F.count("*").alias("n")).where("n >= 3").select("key")
     return history.top_n_per(p.join(enough, "key", "left_semi"), ["key"], 30, F.desc("score"), F.col("ord")).select("key", "ord", "rank")
-
-
-_R.also("w", "j12_entity_mentions", "a05_entity_rollup", "a07_auto_entities", "a08_type_counts", "a23_effective_mentions", "a12_institution_counts")
-_R.also("a", "j05_resolve_citations", "j06_fallback_citations", "j07_attach_papers", "j08_uncited_items", "j20_persona_coverage")

@@ -115,7 +115,7 @@ def a21(spark, d):
     return reports.facet_counts(m).crossJoin(F.broadcast(total)).select("value", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
-_STRENGTHS = ", x AS (SELECT ord, score, categories, trim(regexp_replace(lower(translate(title || ' ' || summary, '''\"', '  ')), '\\s+', ' ', 'g')) AS x, trim(regexp_replace(lower(translate(title, '''\"', '  ')), '\\s+', ' ', 'g')) AS h FROM m)"
+_STRENGTHS = ", x AS (SELECT ord, score, categories, lower(title || ' ' || summary) AS x, lower(title) AS h FROM m)"
 
 
 @query("a21b_bookmark_profile", _MARKED + _STRENGTHS + ", t AS (SELECT c, count(*) AS n FROM (SELECT unnest(categories) AS c FROM m) GROUP BY c ORDER BY n DESC, c LIMIT 3) SELECT " + ", ".join(f"round(avg(round(1 - pow(0.78, {_hits('x', n)}), 3)), 6)::DOUBLE AS {n}" for n in ("law", "global", "policy")) + f", round(avg(CASE WHEN {_any('h', 'promo')} THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS promo, count_if(score < 35) / count(*) > 0.2 AS lower_cut, (SELECT string_agg(c, ',' ORDER BY n DESC, c) FROM t) AS top_categories FROM x")
@@ -438,7 +438,3 @@ def t06(spark, d):
     late = shape_articles(streams.read_stream(spark, f"{d}/documents.parquet")).where("lang = 'en'").withColumn("published_at", F.col("published_at") - F.expr("interval 3 days")).select("ord", "url", "published_at", "date_unknown")
     out = streams.stream_late_corrections(late, articles(spark, d))
     return out.select("ord", "corrected", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published"), "date_unknown")
-
-
-_R.also("w", "p17_search")
-_R.also("a", "j19_expand_selection")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newswell.functions import dates, text
-from newswell.functions.lexicon import DEMO
+from newswell.functions.lexicon import DEMO, Lexicon
+from newswell.functions.terms import term_hits
+from newswell.operators import classify
 from newswell.operators.reports import joined_head
 from newswell.plans.base import ARTICLES, Registry, articles, run_ts, table
+from newswell.storage import stored
 
 _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
@@ -30,7 +34,13 @@ def f03(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(text.unescape(F.col("html"))).alias("plain"))
 
 
-@query("f04_match_normalise", ARTICLES + "SELECT ord, lower(trim(regexp_replace(translate(title, '''\"', '  '), '\\s+', ' ', 'g'))) AS norm FROM articles")
+def matched_sql(x: str) -> str:
+    """SQL of a text as terms are looked for in it."""
+    marks = text.MARKS.replace("'", "''")
+    return f"lower(regexp_replace(regexp_replace({x}, '[{marks}]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("f04_match_normalise", ARTICLES + f"SELECT ord, {matched_sql('title')} AS norm FROM articles")
 def f04(spark, d):
     return articles(spark, d).select("ord", text.match_normalise(F.col("title")).alias("norm"))
 
@@ -143,10 +153,10 @@ def f20(spark, d):
     return articles(spark, d).select("ord", F.size(F.array_intersect(found("title"), found("summary"))).alias("n"))
 
 
-@query("f23_law_terms", ARTICLES + ", t AS (SELECT ord, lower(concat_ws(' ', title, summary)) AS x FROM articles) SELECT ord, contains(x, 'rerely') OR contains(x, 'license') AS core, contains(x, 'general public') AS basic, contains(x, 'license') OR contains(x, 'inthe') AS conditional, contains(x, 'apache license') OR contains(x, 'heedth') AS boosted FROM t")
+@query("f23_law_terms", ARTICLES + ", t AS (SELECT ord, lower(title || ' ' || summary) AS x FROM articles) SELECT ord, contains(x, 'rerely') OR contains(x, 'license') AS core, contains(x, 'general public') AS basic, contains(x, 'license') OR contains(x, 'inthe') AS conditional, contains(x, 'apache license') OR contains(x, 'heedth') AS boosted FROM t")
 def f23(spark, d):
-    x = F.lower(F.concat_ws(" ", "title", "summary"))
-    return articles(spark, d).select("ord", *(text.any_term(x, DEMO[k]).alias(a) for k, a in (("core_law", "core"), ("basic_law", "basic"), ("conditional_law", "conditional"), ("super", "boosted"))))
+    t = classify.text_terms(F.col("title"), F.col("summary"), DEMO)
+    return articles(spark, d).select("ord", *((t[k]["hits"] > 0).alias(a) for k, a in (("core_law", "core"), ("basic_law", "basic"), ("conditional_law", "conditional"), ("super", "boosted"))))
 
 
 @query("f24_occurrence_sum", "SELECT doc_id, (list_sum(list_transform([' the ', 'the ', ' the', 'ation'], lambda t: (length(lower(text)) - length(replace(lower(text), t, ''))) // length(t))))::INT AS n FROM documents")
@@ -154,9 +164,34 @@ def f24(spark, d):
     return table(spark, d, "documents").select("doc_id", text.occurrence_sum(F.lower("text"), (" the ", "the ", " the", "ation")).alias("n"))
 
 
-@query("a03_hit_count", "SELECT doc_id, len(list_filter(['the', 'ation', 'leaux', 'ingly', 'zzz', 'erst'], lambda t: contains(lower(text), t)))::INT AS n FROM documents")
+@query("a03_hit_count", "SELECT doc_id, len(list_filter(['the', 'ation', 'leaux', 'ingly', 'zzz', 'erst', 'the'], lambda t: contains(lower(text), t)))::INT AS n FROM documents")
 def a03(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.hit_count(F.lower("text"), ("the", "ation", "leaux", "ingly", "zzz", "erst")).alias("n"))
+    hits = term_hits(F.lower("text"), {"x": ("the", "ation", "leaux", "ingly", "zzz", "erst", "the")})
+    return table(spark, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), hits["x"]["hits"]).alias("n"))
+
+
+#: Terms of three lists that are made of the corpus itself: its most frequent words, in the order of their number.
+_SIZES = {"blacklist": 586, "negative": 190, "score_legal": 83}
+
+
+def _bounds():
+    low = 0
+    for name, n in _SIZES.items():
+        yield name, low + 1, low + n
+        low += n
+
+
+@query("a03t_hits_of_long_lists", "WITH w AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS r FROM (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM documents) WHERE length(w) >= 4 GROUP BY w) QUALIFY r <= 859) SELECT doc_id, " + ", ".join(f"coalesce(count_if(r BETWEEN {a} AND {b}), 0)::INT AS {n}" for n, a, b in _bounds()) + ", coalesce(sum(CASE WHEN r > 776 THEN (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w) END), 0)::INT AS total FROM documents LEFT JOIN w ON contains(lower(text), w) GROUP BY doc_id")
+def a03t(spark, d):
+    docs = table(spark, d, "documents")
+    words = docs.select(F.explode(F.split(F.lower("text"), " ")).alias("term")).where(F.length("term") >= 4).groupBy("term").agg(F.count("*").alias("n"))
+    top = words.orderBy(F.desc("n"), "term").limit(sum(_SIZES.values())).withColumn("ord", F.row_number().over(Window.orderBy(F.desc("n"), "term")))
+    name = F.lit(None).cast("string")
+    for n, a, b in _bounds():
+        name = F.when(F.col("ord").between(a, b), n).otherwise(name)
+    lex = Lexicon.from_table(stored(top.select(name.alias("list_name"), "term", F.lit(None).cast("double").alias("weight"), "ord"), "lexicon"))
+    hits = docs.select("doc_id", term_hits(F.lower("text"), lex.lists, totals=("score_legal",)).alias("t"))
+    return hits.select("doc_id", *(F.col(f"t.{n}.hits").alias(n) for n in _SIZES), F.col("t.score_legal.total").alias("total"))
 
 
 @query("f26_card_key", ARTICLES + "SELECT ord, 'daily|' || strftime(published_at, '%Y-%m-%d') || '|' || substring(title, 1, 80) AS k FROM articles")
@@ -227,6 +262,3 @@ def m03(spark, d):
 @query("w14_latest_key", "SELECT o_orderpriority, max(strftime(o_orderdate, '%G-W%V')) AS latest FROM orders GROUP BY ALL")
 def w14(spark, d):
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.max(dates.week_key(F.col("o_orderdate"))).alias("latest"))
-
-
-_R.also("w", "f18_jaccard", "f20_noun_overlap", "f23_law_terms")
