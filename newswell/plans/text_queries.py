@@ -218,6 +218,21 @@ def d01(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_format(dates.parse_date(raw, F.when(k == 2, "ko").otherwise("en")), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+_FORMS = ("EEE, d MMM yyyy H:mm:ss", "d MMMM yyyy HH:mm", "MMM d, yyyy h:mm a", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm", "yyyyMMdd'T'HHmmss", "MM/dd/yyyy HH:mm:ss", "EEE MMM d HH:mm:ss yyyy")
+_ZONES = ("", "Z", " +0900", "-03:30", " GMT")
+
+
+@query("d01b_date_forms", f"SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 8 IN (1, 2, 4) THEN date_trunc('minute', t) ELSE t END - to_minutes(CASE WHEN o_orderkey % 8 IN (5, 6, 7) THEN 540 ELSE [540, 0, 540, -210, 0][o_orderkey % 5 + 1] END), '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT *, o_orderdate + to_seconds(o_orderkey % 86400) AS t FROM orders)")
+def d01b(spark, d):
+    t, k = F.timestamp_add("SECOND", F.col("o_orderkey") % 86400, F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey") % 8
+    raw = F.date_format(t, _FORMS[0])
+    for n, form in enumerate(_FORMS[1:], 1):
+        raw = F.when(k == n, F.date_format(t, form)).otherwise(raw)
+    zone = F.element_at(F.array(*map(F.lit, _ZONES)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    raw = F.concat(raw, F.when(k.isin(5, 6, 7), "").otherwise(zone))
+    return table(spark, d, "orders").select("o_orderkey", F.date_format(dates.parse_date(raw, F.lit("ko")), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 @query("d02_seoul_date", "SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day FROM events")
 def d02(spark, d):
     return table(spark, d, "events").select("event_id", dates.day_key(dates.seoul_date(F.col("ts"))).alias("day"))
