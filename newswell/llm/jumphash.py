@@ -46,9 +46,15 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), state, step, lambda s: s["b"].cast("int"))
 
 
+def stable_key(df: DataFrame, key: str) -> Column:
+    """A key as the number that is hashed: a whole number is itself, another value its 64-bit hash, null stays null."""
+    column = F.col(f"`{key}`")
+    return column if df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else F.when(column.isNotNull(), F.xxhash64(column))
+
+
 def shard_rows(df: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> DataFrame:
-    """Adds ``shard`` (int). Rows with equal keys, repeated rows included, share a shard; an empty table stays empty."""
-    return df.withColumn("shard", jump_hash(F.col(f"`{key}`"), shards))
+    """Adds ``shard`` (int). Keys may be of any type that Spark hashes; rows with equal keys, repeated rows included, share a shard. An empty table stays empty."""
+    return df.withColumn("shard", jump_hash(stable_key(df, key), shards))
 
 
 def number_slots(df: DataFrame, key: str = "doc_id", rows: int | None = None) -> DataFrame:

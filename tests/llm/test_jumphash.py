@@ -35,6 +35,15 @@ def test_slots_have_no_gaps(documents, clashing, monkeypatch, corpus):
     assert jumphash.shard_documents(documents([])).count() == 0
 
 
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("17",)], "doc_id string")
+    got = [tuple(r) for r in jumphash.shard_rows(df, 5).selectExpr("doc_id", "shard", "xxhash64(doc_id)").collect()]
+    assert [s for _, s, _ in got] == [jump(None if i is None else h, 5) for i, _, h in got]
+    assert jumphash.shard_documents(df.selectExpr("doc_id", "'t' AS text"), 5).count() == 5
+    whole = spark.createDataFrame([(17,)], "doc_id int")
+    assert jumphash.shard_rows(whole, 24).first()["shard"] == jump(17, 24)
+
+
 def test_plan_is_native(documents):
     plan = jumphash.shard_documents(documents())._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
