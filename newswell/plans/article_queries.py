@@ -495,6 +495,11 @@ def a02(spark, d, sequence=False):
     return cluster.collapse_clusters(articles(spark, d).drop("related_count"), _labels(spark, d, sequence)).select("ord", F.array_join("categories", ",").alias("categories"), "related_count", F.array_join(F.transform("related", lambda x: x["url"]), " ").alias("related"))
 
 
+@query("a02b_cluster_members", _LABELS + ", f AS (SELECT label, arg_min(ord, (-score, ord)) AS first FROM articles JOIN labels ON ord = node GROUP BY label) SELECT label, node AS ord, first FROM labels JOIN f USING (label)")
+def a02b(spark, d):
+    return cluster.cluster_members(articles(spark, d), _labels(spark, d))
+
+
 # Whole texts and the sequence similarity of ASCII titles too; SQL has no such ratio.
 @query("a01s_components_by_sequence")
 def a01s(spark, d):
