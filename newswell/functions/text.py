@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import html
 import re
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Named entities that are unescaped; numeric ones are computed.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—"}
+from newswell.session import ship
+
 #: Tracking parameters that are cut from addresses.
 TRACKING = r"(utm_[^=]+|fbclid|gclid|mc_cid|mc_eid)"
 #: Closing particles, in the order in which they are tried.
@@ -25,18 +28,22 @@ def bind(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+@cache
+def _unescaped():
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")
+
+
 def unescape(c: Column) -> Column:
-    """HTML entities as characters: decimal and hexadecimal numbers, the names in ``ENTITIES``, ``&amp;`` last."""
-    def numeric(text: Column, pattern: str, base: int, head: str) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-        char = lambda n: F.coalesce(F.try_to_binary(F.lpad(F.conv(n, base, 16), 8, "0"), F.lit("hex")), F.lit(b""))
-        return F.aggregate(found, text, lambda acc, n: F.replace(acc, F.concat(F.lit(head), n, F.lit(";")), F.decode(char(n), "UTF-32")))
-
-    c = numeric(c, r"&#([0-9]{1,6});", 10, "&#")
-    c = numeric(c, r"&#x([0-9A-Fa-f]{1,5});", 16, "&#x")
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    """HTML character references as characters, each once: all names of the standard, the longest first and some without
+    a semicolon, and decimal and hexadecimal numbers, of which those from 128 to 159 mean the characters of Windows-1252.
+
+    Only texts with an ampersand go through Python.
+    """
+    ship()
+    return F.coalesce(_unescaped()(F.when(F.contains(c, F.lit("&")), c)), c)
 
 
 def clean_text(c: Column) -> Column:

@@ -245,7 +245,7 @@ def s10(spark, d):
     return history.first_per_key(both, ["url"], F.col("priority"), F.col("ord")).select("url", "ord")
 
 
-_ENT = "replace(" * 11 + "{0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&hellip;', '…'), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&')"
+_ENT = "replace(" * 11 + "{0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&hellip;', '…'), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&')"
 
 
 def _meta(key: str) -> str:

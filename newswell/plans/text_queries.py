@@ -16,10 +16,10 @@ from newswell.storage import stored
 _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
 
-_ENT = "replace(" * 11 + "html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&hellip;', '…'), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&')"
+_ENT = "replace(" * 11 + "html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&hellip;', '…'), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&')"
 
 
-@query("f01_clean_text", f"SELECT page_id, trim(regexp_replace(regexp_replace({_ENT}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS clean FROM pages")
+@query("f01_clean_text", f"SELECT page_id, trim(regexp_replace(regexp_replace({_ENT}, '<[^>]+>', ' ', 'g'), '[\\s\\x{{a0}}]+', ' ', 'g')) AS clean FROM pages")
 def f01(spark, d):
     return table(spark, d, "pages").select("page_id", text.clean_text(F.col("html")).alias("clean"))
 

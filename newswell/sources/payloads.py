@@ -28,16 +28,17 @@ def read_first_existing(spark: SparkSession, paths: list[str], schema: str) -> D
 
 
 def normalise_feed(entries: DataFrame, source: Column, source_type: Column, lang: Column, run_ts: Column) -> DataFrame:
-    """Feed entries as articles. Entries without title or link are dropped; a missing date is the run's, and marked.
+    """Feed entries as articles. Entries without title or link are dropped; a missing date is the run's, and marked. What is empty counts as missing.
 
     Papers take ``updated`` before ``published`` and a longer abstract.
     """
-    for c in ("title", "link", "summary", "description", "published", "pubDate", "updated"):
+    for c in ("title", "link", "summary", "description", "content", "published", "pubDate", "updated", "date"):
         if c not in entries.columns:
             entries = entries.withColumn(c, F.lit(None).cast("string"))
     paper = source_type == "arxiv"
-    raw = F.when(paper, F.coalesce("updated", "published", "pubDate")).otherwise(F.coalesce("published", "pubDate", "updated"))
-    text = clean_text(F.coalesce("summary", "description", F.lit("")))
+    first = lambda *names: F.coalesce(*(F.nullif(F.trim(n), F.lit("")) for n in names))  # noqa: E731  (what is empty is not there)
+    raw = F.when(paper, first("updated", "published", "pubDate", "date")).otherwise(first("published", "pubDate", "updated", "date"))
+    text = clean_text(F.coalesce(first("summary", "description", "content"), F.lit("")))
     at = parse_date(raw, lang)
     out = entries.select(clean_text(F.col("title")).alias("title"), normalize_url(F.trim("link")).alias("url"), source.alias("source"), source_type.alias("source_type"), lang.alias("lang"), F.when(paper, truncate(text, 1800)).otherwise(truncate(text, 400)).alias("summary"), F.coalesce(raw, F.date_format(run_ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).alias("date_raw"), F.coalesce(at, run_ts).alias("published_at"), at.isNull().alias("date_unknown"))
     return out.where((F.col("title") != "") & (F.col("url") != ""))
@@ -100,7 +101,7 @@ def news_search(items: DataFrame, categories: Column, run_ts: Column, outlet: Co
 
 
 def scholarly_works(works: DataFrame, run_ts: Column, days_back: int = 30, boosts=((100, 12), (30, 8), (10, 4))) -> DataFrame:
-    """Scholarly works as articles: one row an id, dated within ``days_back``, with the boost for citations in ``boost``."""
+    """Scholarly works as articles: one row an id (that with most citations, then the first by title and content), dated within ``days_back``, with the boost for citations in ``boost``."""
     day = F.to_date("publication_date")
     url = F.coalesce("open_access.oa_url", "primary_location.landing_page_url", "doi", "id")
     names = F.array_join(F.slice(F.transform("authorships", lambda a: a["author"]["display_name"]), 1, 3), ", ")
@@ -108,7 +109,9 @@ def scholarly_works(works: DataFrame, run_ts: Column, days_back: int = 30, boost
     boost = F.lit(0)
     for least, plus in reversed(boosts):
         boost = F.when(F.col("cited_by_count") >= least, plus).otherwise(boost)
-    fresh = works.where(day.isNotNull() & (day >= F.date_sub(run_ts, days_back)) & (day <= F.date_add(run_ts, 1))).dropDuplicates(["id"])
+    fresh = works.where(day.isNotNull() & (day >= F.date_sub(run_ts, days_back)) & (day <= F.date_add(run_ts, 1)))
+    order = F.struct((-F.coalesce("cited_by_count", F.lit(0))).alias("c"), F.coalesce("title", "display_name").alias("t"), F.to_json(F.struct(*works.columns)).alias("r"))
+    fresh = fresh.groupBy("id").agg(F.min_by(F.struct(*works.columns), order).alias("w")).select("w.*")
     return fresh.select(clean_text(F.coalesce("title", "display_name")).alias("title"), url.alias("url"), F.concat_ws(" · ", F.nullif(names, F.lit("")), F.nullif(venue, F.lit(""))).alias("source"), F.lit("openalex").alias("source_type"), truncate(F.coalesce(rebuild_abstract(F.col("abstract_inverted_index")), F.lit("")), 1800).alias("summary"), day.cast("timestamp").alias("published_at"), F.col("cited_by_count"), boost.alias("boost"))
 
 

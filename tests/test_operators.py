@@ -22,6 +22,7 @@ def one(spark, value, f, kind="string"):
     ("f", "value", "want"),
     [
         (text.unescape, "&#44032;&#x1F600; a&amp;lt; &quot;b&quot; &nope;", '가😀 a&lt; "b" &nope;'),
+        (text.unescape, "&#38;lt; &rsquo;&ldquo;&euro;&eacute; &#150; &copy2 &notit; &#0; &#x110000;", "&lt; ’“€é – ©2 ¬it; \ufffd \ufffd"),
         (text.clean_text, " <b>a</b>\n&nbsp;&lt;i&gt; ", "a"),
         (lambda c: text.truncate(c, 9), "one two three", "one two…"),
         (text.normalize_url, "http://a/?utm_x=1&b=2", "http://a/&b=2"),
@@ -275,3 +276,26 @@ def test_streamed_merge_keeps_annotations(spark, tmp_path):
     batch = spark.createDataFrame([("a", t(3), False, 1), ("b", t(4), False, 2), ("c", t(9), False, 3)], "url string, published_at timestamp, date_unknown boolean, ord int")
     fixed = {r["url"]: (r["published_at"], r["corrected"]) for r in streams.late_corrections(stored, batch).collect()}
     assert fixed == {"a": (t(3), True), "b": (t(4), True), "c": (t(5), False)}
+
+
+def test_entities_equal_the_standard_decoder(spark):
+    import html
+    import random
+
+    rng = random.Random(9)
+    parts = ["&", "#", "x", "1", "50", "8217", "amp", ";", "lt", "gt", "nbsp", "rsquo", "copy", "not", "in", " ", "A", "é", "hellip", "&#x", "&#", "128", "9f", "quot"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(800)] + [None, "", "plain", "&;", "&&amp;&"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, c string").select("k", text.unescape(F.col("c")).alias("x")).collect()
+    assert [r["x"] for r in sorted(rows)] == [None if t is None else html.unescape(t) for t in texts]
+
+
+def test_an_empty_summary_or_date_is_a_missing_one(spark):
+    e = spark.createDataFrame([("T", "http://x/1", "", "told", " ", "Wed, 1 Feb 2024 09:00:00 +0900"), ("U", "http://x/2", None, None, None, None)], "title string, link string, summary string, description string, published string, pubDate string")
+    got = sorted(payloads.normalise_feed(e, F.lit("s"), F.lit("rss"), F.lit("en"), F.lit(RUN)).select("title", "summary", "date_unknown").collect())
+    assert [tuple(r) for r in got] == [("T", "told", False), ("U", "", True)]
+
+
+def test_works_of_one_id_are_chosen_by_citations(spark):
+    schema = "id string, title string, display_name string, publication_date string, doi string, cited_by_count int, open_access struct<oa_url:string>, primary_location struct<landing_page_url:string,source:struct<display_name:string>>, authorships array<struct<author:struct<display_name:string>>>, abstract_inverted_index map<string,array<int>>"
+    works = spark.createDataFrame([("w", t, None, "2026-05-20", None, n, None, None, None, None) for t, n in (("b", 3), ("a", 12), ("c", None), ("d", 12))], schema)
+    assert [r["title"] for r in payloads.scholarly_works(works, F.lit(RUN)).collect()] == ["a"]
