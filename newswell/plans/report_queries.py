@@ -11,6 +11,7 @@ from newswell.plans import article_queries
 from newswell.plans.article_queries import _any, _hits
 from newswell.plans.base import ARTICLES, Registry, articles, run_ts, shape_articles, table
 from newswell.sources import payloads, tables
+from newswell.sources.snapshots import SnapshotTable, daily_digest
 from newswell.storage import new_folder
 from newswell.streaming import streams
 
@@ -313,7 +314,7 @@ def s11b(spark, d):
 
 @query("s13c_snapshot_counters", ARTICLES + "SELECT '2024-01-31 00:00' AS built_at, count(*) AS n_items, count(DISTINCT source) AS n_sources, count_if(llm_enriched)::BIGINT AS n_enriched, count_if(related_count > 0)::BIGINT AS n_related FROM articles")
 def s13c(spark, d):
-    return tables.snapshot_counters(tables.write_snapshot(articles(spark, d), "news"), run_ts()).withColumn("built_at", F.date_format("built_at", "yyyy-MM-dd HH:mm"))
+    return tables.snapshot_counters(tables.write_snapshot(articles(spark, d), "news", new_folder(spark, "tables")), run_ts()).withColumn("built_at", F.date_format("built_at", "yyyy-MM-dd HH:mm"))
 
 
 @query("s15b_digest_partitions", ARTICLES + "SELECT source_type AS kind, strftime(published_at, '%Y') AS yyyy, strftime(published_at, '%m') AS mm, count(*) AS n FROM articles GROUP BY ALL")
@@ -324,9 +325,32 @@ def s15b(spark, d):
 
 @query("s16_rewrite_snapshot", ARTICLES + "SELECT ord, date_raw AS before, CASE WHEN lang = 'fr' AND NOT date_unknown THEN regexp_replace(date_raw, '(\\+00:00|Z)$', '+09:00') ELSE date_raw END AS after FROM articles")
 def s16(spark, d):
-    old = tables.write_snapshot(articles(spark, d).withColumn("lang", F.when(F.col("lang") == "fr", "ko").otherwise(F.col("lang"))), "news")
-    new = tables.rewrite_snapshot(old, "news")
-    return old.select("ord", F.col("date_raw").alias("before")).join(new.select("ord", F.col("date_raw").alias("after")), "ord")
+    table = SnapshotTable(spark, "news", new_folder(spark, "tables"))
+    table.write(articles(spark, d).withColumn("lang", F.when(F.col("lang") == "fr", "ko").otherwise(F.col("lang"))))
+    new = tables.rewrite_snapshot(table)
+    old = table.read(table.backup_of(new))
+    return old.select("ord", F.col("date_raw").alias("before")).join(table.read().select("ord", F.col("date_raw").alias("after")), "ord")
+
+
+@query("s16b_restore_snapshot", ARTICLES + "SELECT ord, date_raw, 4 AS version, 2 AS restored FROM articles")
+def s16b(spark, d):
+    """Two versions, a rewriting of the dates, and the version before it restored."""
+    table = SnapshotTable(spark, "news", new_folder(spark, "tables"))
+    table.write(articles(spark, d).where("false"))
+    table.write(articles(spark, d))
+    new = tables.rewrite_snapshot(table)
+    version = table.restore(table.backup_of(new))
+    return table.read().select("ord", "date_raw", F.lit(version).alias("version"), F.lit(table.entry(version)["restores"]).alias("restored"))
+
+
+@query("s13b_read_as_of", ARTICLES + "SELECT ord, score, '2024-01-30T00:00:00' AS built_at FROM articles WHERE lang = 'en'")
+def s13b(spark, d):
+    """Three versions built on three days, read as they were on the second."""
+    table = SnapshotTable(spark, "news", new_folder(spark, "tables"))
+    for day, lang in ((29, "de"), (30, "en"), (31, "fr")):
+        table.write(articles(spark, d).where(F.col("lang") == lang), built_at=f"2024-01-{day}T00:00:00")
+    entry = table.entry(as_of="2024-01-30T12:00:00")
+    return table.read(entry["version"]).select("ord", "score", F.lit(entry["built_at"]).alias("built_at"))
 
 
 @query("s17_run_log", ARTICLES + "SELECT name, '2024-01-31 00:00' AS built_at, n_in, n_out FROM (SELECT 'news' AS name, count(*) AS n_in, count_if(score >= 20)::BIGINT AS n_out FROM articles)")
@@ -345,7 +369,7 @@ def s12(spark, d):
 
 @query("s13_snapshot_roundtrip", ARTICLES + "SELECT ord, url, score FROM articles")
 def s13(spark, d):
-    return tables.write_snapshot(articles(spark, d), "news").select("ord", "url", "score")
+    return tables.write_snapshot(articles(spark, d), "news", new_folder(spark, "tables")).select("ord", "url", "score")
 
 
 @query("s14_upsert_history", "WITH n AS (SELECT event_type AS source, strftime(ts, '%Y-%m-%d') AS key, count(*) AS n FROM events GROUP BY ALL) SELECT source, key, CASE WHEN key = '2024-01-10' THEN n * 2 ELSE n END AS n FROM n")
@@ -361,6 +385,28 @@ def s15(spark, d):
     return top.groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ord"))), lambda x: x["ord"].cast("string")), ",").alias("top"))
 
 
+@query("s15c_daily_digest", ARTICLES + """, c AS (SELECT o_orderdate::DATE - DATE '1992-01-01' AS n, o_orderkey, o_orderpriority FROM orders), cards AS (SELECT strftime(DATE '2024-01-01' + (n % 31)::INT, '%Y-%m-%d') AS day, o_orderkey AS ord, o_orderpriority || ' ' || o_orderkey AS title FROM c),
+k AS (SELECT day, count(*) AS n_cards, string_agg(title, '|' ORDER BY ord) FILTER (r <= 100) AS cards FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ord) AS r FROM cards) GROUP BY day),
+a AS (SELECT *, strftime(published_at, '%Y-%m-%d') AS day FROM articles), t AS (SELECT day, string_agg(ord::VARCHAR || ':' || score, '|' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, ord) AS r FROM a) WHERE r <= 10 GROUP BY day),
+s AS (SELECT day, string_agg(source_type || ':' || n, '|' ORDER BY source_type) AS kinds FROM (SELECT day, source_type, count(*) AS n FROM a GROUP BY ALL) GROUP BY day)
+SELECT day, coalesce(n_cards, 0) AS n_cards, cards, top, kinds FROM k FULL JOIN t USING (day) FULL JOIN s USING (day)""")
+def s15c(spark, d):
+    n = F.date_diff(F.to_date("o_orderdate"), F.lit("1992-01-01")) % 31
+    cards = table(spark, d, "orders").select(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), n), "yyyy-MM-dd").alias("day"), F.col("o_orderkey").alias("ord"), F.concat_ws(" ", "o_orderpriority", "o_orderkey").alias("title"))
+    a = articles(spark, d).select(dates.day_key(F.col("published_at")).alias("day"), "ord", "title", "url", "score", F.col("source_type").alias("kind"))
+    told = lambda x: F.concat_ws(":", x[0].cast("string"), x[1].cast("string"))
+    top = F.array_join(F.transform("top", lambda x: told((x["ord"], x["score"]))), "|")
+    kinds = F.array_join(F.transform(F.array_sort(F.map_entries("kinds")), lambda x: told((x["key"], x["value"]))), "|")
+    return daily_digest(cards, a).select("day", "n_cards", F.array_join("cards", "|").alias("cards"), top.alias("top"), kinds.alias("kinds"))
+
+
+@query("s02b_first_envelope", ARTICLES + "SELECT ord, score FROM articles")
+def s02b(spark, d):
+    path = f"{new_folder(spark, 'snapshots')}/news.json"
+    articles(spark, d).select(F.to_json(F.struct(F.array(F.struct("ord", "score")).alias("items")))).write.text(path)
+    return payloads.read_first_existing(spark, [f"{path}.missing.json", path, f"{path}.later"], "ord long, score int", lines=True)
+
+
 @query("f25_lenient_json", "SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS has_k, true AS parsed, CASE WHEN event_id % 5 IN (3, 4) THEN 2 ELSE NULL END::INT AS n FROM events")
 def f25(spark, d):
     e, k = table(spark, d, "events"), F.col("event_id") % 5

@@ -19,11 +19,11 @@ def read_envelope(spark: SparkSession, path: str, schema: str, items: str = "ite
     return spark.read.schema(f"{items} array<struct<{schema}>>").option("multiLine", not lines).json(path).select(F.inline(items))
 
 
-def read_first_existing(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+def read_first_existing(spark: SparkSession, paths: list[str], schema: str, lines: bool = False) -> DataFrame:
     """The first snapshot that exists, an envelope if its name ends in ``.json`` and Parquet else; an empty table where none does."""
     for p in paths:
         if exists(spark, p):
-            return read_envelope(spark, p, schema) if p.endswith(".json") else spark.read.schema(schema).parquet(p)
+            return read_envelope(spark, p, schema, lines=lines) if p.endswith(".json") else spark.read.schema(schema).parquet(p)
     return spark.createDataFrame([], schema)
 
 

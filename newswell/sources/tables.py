@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newswell.functions.dates import backfill_offset
-from newswell.storage import exists, new_folder, shared_folder
+from newswell.sources.snapshots import SnapshotTable
+from newswell.storage import exists, new_folder
 
 
 def write_snapshot(df: DataFrame, name: str, folder: str | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write a new version of a table and read it back; earlier versions stay as they are."""
-    path = f"{folder or shared_folder(df.sparkSession)}/{name}/version={uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Commit ``df`` as a new version of a table (see :class:`SnapshotTable`) and read that version back; earlier ones stay as they are."""
+    table = SnapshotTable(df.sparkSession, name, folder)
+    return table.read(table.write(df, partition_by=partition_by))
 
 
 def snapshot_counters(df: DataFrame, run_ts: Column) -> DataFrame:
@@ -23,10 +21,11 @@ def snapshot_counters(df: DataFrame, run_ts: Column) -> DataFrame:
     return df.agg(run_ts.alias("built_at"), F.count("*").alias("n_items"), F.count_distinct("source").alias("n_sources"), F.count_if("llm_enriched").alias("n_enriched"), F.count_if(F.col("related_count") > 0).alias("n_related"))
 
 
-def rewrite_snapshot(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """A new version of a stored snapshot in which dates of Korean articles have the offset of Seoul; the old version is the backup."""
-    fixed = df.withColumn("date_raw", backfill_offset(F.col("date_raw"), F.col("lang"), F.col("date_unknown")))
-    return write_snapshot(fixed, name, folder)
+def rewrite_snapshot(table: SnapshotTable) -> int:
+    """Commit the latest version with dates of Korean articles in the offset of Seoul. The version it replaces is its backup, which ``restore`` brings back."""
+    before = table.latest()
+    old = table.read(before)
+    return table.write(old.withColumn("date_raw", backfill_offset(F.col("date_raw"), F.col("lang"), F.col("date_unknown"))), expect=before)
 
 
 def run_record(df: DataFrame, name: str, run_ts: Column, n_in: int | None = None) -> DataFrame:

@@ -299,3 +299,20 @@ def test_works_of_one_id_are_chosen_by_citations(spark):
     schema = "id string, title string, display_name string, publication_date string, doi string, cited_by_count int, open_access struct<oa_url:string>, primary_location struct<landing_page_url:string,source:struct<display_name:string>>, authorships array<struct<author:struct<display_name:string>>>, abstract_inverted_index map<string,array<int>>"
     works = spark.createDataFrame([("w", t, None, "2026-05-20", None, n, None, None, None, None) for t, n in (("b", 3), ("a", 12), ("c", None), ("d", 12))], schema)
     assert [r["title"] for r in payloads.scholarly_works(works, F.lit(RUN)).collect()] == ["a"]
+
+
+def test_one_of_two_writers_wins_and_versions_can_be_found(spark):
+    from newswell.sources.snapshots import SnapshotConflict, SnapshotTable
+
+    t, other = (SnapshotTable(spark, "t", f) for f in [storage.new_folder(spark, "tables")] * 2)
+    assert t.latest() == 0 and t.write(spark.range(3), built_at="2024-01-01T00:00:00") == 1
+    seen = other.latest()
+    assert t.write(spark.range(5), expect=seen, built_at="2024-01-03T00:00:00") == 2
+    with pytest.raises(SnapshotConflict):
+        other.write(spark.range(9), expect=seen)
+    assert other.latest() == 2 and other.read().count() == 5 and other.read(1).count() == 3 and other.backup_of() == 1
+    assert other.read(as_of="2024-01-02T00:00:00").count() == 3 and other.restore(1) == 3 and t.read().count() == 3
+    assert [tuple(r)[:2] + (r["restores"],) for r in t.history().orderBy("version").collect()] == [(1, 0, None), (2, 1, None), (3, 2, 1)]
+    with pytest.raises(LookupError):
+        t.read(as_of="2023-01-01T00:00:00")
+    assert len(t.log.versions()) == 3  # the loser left no entry behind
