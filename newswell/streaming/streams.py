@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newswell.operators.history import first_per_key, merge_articles, upsert_history
 from newswell.storage import new_folder
+from newswell.streaming.merged import MergedTable
 
 
 def _folder(spark: SparkSession) -> str:
@@ -33,7 +34,7 @@ def run_to_table(df: DataFrame, mode: str, keys: list[str] | None = None) -> Dat
     """Run a stream over all that has landed and give what it wrote.
 
     ``append`` writes files exactly once. ``update`` gives groups that changed, which replace those of the same ``keys`` in
-    a table of numbered versions; the watermark frees the state of groups that can't change any more.
+    a :class:`MergedTable`; the watermark frees the state of groups that can't change any more.
     """
     spark, folder = df.sparkSession, _folder(df.sparkSession)
     out = f"{folder}/out"
@@ -42,19 +43,9 @@ def run_to_table(df: DataFrame, mode: str, keys: list[str] | None = None) -> Dat
         writer.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
         return spark.read.schema(df.schema).parquet(out)
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        if number:
-            batch = upsert_history(spark.read.schema(df.schema).parquet(f"{out}/v{number - 1}"), batch, keys)
-        batch.write.mode("overwrite").parquet(f"{out}/v{number}")
-
-    writer.foreachBatch(upsert).outputMode("update").start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/v{_last_version(spark, out)}")
-
-
-def _last_version(spark: SparkSession, table: str) -> int:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
-    return max((int(s.getPath().getName()[1:]) for s in files if s.getPath().getName().startswith("v")), default=-1)
+    table = MergedTable(spark, out, keys)
+    writer.outputMode("update").foreachBatch(lambda batch, number: table.apply(batch, lambda present, new: upsert_history(present, new, keys), number, df.schema) and None).start().awaitTermination()
+    return table.read()
 
 
 def stream_dedup(df: DataFrame, ts: str, keys: list[str], memory: str = "30 days") -> DataFrame:
@@ -91,41 +82,34 @@ def stream_quota(df: DataFrame, limit: int = 5) -> DataFrame:
     return keyed.groupBy("ip", "day").applyInPandasWithState(admit, "ip string, day string, admitted long", "used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_merge(stream: DataFrame, table: str, keys: list[str], *order: Column) -> None:
-    """Upsert every batch into a stored table: the first row of each key in ``order`` stays.
-
-    A batch writes a new version beside the old ones, named by its number, so a batch that runs again writes the same version.
-    """
-    spark = stream.sparkSession
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        if number:
-            batch = batch.unionByName(spark.read.parquet(f"{table}/v{number - 1}"))
-        first_per_key(batch, keys, *order).write.mode("overwrite").parquet(f"{table}/v{number}")
-
-    stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{table}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+def stream_merge(stream: DataFrame, table: str, keys: list[str], *order: Column) -> DataFrame:
+    """Upsert every batch into a :class:`MergedTable` at ``table``: the first row of each key in ``order`` stays. Gives the table."""
+    return MergedTable(stream.sparkSession, table, keys).run(stream, lambda present, batch: first_per_key(batch.unionByName(present), keys, *order))
 
 
 def stream_merge_last(spark: SparkSession, path: str, shape: Callable[[DataFrame], DataFrame], keys: list[str], *order: Column) -> DataFrame:
-    """Run :func:`stream_merge` over landed files and read the last version."""
-    table = _folder(spark)
-    stream_merge(shape(read_stream(spark, path)), table, keys, *order)
-    return spark.read.parquet(f"{table}/v{_last_version(spark, table)}")
+    """Run :func:`stream_merge` over landed files and read the table."""
+    return stream_merge(shape(read_stream(spark, path)), _folder(spark), keys, *order)
 
 
 def stream_merge_articles(stream: DataFrame, prev: DataFrame, run_ts: Column, keep_days: int = 30) -> DataFrame:
-    """Merge every batch of articles into a stored table as :func:`merge_articles` does, annotations kept; gives the last version."""
-    spark, table = prev.sparkSession, _folder(prev.sparkSession)
-    prev.write.parquet(f"{table}/stored")
+    """Merge every batch of articles into a :class:`MergedTable` as :func:`merge_articles` does, annotations kept; gives the table.
+
+    Stored articles that do not arrive are looked at when a batch touches their bucket, and those of all other buckets once, at the end.
+    """
+    table = MergedTable(prev.sparkSession, _folder(prev.sparkSession), ["url"])
+    table.apply(prev.withColumn("is_new", F.lit(False)), lambda _, rows: rows)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{table}/v{number - 1}" if number else f"{table}/stored")
+    def merge(present: DataFrame, batch: DataFrame) -> DataFrame:
         new = first_per_key(batch, ["url"], F.col("ord"))
-        merge_articles(before.select(*new.columns), new, run_ts, keep_days).write.mode("overwrite").parquet(f"{table}/v{number}")
+        return merge_articles(present.select(*new.columns), new, run_ts, keep_days)
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{table}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    last = _last_version(spark, table)
-    return spark.read.parquet(f"{table}/v{last}" if last >= 0 else f"{table}/stored")
+    table.touched.clear()
+    table.run(stream, merge)
+    left = set(range(table.buckets)) - table.touched
+    if left:
+        table.apply(prev.select(*stream.columns).limit(0), merge, also=left)
+    return table.read()
 
 
 def late_corrections(stored: DataFrame, batch: DataFrame) -> DataFrame:
@@ -143,15 +127,12 @@ def late_corrections(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def stream_late_corrections(stream: DataFrame, stored_: DataFrame, ts: str = "published_at", horizon: str = "2 days") -> DataFrame:
-    """:func:`late_corrections` by every batch, rows later than the horizon left out; gives the last version."""
-    spark, table = stored_.sparkSession, _folder(stored_.sparkSession)
-    stored_.withColumn("corrected", F.lit(False)).write.parquet(f"{table}/stored")
-
-    def correct(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{table}/v{number - 1}" if number else f"{table}/stored")
-        after = late_corrections(before.withColumnRenamed("corrected", "__before"), batch)
-        after.withColumn("corrected", F.col("corrected") | F.col("__before")).drop("__before").write.mode("overwrite").parquet(f"{table}/v{number}")
-
-    stream.withWatermark(ts, horizon).writeStream.foreachBatch(correct).option("checkpointLocation", f"{table}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    last = _last_version(spark, table)
-    return spark.read.parquet(f"{table}/v{last}" if last >= 0 else f"{table}/stored")
+    """:func:`late_corrections` by every batch, rows later than the horizon left out; gives the table. Articles are told apart by ``url`` and ``ord``."""
+    table = MergedTable(stored_.sparkSession, _folder(stored_.sparkSession), ["url"], rows=["url", "ord"])
+    table.apply(stored_.withColumn("corrected", F.lit(False)), lambda _, rows: rows)
+
+    def correct(present: DataFrame, batch: DataFrame) -> DataFrame:
+        after = late_corrections(present.withColumnRenamed("corrected", "__before"), batch)
+        return after.withColumn("corrected", F.col("corrected") | F.col("__before")).drop("__before")
+
+    return table.run(stream.withWatermark(ts, horizon), correct)

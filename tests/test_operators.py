@@ -316,3 +316,21 @@ def test_one_of_two_writers_wins_and_versions_can_be_found(spark):
     with pytest.raises(LookupError):
         t.read(as_of="2023-01-01T00:00:00")
     assert len(t.log.versions()) == 3  # the loser left no entry behind
+
+
+def test_a_batch_rewrites_only_what_it_changes(spark):
+    from newswell.streaming.merged import MergedTable
+
+    t = MergedTable(spark, storage.new_folder(spark, "merged"), ["k"], buckets=16, most_layers=3)
+    take = lambda present, new: new.unionByName(present.join(new, "k", "left_anti"))
+    rows = lambda *ids: spark.createDataFrame([(k, v) for k, v in ids], "k long, v string")
+    assert t.apply(rows(*((k, "a") for k in range(400))), take, 0)["written"] == 400
+    assert t.apply(rows((7, "b"), (900, "n"), (8, "a")), take, 1) == {"buckets": 3, "written": 2, "compacted": 0}
+    assert t.apply(rows((7, "z")), take, 1) == {"buckets": 0, "written": 0, "compacted": 0}  # the batch was there already
+    assert t.apply(rows((7, "c")), lambda present, new: present.where("k <> 7"), 2)["written"] == 1
+    got = {r["k"]: r["v"] for r in t.read().collect()}
+    assert len(got) == 400 and 7 not in got and got[900] == "n" and got[8] == "a"
+    out = t.apply(rows((7, "d")), take, 3)
+    assert out["compacted"] == 1 and out["written"] < 60
+    assert {r["k"]: r["v"] for r in t.read().collect()} == got | {7: "d"}
+    assert t.apply(rows((None, "x")), take, 4)["written"] == 0 and t.read().count() == 401
