@@ -209,6 +209,35 @@ def s03(spark, d):
     return payloads.normalise_feed(e, F.lit("f"), F.lit("rss"), F.lit("en"), run_ts()).select("url", "title", "date_unknown", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published"))
 
 
+def _landed(spark, d):
+    """Pages as feed documents of one entry: RSS, Atom and RDF, some broken, some empty, some without a summary."""
+    p, i = table(spark, d, "pages"), F.col("page_id")
+    title = F.replace(F.replace(payloads.raw_title(F.col("html")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    url = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    day = F.format_string("2024-01-%02d", i % 28 + 1)
+    rss = F.concat(F.lit("<rss><channel><title>c</title><item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><summary></summary><description>told "), i, F.lit("</description><pubDate>"), day, F.lit("T01:02:03Z</pubDate></item></channel></rss>"))
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="text">'), title, F.lit('</title><link rel="self" href="http://self"/><link rel="alternate" href="'), url, F.lit('"/><content>c '), i, F.lit("</content><updated>"), day, F.lit("T01:02:03+09:00</updated></entry></feed>"))
+    rdf = F.concat(F.lit('<rdf:RDF xmlns:rdf="r" xmlns:dc="d" xmlns:content="c"><item><title>'), title, F.lit("</title><link>"), url, F.lit("</link><content:encoded>&lt;b&gt;e&lt;/b&gt; "), i, F.lit("</content:encoded><dc:date>"), day, F.lit("T01:02:03.5Z</dc:date></item></rdf:RDF>"))
+    body = F.when(i % 7 == 0, F.substring(rss, F.lit(1), F.length(rss) - 25)).when(i % 7 == 1, "<rss><channel><title>c</title></channel></rss>").when(i % 3 == 0, rss).when(i % 3 == 1, atom).otherwise(rdf)
+    return p.select(i.alias("source"), body.alias("body"))
+
+
+_ENTRIES = "WITH p AS (SELECT page_id AS i, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, page_id % 7 AS k FROM pages), e AS (SELECT *, k = 0 AS broken, k = 1 AS nothing FROM p)"
+
+
+@query("s03b_feeds_from_bytes", _ENTRIES + ", t AS (SELECT i, regexp_replace(regexp_replace(url, '[?&](utm_[^=]+|fbclid|gclid|mc_cid|mc_eid)=[^&]*', '', 'g'), '\\?$', '') AS url, " + _CLEAN.format("replace(title, '&amp;', '&')") + " AS title, CASE i % 3 WHEN 0 THEN 'told ' WHEN 1 THEN 'c ' ELSE 'e ' END || i AS summary, strftime(DATE '2024-01-01' + (i % 28)::INT + INTERVAL 1 HOUR + INTERVAL 2 MINUTE + INTERVAL 3 SECOND - CASE WHEN i % 3 = 1 THEN INTERVAL 9 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M:%S') AS published FROM e WHERE NOT broken AND NOT nothing) SELECT i AS source, url, title, summary, published FROM t WHERE title <> ''")
+def s03b(spark, d):
+    entries = payloads.feed_entries(_landed(spark, d)).where("NOT broken")
+    out = payloads.normalise_feed(entries, F.col("source"), F.lit("rss"), F.lit("en"), run_ts())
+    return out.select("source", "url", "title", "summary", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
+@query("s03c_feed_status", _ENTRIES + " SELECT i AS source, CASE WHEN broken THEN 'error' WHEN nothing OR trim(title) = '' THEN 'idle' ELSE 'active' END AS status, CASE WHEN broken OR nothing OR trim(title) = '' THEN 0 ELSE 1 END::BIGINT AS count FROM e")
+def s03c(spark, d):
+    landed = _landed(spark, d)
+    return payloads.feed_status(landed, payloads.feed_entries(landed))
+
+
 @query("s05_sitemap_pages", "SELECT url FROM (SELECT rtrim(url, '/') AS url, TIMESTAMP '2024-01-26' + to_hours((page_id % 120)::INT) AS tm FROM pages) WHERE contains(url, '/en/') AND tm >= TIMESTAMP '2024-01-27' ORDER BY tm DESC, url LIMIT 12")
 def s05(spark, d):
     at = F.expr("timestampadd(HOUR, page_id % 120, timestamp'2024-01-26 00:00:00')")

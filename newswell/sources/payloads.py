@@ -58,6 +58,42 @@ def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFram
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
 
 
+_TEXT = "struct<_VALUE:string,_href:string,_rel:string>"
+_ENTRY = f"title:string,link:array<{_TEXT}>,guid:string,id:string,summary:string,description:string,content:string,`content:encoded`:string,published:string,pubDate:string,updated:string,`dc:date`:string,author:array<struct<name:string>>,category:array<struct<_VALUE:string,_term:string>>"
+_FEED = f"channel struct<item:array<struct<{_ENTRY}>>>, item array<struct<{_ENTRY}>>, entry array<struct<{_ENTRY}>>, _broken string"
+
+
+def feed_entries(landed: DataFrame) -> DataFrame:
+    """``source, n, broken`` and the columns of an entry: entries of landed feed documents (``source, body``), RSS, RDF or Atom.
+
+    Elements of other namespaces count where feeds use them (``dc:date``, ``content:encoded``); of several links that of the page
+    is taken: a link's text, else the address of one that is ``alternate`` or of no kind, else the first. A document
+    without entries, and one that is not well formed or null, gives one row without title and link, ``n`` null and, if it is
+    ``broken``, so marked.
+    """
+    doc = F.from_xml("body", _FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    none = F.array().cast(f"array<struct<{_ENTRY}>>")
+    read = landed.select("source", "body", doc.alias("d"))
+    listed = F.concat(*(F.coalesce(F.col(c), none) for c in ("d.channel.item", "d.item", "d.entry")))
+    rows = read.select("source", (F.col("body").isNull() | F.col("d").isNull() | F.col("d._broken").isNotNull()).alias("broken"), F.posexplode_outer(listed).alias("n", "e"))
+    text = lambda x: F.nullif(F.trim(x["_VALUE"]), F.lit(""))
+    link = F.coalesce(
+        F.get(F.filter(F.transform("e.link", text), lambda x: x.isNotNull()), F.lit(0)),
+        F.get(F.filter("e.link", lambda x: x["_href"].isNotNull() & F.coalesce(x["_rel"] == "alternate", F.lit(True))), F.lit(0))["_href"],
+        F.get("e.link", F.lit(0))["_href"],
+    )
+    date = F.coalesce("e.`dc:date`", "e.pubDate")
+    return rows.select("source", "n", "broken", F.col("e.title").alias("title"), link.alias("link"), F.col("e.summary").alias("summary"), F.col("e.description").alias("description"), F.coalesce("e.`content:encoded`", "e.content").alias("content"), F.col("e.published").alias("published"), F.col("e.pubDate").alias("pubDate"), F.col("e.updated").alias("updated"), date.alias("date"), F.transform("e.author", lambda x: x["name"]).alias("authors"), F.transform("e.category", lambda x: F.coalesce(x["_term"], x["_VALUE"])).alias("tags"))
+
+
+def feed_status(landed: DataFrame, entries: DataFrame) -> DataFrame:
+    """``source, status, count``: ``error`` for sources of which a document is broken and nothing came, ``idle`` for those without entries, else ``active``."""
+    good = F.col("title").isNotNull() & (F.trim("title") != "") & F.col("link").isNotNull()
+    found = entries.groupBy("source").agg(F.count_if(good).alias("count"), F.max("broken").alias("broken"))
+    state = F.when(F.col("count") > 0, "active").when(F.coalesce("broken", F.lit(False)), "error").otherwise("idle")
+    return landed.select("source").distinct().join(found, "source", "left").select("source", state.alias("status"), F.coalesce("count", F.lit(0)).alias("count"))
+
+
 def active_sources(catalog: DataFrame) -> DataFrame:
     """The source dimension ``source, url, source_type, lang, categories``: active sources of a catalog, the first of each name, with defaults."""
     from newswell.operators.history import first_per_key

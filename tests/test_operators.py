@@ -334,3 +334,23 @@ def test_a_batch_rewrites_only_what_it_changes(spark):
     assert out["compacted"] == 1 and out["written"] < 60
     assert {r["k"]: r["v"] for r in t.read().collect()} == got | {7: "d"}
     assert t.apply(rows((None, "x")), take, 4)["written"] == 0 and t.read().count() == 401
+
+
+def test_feeds_of_three_kinds_from_bytes(spark):
+    bodies = {
+        "rss": '<rss xmlns:dc="d"><channel><title>c</title><item><title>A</title><link>http://x/1</link><description/><dc:date>2024-01-31</dc:date><author>q</author></item><item><title>B</title></item></channel></rss>',
+        "atom": '<feed xmlns="a"><title>f</title><entry><title type="html">C</title><link rel="edit" href="http://e"/><link href="http://x/2"/><author><name>N</name></author><author><name>M</name></author><category term="cs.AI"/><updated>2024-01-31T00:00:00Z</updated></entry></feed>',
+        "empty": "<rss><channel/></rss>",
+        "cut": "<rss><channel><item><title>D</title><li",
+        "none": None,
+        "text": "not a feed",
+    }
+    landed = spark.createDataFrame(list(bodies.items()), "source string, body string")
+    entries = payloads.feed_entries(landed)
+    got = {(r["source"], r["title"], r["link"], tuple(r["authors"] or ()), tuple(r["tags"] or ())) for r in entries.where("title IS NOT NULL AND NOT broken").collect()}
+    assert {g[:3] for g in got} == {("rss", "A", "http://x/1"), ("rss", "B", None), ("atom", "C", "http://x/2")}
+    assert ("atom", "C", "http://x/2", ("N", "M"), ("cs.AI",)) in got
+    status = {r["source"]: (r["status"], r["count"]) for r in payloads.feed_status(landed, entries).collect()}
+    assert status == {"rss": ("active", 1), "atom": ("active", 1), "empty": ("idle", 0), "cut": ("error", 0), "none": ("error", 0), "text": ("error", 0)}
+    arts = payloads.normalise_feed(entries.where("source = 'rss'"), F.col("source"), F.lit("rss"), F.lit("en"), F.lit(RUN)).collect()
+    assert [(r["title"], r["date_unknown"]) for r in arts] == [("A", False)]
