@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newswell.functions.text import bind
@@ -118,3 +118,23 @@ def depth_bonus(n_chars: Column) -> Column:
 def clamp_score(c: Column, most: int = 120) -> Column:
     """Rounded half to even, from 0 to ``most``."""
     return F.greatest(F.lit(0), F.least(F.lit(most), F.bround(c, 0).cast("int")))
+
+
+def register_period_keys(spark: SparkSession, name: str = "period_keys") -> str:
+    """Make the SQL table function ``period_keys(at)``: three rows ``period, key``, the day, ISO week and month of a timestamp; none for null.
+
+    It is a query and not Python, so it is planned with the query that uses it: ``SELECT ... FROM t, LATERAL period_keys(t.at)``.
+    """
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(at TIMESTAMP) RETURNS TABLE (period STRING, key STRING)
+        RETURN SELECT period, key FROM inline(if(at IS NULL, NULL, array(
+            struct('daily' AS period, date_format(at, 'yyyy-MM-dd') AS key),
+            struct('weekly' AS period, format_string('%d-W%02d', extract(YEAROFWEEK FROM at), weekofyear(at)) AS key),
+            struct('monthly' AS period, date_format(at, 'yyyy-MM') AS key))))""")
+    return name
+
+
+def fan_out(df: DataFrame, at: str) -> DataFrame:
+    """The rows of ``df`` with ``period, key`` of each period that they fall in."""
+    spark = df.sparkSession
+    name = register_period_keys(spark)
+    return spark.sql(f"SELECT t.*, k.period, k.key FROM {{t}} AS t, LATERAL {name}(CAST(t.`{at}` AS TIMESTAMP)) AS k", t=df)

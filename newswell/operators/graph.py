@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from newswell.functions.lexicon import RELATIONS, SYMMETRIC
 from newswell.functions.text import any_term
+from newswell.session import ship
+from newswell.storage import stored
 
 
 def mention_pattern(alias: str) -> str:
@@ -29,6 +31,7 @@ def _mentions_by_automaton(docs: DataFrame, catalog, text: Column, keep: tuple[s
     for entity, names in catalog:
         for a in names:
             aliases.setdefault(a, []).append(entity)
+    ship(docs.sparkSession)
     kind = docs.select(*keep, F.lit("").alias("entity_id")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,25 +111,57 @@ def auto_entities(items: DataFrame, mentions: DataFrame, least: int = 2) -> Data
     return totals.join(first.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "title"))), lambda x: x["title"]).alias("titles")), "k")
 
 
+#: Aliases that are looked for together; a larger catalog is gone through in blocks of this many.
+BLOCK_ALIASES = 50_000
+
+
+def _containing(misses: DataFrame, block: list[tuple[str, int, str]]) -> DataFrame:
+    """``k, ord, entity_id``: of each name the first alias of a block that it contains or that contains it, by two automata."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        aliases = ahocorasick.Automaton()
+        for alias, place, entity in block:
+            aliases.add_word(alias, min(aliases.get(alias, (place, entity)), (place, entity)))
+        aliases.make_automaton()
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            found = {k: min((x for _, x in aliases.iter(k)), default=None) for k in names}
+            # The other way round the batch's names are the automaton, which reads every alias once.
+            own = ahocorasick.Automaton()
+            for k in names:
+                own.add_word(k, k)
+            if len(own):
+                own.make_automaton()
+                for alias, place, entity in block:
+                    for _, k in own.iter(alias):
+                        found[k] = min(found[k], (place, entity)) if found[k] else (place, entity)
+            hits = [(k, *x) for k, x in found.items() if x]
+            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.string()), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.string())], names=["k", "ord", "entity_id"])
+
+    return misses.mapInArrow(run, "k string, ord long, entity_id string")
+
+
 def resolve_names(names: DataFrame, catalog: DataFrame) -> DataFrame:
     """``name, entity_id``: equal to an alias, else the first alias of three letters or more that contains it or is contained.
 
-    Containment is an equi-join: aliases meet the parts of a name that are as long as some alias, names the parts of
-    aliases. Only the distinct names that no alias equals take part. ``catalog`` has ``entity_id, alias, ord``.
+    Containment is looked for in one pass over each different name and, a batch of names at a time, one over the aliases. Only the
+    names that no alias equals take part. ``catalog`` has ``entity_id, alias, ord``; ``ord`` orders aliases, ties go to the lesser id.
     """
+    ship(names.sparkSession)
     distinct = names.select(F.lower("name").alias("k")).distinct()
-    exact = distinct.join(catalog.select(F.lower("alias").alias("k"), "entity_id", "ord"), "k").groupBy("k").agg(F.min_by("entity_id", "ord").alias("entity_id"))
-    misses = distinct.join(exact.select("k"), "k", "left_anti").where("k <> ''")
-    long_ = catalog.where(F.length("alias") >= 3).select(F.lower("alias").alias("alias"), "entity_id", "ord")
-    lengths = long_.agg(F.collect_set(F.length("alias")).alias("lengths"))  # one row, as long as the longest alias
-    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    parts = misses.crossJoin(F.broadcast(lengths)).select("k", F.explode("lengths").alias("n")).where(F.length("k") >= F.col("n")).select("k", F.explode(F.array_distinct(F.transform(up_to(F.length("k") - F.col("n") + 1), lambda i: F.substring(F.col("k"), i, F.col("n"))))).alias("alias"))
-    within = parts.join(long_, "alias").select("k", "entity_id", "ord")
-    sizes = F.sequence(F.lit(1), F.length("alias"))
-    cuts = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("alias") - n + 1), lambda i: F.substring(F.col("alias"), i, n)))))
-    around = long_.select("entity_id", "ord", F.explode(cuts).alias("k")).join(misses, "k").select("k", "entity_id", "ord")
-    near = within.unionByName(around).groupBy("k").agg(F.min_by("entity_id", "ord").alias("entity_id"))
-    found = exact.unionByName(near)
+    order = F.struct(F.col("ord").cast("bigint"), "entity_id")
+    exact = distinct.join(catalog.select(F.lower("alias").alias("k"), "entity_id", "ord"), "k").groupBy("k").agg(F.min_by("entity_id", order).alias("entity_id"))
+    misses = stored(distinct.join(exact.select("k"), "k", "left_anti").where("k <> ''"), "names")
+    long_ = stored(catalog.where(F.length("alias") >= 3).select(F.lower("alias").alias("alias"), F.col("ord").cast("bigint").alias("ord"), "entity_id"), "aliases")
+    blocks = -(-long_.count() // BLOCK_ALIASES)
+    near = None
+    for b in range(blocks):
+        own = long_ if blocks == 1 else long_.where(F.pmod(F.xxhash64("alias", "ord", "entity_id"), F.lit(blocks)) == b)
+        part = _containing(misses, [tuple(r) for r in own.collect()])
+        near = part if near is None else near.unionByName(part)
+    found = exact if near is None else exact.unionByName(near.groupBy("k").agg(F.min_by("entity_id", F.struct("ord", "entity_id")).alias("entity_id")))
     return names.withColumn("k", F.lower("name")).join(found, "k", "left").drop("k")
 
 

@@ -125,9 +125,7 @@ _PERIODS = "SELECT 'daily' AS period, strftime(o_orderdate, '%Y-%m-%d') AS key,
 
 
 def _periods(spark, d):
-    t = F.col("o_orderdate")
-    keys = F.array(*(F.struct(F.lit(p).alias("period"), k.alias("key")) for p, k in (("daily", dates.day_key(t)), ("weekly", dates.week_key(t)), ("monthly", dates.month_key(t)))))
-    return table(spark, d, "orders").select("o_orderkey", F.inline(keys))
+    return dates.fan_out(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate").drop("o_orderdate")
 
 
 @query("p13_prune_history", f"SELECT period, count(*) AS n FROM ({_PERIODS}) WHERE CASE period WHEN 'daily' THEN key >= '1998-05-02' WHEN 'weekly' THEN key >= strftime(DATE '1998-07-01' - 182, '%G-W%V') ELSE key >= '1997-07' END GROUP BY period")
@@ -324,10 +322,9 @@ _TOPS = " UNION ALL ".join(f"SELECT '{p}' AS period, {k} AS key, row_number() OV
 
 def flagship(spark, d):
     """Scored articles, the best of each day, week and month."""
-    t = F.col("published_at")
-    scored = classify.score(articles(spark, d), DEMO, run_ts())
-    keys = F.array(*(F.struct(F.lit(p).alias("period"), k.alias("key"), F.lit(TOP[p]).alias("most")) for p, k in (("daily", dates.day_key(t)), ("weekly", dates.week_key(t)), ("monthly", dates.month_key(t)))))
-    fanned = scored.select("ord", "title", "score", F.inline(keys))
+    scored = classify.score(articles(spark, d), DEMO, run_ts()).select("ord", "title", "score", "published_at")
+    most = F.create_map(*(F.lit(x) for item in TOP.items() for x in item))
+    fanned = dates.fan_out(scored, "published_at").withColumn("most", most[F.col("period")])
     return history.top_n_per(fanned, ["period", "key"], max(TOP.values()), F.desc("score"), F.col("ord")).where("rank <= most").select("period", "key", "rank", "ord", "title", "score")
 
 

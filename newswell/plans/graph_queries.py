@@ -101,6 +101,14 @@ def j13(spark, d):
     return graph.resolve_names(names, _catalog(spark)).select("ord", "name", "entity_id")
 
 
+@query("j13b_resolve_all_names", ARTICLES + f""", catalog(entity_id, type, alias, ord) AS (VALUES {_ROWS}), names AS (SELECT ord, unnest(entities) AS name FROM articles),
+x AS (SELECT DISTINCT lower(name) AS k FROM names), ex AS (SELECT k, arg_min(entity_id, ord) AS e FROM x JOIN catalog ON alias = k GROUP BY k), ne AS (SELECT k, arg_min(entity_id, ord) AS e FROM x JOIN catalog ON length(alias) >= 3 AND (contains(alias, k) OR contains(k, alias)) WHERE k NOT IN (SELECT k FROM ex) GROUP BY k)
+SELECT coalesce(ex.e, ne.e) AS entity_id, count(*) AS n, count(DISTINCT names.ord) AS n_articles FROM names LEFT JOIN ex ON ex.k = lower(name) LEFT JOIN ne ON ne.k = lower(name) GROUP BY 1""")
+def j13b(spark, d):
+    names = articles(spark, d).select("ord", F.explode("entities").alias("name"))
+    return graph.resolve_names(names, _catalog(spark)).groupBy("entity_id").agg(F.count("*").alias("n"), F.count_distinct("ord").alias("n_articles"))
+
+
 @query("j14_candidate_entities", f"WITH catalog(entity_id, type, alias, ord) AS (VALUES {_ROWS}), m AS (SELECT DISTINCT conv_id, turn, entity_id FROM conversations JOIN catalog ON contains(lower(text), alias)) SELECT conv_id, turn, string_agg(entity_id, ',' ORDER BY entity_id) AS entities FROM m GROUP BY ALL HAVING count(*) >= 2")
 def j14(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", graph.candidate_entities(F.col("text"), _ENTITIES).alias("e"))

@@ -244,6 +244,11 @@ def d03(spark, d):
     return table(spark, d, "orders").select("o_orderkey", dates.day_key(t).alias("day"), dates.week_key(t).alias("week"), dates.month_key(t).alias("month"), dates.day_key(F.date_trunc("week", t)).alias("monday"))
 
 
+@query("d03b_period_table", "SELECT event_type, period, key, count(*) AS n FROM (SELECT event_type, unnest([{'period': 'daily', 'key': strftime(ts, '%Y-%m-%d')}, {'period': 'weekly', 'key': strftime(ts, '%G-W%V')}, {'period': 'monthly', 'key': strftime(ts, '%Y-%m')}], recursive := true) FROM events) GROUP BY ALL")
+def d03b(spark, d):
+    return dates.fan_out(table(spark, d, "events"), "ts").groupBy("event_type", "period", "key").agg(F.count("*").alias("n"))
+
+
 @query("d04_backfill_offset", ARTICLES + "SELECT ord, CASE WHEN lang = 'fr' AND NOT date_unknown THEN regexp_replace(date_raw, '(\\+00:00|Z)$', '+09:00') ELSE date_raw END AS date_raw FROM articles")
 def d04(spark, d):
     return articles(spark, d).select("ord", dates.backfill_offset(F.col("date_raw"), F.when(F.col("lang") == "fr", "ko"), F.col("date_unknown")).alias("date_raw"))

@@ -354,3 +354,31 @@ def test_feeds_of_three_kinds_from_bytes(spark):
     assert status == {"rss": ("active", 1), "atom": ("active", 1), "empty": ("idle", 0), "cut": ("error", 0), "none": ("error", 0), "text": ("error", 0)}
     arts = payloads.normalise_feed(entries.where("source = 'rss'"), F.col("source"), F.lit("rss"), F.lit("en"), F.lit(RUN)).collect()
     assert [(r["title"], r["date_unknown"]) for r in arts] == [("A", False)]
+
+
+def test_names_resolve_by_containment_in_any_block(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 7)))
+    catalog = [(f"e{k % 9}", word(), k) for k in range(40)] + [("x", "abc", 3), ("w", "abc", 3)]
+    names = [word().upper() for _ in range(150)] + ["", None, "zzz"]
+    want = {}
+    for n in names:
+        k = (n or "").lower()
+        same = [(o, e) for e, a, o in catalog if a == k]
+        near = [(o, e) for e, a, o in catalog if len(a) >= 3 and (a in k or k in a)] if k else []
+        want[n] = min(same or near, default=(0, None))[1]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    table = spark.createDataFrame(catalog, "entity_id string, alias string, ord int")
+    for size in (50_000, 7):
+        monkeypatch.setattr(graph, "BLOCK_ALIASES", size)
+        assert {r["name"]: r["entity_id"] for r in graph.resolve_names(df, table).collect()} == want
+
+
+def test_period_table_function(spark):
+    df = spark.createDataFrame([(1, dt.datetime(2024, 12, 30, 5)), (2, None)], "k int, at timestamp")
+    assert sorted((r["k"], r["period"], r["key"]) for r in dates.fan_out(df, "at").collect()) == [(1, "daily", "2024-12-30"), (1, "monthly", "2024-12"), (1, "weekly", "2025-W01")]
+    assert spark.sql("SELECT key FROM period_keys(TIMESTAMP'2024-01-31 00:00:00') WHERE period = 'weekly'").first()[0] == "2024-W05"
+    plan = dates.fan_out(df, "at")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Join" not in plan
