@@ -483,7 +483,7 @@ def t05(spark, d):
 @query("t07_stream_quota", "SELECT user_id AS ip, strftime(ts, '%Y-%m-%d') AS day, least(count(*), 5) AS admitted FROM events GROUP BY ALL")
 def t07(spark, d):
     e = streams.read_stream(spark, f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("ip"), "ts")
-    out = streams.run_to_table(streams.stream_quota(e, 5), "append")
+    out = streams.run_to_table(streams.stream_quota(e, 5), "append", store=streams.STATE_STORE)
     return out.groupBy(F.col("ip").cast("bigint").alias("ip"), "day").agg(F.sum("admitted").cast("bigint").alias("admitted"))
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from newswell.operators.history import first_per_key, merge_articles, upsert_history
+from newswell.session import ship
 from newswell.storage import new_folder
 from newswell.streaming.merged import MergedTable
 
@@ -30,7 +32,23 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
-def run_to_table(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+@contextmanager
+def state_store(spark: SparkSession, provider: str | None):
+    """Queries started within it use this state store; the session's own setting comes back after."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    if provider:
+        spark.conf.set(key, provider)
+    try:
+        yield
+    finally:
+        if provider and before is None:
+            spark.conf.unset(key)
+        elif provider:
+            spark.conf.set(key, before)
+
+
+def run_to_table(df: DataFrame, mode: str, keys: list[str] | None = None, store: str | None = None) -> DataFrame:
     """Run a stream over all that has landed and give what it wrote.
 
     ``append`` writes files exactly once. ``update`` gives groups that changed, which replace those of the same ``keys`` in
@@ -40,7 +58,8 @@ def run_to_table(df: DataFrame, mode: str, keys: list[str] | None = None) -> Dat
     out = f"{folder}/out"
     writer = df.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
-        writer.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
+        with state_store(spark, store):
+            writer.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
         return spark.read.schema(df.schema).parquet(out)
 
     table = MergedTable(spark, out, keys)
@@ -64,22 +83,59 @@ def stream_trend(df: DataFrame, ts: str, by: str, late: str = "2 days") -> DataF
     return df.withWatermark(ts, late).groupBy(F.window(ts, "7 days", "1 day").alias("w"), by).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), "n")
 
 
+class Quota(StatefulProcessor):
+    """Requests that each sender has been granted, a number a day, until two days after the day began."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.used = handle.getMapState("used", "day string", "used long")
+
+    def _end(self, day: str) -> int:
+        return int(pd.Timestamp(day, tz="UTC").timestamp() * 1000) + 2 * 86_400_000
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived: dict[str, int] = {}
+        for pdf in rows:
+            for day, n in pdf["day"].value_counts().items():
+                arrived[day] = arrived.get(day, 0) + int(n)
+        used = {day: n for (day,), (n,) in self.used.iterator()}  # a sender's days of the last two, at once
+        out, now = [], timerValues.getCurrentWatermarkInMs()
+        for day, n in sorted(arrived.items()):
+            admitted = min(n, max(0, self.limit - used.get(day, 0)))
+            if admitted or day not in used:
+                self.used.updateValue((day,), (used.get(day, 0) + admitted,))
+            if day not in used:
+                self.handle.registerTimer(max(self._end(day), now + 1))
+            out.append((key[0], day, admitted))
+        yield pd.DataFrame(out, columns=["ip", "day", "admitted"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for (day,) in list(self.used.keys()):
+            if self._end(day) <= now:
+                self.used.removeKey((day,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+#: Fixed value: the state store that map state and timers need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_quota(df: DataFrame, limit: int = 5) -> DataFrame:
-    """``ip, day, admitted``: how many requests of each sender and UTC day each batch admits; the state is one number a sender's day."""
-    keyed = df.withWatermark("ts", "1 day").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-
-    def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = state.get[0] if state.exists else 0
-        arrived = sum(len(b) for b in batches)
-        admitted = min(arrived, max(0, limit - used))
-        state.update((used + admitted,))
-        state.setTimeoutTimestamp(max(int(pd.Timestamp(key[1], tz="UTC").timestamp() * 1000) + 2 * 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"ip": [key[0]], "day": [key[1]], "admitted": [admitted]})
-
-    return keyed.groupBy("ip", "day").applyInPandasWithState(admit, "ip string, day string, admitted long", "used long", "append", GroupStateTimeout.EventTimeTimeout)
+    """``ip, day, admitted``: how many requests of each sender and UTC day each batch admits.
+
+    The state is a number for each day of a sender; a timer frees it two days after the day began. The query needs
+    ``STATE_STORE`` as its state store (see :func:`run_to_table`). Requests without a sender or time are left out.
+    """
+    ship(df.sparkSession)
+    keyed = df.where("ip IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", "1 day").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return keyed.groupBy("ip").transformWithStateInPandas(Quota(limit), "ip string, day string, admitted long", "append", "EventTime")
 
 
 def stream_merge(stream: DataFrame, table: str, keys: list[str], *order: Column) -> DataFrame:

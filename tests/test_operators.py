@@ -382,3 +382,30 @@ def test_period_table_function(spark):
     assert spark.sql("SELECT key FROM period_keys(TIMESTAMP'2024-01-31 00:00:00') WHERE period = 'weekly'").first()[0] == "2024-W05"
     plan = dates.fan_out(df, "at")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Join" not in plan
+
+
+def test_quota_state_survives_a_restart_and_is_freed(spark, tmp_path):
+    from newswell.streaming import streams
+
+    at = lambda day, h: dt.datetime(2024, 1, day, h)
+    land = lambda name, rows: spark.createDataFrame(rows, "ip string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def run():
+        stream = spark.readStream.schema("ip string, ts timestamp").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        with streams.state_store(spark, streams.STATE_STORE):
+            streams.stream_quota(stream, 3).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+        out = {}
+        for r in spark.read.schema("ip string, day string, admitted long").parquet(f"{tmp_path}/out").collect():
+            out[r["ip"], r["day"]] = out.get((r["ip"], r["day"]), 0) + r["admitted"]
+        return out
+
+    land("a", [("x", at(1, 1)), ("x", at(1, 2)), ("y", at(1, 3)), (None, at(1, 3))])
+    assert run() == {("x", "2024-01-01"): 2, ("y", "2024-01-01"): 1}
+    land("b", [("x", at(1, 5)), ("x", at(1, 6)), ("x", at(2, 6))])
+    assert run() == {("x", "2024-01-01"): 3, ("x", "2024-01-02"): 1, ("y", "2024-01-01"): 1}
+    land("c", [("z", at(9, 1))])
+    run()
+    land("d", [("z", at(9, 2))])
+    assert run()["z", "2024-01-09"] == 2
+    left = spark.read.format("statestore").option("stateVarName", "used").load(f"{tmp_path}/check").collect()
+    assert len(left) == 1  # the day of z; those of x and y are freed
