@@ -16,6 +16,7 @@ character, so texts can be cut before blanks.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from newswell.llm.token_counts import TokenCounter, byte_alphabet, distinct, par
 #: Bytes of text, about, that are aligned as one block.
 BLOCK_BYTES = 4 << 20
 #: Words, at most, of which a Python worker remembers the ids in each of two generations.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 #: Texts with so many copies that they are joined by broadcast: at most this many, each with more copies than ``rows / MOST_HOT``, and more than ``LEAST_HOT``.
 MOST_HOT, LEAST_HOT = 50_000, 100
 
@@ -58,9 +59,12 @@ class _Side:
             self.new.update((words[k], found[k]) for k in missing if found[k] is not None)
             missing = [k for k in missing if found[k] is None]
         if missing:
+            spell, new = self.bytes.__getitem__, self.new
             for k, ids in zip(missing, self.encode([words[k] for k in missing])):
-                spelt = b"".join([self.bytes[i] for i in ids]) == words[k]
-                self.new[words[k]] = found[k] = np.array(ids, "<i4").tobytes() + (b"" if spelt else b"-")
+                told = array("i", ids).tobytes()
+                if b"".join(map(spell, ids)) != words[k]:
+                    told += b"-"
+                new[words[k]] = found[k] = told
         if len(self.new) > CACHE_WORDS:
             self.old, self.new = self.new, {}
         return found
@@ -135,16 +139,20 @@ class Aligner:
     def align(self, t: Tokens) -> tuple[dict[str, np.ndarray], list[bytes], np.ndarray, np.ndarray]:
         """Of texts that both sides spell: measures of each, its groups as text, the pair of each link, and the text of each link."""
         end_a, end_b = np.cumsum(self.a.sizes[t.ids_a]), np.cumsum(self.b.sizes[t.ids_b])
-        group_b = np.searchsorted(end_a, end_b)
-        last_b = end_a[group_b] == end_b
-        both = end_b[last_b]
-        ends = np.sort(np.concatenate([end_a, end_b[~last_b]]), kind="stable")
-        pair = t.ids_a[np.searchsorted(end_a, ends)].astype(np.int64) << 32 | t.ids_b[np.searchsorted(end_b, ends)]
+        place = np.searchsorted(end_a, end_b)
+        last_b = end_a[place] == end_b
+        last_a = np.zeros(len(end_a), bool)
+        last_a[place[last_b]] = True
+        both, other = end_b[last_b], end_b[~last_b]
+        ends = np.concatenate([end_a, other])
+        merged = np.argsort(ends, kind="stable")  # two sorted runs
+        ends, of_a, of_b = ends[merged], merged < len(end_a), np.concatenate([last_a, np.ones(len(other), bool)])[merged]
+        pair = t.ids_a[np.cumsum(of_a) - of_a].astype(np.int64) << 32 | t.ids_b[np.cumsum(of_b) - of_b]
         bounds = np.searchsorted(ends, t.offsets, "right")
         measures = {"n_a": np.diff(t.at_a), "n_b": np.diff(t.at_b), "n_groups": np.diff(np.searchsorted(both, t.offsets, "right")), "n_links": np.diff(bounds)}
-        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-        told = list(map(self.told.__getitem__, np.concatenate([t.ids_a * 3 + (both[group_a] == end_a), t.ids_b * 3 + 2 * last_b])[order].tolist()))
+        told = list(map(self.told.__getitem__, np.concatenate([t.ids_a * 3 + last_a, t.ids_b * 3 + 2 * last_b])[order].tolist()))
         at = (t.at_a + t.at_b).tolist()
         return measures, [b"".join(told[x:y]) for x, y in zip(at[:-1], at[1:])], pair, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
