@@ -136,9 +136,8 @@ def f16(spark, d):
 
 @query("f17_rebuild_abstract", "SELECT doc_id, array_to_string(string_split(text, ' '), ' ') AS abstract FROM documents")
 def f17(spark, d):
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
-    inverted = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
-    return inverted.select("doc_id", text.rebuild_abstract(F.col("m")).alias("abstract"))
+    index = table(spark, d, "documents").select("doc_id", text.inverted(F.split("text", " ")).alias("m"))
+    return index.select("doc_id", text.rebuild_abstract(F.col("m")).alias("abstract"))
 
 
 @query("f18_jaccard", ARTICLES + f", t AS (SELECT ord, list_distinct({_TOK.format('title')}) AS a, list_distinct({_TOK.format('summary')}) AS b FROM articles) SELECT ord, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 9) AS j FROM t")

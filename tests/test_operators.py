@@ -409,3 +409,14 @@ def test_quota_state_survives_a_restart_and_is_freed(spark, tmp_path):
     assert run()["z", "2024-01-09"] == 2
     left = spark.read.format("statestore").option("stateVarName", "used").load(f"{tmp_path}/check").collect()
     assert len(left) == 1  # the day of z; those of x and y are freed
+
+
+def test_abstracts_are_inverted_without_a_shuffle(spark, tmp_path):
+    from newswell.plans import catalog
+
+    texts = ["b a b  c", "", None, "a", "x y " * 500 + "z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.queries()["f17_rebuild_abstract"](spark, str(tmp_path))
+    assert {r["doc_id"]: r["abstract"] for r in out.collect()} == dict(enumerate(texts))  # a missing text keeps its row
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert one(spark, ["b", "a", "b"], text.inverted, "array<string>") == {"a": [1], "b": [0, 2]} and one(spark, [], text.inverted, "array<string>") == {}
