@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -83,40 +85,57 @@ def stream_trend(df: DataFrame, ts: str, by: str, late: str = "2 days") -> DataF
     return df.withWatermark(ts, late).groupBy(F.window(ts, "7 days", "1 day").alias("w"), by).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), "n")
 
 
+#: The first day of Unix time.
+EPOCH = dt.date(1970, 1, 1).toordinal()
+
+
 class Quota(StatefulProcessor):
-    """Requests that each sender has been granted, a number a day, until two days after the day began."""
+    """Requests that each sender has been granted, a number a day, until two days after the day began.
+
+    All days of a sender are one value and have one timer, that of the first, so a batch asks the state a few times a sender.
+    """
 
     def __init__(self, limit: int):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.used = handle.getMapState("used", "day string", "used long")
+        self.used = handle.getValueState("used", "days array<string>, used array<long>")
 
     def _end(self, day: str) -> int:
-        return int(pd.Timestamp(day, tz="UTC").timestamp() * 1000) + 2 * 86_400_000
+        return (dt.date.fromisoformat(day).toordinal() - EPOCH + 2) * 86_400_000
+
+    def _keep(self, used: dict[str, int], now: int, before: str | None) -> None:
+        """Store a sender's days at once, and a timer for the first of them if it is not that of ``before``, which has one."""
+        self.used.update((list(used), list(used.values())))
+        if min(used) != before:
+            self.handle.registerTimer(max(self._end(min(used)), now + 1))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived: dict[str, int] = {}
+        arrived: Counter[str] = Counter()
         for pdf in rows:
-            for day, n in pdf["day"].value_counts().items():
-                arrived[day] = arrived.get(day, 0) + int(n)
-        used = {day: n for (day,), (n,) in self.used.iterator()}  # a sender's days of the last two, at once
-        out, now = [], timerValues.getCurrentWatermarkInMs()
+            arrived.update(pdf["day"].tolist())
+        used = self._used()
+        first, out = min(used, default=None), []
         for day, n in sorted(arrived.items()):
             admitted = min(n, max(0, self.limit - used.get(day, 0)))
-            if admitted or day not in used:
-                self.used.updateValue((day,), (used.get(day, 0) + admitted,))
-            if day not in used:
-                self.handle.registerTimer(max(self._end(day), now + 1))
+            used[day] = used.get(day, 0) + admitted
             out.append((key[0], day, admitted))
+        self._keep(used, timerValues.getCurrentWatermarkInMs(), first)
         yield pd.DataFrame(out, columns=["ip", "day", "admitted"])
 
+    def _used(self) -> dict[str, int]:
+        stored = self.used.get()
+        return dict(zip(*stored)) if stored else {}
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        for (day,) in list(self.used.keys()):
-            if self._end(day) <= now:
-                self.used.removeKey((day,))
+        now = max(now, timerValues.getCurrentWatermarkInMs())
+        left = {day: n for day, n in self._used().items() if self._end(day) > now}
+        if left:
+            self._keep(left, now, None)
+        else:
+            self.used.clear()
         return iter(())
 
     def close(self) -> None:
@@ -130,7 +149,7 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 def stream_quota(df: DataFrame, limit: int = 5) -> DataFrame:
     """``ip, day, admitted``: how many requests of each sender and UTC day each batch admits.
 
-    The state is a number for each day of a sender; a timer frees it two days after the day began. The query needs
+    The state is a number for each day of a sender, all in one value; a timer frees a day two days after it began. The query needs
     ``STATE_STORE`` as its state store (see :func:`run_to_table`). Requests without a sender or time are left out.
     """
     ship(df.sparkSession)

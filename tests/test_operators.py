@@ -420,3 +420,41 @@ def test_abstracts_are_inverted_without_a_shuffle(spark, tmp_path):
     assert {r["doc_id"]: r["abstract"] for r in out.collect()} == dict(enumerate(texts))  # a missing text keeps its row
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert one(spark, ["b", "a", "b"], text.inverted, "array<string>") == {"a": [1], "b": [0, 2]} and one(spark, [], text.inverted, "array<string>") == {}
+
+
+def test_a_sender_of_many_days_asks_the_state_a_few_times():
+    import pandas as pd
+
+    from newswell.streaming.streams import Quota
+
+    calls = []
+
+    class Value:
+        kept = None
+
+        def get(self):
+            calls.append("get")
+            return self.kept
+
+        def update(self, x):
+            calls.append("update")
+            self.kept = x
+
+    class Handle:
+        def getValueState(self, *_):
+            return value
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    value, quota = Value(), Quota(2)
+    quota.init(Handle())
+    days = [f"2024-01-{k:02d}" for k in range(1, 31)]
+    (first,) = quota.handleInputRows(("x",), iter([pd.DataFrame({"day": days}), pd.DataFrame({"day": days[:3]})]), Times())
+    assert first["admitted"].tolist() == [2, 2, 2] + [1] * 27 and calls == ["get", "update", "timer"]
+    (second,) = quota.handleInputRows(("x",), iter([pd.DataFrame({"day": days * 2})]), Times())
+    assert second["admitted"].tolist() == [0, 0, 0] + [1] * 27 and calls[3:] == ["get", "update"]
