@@ -70,8 +70,10 @@ class MergedTable:
         self.touched.update(touched)
         layers = {k: list(v) for k, v in entry["layers"].items()}
         own = {str(b): layers.get(str(b), []) for b in touched}
-        present = stored(self._rows(own, kind), "present")
-        merged = stored(merge(present, batch).select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kind.fields)), "merged")
+        empty = not any(own.values())  # then all that is merged is new
+        present = self._rows(own, kind) if empty else stored(self._rows(own, kind), "present")
+        merged = merge(present, batch).select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kind.fields))
+        merged = merged if empty else stored(merged, "merged")
         same = F.xxhash64(F.to_json(F.struct(*kind.names), {"ignoreNullFields": "false"}))
         before = present.select(*self.ids, same.alias("__was"))
         changed = merged.withColumn("__now", same).join(before, self.ids, "left").where("__was IS NULL OR __was <> __now").drop("__was", "__now").withColumn("__gone", F.lit(False))
@@ -79,13 +81,14 @@ class MergedTable:
         version = entry["version"] + 1
         layer = f"{version:012d}-{uuid.uuid4().hex}"
         full = [b for b, x in own.items() if len(x) + 1 > self.most_layers]
-        rows = changed.unionByName(gone).withColumn("__bucket", self._bucket())
+        rows = (merged.withColumn("__gone", F.lit(False)) if empty else changed.unionByName(gone)).withColumn("__bucket", self._bucket())
         if full:  # buckets with too many layers get all their rows, as their only layer
             inside = F.col("__bucket").isin([int(b) for b in full])
             rows = rows.where(~inside).unionByName(merged.withColumn("__gone", F.lit(False)).withColumn("__bucket", self._bucket()).where(inside))
-        rows = stored(rows.withColumn("__layer", F.lit(version).cast("bigint")), "layer")
+        rows = rows.withColumn("__layer", F.lit(version).cast("bigint"))
         rows.write.partitionBy("__bucket").parquet(f"{self.folder}/{layer}")
-        wrote = {str(r[0]): r[1] for r in rows.groupBy("__bucket").agg(F.count("*")).collect()}
+        written = self.spark.read.schema(StructType.fromJson(json.loads(rows.schema.json()))).parquet(f"{self.folder}/{layer}")
+        wrote = {str(r[0]): r[1] for r in written.groupBy("__bucket").agg(F.count("*")).collect()}
         for b in wrote:
             layers[b] = [layer] if b in full else [*layers.get(b, []), layer]
         for b in full:

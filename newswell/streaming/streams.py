@@ -202,12 +202,20 @@ def late_corrections(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def stream_late_corrections(stream: DataFrame, stored_: DataFrame, ts: str = "published_at", horizon: str = "2 days") -> DataFrame:
-    """:func:`late_corrections` by every batch, rows later than the horizon left out; gives the table. Articles are told apart by ``url`` and ``ord``."""
-    table = MergedTable(stored_.sparkSession, _folder(stored_.sparkSession), ["url"], rows=["url", "ord"])
-    table.apply(stored_.withColumn("corrected", F.lit(False)), lambda _, rows: rows)
+    """:func:`late_corrections` by every batch, rows later than the horizon left out; gives all articles. They are told apart by ``url`` and ``ord``.
+
+    The table that batches change holds what a correction reads and changes, and not the articles' texts; these join at the end.
+    """
+    ids, dated = ["url", "ord"], ["published_at", "date_unknown", "first_seen"]
+    table = MergedTable(stored_.sparkSession, _folder(stored_.sparkSession), ["url"], rows=ids)
+    table.apply(stored_.select(*ids, *dated).withColumn("corrected", F.lit(False)), lambda _, rows: rows)
 
     def correct(present: DataFrame, batch: DataFrame) -> DataFrame:
         after = late_corrections(present.withColumnRenamed("corrected", "__before"), batch)
         return after.withColumn("corrected", F.col("corrected") | F.col("__before")).drop("__before")
 
-    return table.run(stream.withWatermark(ts, horizon), correct)
+    narrow = stream.select(*dict.fromkeys((*ids, "published_at", "date_unknown", ts)))
+    now = table.run(narrow.withWatermark(ts, horizon), correct).select(*ids, *(F.col(c).alias(f"__{c}") for c in (*dated, "corrected")))
+    hit = F.col("__corrected").isNotNull()  # articles without an address are in no table
+    one = lambda c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in dated else F.col(c)
+    return stored_.join(now, ids, "left").select(*(one(c) for c in stored_.columns), F.coalesce("__corrected", F.lit(False)).alias("corrected"))

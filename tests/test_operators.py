@@ -422,6 +422,29 @@ def test_abstracts_are_inverted_without_a_shuffle(spark, tmp_path):
     assert one(spark, ["b", "a", "b"], text.inverted, "array<string>") == {"a": [1], "b": [0, 2]} and one(spark, [], text.inverted, "array<string>") == {}
 
 
+def test_late_corrections_keep_articles_without_an_address_and_store_no_texts(spark, tmp_path):
+    from newswell.streaming import streams
+
+    day = lambda n: dt.datetime(2024, 1, n)
+    schema = "url string, ord long, published_at timestamp, date_unknown boolean, first_seen timestamp, title string"
+    kept = spark.createDataFrame([("u", 1, day(9), True, day(9), "long text"), ("v", 2, day(5), False, day(9), "b"), (None, 3, day(9), True, day(9), "c")], schema)
+    spark.createDataFrame([("u", 7, day(8), False), ("v", 8, day(8), False)], "url string, ord long, published_at timestamp, date_unknown boolean").write.parquet(f"{tmp_path}/in")
+    stream = streams.read_stream(spark, f"{tmp_path}/in")
+    made = []
+    applied = streams.MergedTable.apply
+
+    def apply(self, batch, *args, **more):
+        made.append(batch.columns)
+        return applied(self, batch, *args, **more)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(streams.MergedTable, "apply", apply)
+        out = streams.stream_late_corrections(stream, kept)
+        got = {(r["ord"], r["published_at"].day, r["date_unknown"], r["title"], r["corrected"]) for r in out.collect()}
+    assert got == {(1, 8, False, "long text", True), (2, 5, False, "b", False), (3, 9, True, "c", False)}
+    assert len(made) == 2 and not any("title" in c for c in made)
+
+
 def test_a_sender_of_many_days_asks_the_state_a_few_times():
     import pandas as pd
 
