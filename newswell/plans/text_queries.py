@@ -10,16 +10,13 @@ from newswell.functions.lexicon import DEMO, Lexicon
 from newswell.functions.terms import term_hits
 from newswell.operators import classify
 from newswell.operators.reports import joined_head
-from newswell.plans.base import ARTICLES, Registry, articles, run_ts, table
+from newswell.plans.base import ARTICLES, Registry, articles, clean_sql, run_ts, table, unescaped_sql
 from newswell.storage import stored
 
 _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
 
-_ENT = "replace(" * 11 + "html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&hellip;', '…'), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&')"
-
-
-@query("f01_clean_text", f"SELECT page_id, trim(regexp_replace(regexp_replace({_ENT}, '<[^>]+>', ' ', 'g'), '[\\s\\x{{a0}}]+', ' ', 'g')) AS clean FROM pages")
+@query("f01_clean_text", f"SELECT page_id, {clean_sql('html')} AS clean FROM pages")
 def f01(spark, d):
     return table(spark, d, "pages").select("page_id", text.clean_text(F.col("html")).alias("clean"))
 
@@ -29,7 +26,7 @@ def f02(spark, d):
     return table(spark, d, "documents").select("doc_id", text.truncate(F.col("text"), 120).alias("short"))
 
 
-@query("f03_unescape", f"SELECT page_id, md5({_ENT}) AS plain FROM pages")
+@query("f03_unescape", f"SELECT page_id, md5({unescaped_sql('html')}) AS plain FROM pages")
 def f03(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(text.unescape(F.col("html"))).alias("plain"))
 
