@@ -9,7 +9,7 @@ from newswell.functions.lexicon import DEMO
 from newswell.operators import classify, history, reports
 from newswell.plans import article_queries
 from newswell.plans.article_queries import _any, _hits
-from newswell.plans.base import ARTICLES, Registry, articles, run_ts, shape_articles, table
+from newswell.plans.base import ARTICLES, Registry, articles, clean_sql, run_ts, shape_articles, stripped_sql, table, unescaped_sql
 from newswell.sources import payloads, tables
 from newswell.sources.snapshots import SnapshotTable, daily_digest
 from newswell.storage import new_folder
@@ -225,7 +225,7 @@ def _landed(spark, d):
 _ENTRIES = "WITH p AS (SELECT page_id AS i, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, page_id % 7 AS k FROM pages), e AS (SELECT *, k = 0 AS broken, k = 1 AS nothing FROM p)"
 
 
-@query("s03b_feeds_from_bytes", _ENTRIES + ", t AS (SELECT i, regexp_replace(regexp_replace(url, '[?&](utm_[^=]+|fbclid|gclid|mc_cid|mc_eid)=[^&]*', '', 'g'), '\\?$', '') AS url, " + _CLEAN.format("replace(title, '&amp;', '&')") + " AS title, CASE i % 3 WHEN 0 THEN 'told ' WHEN 1 THEN 'c ' ELSE 'e ' END || i AS summary, strftime(DATE '2024-01-01' + (i % 28)::INT + INTERVAL 1 HOUR + INTERVAL 2 MINUTE + INTERVAL 3 SECOND - CASE WHEN i % 3 = 1 THEN INTERVAL 9 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M:%S') AS published FROM e WHERE NOT broken AND NOT nothing) SELECT i AS source, url, title, summary, published FROM t WHERE title <> ''")
+@query("s03b_feeds_from_bytes", _ENTRIES + ", t AS (SELECT i, regexp_replace(regexp_replace(url, '[?&](utm_[^=]+|fbclid|gclid|mc_cid|mc_eid)=[^&]*', '', 'g'), '\\?$', '') AS url, " + clean_sql("title") + " AS title, CASE i % 3 WHEN 0 THEN 'told ' WHEN 1 THEN 'c ' ELSE 'e ' END || i AS summary, strftime(DATE '2024-01-01' + (i % 28)::INT + INTERVAL 1 HOUR + INTERVAL 2 MINUTE + INTERVAL 3 SECOND - CASE WHEN i % 3 = 1 THEN INTERVAL 9 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M:%S') AS published FROM e WHERE NOT broken AND NOT nothing AND NOT regexp_matches(title || url, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]')) SELECT i AS source, url, title, summary, published FROM t WHERE title <> ''")
 def s03b(spark, d):
     entries = payloads.feed_entries(_landed(spark, d)).where("NOT broken")
     out = payloads.normalise_feed(entries, F.col("source"), F.lit("rss"), F.lit("en"), run_ts())
@@ -275,9 +275,6 @@ def s10(spark, d):
     return history.first_per_key(both, ["url"], F.col("priority"), F.col("ord")).select("url", "ord")
 
 
-_ENT = "replace(" * 11 + "{0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&hellip;', '…'), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&')"
-
-
 def _meta(key: str) -> str:
     q = "[\"'']"
     a = f"regexp_extract(html, '(?is)<meta[^>]+(?:property|name)={q}{key}{q}[^>]*content={q}([^\"'']*){q}', 1)"
@@ -285,8 +282,8 @@ def _meta(key: str) -> str:
     return f"coalesce(nullif({a}, ''), nullif({b}, ''))"
 
 
-_OG_TITLE = "trim(" + _ENT.format(f"coalesce({_meta('og:title')}, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''))") + ")"
-_OG_TEXT = "substring(trim(" + _ENT.format(f"coalesce({_meta('og:description')}, {_meta('description')}, '')") + "), 1, 400)"
+_OG_TITLE = stripped_sql(unescaped_sql(f"coalesce({_meta('og:title')}, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''))"))
+_OG_TEXT = "substring(" + stripped_sql(unescaped_sql(f"coalesce({_meta('og:description')}, {_meta('description')}, '')")) + ", 1, 400)"
 
 
 @query("s06_open_graph", f"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, {_OG_TITLE} AS og_title, {_OG_TEXT} AS og_description FROM pages")

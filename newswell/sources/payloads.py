@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newswell.functions.dates import parse_date
-from newswell.functions.text import clean_text, normalize_url, rebuild_abstract, truncate, unescape
+from newswell.functions.text import clean_text, normalize_url, rebuild_abstract, strip, truncate, unescape
 from newswell.storage import exists
 
 ARTICLE = "title string, url string, source string, source_type string, lang string, summary string, date_raw string, published_at timestamp, date_unknown boolean, categories array<string>, score int"
@@ -126,7 +126,7 @@ def open_graph(pages: DataFrame) -> DataFrame:
         return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
 
     title = F.coalesce(meta("og:title"), F.nullif(raw_title(F.col("html")), F.lit("")))
-    return pages.withColumn("og_title", F.trim(unescape(title))).withColumn("og_description", F.substring(F.trim(unescape(F.coalesce(meta("og:description"), meta("description"), F.lit("")))), 1, 400))
+    return pages.withColumn("og_title", strip(unescape(title))).withColumn("og_description", F.substring(strip(unescape(F.coalesce(meta("og:description"), meta("description"), F.lit("")))), 1, 400))
 
 
 def news_search(items: DataFrame, categories: Column, run_ts: Column, outlet: Column) -> DataFrame:
