@@ -115,3 +115,14 @@ def test_strengths_count_a_term_as_often_as_it_is_listed(spark):
     df = spark.createDataFrame([("Sale", "a·b rule")], "t string, s string")
     got = df.select(classify.bucket_strengths(F.col("t"), F.col("s"), lex).alias("x")).first()["x"]
     assert (got["policy"], got["law"], got["promo"]) == (round(1 - 0.78**3, 3), 0.0, 1.0)
+
+
+def test_a_batch_is_turned_into_strings_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    index, sizes = TermIndex({"x": ("ab",)}, totals=("x",)), []
+    count = TermIndex.count
+    monkeypatch.setattr(TermIndex, "count", lambda self, texts: sizes.append(len(texts)) or count(self, texts))
+    got = index.struct(pa.array(["ab ab", None, "b"] * 400)).to_pylist()
+    assert [r["x"]["total"] for r in got] == [2, 0, 0] * 400 and max(sizes) <= 256 and sum(sizes) == 1200
+    assert index.struct(pa.array([], pa.string())).to_pylist() == []
