@@ -8,7 +8,9 @@
    that many segments and one more, some segment holds the same elements in both.
    Sizes are banded so that partners lie in the same or in neighbouring bands, and
    each node gives one key a segment for its own band and for the band below.
-   Nodes that share a key belong to one *family*; others can't be linked.
+   Nodes that share a key belong to one *family*; others can't be linked. Keys are
+   dealt into buckets as packed bytes, 40 bits of each, so unlike keys that agree in
+   these make a family larger and lose nothing.
 3. Tiles. A family's sets, shipped once, are dealt into tiles by size band. Within
    a tile a bitmap of hashed elements bounds each overlap from above by bit counts;
    only pairs that pass are intersected exactly. Pairs already known to be connected
@@ -23,17 +25,23 @@ No candidate, group or bucket is capped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newswell.llm.shared import SPACE, clean_names, mix, small_side, steps, stored, windows
+from newswell.llm.shared import SPACE, clean_names, may_hold, mix, small_side, steps, stored, windows
 from newswell.operators.components import components
 
 #: Sets that are compared in one tile, and elements in them.
 TILE_ROWS, TILE_ELEMENTS = 4096, 2 << 20
+#: Bits of a key that its bucket compares; bytes of text, about, whose keys are one bucket.
+LOW_BITS, LOW_BYTES, BUCKET_BYTES = 40, 5, 16 << 20
+#: Keys, about, that a task gathers before it packs them; bits of a row's number within such a flush, and of a flush's within a task.
+FLUSH_KEYS, ROW_BITS, FLUSH_BITS = 2 << 20, 24, 16
 #: Spare segments for each 100 that the bound needs. Each set leaves out so many of its weakest segments.
 SPARE_PERCENT = 60
 
@@ -107,26 +115,111 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
 
 
-def _node_rows(docs: DataFrame, n: int, bands: Bands, kind: str) -> DataFrame:
-    """``doc_id, row_key, node, n_shingles, keys`` of each row; no node where there is no word."""
+def _packed(refs: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Places in a flush, in order, and the lowest 40 bits of their keys as bytes."""
+    steps_ = pa.compress(np.diff(refs, prepend=0).astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
+    return len(refs).to_bytes(8, "little") + steps_, np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES]).tobytes()
+
+
+def _unpacked(refs: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(refs[:8], "little")
+    places = np.cumsum(np.frombuffer(pa.decompress(refs[8:], 4 * n, codec="zstd", asbytes=True), np.uint32), dtype=np.int64)
+    whole = np.zeros((n, 8), np.uint8)
+    whole[:, :LOW_BYTES] = np.frombuffer(keys, np.uint8).reshape(n, LOW_BYTES)
+    return places, whole.reshape(-1).view("<u8")
+
+
+def _hubs(values: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the least reference of each value stands, and pairs, each once, of another with the value and that one."""
+    order = np.lexsort((refs, values))
+    values, refs = values[order], refs[order]
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    hub = refs[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(values) else refs
+    rest = ~first & (refs != hub)
+    one, hub = refs[rest], hub[rest]
+    order_ = np.lexsort((hub, one))
+    one, hub = one[order_], hub[order_]
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (hub[1:] != hub[:-1])
+    return order[first], one[new], hub[new]
+
+
+def _flushed(flush: int, buckets: int, keys: list[np.ndarray], rows: list[np.ndarray]) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+    """``bucket, flush, refs, keys, pairs`` of the keys of some rows; a key that many of them have goes on once, with their pairs."""
+    values, refs = np.concatenate(keys), np.concatenate(rows)
+    bucket = (values >> np.uint64(LOW_BITS)) % np.uint64(buckets)
+    values = (bucket << np.uint64(LOW_BITS)) | (values & np.uint64((1 << LOW_BITS) - 1))
+    at, one, hub = _hubs(values, refs)
+    values, refs = values[at], refs[at]
+    order = np.lexsort((refs, values >> np.uint64(LOW_BITS)))
+    values, refs = values[order], refs[order]
+    bucket = (values >> np.uint64(LOW_BITS)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    shares = np.array_split(np.stack([one, hub], 1).astype(np.int64), len(cuts) + 1)
+    for low, high, own in zip([0, *cuts], [*cuts, len(values)], shares):
+        yield int(bucket[low]), flush, *_packed(refs[low:high], values[low:high]), own.tobytes()
+
+
+def _node_rows(docs: DataFrame, n: int, bands: Bands, kind: str, buckets: int) -> DataFrame:
+    """``doc_id, row_key, node, n_shingles, ref`` of each row, with no node where there is no word; and their keys, as ``bucket, flush, refs, keys, pairs``.
+
+    Rows are numbered by flushes, and within one; a flush is what a task gathers before it packs its keys.
+    """
+    schema = f"doc_id {kind}, row_key long, node long, n_shingles long, ref long, bucket int, flush long, refs binary, keys binary, pairs binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields, part = None, TaskContext.get().partitionId()
+        flush, row_of, todo, owners, waiting = part << FLUSH_BITS, 0, [], [], 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            all_ = _flushed(flush, buckets, todo, owners)
+            while some := list(islice(all_, 256)):
+                columns = [pa.array(x, f.type) for x, f in zip(zip(*some), list(fields)[5:])]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), f.type) for f in list(fields)[:5]), *columns], schema=fields)
+
         for batch in batches:
+            fields = fields or pa.schema([("doc_id", batch.column(0).type), *((c, pa.int64()) for c in ("row_key", "node", "n_shingles", "ref")), ("bucket", pa.int32()), ("flush", pa.int64()), *((c, pa.binary()) for c in ("refs", "keys", "pairs"))])
             for row, step in steps(batch.column(1)):
-                nodes, sizes, keys, counts = [], [], [], []
-                for grams in shingle_sets(step, n):
+                if waiting >= FLUSH_KEYS or row_of + step.docs > 1 << ROW_BITS:
+                    yield from packed()
+                    flush, row_of, todo, owners, waiting = flush + 1, 0, [], [], 0
+                nodes, sizes = [], []
+                for k, grams in enumerate(shingle_sets(step, n)):
                     sizes.append(len(grams))
                     nodes.append(set_hash(grams) if len(grams) else np.uint64(0))
-                    own = segment_keys(grams, int(bands.of(len(grams))), bands) if len(grams) else np.zeros(0, np.uint64)
-                    keys.append(own)
-                    counts.append(len(own))
+                    if len(grams):
+                        own = segment_keys(grams, int(bands.of(len(grams))), bands)
+                        todo.append(own)
+                        owners.append(np.full(len(own), row_of + k, np.int64))
+                        waiting += len(own)
                 sizes = np.array(sizes, np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 nodes = pa.array(np.array(nodes, np.uint64).view(np.int64), mask=sizes == 0)
-                flat = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, step.docs), batch.column(2).slice(row, step.docs), nodes, pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["doc_id", "row_key", "node", "n_shingles", "keys"])
+                refs = pa.array((flush << ROW_BITS) + row_of + np.arange(step.docs))
+                rest = [pa.nulls(step.docs, f.type) for f in list(fields)[5:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, step.docs), batch.column(2).slice(row, step.docs), nodes, pa.array(sizes), refs, *rest], schema=fields)
+                row_of += step.docs
+        if todo:
+            yield from packed()
+
+    return docs.mapInArrow(run, schema)
+
+
+def _shared_keys(packed: DataFrame) -> DataFrame:
+    """Pairs ``u, v`` of rows (``ref``) that reach all rows with a key in common."""
+
+    def run(table: pa.Table) -> pa.Table:
+        values, refs, pairs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+        for flush, places, keys, own in zip(*(table.column(c).to_pylist() for c in ("flush", "refs", "keys", "pairs"))):
+            places, low = _unpacked(places, keys)
+            values.append(low)
+            refs.append((flush << ROW_BITS) + places)
+            pairs.append((flush << ROW_BITS) + np.frombuffer(own, np.int64).reshape(-1, 2))
+        _, one, hub = _hubs(np.concatenate(values), np.concatenate(refs))
+        both = np.concatenate([np.stack([one, hub], 1), *pairs])
+        return pa.table({"u": pa.array(both[:, 0]), "v": pa.array(both[:, 1])})
 
-    return docs.mapInArrow(run, f"doc_id {kind}, row_key long, node long, n_shingles long, keys array<long>")
+    return packed.groupBy("bucket").applyInArrow(run, "u long, v long")
 
 
 def tile_links(sets: list[np.ndarray], known: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -186,7 +279,10 @@ def _compare(dealt: DataFrame, percent: int) -> DataFrame:
 def _with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``wanted`` rows (``row_key, node, ...``, one a node) with the sets of their documents as bytes."""
     rest = [c for c in wanted.columns if c not in ("row_key", "node")]
-    joined = docs.join(small_side(wanted, 64), "row_key").select("text", "node", *rest)
+    side = small_side(wanted, 64)
+    # Where the side is too large to be sent, texts of other rows are left out before the shuffle.
+    some = docs.where(may_hold(wanted.select("row_key"))("row_key")) if side is wanted else docs
+    joined = some.join(side, "row_key").select("text", "node", *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,18 +314,20 @@ def _row_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     docs = clean_names(docs, "doc_id", "text").withColumn("row_key", row_key())
     kind = docs.schema["doc_id"].dataType.simpleString()
     bands = Bands(percent)
-    rows = _node_rows(docs, n, bands, kind)
-    rows = stored(rows, "jaccard-rows")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    dealt_rows = stored(_node_rows(docs, n, bands, kind, min(1 << 20, size // BUCKET_BYTES + 1)), "jaccard-rows")
+    rows = dealt_rows.where("bucket IS NULL").select("doc_id", "row_key", "node", "n_shingles", "ref")
     worded = rows.where("node IS NOT NULL")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
-    nodes = stored(worded.groupBy("node").agg(F.min(place).alias("x"), F.max("n_shingles").alias("size")).select("node", "x.doc_id", "x.row_key", "size"), "jaccard-nodes")
-
-    # Families: all nodes that share keys, through the least node of each key.
-    keyed = worded.join(small_side(nodes.select(F.col("node").alias("own"), F.col("row_key").alias("first")), 32), (F.col("node") == F.col("own")) & (F.col("row_key") == F.col("first"))).select("node", F.explode("keys").alias("key"))
-    # A key is counted with a partial combine, so that one that very many nodes have is no group of its own; nodes then meet its least one in a join, which Spark can split.
-    shared = stored(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "jaccard-keys")
-    pairs = keyed.join(small_side(shared, 16), "key").where("node <> hub").select("node", "hub").distinct()
-    families = stored(components(pairs, "node", "hub").withColumnRenamed("component", "family"), "jaccard-families")
+    nodes = stored(worded.groupBy("node").agg(F.min(place).alias("x"), F.max("n_shingles").alias("size"), F.min("ref").alias("ref")).select("node", "x.doc_id", "x.row_key", "size", "ref"), "jaccard-nodes")
+
+    # Families: all nodes that share keys, through the first row of each key. Rows of one node are tied to its first.
+    pairs = _shared_keys(dealt_rows.where("bucket IS NOT NULL").select("bucket", "flush", "refs", "keys", "pairs"))
+    copies = worded.select("node", F.col("ref").alias("u")).join(nodes.select("node", F.col("ref").alias("v")), "node").where("u <> v").select("u", "v")
+    found = components(pairs.unionByName(copies), "u", "v").select(F.col("node").alias("ref"), F.col("component").alias("family"))
+    found = stored(nodes.select("ref", "node").join(found, "ref").select("node", "family"), "jaccard-families")
+    families = found.join(found.groupBy("family").agg(F.count("*").alias("members")).where("members > 1").select("family"), "family", "left_semi")
+    families = stored(families, "jaccard-families")
     fits = (F.col("members") <= TILE_ROWS) & (F.col("elements") <= TILE_ELEMENTS)
     sizes = families.join(nodes, "node").groupBy("family").agg(F.count("*").alias("members"), F.sum("size").alias("elements"))
     large = small_side(stored(sizes.where(~fits).select("family"), "jaccard-large"), 8)
@@ -292,11 +390,19 @@ def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     gone = stored(groups.where(F.col(key) != F.col("first_key")).select(key).distinct(), "jaccard-gone")
     again = stored(groups.where(F.col(key) == F.col("first_key")).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "jaccard-again")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.withColumn(key, row_key()).join(small_side(gone, 16), key, "left_anti")
-    if not again.limit(1).count():
-        return kept.select(*columns)
-    again = small_side(again, 16)
-    return kept.join(again, key, "left_anti").select(*columns).unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]).select(*columns))
+    keyed = docs.withColumn(key, row_key())
+    side, more = small_side(gone, 16), again.limit(1).count() > 0
+    if side is not gone:
+        sure, some = None, keyed
+    else:  # too many to be sent: only rows that may be among them are shuffled
+        held = may_hold(stored(gone.unionByName(again), "jaccard-either"))
+        sure, some = keyed.where(~held(key)), keyed.where(held(key))
+    kept = some.join(side, key, "left_anti")
+    if more:
+        again = small_side(again, 16)
+        once = kept.join(again, key, "left_semi").dropDuplicates([key])
+        kept = kept.join(again, key, "left_anti").select(*columns).unionByName(once.select(*columns))
+    return kept.select(*columns) if sure is None else sure.select(*columns).unionByName(kept.select(*columns))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

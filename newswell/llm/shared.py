@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newswell.storage import new_folder, stored  # noqa: F401  (operators import both from here)
@@ -44,6 +45,35 @@ def small_side(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataF
     return F.broadcast(df) if rows[0] * row_bytes + sum(rows[1:]) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
+#: Bits, at most, of a test that is sent to all tasks, and bits for each key.
+MOST_BITS, KEY_BITS = 1 << 26, 12
+
+
+def may_hold(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test for well mixed 64-bit keys, a column of its own in ``keys`` (already stored): true for all of them and for few others.
+
+    Its size is bounded; with more keys it is true for more others. Rows that it leaves out need no shuffle to be told apart.
+    """
+    spark, n = keys.sparkSession, keys.count()
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(6, (n * KEY_BITS).bit_length()))
+    places = F.explode(F.array(*(F.shiftright(F.col(keys.columns[0]), k).bitwiseAND(F.lit(bits - 1).cast("bigint")) for k in (0, 19, 38))))
+    word = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    rows = keys.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(word).alias("m")).toPandas()
+    words = np.zeros(bits // 64, np.uint64)
+    words[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64).view(np.uint64)
+    sent = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def held(key: pd.Series) -> pd.Series:
+        k, out = key.to_numpy(np.int64), np.ones(len(key), bool)
+        for by in (0, 19, 38):
+            at = (k >> by) & (bits - 1)
+            out &= (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+        return pd.Series(out)
+
+    return held
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package also where it is not installed on the path."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -91,3 +91,50 @@ def test_rows_without_or_with_shared_ids_are_decided_by_themselves(documents):
     kept = sorted((r["doc_id"] or -1, r["text"]) for r in jaccard.drop_near_copies(documents(rows), 5, 80).collect())
     assert len([k for k in kept if k[0] == -1]) == 1
     assert kept[1:] == [(1, text("b")), (5, text("c")), (7, text("d"))]
+
+
+def test_keys_and_texts_are_not_shuffled_whole_without_broadcasts(spark, documents, monkeypatch):
+    """What a join without broadcasts writes to shuffles stays below the texts; before, keys as rows and whole texts went through them several times."""
+    from newswell.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 500))) for k in range(300)]
+    rows += [(1000 + k, rows[k][1] + " more") for k in range(10)] + [(2000, rows[3][1])]
+    df = documents(rows)
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        it = store.stageList(jvm.java.util.ArrayList(), False, False, spark._sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(it.apply(k).shuffleWriteBytes() for k in range(it.size()))
+
+    before = written()
+    kept = [r["doc_id"] for r in jaccard.drop_near_copies(df, 5, 80).collect()]
+    assert sorted(kept) == list(range(300))
+    assert written() - before < sum(len(t) for _, t in rows)
+
+
+def test_keys_of_many_rows_and_flushes_meet(documents, monkeypatch):
+    """Packed keys come back as they were, and rows of one key meet within a flush and across several."""
+    refs, keys = np.array([0, 0, 3, 9, 70_000]), np.array([5, 1 << 39, 7, (1 << 40) - 1, 5], np.uint64)
+    assert all((x == y).all() for x, y in zip(jaccard._unpacked(*jaccard._packed(refs, keys)), (refs, keys)))
+    values, owners = [np.array([1, 2, 3], np.uint64), np.array([3, 9], np.uint64), np.array([3], np.uint64)], [np.array([0, 0, 0]), np.array([1, 1]), np.array([2])]
+    out = list(jaccard._flushed(7, 1, values, owners))
+    assert len(out) == 1 and out[0][:2] == (0, 7) and np.frombuffer(out[0][4], np.int64).reshape(-1, 2).tolist() == [[1, 0], [2, 0]]
+    assert jaccard._unpacked(*out[0][2:4])[0].tolist() == [0, 0, 0, 1]
+    rows = family(np.random.default_rng(3), 40, 80, 1, 0)
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", 500)
+    assert shown(jaccard.similar_groups(documents(rows).repartition(5), 3, 90)) == brute(rows, 3, 90)
+
+
+def test_a_bounded_test_holds_all_its_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from newswell.llm import shared
+
+    keys, others = spark.range(500).select(F.xxhash64("id").alias("k")), spark.range(10_000, 20_000).select(F.xxhash64("id").alias("k"))
+    held = shared.may_hold(keys)
+    assert keys.where(held("k")).count() == 500 and others.where(held("k")).count() < 500
+    monkeypatch.setattr(shared, "MOST_BITS", 1 << 9)
+    assert keys.where(shared.may_hold(keys)("k")).count() == 500
+    assert others.where(shared.may_hold(keys.limit(0))("k")).count() == 0
